@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, simhash
+from . import decontam, fingerprints, mixing, simhash, substrings, tokenstore
+from ._common import scratch_path
 from .sql import ORACLE_SQL  # noqa: F401
 
 
@@ -27,9 +28,25 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(_read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(_read(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_simhash": op2_simhash, "op7_mix": op7_mix}
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_report(_read(spark, sf_dir, "documents"))
+
+
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = scratch_path(spark, "tokens")
+    shards = tokenstore.write_tokens(_read(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return tokenstore.read_tokens(spark, folder, [(r.shard, r.tokens) for r in shards.collect()])
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op4_substrings, op7_mix, op8_fingerprint, op10_tokens)}
