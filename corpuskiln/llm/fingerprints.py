@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import binary_list, map_batches, write_table
+from ._common import binary_list, map_arrow, map_batches, write_table
 
 #: Stands for a null id in the order of ids.
 _NULL_ID = -(1 << 63)
@@ -187,7 +187,7 @@ def edit_report(docs: DataFrame, *, bits: int = 128) -> DataFrame:
         if got:
             yield _batch(got)
 
-    done = write_table(order.mapInArrow(run, schema), "fingerprint-edits")
+    done = write_table(map_arrow(order, run, schema), "fingerprint-edits")
     return _named(done).select("doc_id", "n_chars", "edited_sha256", "fingerprint", F.lower(F.hex("edited_digest")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 

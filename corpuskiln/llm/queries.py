@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, mixing, simhash, substrings, tokenstore
+from . import decontam, fingerprints, knlm, mixing, ordinal, simhash, substrings, tokenstore
 from ._common import scratch_path
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -32,6 +32,13 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(_read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = knlm.train(docs.where(~knlm.held_out()))
+    found = knlm.score(docs, model)
+    return found.select("doc_id", knlm.held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(_read(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -41,6 +48,18 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(_read(spark, sf_dir, "documents"))
 
 
+def graded(labels: DataFrame) -> DataFrame:
+    """labels with the rating that op9 learns."""
+    return labels.select("doc_id", ordinal.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = ordinal.train(docs, graded(_read(spark, sf_dir, "labels")))
+    p = [F.element_at("tails", k) for k in (1, 2)]
+    return ordinal.score(docs, model).select("doc_id", "expected_grade", p[0].alias("p_harmless"), p[1].alias("p_good"), (p[1] >= 0.5).alias("keep"))
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,4 +68,4 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_tokens(spark, folder, [(r.shard, r.tokens) for r in shards.collect()])
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op4_substrings, op7_mix, op8_fingerprint, op10_tokens)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op4_substrings, op5_lm, op7_mix, op8_fingerprint, op9_quality, op10_tokens)}

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_list, map_batches, words_of, write_table
+from ._common import binary_list, map_arrow, map_batches, words_of, write_table
 from .components import connected_components
 
 BITS, BYTES, SEED = 64, 8, 42
@@ -74,7 +74,7 @@ def links(reps: DataFrame) -> DataFrame:
     post = reps.select(F.explode(F.array(*[F.lit(i) for i in range(len(CHOICES))])).alias("c"), "fp", "rep")
     key = _posting_key(F.col("c"), F.col("fp"))
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return post.repartition(n, "c", key).sortWithinPartitions("c", key).mapInArrow(_link_lists, "a bigint, b bigint")
+    return map_arrow(post.repartition(n, "c", key).sortWithinPartitions("c", key), _link_lists, "a bigint, b bigint")
 
 
 def _link_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

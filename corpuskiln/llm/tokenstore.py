@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import binary_list, commit_file, open_file
+from ._common import binary_list, commit_file, map_arrow, open_file
 
 SEQ_LEN = 2048
 #: Sequences in a record batch.
@@ -176,7 +176,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: i
             commit_file(index_file(folder, shard), write_index)
             yield pa.RecordBatch.from_pylist([{"shard": shard, "tokens": state["at"], "docs": state["docs"]}], pa.schema([("shard", pa.int32()), ("tokens", pa.int64()), ("docs", pa.int64())]))
 
-    return dealt.mapInArrow(run, "shard int, tokens bigint, docs bigint")
+    return map_arrow(dealt, run, "shard int, tokens bigint, docs bigint")
 
 
 def shard_file(folder: str, shard: int) -> str:
@@ -237,4 +237,4 @@ def read_tokens(spark: SparkSession, folder: str, shards: list[tuple[int, int]],
                     yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(start + first), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     made = spark.createDataFrame(rows, "shard int, base bigint").repartition(max(1, len(rows)))
-    return made.mapInArrow(run, f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return map_arrow(made, run, f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
