@@ -56,12 +56,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, *, least_z: float = LEAST_Z, l2: float = 1e-3, steps: int = 400) -> OrdinalModel:
-    """Maximum likelihood by Adam on the features that correlate with the grade. Grades are 0, 1, 2, ..."""
-    n, top = len(rows), int(grades.max(initial=1))
+def fit(rows: list[np.ndarray], grades: np.ndarray, *, top: int = 2, least_z: float = LEAST_Z, l2: float = 1e-3, steps: int = 400) -> OrdinalModel:
+    """Maximum likelihood by Adam on the features that correlate with the grade. Grades are 0, ..., top."""
+    n = len(rows)
     weights = np.zeros(1 << FEATURE_BITS, np.float32)
     if n == 0:
-        return OrdinalModel(weights, np.zeros(max(top, 1)))
+        return OrdinalModel(weights, np.zeros(top))
     at = np.concatenate(rows).astype(np.int64)
     doc = np.repeat(np.arange(n), [len(r) for r in rows])
     centred = grades - grades.mean()
@@ -106,11 +106,11 @@ def grade(quality: Column, toxic: Column) -> Column:
     return F.when(toxic.isNull() | quality.isNull(), None).when(toxic > 0, 0).when(quality > 0, 2).otherwise(1)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, top: int = 2, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> OrdinalModel:
     """Fits labels (id, grade) on a bounded sample: the sample_rows labelled ids with the smallest seeded hash.
 
     The sample's texts become features on the executors; the driver gets feature numbers only. Null ids and grades
-    are left out. Without labelled rows all weights are 0.
+    outside 0 to top are left out. Without labelled rows all weights and thresholds are 0.
     """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("_id").cast("string")).cast("binary"))
     few = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{grade_col}`").cast("int").alias("_grade")).where("_id is not null and _grade is not null").orderBy(order, "_id", "_grade").limit(sample_rows)
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS,
 
     kind = docs.schema[id_col].dataType.simpleString()
     got = sorted((r.id, r.grade, bytes(r.features)) for r in map_batches(rows, make, f"id {kind}, grade int, features binary").collect())
-    return fit([np.frombuffer(f, np.uint32) for _, _, f in got], np.array([g for _, g, _ in got], np.int64))
+    return fit([np.frombuffer(f, np.uint32) for _, _, f in got], np.array([g for _, g, _ in got], np.int64), top=top)
 
 
 def score(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, knlm, mixing, ordinal, simhash, substrings, tokenstore
+from . import decontam, fingerprints, knlm, mixing, ordinal, pii, simhash, substrings, tokenstore
 from ._common import scratch_path
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -39,6 +39,12 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", knlm.held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_read(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(_read(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -68,4 +74,4 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_tokens(spark, folder, [(r.shard, r.tokens) for r in shards.collect()])
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op4_substrings, op5_lm, op7_mix, op8_fingerprint, op9_quality, op10_tokens)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op4_substrings, op5_lm, op6_pii, op7_mix, op8_fingerprint, op9_quality, op10_tokens)}
