@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, knlm, mixing, ordinal, pii, simhash, substrings, tokenstore
+from . import decontam, fingerprints, htmltree, knlm, mixing, ordinal, pii, simhash, substrings, tokenstore
 from ._common import scratch_path
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -28,6 +28,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltree.extract(_read(spark, sf_dir, "pages"), keep=("url",)).select("page_id", "url", "text", "n_chars")
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(_read(spark, sf_dir, "documents")).drop("kept")
 
@@ -74,4 +78,4 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_tokens(spark, folder, [(r.shard, r.tokens) for r in shards.collect()])
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op4_substrings, op5_lm, op6_pii, op7_mix, op8_fingerprint, op9_quality, op10_tokens)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_html, op4_substrings, op5_lm, op6_pii, op7_mix, op8_fingerprint, op9_quality, op10_tokens)}
