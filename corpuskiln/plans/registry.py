@@ -1,6 +1,539 @@
-"""Queries over the test tables and the DuckDB SQL that must give the same rows."""
+"""Queries over the test tables, one for each operator, and the DuckDB SQL that must give the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import model
+from ..functions import codecs, text
+from ..operators import corpus as ops
+from ..operators import embeddings as emb
+from ..operators import features, mapping, models, stats, vocab
+from ..sources import readers, sinks
+from . import sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a text corpus: archive is the source."""
+    return model.from_table(table(spark, sf_dir, "documents"), order="doc_id", payload={"text": "text"}, archive="source")
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark as a second text corpus."""
+    return model.from_table(table(spark, sf_dir, "benchmark"), order="item_id", payload={"text": "text"}, archive=F.lit("bench"))
+
+
+def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, tokenised and lower-cased."""
+    corpus = documents(spark, sf_dir)
+    return corpus.withColumn("sentences", text.token_normalize(text.simple_tokenize(F.col("text")), case="lower")).drop("text")
+
+
+def _doc_id(corpus: DataFrame, **columns: Column) -> DataFrame:
+    return corpus.select(F.col("doc_ord").alias("doc_id"), *[c.alias(n) for n, c in columns.items()])
+
+
+# --- maps over documents ---
+
+
+@query
+def simple_tokenize(spark, sf_dir):
+    return _doc_id(documents(spark, sf_dir), tokenized=text.join_sentences(text.simple_tokenize(F.col("text"))))
+
+
+@query
+def char_tokenize(spark, sf_dir):
+    chars = text.char_tokenize(F.col("text"))
+    return _doc_id(documents(spark, sf_dir), n_lines=F.size(chars).cast("long"), n_chars=F.size(F.flatten(chars)).cast("long"), first_line=F.array_join(F.get(chars, 0), "|"))
+
+
+@query
+def text_normalize(spark, sf_dir):
+    return _doc_id(documents(spark, sf_dir), text=text.text_normalize(F.col("text"), case="lower", strip_lines=True, drop_blank=True))
+
+
+@query
+def token_normalize(spark, sf_dir):
+    s = text.token_normalize(text.simple_tokenize(F.col("text")), case="lower", remove_punct=True, remove_nums=True, min_word_length=3, remove_empty=True)
+    return _doc_id(documents(spark, sf_dir), tokenized=text.join_sentences(s))
+
+
+@query
+def token_normalize_only_punct(spark, sf_dir):
+    s = text.token_normalize(text.simple_tokenize(F.col("text")), remove_only_punct=True, min_word_length=2, strict_compat=True)
+    return _doc_id(documents(spark, sf_dir), tokenized=text.join_sentences(s))
+
+
+@query
+def europarl_clean(spark, sf_dir):
+    out = readers.europarl(documents(spark, sf_dir))
+    return _doc_id(out, text=F.col("text"), is_invalid=F.col("error").isNotNull())
+
+
+@query
+def count_invalid(spark, sf_dir):
+    n = stats.lengths(readers.europarl(documents(spark, sf_dir)))
+    return n.select(F.col("length").alias("n_docs"), "n_invalid")
+
+
+@query
+def xml_extract(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    found = pages.select("page_id", readers.xml_text(F.col("html"), "p").alias("x"), readers.xml_text(F.col("html"), "title").alias("t"))
+    return found.select("page_id", F.get("t", 0).alias("title"), F.size("x").cast("long").alias("n_nodes"), F.array_join("x", "\n").alias("text"))
+
+
+@query
+def nist_tokenize(spark, sf_dir):
+    return _doc_id(documents(spark, sf_dir), tokenized=text.join_sentences(text.nist_tokenize(F.col("text"), lowercase=True)))
+
+
+@query
+def first_words_filter(spark, sf_dir):
+    """Keeps each sentence's first word and drops later words that begin with a capital."""
+    s = F.transform(text.simple_tokenize(F.col("text")), lambda x: F.concat(F.slice(x, 1, 1), F.filter(F.slice(x, 2, F.greatest(F.size(x), F.lit(1))), lambda w: ~w.rlike("^[A-Z]"))))
+    return _doc_id(documents(spark, sf_dir), tokenized=text.join_sentences(s))
+
+
+@query
+def format_documents(spark, sf_dir):
+    """Documents as shown by the formatter of their type, cut to 200 characters."""
+    shown = text.truncate(text.format_document("segmented_lines", text.simple_tokenize(F.col("text"))), 200)
+    return _doc_id(documents(spark, sf_dir), shown=shown)
+
+
+@query
+def strip_punctuation(spark, sf_dir):
+    return _doc_id(documents(spark, sf_dir), text=text.strip_punctuation(F.col("text")))
+
+
+@query
+def segmented_round_trip(spark, sf_dir):
+    raw = codecs.encode_segmented(text.simple_tokenize(F.col("text")))
+    back = codecs.decode_segmented(raw)
+    return _doc_id(documents(spark, sf_dir), n_tokens=F.size(F.flatten(back)).cast("long"), raw=raw)
+
+
+@query
+def name_filter(spark, sf_dir):
+    """Documents of some archives by name, a filter that reaches the scan."""
+    return documents(spark, sf_dir).where(F.col("archive").isin("src1", "src2") & (F.col("doc_ord") % 3 == 0)).select("archive", "doc_name", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def map_function(spark, sf_dir):
+    """A map with a function of one's own: longest word of each document; documents of one line are made invalid."""
+
+    def longest(state, doc):
+        if "\n" not in doc["text"]:
+            raise ValueError("one line")
+        return {"word": max(doc["text"].split(), key=lambda w: (len(w), w)), "n": len(doc["text"].split())}
+
+    out = mapping.map_documents(documents(spark, sf_dir), mapping.MapPlan("longest", "word string, n bigint", longest))
+    return _doc_id(out, n=F.col("n"), is_invalid=F.col("error").isNotNull())
+
+
+# --- statistics and vocabularies ---
+
+
+@query
+def corpus_stats(spark, sf_dir):
+    return stats.corpus_stats(tokenized(spark, sf_dir))
+
+
+@query
+def vocab_build(spark, sf_dir):
+    return vocab.build(tokenized(spark, sf_dir), threshold=2).words.select(F.col("id").cast("long").alias("id"), "token", "df")
+
+
+@query
+def vocab_build_limit(spark, sf_dir):
+    v = vocab.build(tokenized(spark, sf_dir), threshold=3, max_prop=0.4, limit=300, include=["corpuskiln", "the"])
+    return v.words.select(F.col("id").cast("long").alias("id"), "token", "df")
+
+
+@query
+def vocab_stopwords(spark, sf_dir):
+    return vocab.build(tokenized(spark, sf_dir), threshold=3, max_prop=0.3).stopwords
+
+
+@query
+def vocab_oov_df(spark, sf_dir):
+    v = vocab.build(tokenized(spark, sf_dir), threshold=3, max_prop=0.5, limit=500, oov="OOV")
+    return v.words.where(F.col("token") == "OOV").select(F.col("id").cast("long").alias("id"), F.col("df").alias("oov_df"))
+
+
+@query
+def vocab_stats(spark, sf_dir):
+    return vocab.build(tokenized(spark, sf_dir)).stats
+
+
+def _words(corpus: DataFrame) -> DataFrame:
+    return vocab.build(corpus, threshold=3, max_prop=0.5, limit=500).words
+
+
+def _ids_text(c: str) -> Column:
+    return text.join_sentences(F.transform(c, lambda s: F.transform(s, lambda x: x.cast("string"))))
+
+
+@query
+def vocab_map(spark, sf_dir):
+    corpus = tokenized(spark, sf_dir)
+    return _doc_id(vocab.map_tokens(corpus, _words(corpus)), ids=_ids_text("lists"))
+
+
+@query
+def vocab_map_skip(spark, sf_dir):
+    corpus = tokenized(spark, sf_dir)
+    return _doc_id(vocab.map_tokens(corpus, _words(corpus), "skip"), ids=_ids_text("lists"))
+
+
+@query
+def vocab_unmap(spark, sf_dir):
+    corpus = tokenized(spark, sf_dir)
+    words = _words(corpus)
+    return _doc_id(vocab.unmap_ids(vocab.map_tokens(corpus, words), words, "OOV"), text=text.join_sentences(F.col("sentences")))
+
+
+@query
+def vocab_count(spark, sf_dir):
+    corpus = tokenized(spark, sf_dir)
+    words = _words(corpus)
+    return vocab.count(vocab.map_tokens(corpus, words), words, oov_excluded=True)
+
+
+@query
+def doc_bow(spark, sf_dir):
+    corpus = tokenized(spark, sf_dir)
+    bow = vocab.bag_of_words(vocab.map_tokens(corpus, _words(corpus), "skip"), [0])
+    return bow.select(F.col("doc_ord").alias("doc_id"), "id", "freq")
+
+
+@query
+def tfidf(spark, sf_dir):
+    corpus = tokenized(spark, sf_dir)
+    bow = vocab.bag_of_words(vocab.map_tokens(corpus, _words(corpus), "skip"))
+    return vocab.tfidf(bow, corpus.count()).select(F.col("doc_ord").alias("doc_id"), "id", F.round("w", 6).alias("w"))
+
+
+@query
+def frequent_tokens(spark, sf_dir):
+    """The 100 most frequent words of the vocabulary."""
+    return vocab.build(tokenized(spark, sf_dir)).words.orderBy(F.col("df").desc(), "id").limit(100).select("token", "df")
+
+
+# --- corpora ---
+
+
+@query
+def group_archives(spark, sf_dir):
+    return ops.group(documents(spark, sf_dir), 300).select("archive", "doc_name")
+
+
+@query
+def concat_corpora(spark, sf_dir):
+    both = ops.concat([documents(spark, sf_dir), passages(spark, sf_dir)])
+    return model.number_rows(both, F.col("doc_ord")).select("pos", "archive", "doc_name", "text")
+
+
+@query
+def interleave_corpora(spark, sf_dir):
+    return ops.interleave([documents(spark, sf_dir), passages(spark, sf_dir)]).select("pos", "archive", "doc_name")
+
+
+@query
+def interleave_corpora_scaled(spark, sf_dir):
+    return ops.interleave([documents(spark, sf_dir), passages(spark, sf_dir)], scaled=True).select("pos", "archive", "doc_name")
+
+
+@query
+def subset_corpus(spark, sf_dir):
+    return _doc_id(ops.subset(documents(spark, sf_dir), 100, 20))
+
+
+@query
+def subset_valid(spark, sf_dir):
+    return _doc_id(ops.subset(readers.europarl(documents(spark, sf_dir)), 50, 10, skip_invalid=True))
+
+
+@query
+def subsample_corpus(spark, sf_dir):
+    return _doc_id(ops.subsample(documents(spark, sf_dir), 0.2))
+
+
+@query
+def subsample_size(spark, sf_dir):
+    return _doc_id(ops.subsample(documents(spark, sf_dir), 50, seed=7))
+
+
+@query
+def split_corpus(spark, sf_dir):
+    a, b = ops.split(documents(spark, sf_dir), 0.3)
+    return _doc_id(a, set=F.lit("set1")).unionByName(_doc_id(b, set=F.lit("set2")))
+
+
+@query
+def shuffle_corpus(spark, sf_dir):
+    mixed = ops.shuffle(documents(spark, sf_dir), keep_archive_names=True)
+    return ops.group(mixed, 100, "shuffled").select("pos", "archive", "doc_name")
+
+
+@query
+def list_filter_in(spark, sf_dir):
+    names = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("value"))
+    return _doc_id(ops.list_filter(documents(spark, sf_dir), names)[0])
+
+
+@query
+def list_filter_out(spark, sf_dir):
+    names = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("value"))
+    return _doc_id(ops.list_filter(documents(spark, sf_dir), names)[1])
+
+
+@query
+def align_labels(spark, sf_dir):
+    docs = documents(spark, sf_dir).withColumn("archive", F.lit("corpus"))
+    labels = model.from_table(table(spark, sf_dir, "labels"), order="doc_id", payload={"label": F.col("quality").cast("string")})
+    both = ops.align([docs, labels], ["text_", "label_"], strict=False)
+    return _doc_id(both, n_chars=F.length("text_text").cast("long"), quality=F.col("label_label"))
+
+
+@query
+def slice_sizes(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("label"))
+    return stats.slice_sizes(turns, "conv_id", "turn").select("slice", "label", "n")
+
+
+@query
+def conversation_turns(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    rows = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    return turns.groupBy("conv_id").agg(rows.alias("x")).select("conv_id", F.size("x").cast("long").alias("n_turns"), F.array_join(F.transform("x", lambda t: F.concat_ws(": ", t["role"], t["text"])), "\n").alias("text"))
+
+
+# --- embeddings ---
+
+
+def _embeddings(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.concat(F.lit("w"), F.col("vec_id")).alias("word"), (F.col("vec_id") * 7 % 101).alias("count"), F.col("embedding").alias("vector"), "label")
+
+
+@query
+def embeddings_l2(spark, sf_dir):
+    rows = emb.l2_normalize(_embeddings(spark, sf_dir))
+    first = F.get(F.col("vector"), 0)
+    return rows.select(F.col("idx").alias("vec_id"), F.round(emb.norm(F.col("vector")), 6).alias("norm"), F.round(first, 6).alias("first"))
+
+
+@query
+def embeddings_cosine_topk(spark, sf_dir):
+    every = _embeddings(spark, sf_dir)
+    near = emb.nearest(every.where("idx % 50 = 0"), every, 5, digits=6)
+    return near.select(F.col("query").alias("vec_id"), F.col("rank").cast("long").alias("rank"), "neighbour", "similarity")
+
+
+@query
+def embeddings_plot(spark, sf_dir):
+    """Distances of the words that a plot would show: the 20 most frequent after the first 5."""
+    some = emb.most_frequent(_embeddings(spark, sf_dir).withColumn("source", F.lit("all")), 20, 5)
+    return emb.pairwise(some, "euclidean").select("a", "b", F.round("distance", 5).alias("distance"))
+
+
+@query
+def embeddings_metadata(spark, sf_dir):
+    """What the TSV sink writes beside the vectors."""
+    return _embeddings(spark, sf_dir).select(F.concat_ws("\t", "word", "count").alias("line"))
+
+
+@query
+def embeddings_concat(spark, sf_dir):
+    e = _embeddings(spark, sf_dir).drop("label")
+    return emb.concat([e.where("idx < 100"), e.withColumn("word", F.concat(F.lit("second_"), F.col("word")))]).select("idx", "word", "count")
+
+
+@query
+def doc_embeddings(spark, sf_dir):
+    """Vectors of each document's tokens; words without one give null."""
+    corpus = tokenized(spark, sf_dir)
+    words = vocab.build(corpus, threshold=5).words
+    e = words.select(F.col("token").alias("word"), F.array(F.col("id").cast("double"), F.col("df").cast("double")).alias("vector"))
+    v = F.col("vectors")
+    found = emb.doc_vectors(corpus, e)
+    return found.select(F.col("doc_ord").alias("doc_id"), F.size(v).cast("long").alias("n_tokens"), F.size(F.filter(v, lambda x: x.isNotNull())).cast("long").alias("n_known"), F.aggregate(v, F.lit(0.0), lambda a, x: a + F.coalesce(F.get(x, 1), F.lit(0.0))).alias("df_sum"))
+
+
+# --- features and topics ---
+
+
+@query
+def cooccurrence(spark, sf_dir):
+    corpus = tokenized(spark, sf_dir)
+    known = vocab.map_tokens(corpus, vocab.build(corpus, threshold=3, limit=200).words, "skip")
+    pairs = features.cooccurrence(known.select(F.flatten("lists").alias("tokens")), 5)
+    return pairs.select("w1", "w2", F.round("weight", 5).alias("weight"))
+
+
+def _topics(corpus: DataFrame) -> DataFrame:
+    """Four topics of eight words each from the vocabulary, dealt in turn."""
+    words = vocab.build(corpus, threshold=3, max_prop=0.5, limit=32).words
+    return words.select((F.col("id") % 4).alias("topic"), F.floor(F.col("id") / 4).cast("int").alias("rank"), F.col("token").alias("word"))
+
+
+def _coherence(spark, sf_dir, measure: str) -> DataFrame:
+    corpus = tokenized(spark, sf_dir)
+    return features.coherence(corpus, _topics(corpus), measure).select(F.col("topic").cast("long").alias("topic"), F.round("coherence", 6).alias("coherence"))
+
+
+@query
+def coherence_umass(spark, sf_dir):
+    return _coherence(spark, sf_dir, "u_mass")
+
+
+@query
+def coherence_npmi(spark, sf_dir):
+    return _coherence(spark, sf_dir, "c_npmi")
+
+
+@query
+def coherence_uci(spark, sf_dir):
+    return _coherence(spark, sf_dir, "c_uci")
+
+
+@query
+def coherence_cv(spark, sf_dir):
+    return _coherence(spark, sf_dir, "c_v")
+
+
+@query
+def missing_topic_words(spark, sf_dir):
+    corpus = tokenized(spark, sf_dir)
+    return features.missing_topic_words(_topics(corpus), vocab.build(corpus, threshold=3, max_prop=0.2).words).select(F.col("topic").cast("long").alias("topic"), "word")
+
+
+def _next_token_points(corpus: DataFrame) -> DataFrame:
+    """Each token as a term with the next token of its sentence as a feature."""
+    pair = F.transform(F.slice("_s", 1, F.greatest(F.size("_s") - 1, F.lit(0))), lambda w, i: F.struct(w.alias("term"), F.create_map(F.get("_s", i + 1), F.lit(1).cast("long")).alias("features")))
+    return corpus.select("doc_ord", F.explode("sentences").alias("_s")).select("doc_ord", F.explode(pair).alias("x")).select("doc_ord", "x.*")
+
+
+@query
+def term_feature_matrix(spark, sf_dir):
+    return features.term_feature_matrix(_next_token_points(tokenized(spark, sf_dir)))
+
+
+@query
+def dual_vocab(spark, sf_dir):
+    """Vocabularies of terms and of features, counted over data points."""
+    points = model.number_rows(_next_token_points(tokenized(spark, sf_dir)), F.col("doc_ord"), "term", name="point")
+    points = points.withColumn("doc_ord", F.col("point"))
+    t, f = vocab.build_dual(points, term={"threshold": 10}, feature={"threshold": 20})
+    return t.words.select(F.lit("term").alias("kind"), "token", "df").unionByName(f.words.select(F.lit("feature").alias("kind"), "token", "df"))
+
+
+@query
+def term_feature_list(spark, sf_dir):
+    """Documents as key-value points: source is the term, language and size class are features."""
+    docs = table(spark, sf_dir, "documents")
+    kv = F.array(F.struct(F.lit("lang").alias("key"), F.col("lang").alias("value")), F.struct(F.lit("src").alias("key"), F.col("source").alias("value")), F.struct(F.lit("size").alias("key"), F.floor(F.log10(F.col("n_chars"))).cast("string").alias("value")))
+    points = docs.select(F.col("doc_id").alias("doc_ord"), F.lit(0).alias("point"), kv.alias("kv"))
+    return features.term_feature_matrix(features.term_feature_list(points, ["src"], include_feature_keys=True))
+
+
+def _annotated(spark, sf_dir) -> DataFrame:
+    """Words with a made-up shape field: C capital, P with punctuation at the end, w other."""
+    s = F.transform(text.simple_tokenize(F.col("text")), lambda x: F.transform(x, lambda w: F.struct(w.alias("word"), F.when(w.rlike("^[A-Z]"), "Cap").when(w.rlike("[.,]$"), "Punct").otherwise("low").alias("shape"))))
+    return documents(spark, sf_dir).withColumn("sentences", s)
+
+
+@query
+def annotated_match(spark, sf_dir):
+    found = features.match_annotations(_annotated(spark, sf_dir), "a=shape[C*] the b=shape:shape[low] | x=shape[Punct] * of")
+    return found.select(F.col("doc_ord").alias("doc_id"), F.col("sent").cast("long").alias("sent"), F.col("start").cast("long").alias("start"), F.array_join(F.transform("kv", lambda x: F.concat_ws("=", x["key"], x["value"])), ",").alias("kv"))
+
+
+@query
+def dependency_features(spark, sf_dir):
+    """Made-up dependencies: each word hangs on the one before it, the first is the root."""
+    s = F.transform(text.simple_tokenize(F.col("text")), lambda x: F.transform(x, lambda w, i: F.struct(w.alias("word"), F.substring(w, 1, 1).alias("pos"), i.cast("string").alias("head"), F.when(i % 2 == 0, "even").otherwise("odd").alias("deprel"))))
+    found = features.dependency_features(documents(spark, sf_dir).withColumn("sentences", s), term_pos=("t", "a"))
+    return found.groupBy("term", "feature").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- models: rows only ---
+
+
+@query
+def lda_topics(spark, sf_dir):
+    words, lda = models.train_lda(tokenized(spark, sf_dir), num_topics=5, iterations=3, vocab_size=500, min_df=3)
+    return models.lda_top_words(words, lda, 10)
+
+
+@query
+def lda_doc_topics(spark, sf_dir):
+    corpus = tokenized(spark, sf_dir)
+    words, lda = models.train_lda(corpus, num_topics=4, iterations=2, vocab_size=300, min_df=3)
+    return models.lda_doc_topics(corpus, words, lda).select(F.col("doc_ord").alias("doc_id"), F.size("topics").cast("long").alias("n"))
+
+
+@query
+def word2vec(spark, sf_dir):
+    return models.train_word2vec(tokenized(spark, sf_dir), size=8, min_count=10, iterations=1).select("idx", "word", "count")
+
+
+@query
+def log_reg(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    upper = F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.greatest(F.length("text"), F.lit(1))
+    marks = F.length(F.regexp_replace("text", "[^!#$%&*|]", "")) / F.greatest(F.length("text"), F.lit(1))
+    data = rows.select(F.col("quality").alias("score"), F.create_map(F.lit(0), upper, F.lit(1), marks).alias("features"))
+    fitted = models.train_log_reg(data, size=2)
+    return spark.createDataFrame([(i, float(c)) for i, c in enumerate([fitted.intercept, *fitted.coefficients.toArray()])], "feature int, weight double")
+
+
+@query
+def embeddings_reduced(spark, sf_dir):
+    return emb_points(spark, sf_dir).select("idx", F.size("point").cast("long").alias("n"))
+
+
+def emb_points(spark, sf_dir) -> DataFrame:
+    return models.reduce_dimensions(_embeddings(spark, sf_dir))
+
+
+@query
+def chart_data(spark, sf_dir):
+    """Results to chart; one of them is missing."""
+    n = [("documents", table(spark, sf_dir, "documents").count()), ("benchmark", table(spark, sf_dir, "benchmark").count()), ("none", None)]
+    return sinks.chart_data(n, spark)
+
+
+@query
+def time_slices(spark, sf_dir):
+    """Events by day: how many documents each slice of a dynamic topic model would have."""
+    events = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type")
+    return events.groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("day").cast("string").alias("day"), "event_type", "n")
+
+
+@query
+def ranked_features(spark, sf_dir):
+    """The most relevant sources of each language by the relevance formula (weight 0.6)."""
+    docs = table(spark, sf_dir, "documents")
+    n = docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    by_lang, by_source, every = Window.partitionBy("lang"), Window.partitionBy("source"), Window.partitionBy()
+    p = n.withColumn("pt", F.col("n") / F.sum("n").over(by_lang)).withColumn("pw", F.sum("n").over(by_source) / F.sum("n").over(every))
+    return p.select("lang", "source", F.round(text.relevance(F.col("pt"), F.col("pw")), 6).alias("relevance"))
