@@ -67,9 +67,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of text that a Python worker gets at once, unless the session sets another limit than Spark's own.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864", "67108864b", "64m", "64MB")
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a context, so that their Python workers can import it."""
+    """Sends this package to the executors, once a context, so that their Python workers can import it; and bounds
+    what a worker holds at once by bytes, as documents may be long."""
     context, root = spark.sparkContext, Path(__file__).parents[1]
+    if spark.conf.get(_BATCH_CONF, None) in _SPARKS_OWN:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     if getattr(context, "_corpuskiln_shipped", False) or not root.is_dir():
         return
     archive = Path(tempfile.mkdtemp(prefix="corpuskiln-")) / "corpuskiln.zip"
