@@ -282,7 +282,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, share: int = 20, id_
     if len(blocks) > 1:
         found = contamination(docs, benchmark, min_words=min_words, block_bytes=block_bytes, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col)
         bad = found.where(is_contaminated(F.col("n_hit"), F.col("n_words"), share)).select(F.col("doc_id").alias("_bad"))
-        return docs.join(bad, docs[id_col] == F.col("_bad"), "left_anti")
+        return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
     shared = blocks[0][1]
 
     def make():

@@ -123,6 +123,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     Needs unique ids; a document taken 0 times is left out. A row with a null id is taken as often as its source's
     whole repetitions say, or once more, like all null ids of that source.
     """
-    plan = mix_plan(docs, id_col=id_col, **options).where("repeats > 0").select(F.col("doc_id").alias("_mix_id"), "repeats").dropDuplicates(["_mix_id"])
-    joined = docs.join(plan, docs[id_col].eqNullSafe(F.col("_mix_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*[docs[c] for c in docs.columns])
+    plan = mix_plan(docs, id_col=id_col, **options).where("repeats > 0").select("doc_id", "repeats").dropDuplicates(["doc_id"])
+    joined = docs.join(plan, docs[id_col].eqNullSafe(plan["doc_id"]))
+    plain = [docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]  # a caller's names can't clash with ours
+    copies = joined.select(*plain, F.explode(F.sequence(F.lit(1), plan["repeats"])).alias("copy"))
+    return copies.drop("copy").toDF(*docs.columns)

@@ -198,4 +198,4 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame
     """docs with one row of each group of near-duplicates: the one with the smallest id. Ids must be unique; rows
     with null ids stay. All columns are kept."""
     found = near_duplicates(docs, id_col=id_col, **options).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(found, docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(found, docs[id_col] == found["_gone"], "left_anti")

@@ -1,0 +1,341 @@
+"""HTML, language model, personal data, mixing, classifier, tokens and the pipeline."""
+
+import collections
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpuskiln.llm import htmltree, knlm, mixing, ordinal, pii, queries, tokenstore
+
+# --- HTML ---
+
+
+def test_html_parse_survives():
+    for page in ("", "<", "<p", "</p>", "<p>a<p>b", "a<br>b", "<div><ul><li>x<li>y</ul>", '<a href="x>y</a>z', "<!-- no end", "<script>var a='</p>'", "&amp;&#65;&nope;", "<table><tr><td>1<td>2<tr><td>3</table>", "<b>" * 500, "<div>" * 300 + "x"):
+        tree = htmltree.parse(page)
+        assert len(tree.parent) == len(tree.text) == len(tree.features) == len(tree.level)
+    assert [x for x in htmltree.parse("<p>a <b>b</b>\n c<br>d<p>e&amp;f</p>").text if x] == ["a b c d", "e&f"]
+    assert [x for x in htmltree.parse("<td>1<td>2").text if x] == ["1", "2"]
+
+
+def test_messages_are_exact():
+    """Marginals by messages equal those by summing over all states."""
+    r = np.random.default_rng(0)
+    tree = htmltree.parse("<div class=x><p>one</p><ul><li>two</li></ul></div><nav>three</nav>")
+    p = htmltree.Potentials(r.normal(size=htmltree.WIDTH), r.normal(size=(2, 2, 2)))
+    forest = htmltree.Forest([tree])
+    own, both = forest.pass_messages(p)
+    n, total, marginal, joint = forest.n, 0.0, np.zeros((forest.n, 2)), np.zeros((forest.n, 2, 2))
+    for code in range(1 << n):
+        s = [code >> i & 1 for i in range(n)]
+        e = sum(p.node[f] for i in range(n) for f in tree.features[i] if s[i]) + sum(p.pair[int(tree.text[i] is not None), s[tree.parent[i]], s[i]] for i in range(1, n))
+        w = math.exp(e)
+        total += w
+        for i in range(n):
+            marginal[i, s[i]] += w
+            if i:
+                joint[i, s[tree.parent[i]], s[i]] += w
+    assert np.allclose(own, marginal / total) and np.allclose(both[1:], joint[1:] / total)
+
+
+def test_html_held_out_accuracy():
+    hit = false = missed = 0
+    pages = htmltree.labelled_pages(120, seed=77)
+    for (_, good), text in zip(pages, htmltree.extract_pages([p for p, _ in pages], htmltree.fitted()), strict=True):
+        found, want = set(text.split("\n\n")) - {""}, set(good)
+        hit, false, missed = hit + len(found & want), false + len(found - want), missed + len(want - found)
+    assert hit / (hit + false) > 0.97 and hit / (hit + missed) > 0.97
+
+
+def test_html_query(spark, sf):
+    page = '<html><head><title>t</title></head><body><nav><a href="/">x</a></nav><article><h1>Head</h1><p>Some  text&nbsp;here, and more of it.</p></article><footer>&copy; me</footer></body>'
+    df = spark.createDataFrame([(1, "u", page, "z"), (2, None, None, "z"), (None, "v", "", "z"), (4, "w", "<p>" + "long word. " * 20_000, "z")], "page_id bigint, url string, html string, text string")
+    got = {r.page_id: r for r in htmltree.extract(df, keep=("url",)).collect()}
+    assert got[1].text == "Head\n\nSome text here, and more of it." and got[1].n_chars == len(got[1].text)
+    assert got[2].text == "" == got[None].text and got[4].n_chars > 100_000
+    assert htmltree.extract(df.limit(0)).count() == 0
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = queries.op3_html(spark, sf).collect()
+    assert len(rows) == len(pages) and all(r.text and r.n_chars == len(r.text) and "track(" not in r.text for r in rows)
+
+
+# --- language model ---
+
+
+def brute_model(docs, order):
+    words = lambda x: [*(x or "").encode().lower().split(), "</e>"]
+    train = [words(x) for i, x in docs if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = {k: collections.Counter() for k in range(1, order + 1)}
+    for t in train:
+        p = ["<b>"] * (order - 1) + t
+        counts[order].update(tuple(p[i : i + order]) for i in range(len(t)))
+    for k in range(order - 1, 0, -1):
+        for g, c in counts[k + 1].items():
+            counts[k][g[1:]] += c if g[1] == "<b>" else 1
+    raw = collections.Counter(w for t in train for w in t)
+    d = {k: knlm.discounts(np.array([sum(c == i for c in counts[k].values()) for i in range(1, 5)])) for k in counts}
+    sums = {k: collections.defaultdict(lambda: [0, 0, 0, 0]) for k in counts}
+    for k in counts:
+        for g, c in counts[k].items():
+            x = sums[k][g[:-1]]
+            x[0] += c
+            x[min(c, 3)] += 1
+
+    def p(k, context, w):
+        if k == 0:
+            return 1 / (len(raw) + 1)
+        low, x = p(k - 1, context[1:], w), sums[k].get(context)
+        if not x:
+            return low
+        c = counts[k].get((*context, w), 0)
+        return max(c - [0, *d[k]][min(c, 3)], 0) / x[0] + sum(a * b for a, b in zip(d[k], x[1:], strict=True)) / x[0] * low
+
+    def score(x):
+        t = words(x)
+        padded = ["<b>"] * (order - 1) + t
+        n, v = sum(raw.values()), len(raw)
+        return len(t), sum(raw[w] > 0 for w in t), sum(math.log10((raw[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), sum(math.log10(p(order, tuple(padded[j : j + order - 1]), w)) for j, w in enumerate(t))
+
+    return p, list(raw), score
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model_equals_brute_force(spark, order):
+    r = random.Random(order)
+    docs = [(i, " ".join(r.choice("a b c d e ff the The Éa éa".split()) for _ in range(r.randint(0, 40)))) for i in range(80)] + [(200, None), (201, ""), (202, "unseen zz the")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    model = knlm.train(df.where(~knlm.held_out()), order=order)
+    p, vocab, score = brute_model(docs, order)
+    got = {x.doc_id: x for x in knlm.score(df, model).collect()}
+    for i, x in docs:
+        n, known, base, logs = score(x)
+        assert (got[i].n_tokens, got[i].n_known) == (n, known)
+        assert got[i].base_score == pytest.approx(base, abs=1e-9) and got[i].score == pytest.approx(logs, abs=1e-9)
+    for context in (("<b>",) * (order - 1), (b"a",) * (order - 1), ("never",) * (order - 1)):
+        assert sum(p(order, context, w) for w in [*vocab, "unknown"]) == pytest.approx(1)
+
+
+def test_language_model_edges(spark, odd, none):
+    model = knlm.train(none)
+    assert {r.score for r in knlm.score(odd, model).collect()} == {0.0}
+    assert knlm.score(none, knlm.train(odd)).count() == 0
+    assert knlm.score(odd, knlm.train(odd)).count() == odd.count()
+    with pytest.raises(ValueError):
+        knlm.train(odd, order=1)
+
+
+def test_query_op5(spark, sf):
+    rows = queries.op5_lm(spark, sf).collect()
+    held = [r for r in rows if r.held_out]
+    assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 1) == r.held_out for r in rows)
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+# --- personal data ---
+
+KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    return sum(v - 9 * (v > 9) for i, c in enumerate(reversed(digits)) for v in [int(c) * (1 + i % 2)]) % 10 == 0
+
+
+def brute_spans(text):
+    out = []
+    for k, (kind, pattern) in enumerate(KINDS.items()):
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m.group())
+            if {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")), "card": 12 <= len(d) <= 19 and luhn(d or "1"), "phone": 9 <= len(d) <= 15}[kind]:
+                out.append((m.start(), k, m.end(), kind))
+    return ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in sorted(out))
+
+
+def test_base_spans(spark, odd):
+    r = random.Random(6)
+    parts = ["1", "2", "0", "9", "255", "256", "4111111111111111", "4111 1111 1111 1111", ".", ".", " ", "-", "@", "a", "b.c", "+", "(", ")", "é", "🙂", "_", "a@b.c"]
+    docs = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 50)))) for i in range(1500)]
+    docs += [(9000, None), (9001, ""), (9002, "9" * 30_000), (9003, "a" * 30_000), (9004, "1." * 9_000), (9005, "+1 " * 4_000), (9006, "a@" * 9_000), (9007, "1.2.3.4 " * 800)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {x.doc_id: x.b for x in pii.find(df).select("doc_id", pii.listed(F.col("base")).alias("b")).collect()}
+    assert got == {i: brute_spans(t) for i, t in docs}
+    assert pii.find(odd).count() == odd.count() and pii.find(odd.limit(0)).count() == 0
+
+
+def test_candidate_model(spark):
+    """Held-out candidates: what the trees accept is right nearly always, and most of the personal data is found."""
+    sample = pii.sample_texts(600, seed=123)
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(sample)], "doc_id bigint, text string, s int, e int")
+    found = {r.doc_id: r.spans for r in pii.find(df.select("doc_id", "text")).collect()}
+    right = wrong = missed = 0
+    for i, (_, s, e) in enumerate(sample):
+        hit = any(x.s < e and s < x.e for x in found[i]) if s >= 0 else False
+        right += hit
+        missed += s >= 0 and not hit
+        wrong += s < 0 and bool([x for x in found[i] if x.generator >= 4])
+    assert right / (right + missed) > 0.85 and wrong / max(1, right + wrong) < 0.05
+
+
+def test_redact(spark):
+    df = spark.createDataFrame([(1, "write a@b.cd and +1 (743) 555-3824."), (2, None), (3, "call 212-555-0199"), (4, "order 212-555-0199")], "doc_id bigint, text string")
+    assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()] == ["write [email] and [phone].", None, "call [phone]", "order 212-555-0199"]
+
+
+def test_query_op6(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.op6_pii(spark, sf).collect():
+        base = brute_spans(texts[r.doc_id])
+        assert set(filter(None, base.split(","))) <= set(r.spans.split(",")) and r.n_phone == base.count("phone")
+
+
+def test_op6_plan_is_native(spark, sf):
+    plan = queries.op6_pii(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# --- mixing ---
+
+
+def brute_fill(sizes, weights, total, most):
+    target, open_ = dict.fromkeys(sizes, 0.0), {s for s in sizes if weights[s] > 0}
+    capped = {}
+    while open_:
+        level = max(0.0, total - sum(capped.values())) / sum(weights[s] for s in open_)
+        over = {s for s in open_ if weights[s] * level >= most * sizes[s]}
+        if not over:
+            return target | capped | {s: weights[s] * level for s in open_}
+        capped |= {s: most * sizes[s] for s in over}
+        open_ -= over
+    return target | capped
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_water_fill(spark, seed):
+    r = random.Random(seed)
+    sizes = {f"0s{i}": r.choice([0, 1, 5, 100, 1000]) for i in range(r.randint(1, 9))}
+    weights = {s: r.choice([0.0, 1.0, 2.0, 3.0]) for s in sizes}
+    total = r.choice([0.3, 1.5, 5.0]) * sum(sizes.values())
+    df = spark.createDataFrame([(s, sizes[s], weights[s]) for s in sizes], "source_key string, source_size bigint, weight double")
+    got = {x.source_key: x.target for x in mixing.water_fill(df, total, 2.0).collect()}
+    assert got == pytest.approx(brute_fill(sizes, weights, total, 2.0))
+
+
+def test_mix(spark, odd, unique, none):
+    plan = mixing.mix_plan(odd).collect()
+    assert len(plan) == odd.count() and all(r.taken == r.size * r.repeats <= 2 * r.size for r in plan)
+    for key in {r.source_key for r in plan}:
+        own = [r for r in plan if r.source_key == key]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own) / 2 + 1
+        assert own[0].source_size == sum(r.size for r in own)
+    assert sorted(map(str, plan)) == sorted(map(str, mixing.mix_plan(odd).collect()))
+    assert mixing.mix_plan(none).count() == 0
+    taken = {r.doc_id: r.repeats for r in mixing.mix_plan(unique).collect()}
+    rows = mixing.mix(unique)
+    assert rows.columns == unique.columns
+    assert collections.Counter(r.doc_id for r in rows.collect()) == {k: v for k, v in taken.items() if v}
+
+
+# --- classifier ---
+
+
+def test_ordinal_fit_recovers_grades():
+    r = random.Random(1)
+    def text(g):
+        return (" ".join(r.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(30)) + {0: " bad awful", 1: " meh", 2: " fine"}[g]).encode()
+
+    grades = np.array([r.choice([0, 1, 2]) for _ in range(600)])
+    rows = [ordinal.features(text(g)) for g in grades]
+    model = ordinal.fit(rows[:400], grades[:400])
+    assert model.thresholds[0] < model.thresholds[1]
+    tails = np.array([ordinal._sigmoid(model.weights[x].sum() - model.thresholds) for x in rows[400:]])
+    assert (((tails >= 0.5).sum(axis=1)) == grades[400:]).mean() > 0.95
+    assert (ordinal.fit([], np.zeros(0, np.int64)).weights == 0).all()
+
+
+def test_quality_held_out(spark):
+    """Fitted without a fifth of the labelled rows, it rejects their toxic documents and keeps their good ones."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), queries.graded(spark.read.parquet(f"{sf}/labels.parquet"))
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = ordinal.train(docs, labels.where(~out))
+    rows = ordinal.score(docs.join(labels.where(out), "doc_id", "left_semi"), model).join(labels, "doc_id").collect()
+    kept = lambda g: np.mean([r.tails[1] >= 0.5 for r in rows if r.grade == g])
+    assert kept(0) < 0.02 and kept(1) < 0.1 and kept(2) > 0.99
+
+
+def test_ordinal_edges(spark, odd, none):
+    labels = spark.createDataFrame([(1, 2), (5, 0), (8, None), (None, 1), (9, 7), (777, 1)], "doc_id bigint, grade int")
+    model = ordinal.train(odd, labels)
+    rows = ordinal.score(odd, model).collect()
+    assert len(rows) == odd.count() and all(len(r.tails) == 2 and r.tails[0] >= r.tails[1] for r in rows)
+    assert ordinal.score(none, model).count() == 0 and ordinal.select(none, model).count() == 0
+    empty = ordinal.train(odd, labels.limit(0))
+    assert {round(r.expected_grade, 6) for r in ordinal.score(odd, empty).collect()} == {1.0}
+    assert ordinal.select(odd, empty).columns == odd.columns
+
+
+# --- tokens ---
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    public = pytest.importorskip("public_tokenizers")
+    return public.path("word_bpe_49k.json")
+
+
+def test_word_cache_equals_library(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokenstore, "CACHE_WORDS", 500)
+    coder, r = tokenstore.WordTokenizer(tokenizer), random.Random(0)
+    alphabet = "abcÀéßΣσ İ́̀'!!<|>endoftext|\x1c\x85\xa0 \t\n\x0b 12३漢字🙂.,-क़ŉ"
+    for _ in range(1500):
+        s = "".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) + r.choice(["", "it's <|endoftext|> a!", "<|ENDOFTEXT|>", " İstanbul É", "THE,% Don't the&&& ###"])
+        assert np.frombuffer(coder.encode(s.encode()), coder.dtype).tolist() == coder.tokenizer.encode(s, add_special_tokens=False).ids, repr(s)
+    assert coder.encode(None) == b""
+
+
+@pytest.mark.parametrize("seq_len", [8, 2048])
+def test_token_files_round_trip(spark, odd, none, tmp_path, tokenizer, seq_len):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer)
+    folder = f"file://{tmp_path}/t"
+    shards = [(r.shard, r.tokens) for r in tokenstore.write_tokens(odd, folder, tokenizer, seq_len=seq_len).collect()]
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in tokenstore.read_tokens(spark, folder, shards).collect()), key=lambda x: x[2])
+    want, at = [], 0
+    for r in sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "")):
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 2]
+        want.append((r.doc_id is not None, r.doc_id or 0, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got == want
+    shard = tokenstore.Shard(folder, sorted(shards)[0][0])
+    assert all(len(shard.sequence(i)) == seq_len for i in range(len(shard))) and sum(sum(shard.mask(i).to_pylist()) for i in range(len(shard))) == sorted(shards)[0][1]
+    assert tokenstore.write_tokens(none, f"{folder}0", tokenizer).count() == 0
+    assert tokenstore.read_tokens(spark, f"{folder}0", []).count() == 0
+
+
+# --- pipeline ---
+
+
+def test_pipeline_stages(spark, sf):
+    import corpus_pipeline
+    from corpuskiln.llm import decontam, simhash
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = corpus_pipeline.quality(spark, docs, sf).cache()
+    toxic = spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1")
+    assert good.columns == docs.columns and 0 < good.count() < docs.count()
+    assert good.join(toxic, "doc_id", "left_semi").count() < toxic.count() / 3
+    single = corpus_pipeline.near_duplicates(spark, good, sf).cache()
+    assert simhash.near_duplicates(good).select("component_id").distinct().count() == single.count()
+    clean = corpus_pipeline.decontaminated(spark, single, sf).cache()
+    found = decontam.contamination(single, spark.read.parquet(f"{sf}/benchmark.parquet"))
+    assert clean.count() == found.where(~decontam.is_contaminated(F.col("n_hit"), F.col("n_words"))).count()
+    mixed = corpus_pipeline.mixed(spark, clean, sf)
+    assert mixed.columns == docs.columns and mixed.count() == mixing.mix_plan(clean).agg(F.sum("repeats")).first()[0]
+    out = corpus_pipeline.run(spark, sf)
+    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontaminated", "mixed", "tokens"]
