@@ -126,16 +126,21 @@ def check_unique(corpus: DataFrame) -> DataFrame:
     return corpus.withColumn("_n", n).where(clash.isNull()).drop("_n")
 
 
-def number_rows(df: DataFrame, key: Column, *ties: str, name: str = "pos", slices: int = 256) -> DataFrame:
+def quantile_cuts(df: DataFrame, key: Column, slices: int = 256) -> list[float]:
+    """Values of key that cut the rows of df into about equal slices."""
+    some = df.select(key.cast("double").alias("_key")).where("_key is not null")
+    return sorted(set(some.approxQuantile("_key", [i / slices for i in range(1, slices)], 0.25 / slices)))
+
+
+def number_rows(df: DataFrame, key: Column, *ties: str, name: str = "pos", slices: int = 256, cuts: list[float] | None = None) -> DataFrame:
     """Adds name: 0, 1, 2, ... in the order of key (numeric), then ties.
 
-    Rows are cut into slices of about equal size at quantiles of key; each slice is numbered by itself and moved by
-    the sizes of those before it, so no task sees more than a slice. The cuts are fixed before the plan is built, so
-    that recomputed tasks number alike. Null keys come first.
+    Rows are cut into slices of about equal size at quantiles of key (or at given cuts); each slice is numbered by
+    itself and moved by the sizes of those before it, so no task sees more than a slice. The cuts are fixed before the
+    plan is built, so that recomputed tasks number alike. Null keys come first.
     """
     keyed = df.withColumn("_key", key.cast("double"))
-    some = keyed.where("_key is not null")
-    cuts = sorted(set(some.approxQuantile("_key", [i / slices for i in range(1, slices)], 0.25 / slices)))
+    cuts = quantile_cuts(df, key, slices) if cuts is None else cuts
     keyed = keyed.withColumn("_slice", F.when(F.col("_key").isNull(), -1).otherwise(_slice_of(F.col("_key"), cuts, 0)))
     sizes = keyed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row a slice

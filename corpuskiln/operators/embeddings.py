@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workers import map_arrow
+
 
 def norm(vector: Column) -> Column:
     """Euclidean length."""
@@ -97,7 +99,7 @@ def nearest(queries: DataFrame, embeddings: DataFrame, k: int = 10, *, digits: i
                 q, s, x = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(x), pa.array(s)], ["query", "neighbour", "similarity"])
 
-        parts.append(rows.mapInArrow(run, f"query {kind}, neighbour {kind}, similarity double"))
+        parts.append(map_arrow(rows, run, f"query {kind}, neighbour {kind}, similarity double"))
     every = reduce(DataFrame.unionByName, parts)
     order = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "neighbour")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "neighbour", "similarity")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import ship
+
 
 class StopProcessing(Exception):
     """Raised by a function to fail the whole map; any other exception makes its document invalid."""
@@ -91,6 +93,7 @@ def map_documents(corpus: DataFrame, plan: MapPlan) -> DataFrame:
         finally:
             plan.tear_down(state)
 
+    ship(corpus.sparkSession)
     return corpus.mapInPandas(run, schema)
 
 

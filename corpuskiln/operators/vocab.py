@@ -5,13 +5,23 @@ A vocabulary is a DataFrame (id int, token string, df bigint).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vocabularies up to this many entries become one literal map that is looked up in place; larger ones are joined.
-MAP_LIMIT = 20_000
+from ..model import number_rows, quantile_cuts
+from ..workers import map_arrow
+
+#: Vocabularies up to this many entries go to the workers as one table that is looked up in place; larger ones are
+#: joined.
+TABLE_LIMIT = 1_000_000
+#: Up to this many rows may be put in order by one task.
+ONE_TASK = 1_000_000
 
 
 @dataclass
@@ -52,8 +62,11 @@ def build(
     kept = judged.where((F.col("df") >= threshold) & (F.col("df") <= F.col("_most"))).select("token", "df", "first")
     if limit is not None:
         kept = kept.orderBy(F.col("df").desc(), "first").limit(limit)
-    # the windows below are over the vocabulary, not over the corpus
-    out = kept.select((F.row_number().over(Window.orderBy("first")) - 1).alias("id"), "token", "df")
+    if limit is not None and limit <= ONE_TASK:
+        out = kept.select((F.row_number().over(Window.orderBy("first")) - 1).alias("id"), "token", "df")
+    else:
+        cuts = quantile_cuts(corpus, F.col("doc_ord"))
+        out = number_rows(kept, F.col("first")["doc_ord"], "first", name="id", cuts=cuts).select("id", "token", "df")
     stop = given.unionByName(frequent).distinct()
     if include:
         spark = corpus.sparkSession
@@ -91,41 +104,74 @@ def count(ids: DataFrame, words: DataFrame, *, oov_excluded: bool = False, colum
     return every.join(seen, "id", "left").select("id", F.coalesce("freq", F.lit(0)).alias("freq"))
 
 
-def _lookup(corpus: DataFrame, table: DataFrame, key: str, value: str, column: str, out: str, missing: Column | None, drop_empty: bool, fail: str | None) -> DataFrame:
+def _lookup(corpus: DataFrame, table: DataFrame, key: str, value: str, column: str, out: str, missing: object, drop_empty: bool, fail: str | None) -> DataFrame:
     """Replaces each element of nested arrays by table's value for it. missing None drops the elements without one;
     fail makes documents with such an element invalid."""
-    n = table.limit(MAP_LIMIT + 1).count()
     kind = table.schema[value].dataType.simpleString()
-    if n <= MAP_LIMIT:
-        pairs = table.agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("_map"))
-        rows = corpus.crossJoin(F.broadcast(pairs))  # one row of at most MAP_LIMIT entries
-        got = F.transform(column, lambda s: F.transform(s, lambda w: F.col("_map")[w]))
-        rows = rows.withColumn("_got", got).drop("_map")
+    small = table.select(key, value).limit(TABLE_LIMIT + 1).toArrow()
+    if small.num_rows <= TABLE_LIMIT:
+        rows = _lookup_in_place(corpus, small, column, kind, missing if fail is None else None, fail is None and missing is None, drop_empty)
     else:
-        flat = corpus.where("error is null").select("archive", "doc_name", "doc_ord", F.posexplode(column).alias("_s", "_x"))
-        empty = flat.where(F.size("_x") == 0).select("archive", "doc_name", "doc_ord", "_s", F.lit(None).cast("int").alias("_w"), F.lit(None).cast(kind).alias("_v"))
-        flat = flat.select("archive", "doc_name", "doc_ord", "_s", F.posexplode("_x").alias("_w", "_k"))
-        found = flat.join(table.select(F.col(key).alias("_k"), F.col(value).alias("_v")), "_k", "left").select("archive", "doc_name", "doc_ord", "_s", "_w", "_v").unionByName(empty)
-        by_doc = found.groupBy("archive", "doc_name", "doc_ord").agg(F.array_sort(F.collect_list(F.struct("_s", "_w", "_v"))).alias("_cells"))
-        count_s = F.coalesce(F.element_at("_cells", -1)["_s"] + 1, F.lit(0))
-        got = F.transform(F.sequence(F.lit(0), count_s - 1), lambda i: F.transform(F.filter("_cells", lambda c: (c["_s"] == i) & c["_w"].isNotNull()), lambda c: c["_v"]))
-        by_doc = by_doc.select("archive", "doc_name", "doc_ord", got.alias("_got"))
-        rows = corpus.join(by_doc, ["archive", "doc_name", "doc_ord"], "left")
-        rows = rows.withColumn("_got", F.coalesce("_got", F.when(F.col("error").isNull(), F.array().cast(f"array<array<{kind}>>"))))
+        rows = _lookup_by_join(corpus, table, key, value, column, kind)
+        if fail is None and missing is None:
+            rows = rows.withColumn("_got", F.transform("_got", lambda s: F.filter(s, lambda w: w.isNotNull())))
+        elif fail is None:
+            rows = rows.withColumn("_got", F.transform("_got", lambda s: F.transform(s, lambda w: F.coalesce(w, F.lit(missing).cast(kind)))))
+        if drop_empty:
+            rows = rows.withColumn("_got", F.filter("_got", lambda s: F.size(s) > 0))
     if fail is not None:
         lost = F.exists("_got", lambda s: F.exists(s, lambda w: w.isNull()))
         bad = F.struct(F.lit(fail).alias("module_name"), F.lit("id outside the vocabulary").alias("error_info"))
         rows = rows.withColumn("error", F.when(F.col("error").isNull() & lost, bad).otherwise(F.col("error"))).withColumn("_got", F.when(F.col("error").isNull(), F.col("_got")))
-    elif missing is None:
-        rows = rows.withColumn("_got", F.transform("_got", lambda s: F.filter(s, lambda w: w.isNotNull())))
-    else:
-        rows = rows.withColumn("_got", F.transform("_got", lambda s: F.transform(s, lambda w: F.coalesce(w, missing))))
-    if drop_empty:
-        rows = rows.withColumn("_got", F.filter("_got", lambda s: F.size(s) > 0))
     others = [c for c in corpus.columns if c != column]
     return rows.select(*[c for c in others if c != "error"], F.col("_got").alias(out), "error")
 
 
+def _lookup_in_place(corpus: DataFrame, pairs: pa.Table, column: str, kind: str, missing: object, drop: bool, drop_empty: bool) -> DataFrame:
+    """The corpus with _got: each batch's flat values are looked up at once in a hashed table, and nested again."""
+    keys, values = (pairs.column(i).combine_chunks() for i in (0, 1))
+    shared = corpus.sparkSession.sparkContext.broadcast((keys, values))
+    at = corpus.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = shared.value
+        for batch in batches:
+            docs = batch.column(at)
+            sentences = docs.values
+            got = values.take(pc.index_in(sentences.values.cast(keys.type), value_set=keys))
+            outer = docs.offsets.to_numpy()
+            inner = sentences.offsets.to_numpy() if len(sentences) else np.zeros(1, np.int32)  # no offsets may be written for none
+            if drop:
+                keep = got.is_valid().to_numpy(zero_copy_only=False)
+                got, inner = got.filter(pa.array(keep)), np.concatenate(([0], np.cumsum(keep)))[inner]
+            elif missing is not None:
+                got = got.fill_null(pa.scalar(missing, values.type))
+            if drop_empty:
+                full = np.diff(inner) > 0
+                outer, inner = np.concatenate(([0], np.cumsum(full)))[outer], np.concatenate((inner[:1], inner[1:][full]))
+            nested = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), got)
+            whole = pa.ListArray.from_arrays(pa.array(outer, pa.int32()), nested, mask=docs.is_null())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != at), whole], [*(c for i, c in enumerate(batch.schema.names) if i != at), "_got"])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in corpus.schema if f.name != column]
+    return map_arrow(corpus, run, ", ".join([*fields, f"_got array<array<{kind}>>"]))
+
+
+def _lookup_by_join(corpus: DataFrame, table: DataFrame, key: str, value: str, column: str, kind: str) -> DataFrame:
+    """The corpus with _got, for vocabularies too large to send around: elements are joined and nested again."""
+    flat = corpus.where("error is null").select("archive", "doc_name", "doc_ord", F.posexplode(column).alias("_s", "_x"))
+    empty = flat.where(F.size("_x") == 0).select("archive", "doc_name", "doc_ord", "_s", F.lit(None).cast("int").alias("_w"), F.lit(None).cast(kind).alias("_v"))
+    flat = flat.select("archive", "doc_name", "doc_ord", "_s", F.posexplode("_x").alias("_w", "_k"))
+    found = flat.join(table.select(F.col(key).alias("_k"), F.col(value).alias("_v")), "_k", "left").select("archive", "doc_name", "doc_ord", "_s", "_w", "_v").unionByName(empty)
+    by_doc = found.groupBy("archive", "doc_name", "doc_ord").agg(F.array_sort(F.collect_list(F.struct("_s", "_w", "_v"))).alias("_cells"))
+    count_s = F.coalesce(F.element_at("_cells", -1)["_s"] + 1, F.lit(0))
+    got = F.transform(F.sequence(F.lit(0), count_s - 1), lambda i: F.transform(F.filter("_cells", lambda c: (c["_s"] == i) & c["_w"].isNotNull()), lambda c: c["_v"]))
+    by_doc = by_doc.select("archive", "doc_name", "doc_ord", got.alias("_got"))
+    rows = corpus.join(by_doc, ["archive", "doc_name", "doc_ord"], "left")
+    rows = rows.withColumn("_got", F.coalesce("_got", F.when(F.col("error").isNull(), F.array().cast(f"array<array<{kind}>>"))))
+    return rows
+
+
 def map_tokens(corpus: DataFrame, words: DataFrame, oov: str | None = None, *, column: str = "sentences") -> DataFrame:
     """Tokens to ids. Unknown tokens get the id after the last; oov='skip' drops them and then empty sentences; any
     other oov is a token of the vocabulary that stands for them."""
@@ -139,7 +185,7 @@ def map_tokens(corpus: DataFrame, words: DataFrame, oov: str | None = None, *, c
         if row is None:
             raise ValueError(f"the vocabulary has no token {oov}")
         unknown = row[0]
-    return _lookup(corpus, table, "token", "id", column, "lists", F.lit(unknown).cast("bigint"), False, None)
+    return _lookup(corpus, table, "token", "id", column, "lists", unknown, False, None)
 
 
 def unmap_ids(corpus: DataFrame, words: DataFrame, oov: str | None = None, *, column: str = "lists") -> DataFrame:
@@ -148,7 +194,7 @@ def unmap_ids(corpus: DataFrame, words: DataFrame, oov: str | None = None, *, co
     table = words.select(F.col("id").cast("bigint").alias("id"), "token")
     if oov is None:
         return _lookup(corpus, table, "id", "token", column, "sentences", None, False, "vocab_unmapper")
-    return _lookup(corpus, table, "id", "token", column, "sentences", None if oov == "skip" else F.lit(oov), oov == "skip", None)
+    return _lookup(corpus, table, "id", "token", column, "sentences", None if oov == "skip" else oov, oov == "skip", None)
 
 
 def bag_of_words(ids: DataFrame, ignore_ids: list[int] | None = None, *, column: str = "lists") -> DataFrame:

@@ -110,9 +110,9 @@ def test_vocabulary_rules(spark):
     assert words(vocab.build(tokens(spark, []))) == []
 
 
-@pytest.mark.parametrize("limit", [20_000, 0])
+@pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_vocabulary_mapping(spark, monkeypatch, limit):
-    monkeypatch.setattr(vocab, "MAP_LIMIT", limit)
+    monkeypatch.setattr(vocab, "TABLE_LIMIT", limit)
     c = tokens(spark, [[["b", "x", "a"], [], ["x"]], None, [], [[]]])
     words = spark.createDataFrame([(0, "b", 1), (1, "a", 1)], "id int, token string, df bigint")
     ids = lambda df: [r.lists for r in df.orderBy("doc_ord").collect()]
