@@ -19,8 +19,9 @@ from ._common import binary_list, map_batches
 FEATURE_BITS = 20
 #: At most this many labelled rows are fitted: those with the smallest seeded hash of their id.
 SAMPLE_ROWS = 12_000
-#: A feature enters the fit if its correlation with the grade is this many standard errors from zero.
-LEAST_Z = 5.0
+#: A feature enters the fit if its correlation with the grade is this many standard errors from zero; of few labelled
+#: rows, which reach that seldom, the FEW strongest features enter if they reach half of it.
+LEAST_Z, FEW = 5.0, 200
 _PUNCT = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
@@ -68,7 +69,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, *, top: int = 2, least_z: fl
     has = np.bincount(at, minlength=1 << FEATURE_BITS)
     score = np.bincount(at, weights=centred[doc], minlength=1 << FEATURE_BITS)
     spread = np.sqrt(np.maximum(has * (1 - has / n), 1e-12)) * (grades.std() + 1e-12)
-    chosen = np.flatnonzero((has >= min(5, n)) & (np.abs(score) / spread >= least_z))
+    z = np.where(has >= min(3, n), np.abs(score) / spread, 0.0)
+    chosen = np.flatnonzero((z >= least_z) | ((z >= least_z / 2) & (z >= np.sort(z)[-FEW])))
     column = np.full(1 << FEATURE_BITS, -1)
     column[chosen] = np.arange(len(chosen))
     ok = column[at] >= 0
@@ -113,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS,
     outside 0 to top are left out. Without labelled rows all weights and thresholds are 0.
     """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("_id").cast("string")).cast("binary"))
-    few = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{grade_col}`").cast("int").alias("_grade")).where("_id is not null and _grade is not null").orderBy(order, "_id", "_grade").limit(sample_rows)
+    few = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{grade_col}`").cast("int").alias("_grade")).where(F.col("_id").isNotNull() & F.col("_grade").between(0, top)).orderBy(order, "_id", "_grade").limit(sample_rows)
     texts = docs.select(F.col(f"`{id_col}`").alias("_doc"), F.col(f"`{text_col}`").alias("text"))
     # sample_rows rows of two numbers: a proven bound for the broadcast
     rows = texts.join(F.broadcast(few), texts["_doc"] == few["_id"]).select("_id", "_grade", "text")
