@@ -114,7 +114,8 @@ class _Writer:
         self.held.append(ids)
         self.n += len(ids) // self.dtype.itemsize
         if self.n >= self.seq_len * BATCH_ROWS:
-            self._flush(self.n // self.seq_len * self.seq_len)
+            # whole batches only: readers find a sequence's batch by division
+            self._flush(self.n - self.n % (self.seq_len * BATCH_ROWS))
 
     def _flush(self, n: int) -> None:
         ids = np.frombuffer(b"".join(self.held), self.dtype)
