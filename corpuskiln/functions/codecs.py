@@ -55,6 +55,32 @@ def decode_annotations(raw: Column, fields: list[str]) -> Column:
     return F.when(raw == "", F.slice(F.transform(F.array(raw), lambda x: F.array(word(x))), 1, 0)).otherwise(F.transform(sentences, lambda s: F.transform(F.filter(F.split(s, "\n"), lambda x: x != ""), word)))
 
 
+#: Columns of the tab-separated form of dependency parses.
+CONLL_FIELDS = ["id", "word", "lemma", "cpos", "pos", "feats", "head", "deprel", "phead", "pdeprel"]
+
+
+def encode_conll(sentences: Column, fields: list[str]) -> Column:
+    """A word a line, an empty line after each sentence; fields that the words lack are _."""
+
+    def word(w: Column, i: Column) -> Column:
+        cells = [(i + 1).cast("string") if f == "id" else F.coalesce(w[f], F.lit("_")) if f in fields else F.lit("_") for f in CONLL_FIELDS]
+        return F.concat_ws("\t", *cells)
+
+    return F.array_join(F.transform(sentences, lambda s: F.concat(F.array_join(F.transform(s, word), "\n"), F.lit("\n"))), "\n")
+
+
+def decode_conll(raw: Column, fields: list[str]) -> Column:
+    """Sentences of words with the wanted fields; _ is null."""
+    at = [CONLL_FIELDS.index(f) for f in fields]
+
+    def word(line: Column) -> Column:
+        cells = F.split(line, "\t", -1)
+        return F.struct(*[F.nullif(F.get(cells, i), F.lit("_")).alias(f) for i, f in zip(at, fields, strict=True)])
+
+    parts = F.filter(F.split(raw, "\n\\s*\n"), lambda s: F.trim(s) != "")
+    return F.transform(parts, lambda s: F.transform(F.filter(F.split(s, "\n"), lambda x: F.trim(x) != ""), word))
+
+
 def encode_trees(trees: Column) -> Column:
     return F.array_join(trees, "\n\n")
 

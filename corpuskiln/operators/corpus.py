@@ -137,3 +137,11 @@ def align(corpora: list[DataFrame], prefixes: list[str] | None = None, *, strict
 def append_checked(old: DataFrame, new: DataFrame) -> DataFrame:
     """Both corpora's documents; fails when read if a name occurs twice in an archive."""
     return check_unique(old.unionByName(new))
+
+
+def after(corpus: DataFrame, archive: str, doc_name: str) -> DataFrame:
+    """The documents after a named one, to take up a stopped run. Raises ValueError if there is none of that name."""
+    row = corpus.where((F.col("archive") == archive) & (F.col("doc_name") == doc_name)).select("doc_ord").first()
+    if row is None:
+        raise ValueError(f"no document {archive}/{doc_name}")
+    return corpus.where(F.col("doc_ord") > row[0])

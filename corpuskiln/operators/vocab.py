@@ -211,3 +211,10 @@ def tfidf(bow: DataFrame, n_docs: int, key: str = "id") -> DataFrame:
     raw = bow.join(df, key).withColumn("_w", F.col("freq") * F.log2(F.lit(float(n_docs)) / F.col("_df")))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("doc_ord")))
     return raw.select("doc_ord", key, F.when(norm > 0, F.col("_w") / norm).otherwise(F.lit(0.0)).alias("w"))
+
+
+def doc2bow(corpus: DataFrame, words: DataFrame, column: str = "sentences") -> tuple[DataFrame, DataFrame]:
+    """Bags of a tokenised corpus: (doc_ord, id, freq) of known words and (doc_ord, token, freq) of the others."""
+    counts = token_rows(corpus, column).groupBy("doc_ord", "token").agg(F.count(F.lit(1)).alias("freq"))
+    both = counts.join(words.select("token", F.col("id").cast("bigint").alias("id")), "token", "left")
+    return both.where("id is not null").select("doc_ord", "id", "freq"), both.where("id is null").select("doc_ord", "token", "freq")

@@ -145,6 +145,7 @@ _reader("input.text.raw_text_files", lambda s, i, o: {"corpus": readers.text_fil
 _reader("input.text.raw_text_archives", lambda s, i, o: {"corpus": readers.text_archives(s, o["files"], encoding=o.get("encoding", "utf8"), encoding_errors=o.get("encoding_errors", "strict"))}, files=to_list, encoding=str, encoding_errors=str)
 _reader("input.text.europarl", lambda s, i, o: {"corpus": readers.europarl(readers.text_files(s, o["files"], exclude=o.get("exclude"), encoding=o.get("encoding", "utf8")))}, files=to_list, exclude=to_list, encoding=str, encoding_errors=str)
 _reader("input.xml", lambda s, i, o: {"corpus": readers.xml_files(s, o["files"], exclude=o.get("exclude"), node=o.get("document_node_type", "doc"), name_attr=o.get("document_name_attr", "filename"), attrs=dict(x.split("=", 1) for x in o.get("filter_on_doc_attr", [])))}, files=to_list, exclude=to_list, encoding=str, document_node_type=str, document_name_attr=str, filter_on_doc_attr=to_list)
+_reader("input.document_archives", lambda s, i, o: {"corpus": readers.document_archives(s, o["files"], o.get("payload", "text"))}, files=to_list, payload=str)
 _add("input.table", lambda s, i, o: {"corpus": model.from_table(s.read.parquet(o["path"]), order=o["order"], payload={"text": F.col(o.get("text", "text"))}, archive=o.get("archive"), name=o.get("name"))}, inputs=(), options={"path": str, "order": str, "text": str, "archive": str, "name": str}, required=("path", "order"))
 _add("input.stored", lambda s, i, o: {"corpus": readers.load(s, o["dir"])}, inputs=(), options={"dir": str}, required=("dir",))
 _add("input.embeddings.word2vec", lambda s, i, o: {"embeddings": readers.word2vec(s, o["path"], binary=o.get("binary", True), limit=o.get("limit"))}, inputs=(), outputs=("embeddings",), options={"path": str, "binary": to_bool, "limit": to_int}, required=("path",))
@@ -167,6 +168,15 @@ _add("embeddings.store_word2vec", _sink(lambda e, o: sinks.store_word2vec(e, o["
 _add("embeddings.store_embeddings", lambda s, i, o: {"embeddings": i["embeddings"][0]}, inputs=("embeddings",), outputs=("embeddings",))
 _add("embeddings.normalize", lambda s, i, o: {"embeddings": emb.l2_normalize(i["embeddings"][0]) if o.get("l2_norm", True) else i["embeddings"][0]}, inputs=("embeddings",), outputs=("embeddings",), options={"l2_norm": to_bool})
 _add("embeddings.word2vec", lambda s, i, o: {"model": models.train_word2vec(i["text"][0], size=o.get("size", 200), min_count=o.get("min_count", 5), iterations=o.get("iters", 5))}, inputs=("text",), outputs=("model",), options={"size": to_int, "min_count": to_int, "iters": to_int, "negative_samples": to_int}, needs={"text": "sentences"})
+def _glove(spark, inputs, o):
+    words = vocab.build(inputs["text"][0], threshold=o.get("min_count", 0), limit=o.get("max_vocab") or None).words
+    known = vocab.map_tokens(inputs["text"][0], words, "skip").select(F.flatten("lists").alias("tokens"))
+    pairs = features.cooccurrence(known, o.get("window_size", 15), symmetric=o.get("symmetric", True), distance_weighting=o.get("distance_weighting", True))
+    found = models.train_glove(pairs, size=o.get("vector_size", 50), iterations=o.get("iter", 25), seed=o.get("seed", 1))
+    return {"glove": found.join(words, found["idx"] == words["id"]).select("idx", F.col("token").alias("word"), F.col("df").alias("count"), "vector")}
+
+
+_add("embeddings.glove", _glove, inputs=("text",), outputs=("glove",), options={"max_vocab": to_int, "min_count": to_int, "symmetric": to_bool, "window_size": to_int, "distance_weighting": to_bool, "vector_size": to_int, "iter": to_int, "seed": to_int}, needs={"text": "sentences"})
 _add("embeddings.mapper", lambda s, i, o: {"vectors": emb.doc_vectors(i["corpus"][0], i["embeddings"][0])}, inputs=("corpus", "embeddings"), outputs=("vectors",), needs={"corpus": "sentences"})
 
 

@@ -8,6 +8,7 @@ import json
 import re
 import shutil
 import sys
+import tarfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -169,13 +170,31 @@ class Pipeline:
         return gone
 
 
+    def dump(self, name: str, archive: str) -> None:
+        """A stored module's outputs as a tar file, to take to another place."""
+        if self.status(name) != "COMPLETE":
+            raise config.PipelineError(f"{name} is not stored")
+        with tarfile.open(archive, "w:gz") as out:
+            out.add(Path(self.store, self._folder(name)), self._folder(name))
+
+    def load_dump(self, name: str, archive: str) -> None:
+        """Puts dumped outputs of a module in place of its stored ones."""
+        self.reset(name)
+        with tarfile.open(archive) as given:
+            folder = self._folder(name)
+            if any(m.name.split("/")[0] != folder for m in given):
+                raise config.PipelineError(f"{archive} holds no dump of {name}")
+            given.extractall(self.store, filter="data")
+
+
 def main(argv: list[str] | None = None) -> int:
-    """Command line: FILE [--variant V] status | run [MODULE ...] | reset MODULE | variants | explain OUTPUT | show OUTPUT"""
+    """Command line: FILE [--variant V] status | run [MODULE ...] | reset MODULE | variants | explain OUTPUT |
+    show OUTPUT | dump MODULE TAR | load MODULE TAR"""
     p = argparse.ArgumentParser(description=main.__doc__)
     p.add_argument("file")
     p.add_argument("--variant", default="main")
     p.add_argument("--store")
-    p.add_argument("command", choices=["status", "run", "reset", "variants", "explain", "show"])
+    p.add_argument("command", choices=["status", "run", "reset", "variants", "explain", "show", "dump", "load"])
     p.add_argument("names", nargs="*")
     a = p.parse_args(argv)
     pipeline = Pipeline.load(a.file, a.variant, a.store)
@@ -184,6 +203,10 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "status":
         for n in pipeline.modules:
             print(f"{n}: {pipeline.status(n)}")
+    elif a.command == "dump":
+        pipeline.dump(*a.names)
+    elif a.command == "load":
+        pipeline.load_dump(*a.names)
     elif a.command == "reset":
         for n in a.names:
             print(*pipeline.reset(n), sep="\n")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import model
-from ..functions import codecs, text
+from ..functions import codecs, strings, text
 from ..operators import corpus as ops
 from ..operators import embeddings as emb
 from ..operators import features, mapping, models, stats, vocab
@@ -130,6 +130,22 @@ def segmented_round_trip(spark, sf_dir):
     return _doc_id(documents(spark, sf_dir), n_tokens=F.size(F.flatten(back)).cast("long"), raw=raw)
 
 
+@query
+def conll_round_trip(spark, sf_dir):
+    """Words with their first letter as a tag, written in the tab-separated form of parses and read back."""
+    s = F.transform(text.simple_tokenize(F.col("text")), lambda x: F.transform(x, lambda w: F.struct(w.alias("word"), F.substring(w, 1, 1).alias("pos"))))
+    back = codecs.decode_conll(codecs.encode_conll(s, ["word", "pos"]), ["word", "pos"])
+    flat = F.flatten(back)
+    return _doc_id(documents(spark, sf_dir), n_words=F.size(flat).cast("long"), words=F.array_join(F.transform(flat, lambda w: F.concat_ws("/", w["word"], w["pos"])), " "))
+
+
+@query
+def line_similarity(spark, sf_dir):
+    """Ratio of matching blocks between the first and the last 60 characters."""
+    t = F.col("text")
+    return _doc_id(documents(spark, sf_dir), ratio=F.round(strings.similarity(F.substring(t, 1, 60), F.right(t, F.lit(60))), 6))
+
+
 @query
 def name_filter(spark, sf_dir):
     """Documents of some archives by name, a filter that reaches the scan."""
@@ -232,6 +248,14 @@ def tfidf(spark, sf_dir):
     return vocab.tfidf(bow, corpus.count()).select(F.col("doc_ord").alias("doc_id"), "id", F.round("w", 6).alias("w"))
 
 
+@query
+def doc2bow_missing(spark, sf_dir):
+    """What a vocabulary lacks of each document."""
+    corpus = tokenized(spark, sf_dir)
+    missing = vocab.doc2bow(corpus, _words(corpus))[1]
+    return missing.groupBy(F.col("doc_ord").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_types"), F.sum("freq").alias("n_tokens"))
+
+
 @query
 def frequent_tokens(spark, sf_dir):
     """The 100 most frequent words of the vocabulary."""
@@ -294,6 +318,12 @@ def shuffle_corpus(spark, sf_dir):
     return ops.group(mixed, 100, "shuffled").select("pos", "archive", "doc_name")
 
 
+@query
+def resume_after(spark, sf_dir):
+    """The documents that a run stopped after document 120 of archive src0 has left."""
+    return _doc_id(ops.after(documents(spark, sf_dir), "src0", "120"))
+
+
 @query
 def list_filter_in(spark, sf_dir):
     names = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("value"))
@@ -496,6 +526,14 @@ def word2vec(spark, sf_dir):
     return models.train_word2vec(tokenized(spark, sf_dir), size=8, min_count=10, iterations=1).select("idx", "word", "count")
 
 
+@query
+def glove_vectors(spark, sf_dir):
+    corpus = tokenized(spark, sf_dir)
+    words = vocab.build(corpus, threshold=10, limit=200).words
+    known = vocab.map_tokens(corpus, words, "skip").select(F.flatten("lists").alias("tokens"))
+    return models.train_glove(features.cooccurrence(known, 5), size=8, iterations=3).select("idx", F.size("vector").alias("n"))
+
+
 @query
 def log_reg(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")

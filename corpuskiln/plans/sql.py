@@ -101,6 +101,9 @@ SELECT i.id, coalesce(freq, 0) AS freq FROM i LEFT JOIN c USING (id)""",
 r AS (SELECT doc_id, id, freq * log2((SELECT count(*) FROM documents)::DOUBLE / count(*) OVER (PARTITION BY id)) AS x FROM b),
 s AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS norm FROM r)
 SELECT doc_id, id, round(CASE WHEN norm > 0 THEN x / norm ELSE 0 END, 6) AS w FROM s""",
+    "doc2bow_missing": f"WITH {_M} SELECT doc_id, count(DISTINCT token) AS n_types, count(*) AS n_tokens FROM m WHERE id IS NULL GROUP BY doc_id",
+    "resume_after": "SELECT doc_id FROM documents WHERE doc_id > 120",
+    "conll_round_trip": f"WITH {_T}, f AS (SELECT doc_id, flatten(s) AS w FROM t) SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(array_to_string(list_transform(w, lambda x: x || '/' || substr(x, 1, 1)), ' '), '') AS words FROM f",
     "frequent_tokens": f"WITH {_vocab()} SELECT token, df FROM v ORDER BY df DESC, id LIMIT 100",
     "group_archives": "SELECT 'archive-' || lpad(CAST((row_number() OVER (ORDER BY doc_id) - 1) // 300 AS VARCHAR), CAST(length(CAST(((SELECT count(*) FROM documents) - 1) // 300 AS VARCHAR)) AS INTEGER), '0') AS archive, CAST(doc_id AS VARCHAR) AS doc_name FROM documents",
     "concat_corpora": """SELECT row_number() OVER (ORDER BY src, o) - 1 AS pos, archive, doc_name, text FROM (

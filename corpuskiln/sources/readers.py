@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import europarl_lines, split_lines
 from ..model import ERROR_TYPE, error, from_table, no_error
+from ..workers import ship
 
 _RANGE = re.compile(r"^(?P<path>.+?)(?::(?P<a>\d+)-(?P<b>\d+)|:(?P<c>\d+)-|:-(?P<d>\d+))?$")
 
@@ -237,3 +239,61 @@ def word2vec(spark: SparkSession, path: str, *, binary: bool = True, limit: int
         cells = F.split("value", " ")
         out = rows.join(vocab.select(F.get(cells, 0).alias("word"), F.get(cells, 1).cast("bigint").alias("count")), "word", "left").select("idx", "word", F.coalesce("count", F.lit(0).cast("bigint")).alias("count"), "vector")
     return out.withColumn("word", F.replace(F.replace("word", F.lit("<space>"), F.lit(" ")), F.lit("<nbspace>"), F.lit(" ")))
+
+
+def _archive_entries(content: bytes) -> Iterator[tuple[str, bytes]]:
+    """(name, data) of an archive of documents: before each block of JSON metadata and of data stands its length,
+    seven bits a byte, low bits first."""
+    at = 0
+
+    def block() -> bytes:
+        nonlocal at
+        size = shift = 0
+        while True:
+            b = content[at]
+            at += 1
+            size |= (b & 0x7F) << shift
+            shift += 7
+            if b < 0x80:
+                break
+        at += size
+        return content[at - size : at]
+
+    while at < len(content):
+        yield json.loads(block())["name"], block()
+
+
+def document_archives(spark: SparkSession, files: list[str], payload: str = "text") -> DataFrame:
+    """A corpus of stored document archives (.prc), in the order of their paths: archive is a file's name, payload the
+    document's UTF-8 text."""
+    raw = spark.read.format("binaryFile").load(files).select("path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                rows = [(path, i, name, data.decode("utf8")) for i, (name, data) in enumerate(_archive_entries(content))]
+                yield pd.DataFrame(rows, columns=["path", "at", "doc_name", "body"])
+
+    ship(spark)
+    found = raw.mapInPandas(run, "path string, at bigint, doc_name string, body string")
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), "\\.[^.]*$", "")
+    ordered = found.withColumn("archive", name).withColumn("doc_ord", F.row_number().over(Window.orderBy("path", "at")).cast("bigint") - 1)
+    return ordered.select("archive", "doc_name", "doc_ord", F.col("body").alias(payload), no_error().alias("error"))
+
+
+def custom(spark: SparkSession, keys: list[str], read: Callable[[str], Iterator[tuple[str, dict]]], payload: str) -> DataFrame:
+    """A corpus from a reader of one's own: read(key) gives (document name, payload columns) in order; the keys (files,
+    shards, queries) are read side by side, each becoming an archive. payload is a DDL string."""
+    schema = f"archive string, at bigint, doc_name string, {payload}"
+    columns = [f.name for f in spark.createDataFrame([], schema).schema][3:]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key in batch["key"]:
+                rows = [{"archive": key, "at": i, "doc_name": name} | {c: doc.get(c) for c in columns} for i, (name, doc) in enumerate(read(key))]
+                yield pd.DataFrame(rows, columns=["archive", "at", "doc_name", *columns])
+
+    ship(spark)
+    found = spark.createDataFrame([(k,) for k in keys], "key string").repartition(max(1, len(keys))).mapInPandas(run, schema)
+    place = F.array_position(F.array(*[F.lit(k) for k in keys]), F.col("archive")) if keys else F.lit(0)
+    return found.withColumn("doc_ord", (place - 1) * F.lit(1 << 40) + F.col("at")).select("archive", "doc_name", "doc_ord", *columns, no_error().alias("error"))

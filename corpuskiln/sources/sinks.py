@@ -102,3 +102,10 @@ def chart_data(results: list[tuple[str, float | None]], spark: SparkSession) ->
     """label, value of results to chart; a missing one shows as ('unavailable', 0)."""
     rows = [(label, float(value)) if value is not None else ("unavailable", 0.0) for label, value in results]
     return spark.createDataFrame(rows, "label string, value double")
+
+
+def copy_file(spark: SparkSession, source: str, target: str) -> None:
+    """Copies one file out of (or into) a store, through Hadoop's file systems."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)

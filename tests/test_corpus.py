@@ -173,6 +173,25 @@ def test_features(spark):
     assert {(r.term, r.feature) for r in features.dependency_features(dep).collect()} == {("dogs", "subj_bark"), ("bark", "subjI_dogs")}
 
 
+def test_resume_and_doc2bow(spark):
+    c = corpus(spark, list("abc"))
+    assert names(ops.after(c, "a", "d0")) == ["d1", "d2"]
+    with pytest.raises(ValueError):
+        ops.after(c, "a", "none")
+    words = spark.createDataFrame([(0, "b", 1)], "id int, token string, df bigint")
+    known, missing = vocab.doc2bow(tokens(spark, [[["b", "x", "b"]], None]), words)
+    assert [tuple(r) for r in known.collect()] == [(0, 0, 2)] and [tuple(r) for r in missing.collect()] == [(0, "x", 1)]
+
+
+def test_annotator_without_library(spark):
+    from corpuskiln.operators import annotators
+
+    with pytest.raises(Exception, match="spacy"):
+        mapping.map_documents(corpus(spark, ["a b"]), annotators.spacy_tokenizer()).collect()
+    plug = annotators.external("up", "text string", lambda: str.upper, lambda f, d: {"text": f(d["text"])})
+    assert mapping.map_documents(corpus(spark, ["a b"]), plug).first().text == "A B"
+
+
 def test_map_documents(spark):
     def upper(state, doc):
         if doc["text"] == "boom":

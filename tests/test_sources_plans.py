@@ -64,6 +64,25 @@ def test_embedding_files(spark, tmp_path):
         readers.fasttext_vec(spark, "x.zip")
 
 
+def test_document_archives_and_custom_reader(spark, tmp_path):
+    import json
+
+    def block(b):
+        n, out = len(b), b""
+        while True:
+            out += bytes([n & 0x7F | (0x80 if n > 127 else 0)])
+            n >>= 7
+            if not n:
+                return out + b
+
+    docs = [("d1", "short"), ("d2", "é" * 300), ("d3", "")]
+    (tmp_path / "a-0.prc").write_bytes(b"".join(block(json.dumps({"name": n}).encode()) + block(t.encode()) for n, t in docs))
+    got = readers.document_archives(spark, [f"{tmp_path}/a-0.prc"])
+    assert texts(got) == docs and got.first().archive == "a-0"
+    made = readers.custom(spark, ["x", "y"], lambda k: iter([(f"{k}1", {"text": k}), (f"{k}2", {})]), "text string")
+    assert texts(made) == [("x1", "x"), ("x2", None), ("y1", "y"), ("y2", None)]
+
+
 def test_sinks(spark, tmp_path):
     c = spark.createDataFrame([("a", "d.txt", 0, "x", None), ("a", "e", 1, None, ("m", "i"))], "archive string, doc_name string, doc_ord bigint, text string, error struct<module_name:string,error_info:string>")
     assert sinks.store(c, f"{tmp_path}/s").count() == 2
@@ -129,6 +148,10 @@ def test_pipeline(spark, tmp_path):
     assert Pipeline.load(conf).output(spark, "vocab[up]").count() == 5 and p.run(spark, ["vocab[up]"]) == []
     assert p.output(spark, "same").columns == ["value"]
     assert p.output(spark, "both").count() == 8
+    p.dump("vocab[up]", str(tmp_path / "v.tgz"))
+    p.reset("vocab[up]")
+    p.load_dump("vocab[up]", str(tmp_path / "v.tgz"))
+    assert p.status("vocab[up]") == "COMPLETE" and p.output(spark, "vocab[up]").count() == 5
     assert "norm[up]" in p.reset("norm[up]") and p.status("vocab[up]") == "WAITING"
     short = Pipeline.load(conf, "short")
     assert short.modules["norm[up]"].options["min_word_length"] == "3"
