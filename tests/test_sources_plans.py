@@ -252,3 +252,14 @@ def test_plans_push_down(spark, sf):
     assert "PushedFilters" in plan and "In(source" in plan.replace("[", "(") or "source" in plan
     kept = subset(registry.documents(spark, sf), 5).select("doc_name")._jdf.queryExecution().executedPlan().toString()
     assert "lang" not in kept
+
+
+def test_entry_imports_without_session():
+    """The driver lists the queries before it starts Spark."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
