@@ -29,9 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out again if its files give fewer tasks than there are cores, as work on texts is far more than
+    moving them. Large tables have more files and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a text corpus: archive is the source."""
-    return model.from_table(table(spark, sf_dir, "documents"), order="doc_id", payload={"text": "text"}, archive="source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return model.from_table(spread(docs), order="doc_id", payload={"text": "text"}, archive="source")
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
