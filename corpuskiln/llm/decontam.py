@@ -58,6 +58,17 @@ class TestSuffixes:
         return cls(vocab, np.array([*seq, 0], np.int32), np.array(start, np.int64), np.array(item, np.int64), np.array(need, np.int64), [r[0] for r in rows], min(need, default=1))
 
 
+@dataclass
+class Matches:
+    """For each test suffix, ranges of a shard's suffix array (empty: lo = hi) and matched words."""
+
+    window_lo: np.ndarray  # suffixes that begin with its window
+    window_hi: np.ndarray
+    lo: np.ndarray  # suffixes that share as many words with it as the search went
+    hi: np.ndarray
+    words: np.ndarray
+
+
 class Shard:
     """The suffix array of a batch of documents.
 
@@ -102,26 +113,27 @@ class Shard:
                 return order[self.seq[order] != 0]
             rank, step = done, step * 2
 
-    def ranges(self, test: TestSuffixes, depths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each test suffix: the suffix-array range that shares its window (empty: lo = hi), and, if depths is
-        None, the number of words of its longest match as reached by going on with narrower ranges."""
+    def search(self, test: TestSuffixes, *, longest: bool) -> Matches:
+        """Binary search of every test suffix, a word at a time: each word narrows its suffix-array range.
+
+        Stops at each suffix's window, or with longest goes on to where its range would become empty.
+        """
         size, n = len(test.start), len(self.array)
         lo, hi = np.zeros(size, np.int64), np.full(size, n, np.int64)
-        win_lo, win_hi, longest = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        found = Matches(np.zeros(size, np.int64), np.zeros(size, np.int64), lo, hi, np.zeros(size, np.int64))
         live, depth = np.arange(size), 0
         while len(live) and n:
             word = test.seq[test.start[live] + depth]
-            a, b = self._bound(lo[live], hi[live], word, depth, False), self._bound(lo[live], hi[live], word, depth, True)
+            a, b = (self._bound(lo[live], hi[live], word, depth, upper) for upper in (False, True))
             on = (a < b) & (word != 0)
             live = live[on]
             lo[live], hi[live], depth = a[on], b[on], depth + 1
-            longest[live] = depth
+            found.words[live] = depth
             full = live[test.need[live] == depth]
-            win_lo[full], win_hi[full] = lo[full], hi[full]
-            if depths is not None:
+            found.window_lo[full], found.window_hi[full] = lo[full], hi[full]
+            if not longest:
                 live = live[test.need[live] > depth]
-        self.lo, self.hi = lo, hi
-        return win_lo, win_hi, longest
+        return found
 
     def _bound(self, lo: np.ndarray, hi: np.ndarray, word: np.ndarray, depth: int, upper: bool) -> np.ndarray:
         lo, hi = lo.copy(), hi.copy()
@@ -147,8 +159,8 @@ def shard_matches(texts: list[bytes | None], test: TestSuffixes) -> tuple[np.nda
     shard = Shard(texts, test)
     spans, items = [np.zeros((0, 2), np.int64)] * len(texts), [[] for _ in texts]
     if len(shard.array) and len(test.start):
-        lo, hi, _ = shard.ranges(test, test.need)
-        row, index = _expand(lo, hi)
+        hit = shard.search(test, longest=False)
+        row, index = _expand(hit.window_lo, hit.window_hi)
         at = shard.array[index]
         cover = np.zeros(len(shard.seq) + 1, np.int64)
         np.add.at(cover, at, 1)
@@ -254,12 +266,12 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, *, min_words: int = 1
                 shard = Shard(binary_list(batch.column(1)), test)
                 if not len(shard.array) or not len(test.start):
                     return None
-                _, _, longest = shard.ranges(test)
-                good = np.flatnonzero(longest >= test.need)
-                row, index = _expand(shard.lo[good], shard.hi[good])
+                hit = shard.search(test, longest=True)
+                good = np.flatnonzero(hit.words >= test.need)
+                row, index = _expand(hit.lo[good], hit.hi[good])
                 row, at = good[row], shard.array[index]
                 ids = pa.array([test.ids[i] for i in test.item[row]], _arrow_type(benchmark_kind))
-                return pa.RecordBatch.from_arrays([ids, pa.array(test.start[row] - item_start[test.item[row]]), pa.array(longest[row]), batch.column(0).take(pa.array(shard.doc[at])), pa.array(shard.pos[at])], ["item_id", "item_pos", "n_words", "doc_id", "doc_pos"])
+                return pa.RecordBatch.from_arrays([ids, pa.array(test.start[row] - item_start[test.item[row]]), pa.array(hit.words[row]), batch.column(0).take(pa.array(shard.doc[at])), pa.array(shard.pos[at])], ["item_id", "item_pos", "n_words", "doc_id", "doc_pos"])
 
             return one
 
