@@ -31,8 +31,9 @@ SILENT = frozenset("script style template noscript title textarea select iframe
 #: Start tags that end an open element of these names (in the same container).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot div section article main aside nav header footer body html form blockquote td th fieldset".split())
-#: Attribute values are read up to this length, so that a lost quote can't swallow a page again and again.
-_TAG = re.compile(r"""<(?:!--(?P<c>.*?)(?:-->|\Z)|[!?][^>]*>|(?P<end>/?)(?P<name>[a-zA-Z][^\s/><]*)(?P<attrs>(?:[^>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+')*+)>|(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/><]*)[^>]{0,4096}+>)""", re.S)
+_OPEN = re.compile(r"<(?:(?P<c>!--)|(?P<d>[!?])|(?P<end>/?)(?P<name>[a-zA-Z][^\s/><]*))")
+#: What ends a tag or begins a quoted value in it.
+_STOP = re.compile(r""">|=\s*+(["'])""")
 _MARK = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 #: Hashed node features.
 WIDTH = 1 << 12
@@ -77,6 +78,30 @@ def block_features(text: str, link_chars: int, tag: str) -> tuple[int, ...]:
     return tuple(sorted({_hash(x) for x in found}))
 
 
+class Scanner:
+    """Finds the ends of a page's tags in linear time, however long values are."""
+
+    def __init__(self, page: str):
+        self.page, self.none = page, set()  # characters that don't follow any more
+
+    def find(self, c: str, position: int) -> int:
+        at = -1 if c in self.none else self.page.find(c, position)
+        if at < 0:
+            self.none.add(c)
+        return at
+
+    def tag_end(self, position: int) -> int:
+        """Behind the > of the tag whose name ends at position; a quote that is never closed counts as no quote. -1 if
+        there is no >."""
+        at = position
+        while ">" not in self.none and (m := _STOP.search(self.page, at)) is not None:
+            if m[1] is None:
+                return m.end()
+            if (at := self.find(m[1], m.end()) + 1) == 0:
+                break
+        return self.find(">", position) + 1 or -1
+
+
 def parse(page: str) -> Tree:
     """The tree of a page, however malformed: unknown end tags are ignored, lost ones implied."""
     tree, stack, names = Tree(), [0], ["#root"]
@@ -104,13 +129,24 @@ def parse(page: str) -> Tree:
         del stack[-count:], names[-count:]
 
     position = 0
-    while (m := _TAG.search(page, position)) is not None:
+    scanner = Scanner(page)
+    while (m := _OPEN.search(page, position)) is not None:
+        if m["c"]:
+            end = page.find("-->", m.end()) + 3
+            end = end if end > 2 else len(page)
+        elif m["d"]:
+            end = scanner.find(">", m.end()) + 1
+        else:
+            end = scanner.tag_end(m.end())
+        if end <= 0:  # not a tag
+            position = m.end()
+            continue
         put(page[at : m.start()])
-        at = position = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
+        at = position = end
+        name = (m["name"] or "").lower()
         if not name:
             continue
-        ending = bool(m["end"] or m["end2"])
+        ending = bool(m["end"])
         if name == "br":
             buffer.append(" ")
         elif name in INLINE:
@@ -138,7 +174,7 @@ def parse(page: str) -> Tree:
                 elif names[i] in SCOPES:
                     break
             if name not in VOID:
-                marks = " ".join(x for t in _MARK.findall(m["attrs"] or "") for x in t)
+                marks = " ".join(x for t in _MARK.findall(page, m.end(), end - 1) for x in t)
                 stack.append(tree.add(stack[-1], element_features(name, marks), None))
                 names.append(name)
     put(page[at:])

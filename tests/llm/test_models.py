@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import time
 import re
 import zlib
 
@@ -23,6 +24,20 @@ def test_html_parse_survives():
     assert [x for x in htmltree.parse("<td>1<td>2").text if x] == ["1", "2"]
 
 
+def test_html_long_tags():
+    long = "data:image/png;base64," + "A" * 10_000
+    for page in (f'<p>a <img src="{long}"> b</p>', f"<p>a <img src='{long}'> b</p>", f"<p>a <img src={long}> b</p>", f'<p>a <img alt="x > y" srcset="{long}"> b</p>'):
+        assert [x for x in htmltree.parse(page).text if x] == ["a b"]
+    tree = htmltree.parse(f'<div data-x="{long}" class="sidebar"><p>x</p></div>')
+    assert tree.features[1] == htmltree.element_features("div", "sidebar")
+    assert [x for x in htmltree.parse("<p title=it's>a</p><p>b's</p>").text if x] == ["a", "b's"]
+    assert [x for x in htmltree.parse('<p>a <a href="x>y</a> z').text if x] == ["a y z"]
+    start = time.monotonic()
+    for piece in ('<a href="', "<a b='", "<a ", "<!x", '<a b="c" ', "< a = ", "<p>a"):
+        htmltree.parse("<p>" + piece * 100_000)
+    assert time.monotonic() - start < 60
+
+
 def test_messages_are_exact():
     """Marginals by messages equal those by summing over all states."""
     r = np.random.default_rng(0)
