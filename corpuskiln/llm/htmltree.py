@@ -24,10 +24,14 @@ from pyspark.sql import functions as F
 from ._common import map_batches
 
 #: Elements that flow inside a block of text; all others end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
+    "math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose inside is never text of the page.
-SILENT = frozenset("script style template noscript title textarea select iframe object svg math canvas audio video".split())
+SILENT = frozenset("script style template noscript title textarea select iframe object svg canvas audio video".split())
+#: Of these, the ones that last to the end of the page if no end tag follows; others are then no more than a tag.
+RAW = frozenset("script style title textarea".split())
 #: Start tags that end an open element of these names (in the same container).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot div section article main aside nav header footer body html form blockquote td th fieldset".split())
@@ -83,6 +87,7 @@ class Scanner:
 
     def __init__(self, page: str):
         self.page, self.none = page, set()  # characters that don't follow any more
+        self.ends: dict[str, dict[int, int]] = {}
 
     def find(self, c: str, position: int) -> int:
         at = -1 if c in self.none else self.page.find(c, position)
@@ -101,6 +106,23 @@ class Scanner:
                 break
         return self.find(">", position) + 1 or -1
 
+    def inside_end(self, name: str, position: int) -> int:
+        """Behind the end tag that belongs to the start tag whose name ends at position; -1 if it has none."""
+        if name not in self.ends:
+            found, opened, at = {}, [], 0
+            tag = re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])", re.I)
+            while (m := tag.search(self.page, at)) is not None:
+                at = self.tag_end(m.end())
+                if at < 0:
+                    break
+                if not m[1]:
+                    if not (name == "svg" and self.page[at - 2] == "/"):
+                        opened.append(m.end())
+                elif opened:
+                    found[opened.pop()] = at
+            self.ends[name] = found
+        return self.ends[name].get(position, -1)
+
 
 def parse(page: str) -> Tree:
     """The tree of a page, however malformed: unknown end tags are ignored, lost ones implied."""
@@ -154,8 +176,11 @@ def parse(page: str) -> Tree:
                 anchor = 0 if ending else 1
         elif not ending and name in SILENT:
             flush()
-            done = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(page, position)
-            at = position = done.end() if done else len(page)
+            if name in RAW:
+                done = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, position)
+                at = position = done.end() if done else len(page)
+            elif not (name == "svg" and page[end - 2] == "/"):
+                at = position = max(position, scanner.inside_end(name, m.end()))
         elif ending:
             if name in names:
                 close(len(names) - max(i for i, x in enumerate(names) if x == name))

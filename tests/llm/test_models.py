@@ -38,6 +38,20 @@ def test_html_long_tags():
     assert time.monotonic() - start < 60
 
 
+def test_html_lost_ends():
+    texts = lambda page: [x for x in htmltree.parse(page).text if x]
+    for tag in ('<svg class="icon"/>', "<svg/>", "<select>", "<noscript>", "<video src=x>", "<object>", "<iframe src=y>"):
+        assert texts(f"<p>a</p>{tag}<p>b</p><p>c</p>") == ["a", "b", "c"]
+        assert texts(f"<p>a</p>{tag}<p>b</p>{tag.split()[0].strip('</>').join(('<', '>'))}x</{tag.split()[0].strip('</>')}><p>c</p>") == ["a", "b", "c"]
+    assert texts("<p>a</p><svg><g/><svg><text>x</text></svg>y</svg><p>b</p>") == ["a", "b"]
+    assert texts("<p>a</p><script>var x = '<p>'") == ["a"]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><math/><p>b</p>") == ["so x=2 holds", "b"]
+    start = time.monotonic()
+    for piece in ("<svg>", "<svg/>", "<select><svg>", "<object a='"):
+        htmltree.parse("<p>" + piece * 50_000)
+    assert time.monotonic() - start < 60
+
+
 def test_messages_are_exact():
     """Marginals by messages equal those by summing over all states."""
     r = np.random.default_rng(0)
