@@ -207,11 +207,10 @@ class Model:
     hot: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # sums of the frequent words' contexts, by order
 
 
-def train(docs: DataFrame, *, order: int = 2, text_col: str = "text") -> Model:
+def train(docs: DataFrame, *, order: int = 3, text_col: str = "text") -> Model:
     """Counts docs. Null and empty texts count as an end token. Without rows the model knows no word.
 
     There are as many buckets as spark.sql.shuffle.partitions; a word is frequent if it alone fills a quarter of one.
-    Bigrams are the default order because higher orders' tables outgrow the disk that a run may take (see README).
     """
     if order < 2:
         raise ValueError("order must be 2 at least")

@@ -165,6 +165,14 @@ def test_query_op5(spark, sf):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_query_op5_counts_trigrams(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = knlm.train(docs.where(~knlm.held_out()), order=3)
+    want = {r.doc_id: r.score for r in knlm.score(docs, model).collect()}
+    got = {r.doc_id: r.score for r in queries.op5_lm(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
 # --- personal data ---
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
