@@ -264,6 +264,58 @@ def doc2bow_missing(spark, sf_dir):
     return missing.groupBy(F.col("doc_ord").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_types"), F.sum("freq").alias("n_tokens"))
 
 
+def _every_word(corpus: DataFrame) -> DataFrame:
+    return vocab.build(corpus, threshold=3, max_prop=0.5).words
+
+
+@query
+def vocab_map_whole(spark, sf_dir):
+    corpus = tokenized(spark, sf_dir)
+    return _doc_id(vocab.map_tokens(corpus, _every_word(corpus)), ids=_ids_text("lists"))
+
+
+@query
+def vocab_map_skip_whole(spark, sf_dir):
+    corpus = tokenized(spark, sf_dir)
+    return _doc_id(vocab.map_tokens(corpus, _every_word(corpus), "skip"), ids=_ids_text("lists"))
+
+
+@query
+def vocab_unmap_whole(spark, sf_dir):
+    corpus = tokenized(spark, sf_dir)
+    words = _every_word(corpus)
+    return _doc_id(vocab.unmap_ids(vocab.map_tokens(corpus, words), words, "OOV"), text=text.join_sentences(F.col("sentences")))
+
+
+@query
+def vocab_count_whole(spark, sf_dir):
+    corpus = tokenized(spark, sf_dir)
+    words = _every_word(corpus)
+    return vocab.count(vocab.map_tokens(corpus, words), words, oov_excluded=True)
+
+
+@query
+def doc_bow_whole(spark, sf_dir):
+    corpus = tokenized(spark, sf_dir)
+    bow = vocab.bag_of_words(vocab.map_tokens(corpus, _every_word(corpus), "skip"), [0])
+    return bow.select(F.col("doc_ord").alias("doc_id"), "id", "freq")
+
+
+@query
+def tfidf_whole(spark, sf_dir):
+    corpus = tokenized(spark, sf_dir)
+    bow = vocab.bag_of_words(vocab.map_tokens(corpus, _every_word(corpus), "skip"))
+    return vocab.tfidf(bow, corpus.count()).select(F.col("doc_ord").alias("doc_id"), "id", F.round("w", 6).alias("w"))
+
+
+@query
+def doc2bow_missing_whole(spark, sf_dir):
+    """What the whole vocabulary lacks of each document."""
+    corpus = tokenized(spark, sf_dir)
+    missing = vocab.doc2bow(corpus, _every_word(corpus))[1]
+    return missing.groupBy(F.col("doc_ord").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_types"), F.sum("freq").alias("n_tokens"))
+
+
 @query
 def frequent_tokens(spark, sf_dir):
     """The 100 most frequent words of the vocabulary."""
@@ -427,6 +479,15 @@ def cooccurrence(spark, sf_dir):
     return pairs.select("w1", "w2", F.round("weight", 5).alias("weight"))
 
 
+@query
+def cooccurrence_whole(spark, sf_dir):
+    """All words of the vocabulary, in the default window."""
+    corpus = tokenized(spark, sf_dir)
+    known = vocab.map_tokens(corpus, vocab.build(corpus, threshold=3).words, "skip")
+    pairs = features.cooccurrence(known.select(F.flatten("lists").alias("tokens")))
+    return pairs.select("w1", "w2", F.round("weight", 5).alias("weight"))
+
+
 def _topics(corpus: DataFrame) -> DataFrame:
     """Four topics of eight words each from the vocabulary, dealt in turn."""
     words = vocab.build(corpus, threshold=3, max_prop=0.5, limit=32).words
@@ -537,9 +598,9 @@ def word2vec(spark, sf_dir):
 @query
 def glove_vectors(spark, sf_dir):
     corpus = tokenized(spark, sf_dir)
-    words = vocab.build(corpus, threshold=10, limit=200).words
+    words = vocab.build(corpus, threshold=10).words
     known = vocab.map_tokens(corpus, words, "skip").select(F.flatten("lists").alias("tokens"))
-    return models.train_glove(features.cooccurrence(known, 5), size=8, iterations=3).select("idx", F.size("vector").alias("n"))
+    return models.train_glove(features.cooccurrence(known), size=8, iterations=3).select("idx", F.size("vector").alias("n"))
 
 
 @query

@@ -185,3 +185,7 @@ _PMI = "ln((nij / total + 1e-12) / ((ni / total) * (nj / total)))"
 ORACLE_SQL["coherence_uci"] = f"{_WINDOWS} SELECT topic, round(avg({_PMI}), 6) AS coherence FROM pn, total GROUP BY topic"
 ORACLE_SQL["coherence_npmi"] = f"{_WINDOWS} SELECT topic, round(avg({_PMI} / -ln(nij / total + 1e-12)), 6) AS coherence FROM pn, total GROUP BY topic"
 ORACLE_SQL["missing_topic_words"] = f"WITH {_TOPICS} SELECT topic, word FROM topics WHERE word NOT IN (SELECT token FROM words WHERE df >= 3 AND df <= floor((SELECT count(*) FROM documents) * 0.2::DOUBLE))"
+
+#: The same over the whole vocabulary.
+for _name in ("vocab_map", "vocab_map_skip", "vocab_unmap", "vocab_count", "doc_bow", "tfidf", "doc2bow_missing"):
+    ORACLE_SQL[f"{_name}_whole"] = ORACLE_SQL[_name].replace(_V, _vocab(3, 0.5))

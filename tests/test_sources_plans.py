@@ -244,6 +244,43 @@ def test_registry(spark, sf):
         assert columns == sorted(want.columns) and as_rows(got) == as_rows(want), name
 
 
+def equal_sql(spark, sf, *names):
+    import duckdb
+
+    from corpuskiln.plans import registry
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name in names:
+        got, want = registry.QUERIES[name](spark, sf).toPandas(), con.sql(registry.ORACLE_SQL[name]).df()
+        columns = sorted(got.columns)
+        as_rows = lambda df: sorted(map(str, df[columns].itertuples(index=False, name=None)))  # noqa: B023, E731
+        assert columns == sorted(want.columns) and as_rows(got) == as_rows(want), name
+
+
+def test_whole_vocabulary(spark, sf, tmp_path):
+    from collections import Counter
+
+    from corpuskiln.plans import registry
+
+    equal_sql(spark, sf, *[f"{n}_whole" for n in ("vocab_map", "vocab_map_skip", "vocab_unmap", "vocab_count", "doc_bow", "doc2bow_missing")])
+    words = [f"w{i}" for i in range(260)]
+    texts = [" ".join(words[i:] + words[:i]) for i in range(12)]
+    spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id bigint, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter()
+    for t in texts:
+        w = t.split()
+        for i in range(len(w)):
+            for j in range(i + 1, min(i + 16, len(w))):
+                want[w[i], w[j]] += 1 / (j - i)
+                want[w[j], w[i]] += 1 / (j - i)
+    ids = {w: i for i, w in enumerate(words)}
+    got = {(r.w1, r.w2): r.weight for r in registry.QUERIES["cooccurrence_whole"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {(ids[a], ids[b]) for a, b in want} and all(abs(got[ids[a], ids[b]] - x) < 1e-4 for (a, b), x in want.items())
+    assert registry.QUERIES["glove_vectors"](spark, str(tmp_path)).count() == 260
+
+
 def test_plans_push_down(spark, sf):
     """A name filter reaches the scan, and a projection reads only its columns."""
     from corpuskiln.plans import registry
