@@ -126,6 +126,12 @@ def format_documents(spark, sf_dir):
     return _doc_id(documents(spark, sf_dir), shown=shown)
 
 
+@query
+def format_documents_whole(spark, sf_dir):
+    """Documents as shown by the formatter of their type."""
+    return _doc_id(documents(spark, sf_dir), shown=text.format_document("segmented_lines", text.simple_tokenize(F.col("text"))))
+
+
 @query
 def strip_punctuation(spark, sf_dir):
     return _doc_id(documents(spark, sf_dir), text=text.strip_punctuation(F.col("text")))
@@ -149,9 +155,11 @@ def conll_round_trip(spark, sf_dir):
 
 @query
 def line_similarity(spark, sf_dir):
-    """Ratio of matching blocks between the first and the last 60 characters."""
-    t = F.col("text")
-    return _doc_id(documents(spark, sf_dir), ratio=F.round(strings.similarity(F.substring(t, 1, 60), F.right(t, F.lit(60))), 6))
+    """Ratio of matching blocks between each line and the next one of its document, both whole."""
+    docs = documents(spark, sf_dir).select("doc_ord", text.split_lines(F.col("text")).alias("x"))
+    both = F.transform(F.slice("x", 1, F.greatest(F.size("x") - 1, F.lit(0))), lambda x, i: F.struct(x.alias("a"), F.get("x", i + 1).alias("b")))
+    rows = docs.select(F.col("doc_ord").alias("doc_id"), F.posexplode(both).alias("line", "p"))
+    return rows.select("doc_id", F.col("line").cast("long").alias("line"), F.round(strings.similarity(F.col("p.a"), F.col("p.b")), 6).alias("ratio"))
 
 
 @query

@@ -189,3 +189,4 @@ ORACLE_SQL["missing_topic_words"] = f"WITH {_TOPICS} SELECT topic, word FROM top
 #: The same over the whole vocabulary.
 for _name in ("vocab_map", "vocab_map_skip", "vocab_unmap", "vocab_count", "doc_bow", "tfidf", "doc2bow_missing"):
     ORACLE_SQL[f"{_name}_whole"] = ORACLE_SQL[_name].replace(_V, _vocab(3, 0.5))
+ORACLE_SQL["format_documents_whole"] = f"WITH {_T} SELECT doc_id, {_joined('s', '/')} AS shown FROM t"

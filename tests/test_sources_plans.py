@@ -1,6 +1,7 @@
 """Readers, sinks, the pipeline language, streaming, and the query registry."""
 
 import gzip
+import random
 import struct
 import tarfile
 
@@ -281,6 +282,23 @@ def test_whole_vocabulary(spark, sf, tmp_path):
     assert registry.QUERIES["glove_vectors"](spark, str(tmp_path)).count() == 260
 
 
+def test_whole_texts(spark, sf, tmp_path):
+    import difflib
+
+    from corpuskiln.plans import registry
+
+    equal_sql(spark, sf, "format_documents_whole")
+    r = random.Random(4)
+    line = lambda: "".join(r.choice("abc d") for _ in range(r.randint(0, 200)))
+    texts = ["\n".join(line() for _ in range(k)) for k in (1, 2, 5, 9)]
+    spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id bigint, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for i, t in enumerate(texts):
+        x = t.splitlines()
+        want |= {(i, k): round(difflib.SequenceMatcher(None, x[k], x[k + 1]).ratio(), 6) for k in range(len(x) - 1)}
+    assert {(x.doc_id, x.line): x.ratio for x in registry.QUERIES["line_similarity"](spark, str(tmp_path)).collect()} == want
+
+
 def test_plans_push_down(spark, sf):
     """A name filter reaches the scan, and a projection reads only its columns."""
     from corpuskiln.plans import registry
