@@ -168,6 +168,12 @@ def name_filter(spark, sf_dir):
     return documents(spark, sf_dir).where(F.col("archive").isin("src1", "src2") & (F.col("doc_ord") % 3 == 0)).select("archive", "doc_name", F.length("text").cast("long").alias("n_chars"))
 
 
+@query
+def name_prefix_filter(spark, sf_dir):
+    """Documents of some archives whose name begins with 1."""
+    return documents(spark, sf_dir).where(F.col("archive").isin("src1", "src2") & F.col("doc_name").startswith("1")).select("archive", "doc_name", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def map_function(spark, sf_dir):
     """A map with a function of one's own: longest word of each document; documents of one line are made invalid."""
@@ -465,6 +471,13 @@ def embeddings_concat(spark, sf_dir):
     return emb.concat([e.where("idx < 100"), e.withColumn("word", F.concat(F.lit("second_"), F.col("word")))]).select("idx", "word", "count")
 
 
+@query
+def embeddings_concat_whole(spark, sf_dir):
+    """The whole table and the whole table with other names."""
+    e = _embeddings(spark, sf_dir).drop("label")
+    return emb.concat([e, e.withColumn("word", F.concat(F.lit("second_"), F.col("word")))]).select("idx", "word", "count")
+
+
 @query
 def doc_embeddings(spark, sf_dir):
     """Vectors of each document's tokens; words without one give null."""

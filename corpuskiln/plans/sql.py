@@ -190,3 +190,6 @@ ORACLE_SQL["missing_topic_words"] = f"WITH {_TOPICS} SELECT topic, word FROM top
 for _name in ("vocab_map", "vocab_map_skip", "vocab_unmap", "vocab_count", "doc_bow", "tfidf", "doc2bow_missing"):
     ORACLE_SQL[f"{_name}_whole"] = ORACLE_SQL[_name].replace(_V, _vocab(3, 0.5))
 ORACLE_SQL["format_documents_whole"] = f"WITH {_T} SELECT doc_id, {_joined('s', '/')} AS shown FROM t"
+ORACLE_SQL["name_prefix_filter"] = "SELECT source AS archive, CAST(doc_id AS VARCHAR) AS doc_name, CAST(length(text) AS BIGINT) AS n_chars FROM documents WHERE source IN ('src1', 'src2') AND starts_with(CAST(doc_id AS VARCHAR), '1')"
+ORACLE_SQL["embeddings_concat_whole"] = """SELECT vec_id AS idx, 'w' || vec_id AS word, vec_id * 7 % 101 AS count FROM embeddings
+UNION ALL SELECT vec_id + (SELECT count(*) FROM embeddings), 'second_w' || vec_id, vec_id * 7 % 101 FROM embeddings"""

@@ -299,6 +299,14 @@ def test_whole_texts(spark, sf, tmp_path):
     assert {(x.doc_id, x.line): x.ratio for x in registry.QUERIES["line_similarity"](spark, str(tmp_path)).collect()} == want
 
 
+def test_whole_sets(spark, sf):
+    from corpuskiln.plans import registry
+
+    equal_sql(spark, sf, "name_prefix_filter", "embeddings_concat_whole")
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert registry.QUERIES["embeddings_concat_whole"](spark, sf).where("word not like 'second%'").count() == n > 100
+
+
 def test_plans_push_down(spark, sf):
     """A name filter reaches the scan, and a projection reads only its columns."""
     from corpuskiln.plans import registry
