@@ -43,20 +43,14 @@ def concat(corpora: list[DataFrame]) -> DataFrame:
     return moved.select(*corpora[0].columns)
 
 
-#: Corpora up to this many documents are numbered by one task each when interleaved.
-ONE_TASK = 10_000_000
-
-
-def interleave(corpora: list[DataFrame], *, scaled: bool | None = None) -> DataFrame:
+def interleave(corpora: list[DataFrame], *, scaled: bool = False) -> DataFrame:
     """Documents of all corpora spread evenly: always one of the corpus whose progress is least (ties: the first).
 
     A document moves its corpus on by longest / own length. Progress is the running sum of these steps, as adding
     them up one by one gives it, which keeps a corpus's numbering in one task; scaled=True takes position / length
-    instead, which numbers slices side by side and orders alike but for rounding of ties. By default corpora of more
-    than ONE_TASK documents are scaled. Archives become corp{i}_{archive}; adds pos from 0, which becomes doc_ord.
+    instead, which numbers slices side by side and orders alike but for rounding of ties. The formula never depends on
+    the size. Archives become corp{i}_{archive}; adds pos from 0, which becomes doc_ord.
     """
-    if scaled is None:
-        scaled = any(c.count() > ONE_TASK for c in corpora)
     parts = []
     for i, c in enumerate(corpora):
         name = F.concat(F.lit(f"corp{i}_"), F.col("archive"))

@@ -65,6 +65,25 @@ def test_interleave_takes_least_progress(spark, sizes):
     assert ops.interleave(parts, scaled=True).count() == sum(sizes)
 
 
+def test_interleave_formula_ignores_size(spark, monkeypatch):
+    """Sizes for which the running sum and position / length order a tie otherwise."""
+    monkeypatch.setattr(ops, "ONE_TASK", 1, raising=False)
+
+    def order(sizes, scaled):
+        rows = []
+        for i, n in enumerate(sizes):
+            progress = 0.0
+            for k in range(n):
+                rows.append((k / n if scaled else progress, i, k))
+                progress += max(sizes) / n
+        return [x[1:] for x in sorted(rows)]
+
+    sizes = next((a, b) for a in range(2, 60) for b in range(2, 60) if order((a, b), True) != order((a, b), False))
+    parts = [corpus(spark, ["t"] * n, archive=f"x{i}") for i, n in enumerate(sizes)]
+    got = [(r.archive, r.doc_name) for r in ops.interleave(parts).orderBy("pos").collect()]
+    assert got == [(f"corp{i}_x{i}", f"d{k}") for i, k in order(sizes, False)]
+
+
 def test_concat_subset_split_shuffle(spark):
     a, b = corpus(spark, list("abc")), corpus(spark, list("de"), archive="b")
     both = ops.concat([a, b])
