@@ -29,6 +29,21 @@ def brute_hits(text, items, m=13):
     return len(words), len(hit), found
 
 
+def brute_longest(text, items, m=13):
+    """Words and place of the longest match that is no shorter than its item's window."""
+    words, best = WORD.findall((text or "").encode().lower()), (0, -1)
+    for _, item in items:
+        own = WORD.findall((item or "").encode().lower())
+        for p in range(len(words)):
+            for s in range(len(own)):
+                n = 0
+                while s + n < len(own) and p + n < len(words) and own[s + n] == words[p + n]:
+                    n += 1
+                if n >= min(m, len(own)) and (n, -p) > (best[0], -best[1]):
+                    best = (n, p)
+    return best
+
+
 def small_case(seed, spark):
     r = random.Random(seed)
     text = lambda n: " ".join(r.choice(["a", "B", "c,", "é", "9"]) for _ in range(n))
@@ -43,6 +58,8 @@ def test_contamination(spark, seed, block):
     docs, items, d, b = small_case(seed, spark)
     got = {r.doc_id: (r.n_words, r.n_hit, set(r["items"])) for r in decontam.contamination(d, b, min_words=4, block_bytes=block).collect()}
     assert got == {i: brute_hits(t, items, 4) for i, t in docs}
+    for r in decontam.contamination(d, b, min_words=4, block_bytes=block).collect():
+        assert (r.longest, r.longest_at) == brute_longest(dict(docs)[r.doc_id], items, 4) and r.n_hit == sum(x.e - x.s for x in r.spans)
     left = {r.doc_id for r in decontam.decontaminate(d, b, min_words=4, block_bytes=block).collect()}
     assert left == {i for i, t in docs for n, h, _ in [brute_hits(t, items, 4)] if not (h > 0 and 20 * h >= n)}
 
@@ -82,6 +99,53 @@ def test_contamination_edges(spark, odd, none):
     assert clean.columns == odd.columns and clean.count() == odd.count() - 2
 
 
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_contamination_same_rows_for_any_blocks(spark, odd):
+    """Null and repeated ids of documents and items; one block and many."""
+    r = random.Random(4)
+    passage = odd.where("doc_id = 1").first().text
+    items = [(1, passage[:200]), (1, passage[:200]), (1, passage[100:400]), (None, "no id here"), (2, "two words"), (3, None), (4, ""), (5, "one"), (5, passage[:100])]
+    items += [(10 + i, " ".join(f"w{r.randrange(300)}" for _ in range(20))) for i in range(30)]
+    b = spark.createDataFrame(items, "item_id smallint, text string")
+    one, many = (decontam.contamination(odd, b, block_bytes=n) for n in (1 << 20, 100))
+    assert rows_of(one) == rows_of(many)
+    for x in one.join(odd.select("doc_id", F.col("text").alias("t")), "doc_id").collect():
+        n, hit, found = brute_hits(x.t, items)
+        assert (x.n_words, x.n_hit, x["items"]) == (n, hit, sorted(i for i in found if i is not None)) and x.longest >= min(1, hit)
+    clean = [decontam.decontaminate(odd, b, block_bytes=n) for n in (1 << 20, 100)]
+    assert rows_of(clean[0]) == rows_of(clean[1])
+    left = [x.text for x in clean[0].where("doc_id is null").collect()]
+    assert left == [None]  # the row without id that an item covers goes
+
+
+@pytest.mark.parametrize(("kind", "make"), [("string", str), ("int", int), ("date", None)])
+def test_contamination_item_types(spark, kind, make):
+    b = spark.createDataFrame([(1, "a b c"), (2, "c d")], "item_id bigint, text string")
+    b = b.withColumn("item_id", F.date_add(F.lit("2020-01-01"), F.col("item_id").cast("int")) if kind == "date" else F.col("item_id").cast(kind))
+    row = decontam.contamination(spark.createDataFrame([("x", "a b c d")], "doc_id string, text string"), b, min_words=2).first()
+    assert row.doc_id == "x" and len(row["items"]) == 2 and (row.n_hit, row.longest, row.longest_at) == (4, 3, 0)
+
+
+def test_contamination_repeated_words():
+    """Neither repeated words nor a long copy make work for each pair of suffix and place."""
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    start = time.monotonic()
+    for item, text, want in [("a " * 2000, "a " * 8000, (8000, 2000)), (" ".join(map(str, range(30_000))), "x " + " ".join(map(str, range(30_000))), (30_000, 30_000))]:
+        test = decontam.TestSuffixes.build([item.encode()], 13)
+        hits = decontam.Hits([text.encode(), None, b"y"])
+        hits.add(test, pa.array([7]))
+        assert (int(hits.merged_spans()[0][0]), int(hits.longest[0])) == want
+        assert hits.item_lists(pa.int64()).to_pylist() == [[7], [], []]
+    assert tracemalloc.get_traced_memory()[1] < 150e6 and time.monotonic() - start < 60
+    tracemalloc.stop()
+
+
 def brute_simhash(text):
     w = (text or "").encode().lower().split()
     if not w:
