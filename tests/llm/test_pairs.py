@@ -175,10 +175,17 @@ def test_simhash_fingerprints(odd):
     assert got == sorted((r.doc_id or -1, int(np.uint64(brute_simhash(r.text)).astype(np.int64))) for r in odd.collect())
 
 
-@pytest.mark.parametrize("pairwise", [2048, 4])
-def test_simhash_links(pairwise, monkeypatch):
-    monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
-    r, fps = random.Random(5), []
+def test_steiner_blocks():
+    """Any 5 of the 8 positions contain exactly one block, so that every pair sharing 5 bytes meets."""
+    from itertools import combinations
+
+    blocks = [set(b) for b in simhash.steiner_blocks()]
+    assert len(blocks) == simhash.FIRST and all(sum(b <= set(c) for b in blocks) == 1 for c in combinations(range(8), 5))
+
+
+def clustered(seed):
+    """Fingerprints in chains of few differing bits, and a dense cluster that shares 4 bytes."""
+    r, fps = random.Random(seed), []
     for _ in range(25):
         fps.append(r.getrandbits(64))
         for _ in range(r.randint(0, 12)):
@@ -186,14 +193,45 @@ def test_simhash_links(pairwise, monkeypatch):
             for _ in range(r.randint(0, 4)):
                 x ^= 1 << r.randrange(64)
             fps.append(x)
-    fps = list(dict.fromkeys(fps))
-    rows = np.array([[c, int(np.uint64(f).astype(np.int64)), i] for i, f in enumerate(fps) for c in range(len(simhash.CHOICES))])
-    rows = rows[np.lexsort((rows[:, 1].view(np.uint64) & simhash.MASKS[rows[:, 0]], rows[:, 0]))]
-    batches = [pa.RecordBatch.from_arrays([pa.array(rows[k : k + 41, i]) for i in range(3)], ["c", "fp", "rep"]) for k in range(0, len(rows), 41)]
-    edges = {(a, b) for x in simhash._link_lists(iter(batches)) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)}
-    nodes = range(len(fps))
-    assert brute_components(nodes, lambda a, b: (a, b) in edges) == brute_components(nodes, lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 3)
-    assert len(edges) <= 56 * len(fps)
+    base = r.getrandbits(64)
+    for _ in range(80):
+        x = base
+        for _ in range(r.randint(0, 9)):
+            x ^= 1 << r.randrange(20)
+        fps.append(x)
+    return list(dict.fromkeys(fps))
+
+
+@pytest.mark.parametrize(("pairwise", "long"), [(1024, 1 << 18), (4, 1 << 18), (4, 6), (1024, 6)])
+def test_simhash_links(spark, pairwise, long, monkeypatch):
+    """The same links however lists are cut or posted again."""
+    monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
+    monkeypatch.setattr(simhash, "LONG", long)
+    fps = clustered(5)
+    posts, edges, rounds = [(c, f) for f in fps for c in range(simhash.FIRST)], set(), 0
+    while posts:
+        rows = np.array([[c, int(np.uint64(f).astype(np.int64))] for c, f in posts])
+        rows = rows[np.lexsort((rows[:, 1].view(np.uint64) & simhash.MASKS[rows[:, 0]], rows[:, 0]))]
+        batches = [pa.RecordBatch.from_arrays([pa.array(rows[k : k + 41, i]) for i in range(2)], ["c", "fp"]) for k in range(0, len(rows), 41)]
+        posts, rounds = [], rounds + 1
+        for x in simhash._link_lists(iter(batches)):
+            for a, b, c, f in zip(*(x.column(i).to_pylist() for i in range(4)), strict=True):
+                if c is None:
+                    edges.add((a % (1 << 64), b % (1 << 64)))
+                else:
+                    posts.append((c, f % (1 << 64)))
+    want = brute_components(fps, lambda a, b: bin(a ^ b).count("1") <= 3)
+    assert brute_components(fps, lambda a, b: (a, b) in edges or (b, a) in edges) == want
+    assert (rounds == 3) == (long == 6) and len(edges) <= 14 * 16 * len(fps)
+
+
+def test_simhash_tally_rejects():
+    """Most pairs of a posting list share 4 bytes by chance and fall to the tally, before any bits are counted."""
+    r = np.random.default_rng(1)
+    x, y = r.integers(0, 1 << 63, (2, 20_000), np.uint64)
+    y = (y & ~simhash.MASKS[0]) | (x & simhash.MASKS[0])
+    tally = ((x ^ y).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+    assert (tally >= 4).all() and 0 < (tally >= simhash.SHARED).mean() < 0.05 and not simhash._verified(x, y).any()
 
 
 def test_components(spark):
@@ -213,6 +251,8 @@ def test_near_duplicates(odd, unique, none):
     want = brute_components(sorted(fps), lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 3)
     assert {i: r.component_id for i, r in rows.items()} == want
     assert simhash.near_duplicates(odd).count() == odd.count() and simhash.near_duplicates(none).count() == 0
+    text = simhash.near_duplicates(unique.withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 3, "0")))).collect()
+    assert {int(r.doc_id[1:]): int(r.component_id[1:]) for r in text} == want  # ids of another type
     kept = simhash.keep_one(unique)
     assert kept.columns == unique.columns and {r.doc_id for r in kept.collect()} == set(want.values())
 
