@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import write_table
+
 ERROR_TYPE = "struct<module_name:string,error_info:string>"
 KEYS = ["archive", "doc_name", "doc_ord"]
 
@@ -126,33 +128,32 @@ def check_unique(corpus: DataFrame) -> DataFrame:
     return corpus.withColumn("_n", n).where(clash.isNull()).drop("_n")
 
 
-def quantile_cuts(df: DataFrame, key: Column, slices: int = 256) -> list[float]:
-    """Values of key that cut the rows of df into about equal slices."""
-    some = df.select(key.cast("double").alias("_key")).where("_key is not null")
-    return sorted(set(some.approxQuantile("_key", [i / slices for i in range(1, slices)], 0.25 / slices)))
-
-
-def number_rows(df: DataFrame, key: Column, *ties: str, name: str = "pos", slices: int = 256, cuts: list[float] | None = None) -> DataFrame:
-    """Adds name: 0, 1, 2, ... in the order of key (numeric), then ties.
+def number_rows(df: DataFrame, key: Column, *ties: str, name: str = "pos", unique: tuple[str, ...] = ()) -> DataFrame:
+    """Adds name: 0, 1, 2, ... in the order of key, then ties. Null keys come first.
 
-    Rows are cut into slices of about equal size at quantiles of key (or at given cuts); each slice is numbered by
-    itself and moved by the sizes of those before it, so no task sees more than a slice. The cuts are fixed before the
-    plan is built, so that recomputed tasks number alike. Null keys come first.
+    Rows are dealt to ranges of (key, ties), as many as there are shuffle partitions; each range is numbered by itself
+    and moved by the sizes of those before it, so no task sees more than a range. The numbers are written before they
+    are used, so that recomputed tasks number alike. Of rows that unique columns identify only these, key and ties are
+    put in order, and the numbers are joined back; null values of these columns must not occur.
     """
-    keyed = df.withColumn("_key", key.cast("double"))
-    cuts = quantile_cuts(df, key, slices) if cuts is None else cuts
-    keyed = keyed.withColumn("_slice", F.when(F.col("_key").isNull(), -1).otherwise(_slice_of(F.col("_key"), cuts, 0)))
-    sizes = keyed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row a slice
-    offsets = sizes.select("_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    within = F.row_number().over(Window.partitionBy("_slice").orderBy(F.col("_key").asc_nulls_first(), *ties))
-    numbered = keyed.withColumn("_within", within).join(F.broadcast(offsets), "_slice")  # at most slices + 1 rows
-    return numbered.withColumn(name, F.col("_offset") + F.col("_within") - 1).drop("_key", "_slice", "_within", "_offset")
-
-
-def _slice_of(key: Column, cuts: list[float], first: int) -> Column:
-    """The number of cuts that are at most key, by halving."""
-    if not cuts:
-        return F.lit(first)
-    mid = len(cuts) // 2
-    return F.when(key < cuts[mid], _slice_of(key, cuts[:mid], first)).otherwise(_slice_of(key, cuts[mid + 1 :], first + mid + 1))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.select(*dict.fromkeys([*unique, *ties]), key.alias("_key")) if unique else df.withColumn("_key", key)
+    order = [F.col("_key").asc_nulls_first(), *ties]
+    dealt = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = write_table(dealt.select(*unique, "_id") if unique else dealt.drop("_key"), "numbers")
+    placed = placed.withColumn("_range", F.shiftright("_id", 33)).withColumn("_within", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    numbered = placed.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_offset") + F.col("_within"))  # one row a range
+    numbered = numbered.drop("_id", "_range", "_within", "_offset")
+    return df.join(numbered, list(unique)).select(*df.columns, name) if unique else numbered
+
+
+def number_in_files(rows: DataFrame, at: str = "at") -> DataFrame:
+    """Adds doc_ord to documents of files: by path, then place in the file (at: 0, 1, 2, ... in each). Only the files'
+    numbers of documents are put in order, never the documents."""
+    sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    offsets = sizes.select("path", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    return rows.join(offsets, "path").withColumn("doc_ord", (F.col("_offset") + F.col(at)).cast("bigint")).drop("_offset")

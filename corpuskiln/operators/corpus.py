@@ -18,9 +18,9 @@ def portable_hash(seed: int | str, *ids: Column) -> Column:
 
 def group(corpus: DataFrame, archive_size: int = 1000, basename: str = "archive") -> DataFrame:
     """Groups documents, in order, into archives of archive_size; names are zero-padded to the last archive's width."""
-    numbered = number_rows(corpus, F.col("doc_ord"), name="_row")
-    n = numbered.agg(F.max("_row").alias("_last"))
-    width = F.length(F.floor(F.coalesce("_last", F.lit(0)) / archive_size).cast("string"))
+    numbered = number_rows(corpus, F.col("doc_ord"), name="_row", unique=("doc_ord",))
+    n = corpus.agg((F.count(F.lit(1)) - 1).alias("_last"))
+    width = F.length(F.floor(F.greatest("_last", F.lit(0)) / archive_size).cast("string"))
     named = numbered.drop("archive").crossJoin(F.broadcast(n))  # one row
     number = F.floor(F.col("_row") / archive_size).cast("string")
     return named.withColumn("archive", F.concat(F.lit(f"{basename}-"), F.lpad(number, width, "0"))).select(*corpus.columns)
@@ -56,23 +56,25 @@ def interleave(corpora: list[DataFrame], *, scaled: bool = False) -> DataFrame:
         name = F.concat(F.lit(f"corp{i}_"), F.col("archive"))
         parts.append(c.withColumn("archive", name).withColumn("_src", F.lit(i)))
     both = reduce(DataFrame.unionByName, parts)
-    sizes = both.groupBy("_src").agg(F.count(F.lit(1)).alias("_len"))
+    keys = both.select("_src", "doc_ord")  # documents themselves are moved once, in the last join
+    sizes = keys.groupBy("_src").agg(F.count(F.lit(1)).alias("_len"))
     sizes = sizes.withColumn("_step", F.max("_len").over(Window.partitionBy()).cast("double") / F.col("_len"))  # one row a corpus
-    both = both.join(F.broadcast(sizes), "_src")
     if scaled:
-        ranked = reduce(DataFrame.unionByName, [number_rows(both.where(F.col("_src") == i), F.col("doc_ord"), name="_at") for i in range(len(corpora))])
-        ranked = ranked.withColumn("_progress", F.col("_at") / F.col("_len"))
+        ranked = reduce(DataFrame.unionByName, [number_rows(keys.where(F.col("_src") == i), F.col("doc_ord"), name="_at") for i in range(len(corpora))])
+        ranked = ranked.join(F.broadcast(sizes), "_src").withColumn("_progress", F.col("_at") / F.col("_len"))
     else:
         before = Window.partitionBy("_src").orderBy("doc_ord").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = both.withColumn("_progress", F.coalesce(F.sum("_step").over(before), F.lit(0.0)))
-    out = number_rows(ranked, F.col("_progress"), "_src", "doc_ord", name="pos")
+        ranked = keys.join(F.broadcast(sizes), "_src").withColumn("_progress", F.coalesce(F.sum("_step").over(before), F.lit(0.0)))
+    placed = number_rows(ranked.select("_src", "doc_ord", "_progress"), F.col("_progress"), "_src", "doc_ord", name="pos").select("_src", "doc_ord", "pos")
+    out = both.join(placed, ["_src", "doc_ord"])
     return out.withColumn("doc_ord", F.col("pos")).select(*corpora[0].columns, "pos")
 
 
 def subset(corpus: DataFrame, size: int, offset: int = 0, *, skip_invalid: bool = False) -> DataFrame:
     """size documents in order after the first offset ones; skip_invalid counts valid documents only, for both."""
     rows = corpus.where("error is null") if skip_invalid else corpus
-    return rows.orderBy("doc_ord").offset(offset).limit(size)
+    numbered = number_rows(rows.select("doc_ord"), F.col("doc_ord"), name="_row").where(F.col("_row").between(offset, offset + size - 1))
+    return rows.join(numbered.select("doc_ord"), "doc_ord", "left_semi").select(*corpus.columns)
 
 
 def subsample(corpus: DataFrame, p: float, seed: int = 1234, *, skip_invalid: bool = False) -> DataFrame:
@@ -89,7 +91,7 @@ def split(corpus: DataFrame, set1_size: float, seed: int = 1234) -> tuple[DataFr
     and the rest."""
     n = corpus.count()
     k = min(n, int(set1_size)) if set1_size > 1 else int(set1_size * n)
-    ranked = number_rows(corpus, portable_hash(seed, F.col("doc_ord")), "doc_ord", name="_rank")
+    ranked = number_rows(corpus, portable_hash(seed, F.col("doc_ord")), "doc_ord", name="_rank", unique=("doc_ord",))
     return ranked.where(F.col("_rank") < k).select(*corpus.columns), ranked.where(F.col("_rank") >= k).select(*corpus.columns)
 
 
@@ -101,7 +103,19 @@ def names(corpus: DataFrame) -> DataFrame:
 def shuffle(corpus: DataFrame, seed: int = 999, *, keep_archive_names: bool = False) -> DataFrame:
     """All documents in a seeded random order: adds pos from 0, which becomes doc_ord. keep_archive_names puts the
     archive before the name, as archive__name."""
-    out = number_rows(corpus, portable_hash(seed, F.col("doc_ord")), "doc_ord", name="pos")
+    out = number_rows(corpus, portable_hash(seed, F.col("doc_ord")), "doc_ord", name="pos", unique=("doc_ord",))
+    if keep_archive_names:
+        out = out.withColumn("doc_name", F.concat_ws("__", "archive", "doc_name"))
+    return out.withColumn("doc_ord", F.col("pos")).select(*corpus.columns, "pos")
+
+
+def shuffle_linear(corpus: DataFrame, seed: int = 999, *, bin_size: int = 100, num_bins: int = 0, keep_archive_names: bool = False) -> DataFrame:
+    """Documents dealt, in order, to bins at random, and put in a random order inside each bin, bin after bin: adds pos
+    from 0, which becomes doc_ord. There are num_bins bins or, if that is 0, enough for bin_size documents in each."""
+    bins = num_bins or max(1, -(-corpus.count() // bin_size))
+    at = portable_hash(f"{seed}:bin", F.col("doc_ord")) % bins
+    keyed = corpus.withColumn("_inside", portable_hash(seed, F.col("doc_ord")))
+    out = number_rows(keyed, at, "_inside", "doc_ord", name="pos", unique=("doc_ord",))
     if keep_archive_names:
         out = out.withColumn("doc_name", F.concat_ws("__", "archive", "doc_name"))
     return out.withColumn("doc_ord", F.col("pos")).select(*corpus.columns, "pos")

@@ -6,11 +6,12 @@ import traceback
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..workers import ship
+from ..workers import map_arrow
 
 
 class StopProcessing(Exception):
@@ -73,11 +74,11 @@ def map_documents(corpus: DataFrame, plan: MapPlan) -> DataFrame:
                 return [one(state, d) for d in docs]
             return [{"error": {"module_name": plan.name, "error_info": traceback.format_exc()}}] * len(docs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = plan.set_up()
         try:
             for batch in batches:
-                rows = batch.to_dict("records")
+                rows = batch.to_pylist()
                 results: list[dict | None] = [None] * len(rows)
                 good = [i for i, r in enumerate(rows) if r["error"] is None]
                 for at in range(0, len(good), plan.batch_docs):
@@ -89,12 +90,12 @@ def map_documents(corpus: DataFrame, plan: MapPlan) -> DataFrame:
                     r = {"error": row["error"]} if row["error"] is not None else results[i]
                     if r is not None:
                         out.append({k: row[k] for k in keys} | {c: r.get(c) for c in columns} | {"error": r["error"]})
-                yield pd.DataFrame(out, columns=[*keys, *columns, "error"])
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
         finally:
             plan.tear_down(state)
 
-    ship(corpus.sparkSession)
-    return corpus.mapInPandas(run, schema)
+    arrow = to_arrow_schema(corpus.sparkSession.createDataFrame([], schema).schema)
+    return map_arrow(corpus, run, schema)
 
 
 def count_by_status(corpus: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import number_rows, quantile_cuts
+from ..model import number_rows
 from ..workers import map_arrow
 
 #: Vocabularies up to this many entries go to the workers as one table that is looked up in place; larger ones are
@@ -38,6 +38,38 @@ def token_rows(corpus: DataFrame, column: str = "sentences") -> DataFrame:
     return corpus.where("error is null").select("doc_ord", F.posexplode(F.flatten(F.col(column))).alias("pos", "token"))
 
 
+def _counted(corpus: DataFrame, column: str) -> DataFrame:
+    """token, df, n, doc_ord, pos: for each batch of valid documents its tokens, the documents and places that have
+    them, and the first place. A document is one row, so only a batch's different tokens are ever moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.column(1)
+            sentences = docs.flatten()
+            tokens = sentences.flatten()
+            outer = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(docs), 0).to_numpy(zero_copy_only=False))))
+            inner = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(sentences), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+            ends = inner[outer]  # tokens before each document
+            coded = tokens.dictionary_encode()
+            valid = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+            word = coded.indices.fill_null(0).to_numpy()[valid].astype(np.int64)
+            if not len(word):
+                continue
+            place = np.flatnonzero(valid)
+            doc = np.searchsorted(ends, place, "right") - 1
+            cell, first = np.unique(word * (len(ends)) + doc, return_index=True)
+            df = np.bincount(cell // len(ends), minlength=len(coded.dictionary))
+            n = np.bincount(word, minlength=len(coded.dictionary))
+            ids = batch.column(0).to_numpy()
+            at = first[np.lexsort((place[first] - ends[doc[first]], ids[doc[first]], word[first]))]
+            at = at[np.concatenate(([True], np.diff(word[at]) != 0))]  # of each word, in its order
+            some = word[at]
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(some)), pa.array(df[some]), pa.array(n[some]), pa.array(ids[doc[at]]), pa.array((place[at] - ends[doc[at]]).astype(np.int64))], ["token", "df", "n", "doc_ord", "pos"])
+
+    rows = corpus.where("error is null").select(F.col("doc_ord").cast("bigint").alias("doc_ord"), F.col(column).alias("s"))
+    return map_arrow(rows, run, "token string, df bigint, n bigint, doc_ord bigint, pos bigint")
+
+
 def build(
     corpus: DataFrame, *, threshold: int = 0, max_prop: float = 1.0, limit: int | None = None, include: list[str] | None = None, oov: str | None = None, stopwords: DataFrame | None = None, column: str = "sentences"
 ) -> Vocab:
@@ -48,13 +80,11 @@ def build(
     end with df 0, unless they are stopwords; oov adds a term whose df is the number of documents with a token
     outside. Counts are exact: nothing is pruned while counting.
     """
-    rows = token_rows(corpus, column)
     n_docs = corpus.where("error is null").agg(F.count(F.lit(1)).alias("n"))
-    given = (stopwords.select("token") if stopwords is not None else rows.select("token").limit(0)).distinct()
-    counted = rows.join(given, "token", "left_anti") if stopwords is not None else rows
-    # one row a document and token first: the second aggregation then only adds ones
-    once = counted.groupBy("token", "doc_ord").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
-    words = once.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("doc_ord", "pos")).alias("first"), F.sum("n").alias("_n"))
+    words = _counted(corpus, column).groupBy("token").agg(F.sum("df").alias("df"), F.min(F.struct("doc_ord", "pos")).alias("first"), F.sum("n").alias("_n"))
+    given = (stopwords.select("token") if stopwords is not None else words.select("token").limit(0)).distinct()
+    if stopwords is not None:
+        words = words.join(given, "token", "left_anti")
     stats = words.agg(F.sum("_n").alias("num_pos"), F.sum("df").alias("num_nnz")).crossJoin(n_docs.withColumnRenamed("n", "num_docs")).select("num_docs", F.coalesce("num_pos", F.lit(0)).alias("num_pos"), F.coalesce("num_nnz", F.lit(0)).alias("num_nnz"))
     most = F.floor(F.col("n") * F.lit(float(max_prop)))
     judged = words.crossJoin(F.broadcast(n_docs)).withColumn("_most", most)  # one row
@@ -65,8 +95,7 @@ def build(
     if limit is not None and limit <= ONE_TASK:
         out = kept.select((F.row_number().over(Window.orderBy("first")) - 1).alias("id"), "token", "df")
     else:
-        cuts = quantile_cuts(corpus, F.col("doc_ord"))
-        out = number_rows(kept, F.col("first")["doc_ord"], "first", name="id", cuts=cuts).select("id", "token", "df")
+        out = number_rows(kept, F.col("first"), name="id").select("id", "token", "df")
     stop = given.unionByName(frequent).distinct()
     if include:
         spark = corpus.sparkSession
@@ -119,6 +148,7 @@ def _lookup(corpus: DataFrame, table: DataFrame, key: str, value: str, column: s
             rows = rows.withColumn("_got", F.transform("_got", lambda s: F.transform(s, lambda w: F.coalesce(w, F.lit(missing).cast(kind)))))
         if drop_empty:
             rows = rows.withColumn("_got", F.filter("_got", lambda s: F.size(s) > 0))
+    rows = rows.withColumn("_got", F.when(F.col("error").isNull(), F.col("_got")))  # invalid documents have no payload
     if fail is not None:
         lost = F.exists("_got", lambda s: F.exists(s, lambda w: w.isNull()))
         bad = F.struct(F.lit(fail).alias("module_name"), F.lit("id outside the vocabulary").alias("error_info"))
@@ -163,10 +193,10 @@ def _lookup_by_join(corpus: DataFrame, table: DataFrame, key: str, value: str, c
     empty = flat.where(F.size("_x") == 0).select("archive", "doc_name", "doc_ord", "_s", F.lit(None).cast("int").alias("_w"), F.lit(None).cast(kind).alias("_v"))
     flat = flat.select("archive", "doc_name", "doc_ord", "_s", F.posexplode("_x").alias("_w", "_k"))
     found = flat.join(table.select(F.col(key).alias("_k"), F.col(value).alias("_v")), "_k", "left").select("archive", "doc_name", "doc_ord", "_s", "_w", "_v").unionByName(empty)
-    by_doc = found.groupBy("archive", "doc_name", "doc_ord").agg(F.array_sort(F.collect_list(F.struct("_s", "_w", "_v"))).alias("_cells"))
-    count_s = F.coalesce(F.element_at("_cells", -1)["_s"] + 1, F.lit(0))
-    got = F.transform(F.sequence(F.lit(0), count_s - 1), lambda i: F.transform(F.filter("_cells", lambda c: (c["_s"] == i) & c["_w"].isNotNull()), lambda c: c["_v"]))
-    by_doc = by_doc.select("archive", "doc_name", "doc_ord", got.alias("_got"))
+    keys = ["archive", "doc_name", "doc_ord"]
+    by_sentence = found.groupBy(*keys, "_s").agg(F.array_sort(F.collect_list(F.when(F.col("_w").isNotNull(), F.struct("_w", "_v")))).alias("_cells"))
+    by_doc = by_sentence.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_s", F.transform("_cells", lambda c: c["_v"]).alias("x")))).alias("_got"))
+    by_doc = by_doc.select(*keys, F.transform("_got", lambda s: s["x"]).alias("_got"))
     rows = corpus.join(by_doc, ["archive", "doc_name", "doc_ord"], "left")
     rows = rows.withColumn("_got", F.coalesce("_got", F.when(F.col("error").isNull(), F.array().cast(f"array<array<{kind}>>"))))
     return rows

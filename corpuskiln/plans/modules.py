@@ -80,7 +80,14 @@ _map("text.simple_tokenize", lambda c, splitter=" ": text.simple_tokenize(c, spl
 _map("text.char_tokenize", text.char_tokenize, "text", "sentences")
 _map("text.text_normalize", lambda c, case=None, strip=False, blank_lines=False: text.text_normalize(c, case=case, strip_lines=strip, drop_blank=blank_lines), "text", "text", case=choice("upper", "lower", ""), strip=to_bool, blank_lines=to_bool)
 _map("text.normalize", text.token_normalize, "sentences", "sentences", case=choice("upper", "lower", ""), remove_empty=to_bool, remove_only_punct=to_bool, remove_punct=to_bool, remove_nums=to_bool, min_word_length=to_int, strict_compat=to_bool)
-_map("nltk.nist_tokenize", lambda c, lowercase=False, non_european=False: text.nist_tokenize(c, lowercase), "text", "sentences", lowercase=to_bool, non_european=to_bool)
+_map("nltk.nist_tokenize", lambda c, lowercase=False, non_european=False: text.nist_tokenize(c, lowercase), "text", "sentences", lowercase=to_bool, non_european=lambda x: false_only(x))
+
+
+def false_only(x: str) -> bool:
+    """For options that only their default is supported of."""
+    if to_bool(x):
+        raise ValueError("not supported")
+    return False
 
 
 def _format(spark, inputs, o):
@@ -120,8 +127,14 @@ def _shuffle(spark, inputs, o):
     return {"corpus": ops.group(mixed, o.get("archive_size", 1000), o.get("archive_basename", "archive"))}
 
 
-for _n in ("corpora.shuffle", "corpora.shuffle_linear"):
-    _add(_n, _shuffle, options={"seed": to_int, "keep_archive_names": to_bool, "archive_size": to_int, "archive_basename": str, "bin_size": to_int, "num_bins": to_int})
+def _shuffle_linear(spark, inputs, o):
+    mixed = ops.shuffle_linear(inputs["corpus"][0], o.get("seed", 999), bin_size=o.get("bin_size", 100), num_bins=o.get("num_bins", 0), keep_archive_names=o.get("keep_archive_names", False)).drop("pos")
+    return {"corpus": ops.group(mixed, o.get("archive_size", 1000), o.get("archive_basename", "archive"))}
+
+
+_SHUFFLE = {"seed": to_int, "keep_archive_names": to_bool, "archive_size": to_int, "archive_basename": str}
+_add("corpora.shuffle", _shuffle, options=_SHUFFLE)
+_add("corpora.shuffle_linear", _shuffle_linear, options=_SHUFFLE | {"bin_size": to_int, "num_bins": to_int})
 _add("corpora.corpus_stats", lambda s, i, o: {"stats": stats.corpus_stats(i["corpus"][0])}, outputs=("stats",), needs={"corpus": "sentences"})
 
 
@@ -188,7 +201,7 @@ def _lda(spark, inputs, o):
 _add("gensim.lda", _lda, outputs=("top_words", "doc_topics"), options={"num_topics": to_int, "iterations": to_int, "num_words": to_int}, needs={"corpus": "sentences"})
 _add("gensim.coherence", lambda s, i, o: {"coherence": features.coherence(i["corpus"][0], i["topics"][0], o.get("coherence", "u_mass"), window=o.get("window_size"))}, inputs=("corpus", "topics"), outputs=("coherence",), options={"coherence": choice("u_mass", "c_v", "c_uci", "c_npmi"), "window_size": to_int}, needs={"corpus": "sentences"})
 _add("regex.annotated_text", lambda s, i, o: {"matches": features.match_annotations(i["documents"][0], o["expr"])}, inputs=("documents",), outputs=("matches",), options={"expr": str}, required=("expr",), needs={"documents": "sentences"})
-_add("visualization.bar_chart", lambda s, i, o: {"data": sinks.chart_data([(r["label"], r["value"]) for x in i["values"] for r in x.select("label", "value").limit(1000).collect()], s)}, inputs=("values*",), outputs=("data",), options={"labels": to_list, "colors": to_list})
+_add("visualization.bar_chart", lambda s, i, o: {"data": sinks.chart_data([(r["label"], r["value"]) for x in i["values"] for r in x.select("label", "value").collect()], s)}, inputs=("values*",), outputs=("data",), options={"labels": to_list, "colors": to_list})
 _add("visualization.embeddings_plot", lambda s, i, o: {"data": models.reduce_dimensions(emb.most_frequent(i["vectors"][0].withColumn("source", F.lit("vectors")), o.get("words", 50), o.get("skip", 0)))}, inputs=("vectors",), outputs=("data",), options={"words": to_int, "skip": to_int, "metric": choice("cosine", "euclidean", "manhattan"), "reduction": str, "cmap": json.loads, "colors": to_list})
 
 

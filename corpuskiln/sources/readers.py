@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import europarl_lines, split_lines
-from ..model import ERROR_TYPE, error, from_table, no_error
+from ..model import ERROR_TYPE, error, from_table, no_error, number_in_files
 from ..workers import ship
 
 _RANGE = re.compile(r"^(?P<path>.+?)(?::(?P<a>\d+)-(?P<b>\d+)|:(?P<c>\d+)-|:-(?P<d>\d+))?$")
@@ -56,8 +56,8 @@ def _decoded(content: Column, encoding: str) -> Column:
 
 
 def _as_corpus(df: DataFrame, payload: dict[str, Column]) -> DataFrame:
-    """Rows (path, doc_name, ...) as a corpus in the order of paths; file lists are small, so one window orders them."""
-    ordered = df.withColumn("doc_ord", (F.row_number().over(Window.orderBy("path", "doc_name")) - 1).cast("bigint"))
+    """Rows (path, doc_name, ...), one a file, as a corpus in the order of paths."""
+    ordered = number_in_files(df.withColumn("_place", F.lit(0)), "_place")
     return ordered.select(F.lit("corpus").alias("archive"), "doc_name", "doc_ord", *[c.alias(n) for n, c in payload.items()], no_error().alias("error"))
 
 
@@ -89,7 +89,7 @@ def text_archives(spark: SparkSession, files: list[str], *, encoding: str = "utf
                 yield pd.DataFrame(rows, columns=["path", "doc_name", "at", "text"])
 
     found = raw.mapInPandas(run, "path string, doc_name string, at bigint, text string")
-    ordered = found.withColumn("doc_ord", F.row_number().over(Window.orderBy("path", "at")).cast("bigint") - 1)
+    ordered = number_in_files(found)
     return ordered.select(F.lit("corpus").alias("archive"), "doc_name", "doc_ord", "text", no_error().alias("error"))
 
 
@@ -126,7 +126,7 @@ def xml_files(spark: SparkSession, files: list[str], *, exclude: list[str] | Non
     base = F.element_at(F.split("path", "/"), -1)
     nth = F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1
     rows = rows.withColumn("_nth", nth).withColumn("doc_name", F.when(given != "", given).otherwise(F.when(F.col("_nth") > 0, F.concat_ws("-", base, "_nth")).otherwise(base)))
-    ordered = rows.withColumn("doc_ord", F.row_number().over(Window.orderBy("path", "at")).cast("bigint") - 1)
+    ordered = number_in_files(rows, "_nth")
     return ordered.select(F.lit("corpus").alias("archive"), "doc_name", "doc_ord", "text", no_error().alias("error"))
 
 
@@ -153,7 +153,7 @@ def vertical_text(spark: SparkSession, files: list[str], fields: list[str]) -> D
 
     sentences = F.transform(cut, lambda s: F.transform(F.filter(F.split(s, "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("<")), word))
     rows = rows.withColumn("sentences", F.filter(sentences, lambda s: F.size(s) > 0)).withColumn("doc_name", F.concat_ws("-", F.element_at(F.split("path", "/"), -1), "at"))
-    ordered = rows.withColumn("doc_ord", F.row_number().over(Window.orderBy("path", "at")).cast("bigint") - 1)
+    ordered = number_in_files(rows)
     return ordered.select(F.lit("corpus").alias("archive"), "doc_name", "doc_ord", "sentences", no_error().alias("error"))
 
 
@@ -277,7 +277,7 @@ def document_archives(spark: SparkSession, files: list[str], payload: str = "tex
     ship(spark)
     found = raw.mapInPandas(run, "path string, at bigint, doc_name string, body string")
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), "\\.[^.]*$", "")
-    ordered = found.withColumn("archive", name).withColumn("doc_ord", F.row_number().over(Window.orderBy("path", "at")).cast("bigint") - 1)
+    ordered = number_in_files(found).withColumn("archive", name)
     return ordered.select("archive", "doc_name", "doc_ord", F.col("body").alias(payload), no_error().alias("error"))
 
 

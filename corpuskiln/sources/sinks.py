@@ -15,7 +15,14 @@ from ..model import check_unique
 
 
 def store(corpus: DataFrame, path: str, *, append: bool = False, checked: bool = True) -> DataFrame:
-    """Writes a corpus and returns it as read back. A repeated name in an archive fails unless checked is off."""
+    """Writes a corpus and returns it as read back. A repeated name in an archive fails unless checked is off; what is
+    appended is checked against what is there as well."""
+    if checked and append:
+        jvm, conf = corpus.sparkSession._jvm, corpus.sparkSession._jsc.hadoopConfiguration()
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        if target.getFileSystem(conf).exists(target):
+            old = corpus.sparkSession.read.parquet(path).select("archive", "doc_name")
+            check_unique(old.unionByName(corpus.select("archive", "doc_name"))).write.format("noop").mode("overwrite").save()
     (check_unique(corpus) if checked else corpus).write.mode("append" if append else "overwrite").parquet(path)
     return corpus.sparkSession.read.parquet(path)
 

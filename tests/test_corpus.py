@@ -9,6 +9,7 @@ from corpuskiln import model
 from corpuskiln.operators import corpus as ops
 from corpuskiln.operators import embeddings as emb
 from corpuskiln.operators import features, mapping, stats, vocab
+from corpuskiln.sources import sinks
 
 
 def corpus(spark, docs, kind="string", column="text", archive="a"):
@@ -41,9 +42,16 @@ def test_number_rows_and_group(spark):
     r = random.Random(4)
     keys = [r.choice([None, *range(40)]) for _ in range(500)]
     df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k int").repartition(5)
-    got = {x.i: x.pos for x in model.number_rows(df, F.col("k"), "i", slices=16).collect()}
+    got = {x.i: x.pos for x in model.number_rows(df, F.col("k"), "i").collect()}
     want = sorted(range(500), key=lambda i: (keys[i] is not None, keys[i] or 0, i))
     assert [got[i] for i in want] == list(range(500))
+    joined = {x.i: x.pos for x in model.number_rows(df.withColumn("text", F.lit("t")), F.col("k"), "i", unique=("i",)).collect()}
+    assert joined == got
+    big = [(1 << 60) + i for i in range(10)]
+    ids = {x.i: x.pos for x in model.number_rows(spark.createDataFrame([(i,) for i in reversed(big)], "i bigint").repartition(3), F.col("i")).collect()}
+    assert ids == {i: k for k, i in enumerate(big)}  # beyond what a double tells apart
+    plan = model.number_rows(df.withColumn("text", F.lit("t")), F.col("k"), "i", unique=("i",))._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
     empty = model.number_rows(df.limit(0), F.col("k"))
     assert empty.count() == 0 and "pos" in empty.columns
     grouped = ops.group(corpus(spark, ["x"] * 25), 2, "g")
@@ -224,3 +232,45 @@ def test_map_documents(spark):
     assert [(r.doc_name, r.out, r.error.module_name if r.error else None) for r in got] == [("d0", "A", None), ("d1", None, "up"), ("d3", None, "m")]
     batch = mapping.MapPlan("b", "out string", process_batch=lambda s, docs: [{"out": d["text"] * 2} for d in docs])
     assert mapping.map_documents(c, batch).where("error is null").count() == 3
+
+
+def test_shuffle_linear(spark):
+    c = corpus(spark, [f"t{i}" for i in range(60)])
+    rows = ops.shuffle_linear(c, 3, bin_size=10).orderBy("pos").collect()
+    assert sorted(r.text for r in rows) == sorted(f"t{i}" for i in range(60)) and [r.pos for r in rows] == list(range(60))
+    assert [r.text for r in rows] != [f"t{i}" for i in range(60)]
+    assert [r.text for r in ops.shuffle_linear(c, 3, bin_size=10).orderBy("pos").collect()] == [r.text for r in rows]
+    one = ops.shuffle_linear(c, 3, num_bins=1).orderBy("pos").collect()
+    assert [r.text for r in one] == [r.text for r in ops.shuffle(c, 3).orderBy("pos").collect()]
+
+
+def test_lookup_branches_agree(spark, monkeypatch):
+    """A vocabulary sent to the workers and one joined give the same rows, invalid documents and empty sentences too."""
+    bad = ("m", "info")
+    rows = [("a", "1", 1, [["x", "y"], [], ["q"]], None), ("a", "2", 2, [["x"]], bad), ("a", "3", 3, [], None), ("a", "4", 4, None, bad)]
+    c = spark.createDataFrame(rows, "archive string, doc_name string, doc_ord bigint, sentences array<array<string>>, error struct<module_name:string,error_info:string>")
+    words = spark.createDataFrame([(0, "x", 1), (1, "y", 1)], "id int, token string, df bigint")
+    for oov in (None, "skip", "y"):
+        found = []
+        for limit in (1_000_000, 0):
+            monkeypatch.setattr(vocab, "TABLE_LIMIT", limit)
+            ids = vocab.map_tokens(c, words, oov)
+            found.append((sorted(map(str, ids.select("doc_name", "lists", "error").collect())), sorted(map(str, vocab.unmap_ids(ids, words).select("doc_name", "sentences", "error.module_name").collect()))))
+        assert found[0] == found[1]
+        assert "Row(doc_name='2', lists=None" in found[0][0][1]
+
+
+def test_map_keeps_integers(spark):
+    """A null integer reaches the function as None, others as int."""
+    seen = spark.createDataFrame([("a", "1", 1, 5, None), ("a", "2", 2, None, None)], "archive string, doc_name string, doc_ord bigint, n bigint, error struct<module_name:string,error_info:string>")
+    out = mapping.map_documents(seen, mapping.MapPlan("t", "kind string", lambda state, doc: {"kind": f"{type(doc['n']).__name__}"}))
+    assert [r.kind for r in out.orderBy("doc_ord").collect()] == ["int", "NoneType"]
+
+
+def test_append_is_checked(spark, tmp_path):
+    c = corpus(spark, ["x", "y"])
+    path = f"{tmp_path}/c"
+    sinks.store(c, path)
+    with pytest.raises(Exception, match="repeated document"):
+        sinks.store(c, path, append=True)
+    assert sinks.store(c.withColumn("doc_name", F.concat(F.lit("n"), "doc_name")), path, append=True).count() == 4
