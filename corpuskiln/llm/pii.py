@@ -1,10 +1,11 @@
 """Personal data: generators propose spans, boosted trees choose among them. DataFrame functions only.
 
 Spans of the four base kinds are fixed by pattern and check, and always stay. Wider generators propose more:
-obfuscated addresses, national phone numbers, numbered identities, bank accounts, and base matches that failed
-their check. Each candidate gets features of its format and context, all computed by Spark; boosted trees, fitted
-on the driver to a generated sample of fixed size, become one expression. A candidate is redacted if its calibrated
-probability reaches its kind's threshold and it overlaps no span chosen before.
+obfuscated addresses, national phone numbers, numbered identities, bank accounts, secrets (long tokens behind a key,
+known forms of keys, key blocks), and base matches that failed their check. Each candidate gets features of its format
+and context, all computed by Spark; boosted trees, fitted on the driver to a generated sample of fixed size, become
+one expression. A candidate is redacted if its calibrated probability reaches its kind's threshold, it overlaps no
+base span, and no candidate of a higher probability that is redacted overlaps it.
 """
 
 from __future__ import annotations
@@ -29,19 +30,25 @@ BASE = {
 _HINT = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": "\\+[0-9]"}
 #: Wider generators: what spans are called, pattern, hint. The number is the generator's feature.
 WIDE = {
-    "email": (4, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]++)++", "[(\\[{]at[)\\]}]"),
-    "phone": (5, r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])", "[0-9]{3}[ .-][0-9]{4}"),
+    "email": (4, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]++)++", "[(\\[{]at[)\\]}]"),
+    "phone": (5, r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,5}\)?(?:[ ./-][0-9]{2,4}){2,4}(?![0-9A-Za-z-])", "[0-9][) ./-]{1,2}[0-9]{2,4}[ ./-][0-9]{2}"),
     "identity": (6, r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "-[0-9]{2}-"),
     "account": (7, r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
+    "secret": (8, r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{16,}+(?:\.[A-Za-z0-9+/_-]{8,}+)*+=*+", "[A-Za-z0-9+/_-]{16}"),
 }
-ORDER = ["email", "ip", "card", "phone", "identity", "account"]
+ORDER = ["email", "ip", "card", "phone", "identity", "account", "secret"]
 #: Context words that speak for (by kind) or against a candidate.
 CONTEXT = {
     "email": "mail|write|contact|reach|address", "phone": "phone|tel|call|mobile|cell|fax|dial|text", "ip": "ip|host|server|address|login",
     "card": "card|visa|credit|debit|payment|master", "identity": "ssn|social|security|identity|passport|tax", "account": "iban|account|bank|transfer|konto",
+    "secret": "[a-z_-]*(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)s?",
 }
+#: What stands between a key's name and a secret.
+KEY_GAP = r"""["']?\s{0,2}(?:[=:]|=>|is)?\s{0,2}["'`]?$"""
+#: Forms that keys of well-known services have: fixed prefixes.
+KEY_FORM = r"^(?:AKIA|ASIA|AIza|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk_test_|rk_live_|sk-|eyJ)"
 AGAINST = "order|invoice|version|isbn|serial|part|model|section|page|item|ticket|build|case|ref|number of|total|sku"
-FEATURES = ["generator", "digits", "length", "luhn", "marks", "letters", "in_range", "context", "against", "left_alnum", "right_alnum", "groups", "spaces"]
+FEATURES = ["generator", "digits", "length", "luhn", "marks", "letters", "in_range", "context", "against", "left_alnum", "right_alnum", "groups", "spaces", "cases", "keyed", "form", "quoted", "hex"]
 THRESHOLD_PRECISION = 0.95
 
 
@@ -103,7 +110,7 @@ def candidates(text: Column) -> Column:
     near to one."""
     text = F.coalesce(text, F.lit(""))
     failed = {
-        "ip": lambda m: ~_octets(m) & (F.length(m) <= 19),
+        "ip": lambda m: ~_octets(m),
         "card": lambda m: F.length(_digits(m)).between(12, 19) & ~_luhn(_digits(m)),
         "phone": lambda m: F.length(_digits(m)).between(7, 8),
     }
@@ -118,12 +125,15 @@ def feature_values(x: Column) -> dict[str, Column]:
     near = F.lit(False)
     for k, words in CONTEXT.items():
         near = F.when(x["kind"] == k, before.rlike(rf"\b(?:{words})")).otherwise(near)
+    kinds = [m.rlike("[a-z]"), m.rlike("[A-Z]"), m.rlike("[0-9]"), m.rlike("[^A-Za-z0-9]")]
     n = F.length(_digits(m))
     values = {
         "generator": x["generator"], "digits": n, "length": F.length(m), "luhn": _luhn(_digits(m)), "marks": F.length(F.regexp_replace(m, "[A-Za-z0-9 ]", "")),
         "letters": F.length(F.regexp_replace(m, "[^A-Za-z]", "")), "in_range": F.coalesce(F.regexp_extract(m, r"^\(?([0-9]{3})", 1).try_cast("int").between(100, 899), F.lit(False)),
         "context": near, "against": before.rlike(rf"\b(?:{AGAINST})"), "left_alnum": before.rlike("[a-z0-9]$"), "right_alnum": x["after"].rlike("^[A-Za-z0-9]"),
         "groups": F.size(F.split(m, "[ .-]+")), "spaces": F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))),
+        "cases": reduce(lambda a, b: a + b, [k.cast("int") for k in kinds]), "keyed": before.rlike(rf"\b(?:{CONTEXT['secret']}){KEY_GAP}"),
+        "form": m.rlike(KEY_FORM), "quoted": before.rlike("""["'`]$"""), "hex": m.rlike("^[0-9a-f]+$") & kinds[0] & kinds[2],
     }
     return {k: values[k].cast("double") for k in FEATURES}
 
@@ -171,7 +181,7 @@ def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray) -> tup
     return best
 
 
-def boost(x: np.ndarray, y: np.ndarray, kinds: np.ndarray, *, rounds: int = 40, rate: float = 0.3) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, kinds: np.ndarray, *, rounds: int = 60, rate: float = 0.3) -> Trees:
     """Gradient boosting on logistic loss; every third row is left for calibration and thresholds."""
     held = np.arange(len(y)) % 3 == 2
     xt, yt = x[~held], y[~held].astype(float)
@@ -209,7 +219,7 @@ def boost(x: np.ndarray, y: np.ndarray, kinds: np.ndarray, *, rounds: int = 40,
     return model
 
 
-def sample_texts(n: int = 3000, seed: int = 6) -> list[tuple[str, int, int]]:
+def sample_texts(n: int = 5000, seed: int = 6) -> list[tuple[str, int, int]]:
     """Generated texts with one marked place each: (text, start, end of the personal data; -1 for a decoy)."""
     r = random.Random(seed)
     words = "the a of and to in that it was for on with as at by from this be are an or which had not but".split()
@@ -218,26 +228,44 @@ def sample_texts(n: int = 3000, seed: int = 6) -> list[tuple[str, int, int]]:
     area = lambda: str(r.randint(201, 899))
     lead = {"email": ["mail", "write to", "contact", "reach me:"], "phone": ["phone", "tel:", "call", "mobile", "fax"], "card": ["card", "visa", "credit card", "payment by"], "identity": ["SSN", "social security", "passport", "tax id"], "account": ["IBAN", "account", "bank transfer to"]}
     bad = ["order", "invoice", "version", "ISBN", "serial", "part", "model", "section", "ticket", "ref"]
+    hexa = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
+    mixed = lambda k: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(k))
+    lead |= {"secret": ["token", "api_key", "API-KEY", "password", "secret", "access_key", "auth_token", "passwd", "client_secret", "Bearer"], "ip": ["ip", "host", "server", "login from", "address"]}
     at, dot = ["(at)", "[at]", " (at) ", " [at] "], ["(dot)", "[dot]", ".", " [dot] "]
     make = {
         "email": lambda: f"{name()}.{name()}{r.choice(at)}{name()}{r.choice(dot)}{r.choice(['com', 'org', 'net'])}",
-        "phone": lambda: r.choice([f"({area()}) {num(3)}-{num(4)}", f"{area()}-{num(3)}-{num(4)}", f"{area()}.{num(3)}.{num(4)}"]),
+        "phone": lambda: r.choice([f"({area()}) {num(3)}-{num(4)}", f"{area()}-{num(3)}-{num(4)}", f"{area()}.{num(3)}.{num(4)}", f"0{num(2)} {num(4)} {num(4)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"0{num(3)}/{num(3)} {num(4)}"]),
         "card": lambda: r.choice([num(16), f"{num(4)} {num(4)} {num(4)} {num(4)}", f"{num(4)}-{num(4)}-{num(4)}-{num(4)}"]),
         "identity": lambda: f"{area()}-{r.randint(10, 99)}-{num(4)}",
+        "secret": lambda: r.choice([hexa(r.choice([32, 40, 64])), mixed(r.choice([20, 24, 32, 40])), "AKIA" + num(4) + "".join(r.choice("ABCDEFGHIJKLMNOP") for _ in range(12)), "ghp_" + mixed(36), "sk_live_" + mixed(24), f"eyJ{mixed(20)}.{mixed(40)}.{mixed(30)}"]),
+        "ip": lambda: ".".join(str(r.randint(0, 999)) for _ in range(3)) + f".{r.randint(256, 999)}",
         "account": lambda: r.choice(["DE", "FR", "GB", "ES", "NL"]) + num(2) + r.choice(["", " "]).join(["", num(4), num(4), num(4), num(4)]),
     }
     out = []
     for _ in range(n):
         kind = r.choice(list(make))
         body, true = make[kind](), r.random() < 0.5
+        if kind == "ip":
+            true = False  # an address whose parts are at most 255 is a base span already; others are versions or places
+        if kind == "secret":
+            # a form tells alone, a key's name before it as well; digests, names and paths are not secrets
+            bare = body.startswith(("AKIA", "ghp_", "sk_live_", "eyJ"))
+            if not true:
+                body = r.choice([hexa(40), hexa(64), "-".join(name() + name() for _ in range(3)), "/".join(name() for _ in range(5)), (name() + name() + name()).ljust(18, "e"), name() + "_" * 16, "-" * 20, num(18), "=".join([name() * 4, ""])])
+            gap = r.choice([' = "', ": ", "=", '": "', " ", " = '", "= "])
+            before = " ".join(r.choice(words) for _ in range(r.randint(3, 12))) + " "
+            before += (r.choice(lead[kind]) + gap) if true and (not bare or r.random() < 0.5) else r.choice(["", "commit ", "sha256 ", "sha1: ", "digest = ", "etag ", "checksum: ", "file ", "see ", 'id "', "path = "])
+            out.append((before + body + r.choice(['" ', " ", ", ", "' ", "### "]) + words[0], len(before) if true else -1, len(before) + len(body) if true else -1))
+            continue
         if kind in ("email", "account") and not true and r.random() < 0.7:
             body = r.choice([f"{name()} (at) {name()}.", f"AB{num(2)} {num(4)} {num(4)} {num(4)}", f"XX{num(2)}{num(12)}"])
-        if kind == "phone" and not true and r.random() < 0.3:
-            body = f"0{num(2)} {num(3)} {num(4)}"
+        if kind == "phone" and not true and r.random() < 0.5:
+            body = r.choice([f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}.{num(2)}.{num(4)}", f"{num(2)} {num(2)} {num(2)}", f"{num(3)} {num(3)} {num(3)}", f"{r.randint(1, 9)}{num(2)}.{num(3)}.{num(3)}"])
         cue = r.choice(lead[kind]) if true else r.choice([*bad, *words])
-        if true and kind in ("email", "phone", "identity") and r.random() < 0.3:
+        local = kind == "phone" and body.startswith("0")
+        if true and kind in ("email", "phone", "identity") and not local and r.random() < 0.3:
             cue = r.choice(words)  # its format alone tells
-        if not true and kind in ("email", "phone", "identity") and cue not in bad:
+        if not true and kind in ("email", "phone", "identity") and not local and cue not in bad:
             cue = r.choice(bad)  # without a cue against it, the same format is personal data
         before = " ".join(r.choice(words) for _ in range(r.randint(3, 12))) + f" {cue} "
         after = r.choice([" ", ". ", ", "]) + " ".join(r.choice(words) for _ in range(r.randint(2, 8)))
@@ -248,7 +276,7 @@ def sample_texts(n: int = 3000, seed: int = 6) -> list[tuple[str, int, int]]:
 _fitted: dict[int, Trees] = {}
 
 
-def fitted(spark: SparkSession, rows: int = 3000) -> Trees:
+def fitted(spark: SparkSession, rows: int = 5000) -> Trees:
     """Trees fitted to sample_texts(rows), once a process; the candidates' features come from the same expressions
     that score documents."""
     if rows not in _fitted:
@@ -263,17 +291,19 @@ def fitted(spark: SparkSession, rows: int = 3000) -> Trees:
 
 
 def chosen(found: Column, base: Column, model: Trees) -> Column:
-    """The candidates that the trees accept and that overlap neither base spans nor one another (first come)."""
+    """The candidates that the trees accept and that overlap neither base spans nor one another: of overlapping ones the
+    one of the highest calibrated probability (ties: the first)."""
     scored = F.transform(found, lambda x: F.struct(x.alias("x"), model.expression(list(feature_values(x).values())).alias("p")))
     good = F.filter(scored, lambda c: c["p"] >= _threshold(c["x"]["kind"], model))
     good = F.filter(good, lambda c: ~F.exists(base, lambda b: (b["s"] < c["x"]["e"]) & (c["x"]["s"] < b["e"])))
-    good = _by_place(F.transform(good, lambda c: c["x"]))
+    ranked = F.array_sort(F.transform(good, lambda c: F.struct((-c["p"]).alias("p"), c["x"]["s"].alias("s"), c["x"]["generator"].alias("g"), c["x"].alias("x"))))
+    ranked = F.transform(ranked, lambda c: c["x"])
 
     def step(a: Column, x: Column) -> Column:
         free = ~F.exists(a, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
         return F.when(free, F.concat(a, F.array(x))).otherwise(a)
 
-    return F.aggregate(good, F.filter(good, lambda x: F.lit(False)), step)
+    return F.aggregate(ranked, F.filter(ranked, lambda x: F.lit(False)), step)
 
 
 def _threshold(kind: Column, model: Trees) -> Column:
