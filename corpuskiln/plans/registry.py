@@ -12,6 +12,7 @@ from ..functions import codecs, strings, text
 from ..operators import corpus as ops
 from ..operators import embeddings as emb
 from ..operators import features, mapping, models, stats, vocab
+from ..scratch import scratch_path
 from ..sources import readers, sinks
 from . import sql
 
@@ -68,7 +69,7 @@ def simple_tokenize(spark, sf_dir):
 @query
 def char_tokenize(spark, sf_dir):
     chars = text.char_tokenize(F.col("text"))
-    return _doc_id(documents(spark, sf_dir), n_lines=F.size(chars).cast("long"), n_chars=F.size(F.flatten(chars)).cast("long"), first_line=F.array_join(F.get(chars, 0), "|"))
+    return _doc_id(documents(spark, sf_dir), n_lines=F.size(chars).cast("long"), n_chars=F.size(F.flatten(chars)).cast("long"), chars=text.join_sentences(chars))
 
 
 @query
@@ -120,14 +121,14 @@ def first_words_filter(spark, sf_dir):
 
 
 @query
-def format_documents(spark, sf_dir):
+def format_documents_truncated(spark, sf_dir):
     """Documents as shown by the formatter of their type, cut to 200 characters."""
     shown = text.truncate(text.format_document("segmented_lines", text.simple_tokenize(F.col("text"))), 200)
     return _doc_id(documents(spark, sf_dir), shown=shown)
 
 
 @query
-def format_documents_whole(spark, sf_dir):
+def format_documents(spark, sf_dir):
     """Documents as shown by the formatter of their type."""
     return _doc_id(documents(spark, sf_dir), shown=text.format_document("segmented_lines", text.simple_tokenize(F.col("text"))))
 
@@ -164,13 +165,7 @@ def line_similarity(spark, sf_dir):
 
 @query
 def name_filter(spark, sf_dir):
-    """Documents of some archives by name, a filter that reaches the scan."""
-    return documents(spark, sf_dir).where(F.col("archive").isin("src1", "src2") & (F.col("doc_ord") % 3 == 0)).select("archive", "doc_name", F.length("text").cast("long").alias("n_chars"))
-
-
-@query
-def name_prefix_filter(spark, sf_dir):
-    """Documents of some archives whose name begins with 1."""
+    """Documents of some archives whose name begins with 1, a filter that reaches the scan."""
     return documents(spark, sf_dir).where(F.col("archive").isin("src1", "src2") & F.col("doc_name").startswith("1")).select("archive", "doc_name", F.length("text").cast("long").alias("n_chars"))
 
 
@@ -223,7 +218,7 @@ def vocab_stats(spark, sf_dir):
 
 
 def _words(corpus: DataFrame) -> DataFrame:
-    return vocab.build(corpus, threshold=3, max_prop=0.5, limit=500).words
+    return vocab.build(corpus, threshold=3, max_prop=0.5).words
 
 
 def _ids_text(c: str) -> Column:
@@ -278,58 +273,6 @@ def doc2bow_missing(spark, sf_dir):
     return missing.groupBy(F.col("doc_ord").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_types"), F.sum("freq").alias("n_tokens"))
 
 
-def _every_word(corpus: DataFrame) -> DataFrame:
-    return vocab.build(corpus, threshold=3, max_prop=0.5).words
-
-
-@query
-def vocab_map_whole(spark, sf_dir):
-    corpus = tokenized(spark, sf_dir)
-    return _doc_id(vocab.map_tokens(corpus, _every_word(corpus)), ids=_ids_text("lists"))
-
-
-@query
-def vocab_map_skip_whole(spark, sf_dir):
-    corpus = tokenized(spark, sf_dir)
-    return _doc_id(vocab.map_tokens(corpus, _every_word(corpus), "skip"), ids=_ids_text("lists"))
-
-
-@query
-def vocab_unmap_whole(spark, sf_dir):
-    corpus = tokenized(spark, sf_dir)
-    words = _every_word(corpus)
-    return _doc_id(vocab.unmap_ids(vocab.map_tokens(corpus, words), words, "OOV"), text=text.join_sentences(F.col("sentences")))
-
-
-@query
-def vocab_count_whole(spark, sf_dir):
-    corpus = tokenized(spark, sf_dir)
-    words = _every_word(corpus)
-    return vocab.count(vocab.map_tokens(corpus, words), words, oov_excluded=True)
-
-
-@query
-def doc_bow_whole(spark, sf_dir):
-    corpus = tokenized(spark, sf_dir)
-    bow = vocab.bag_of_words(vocab.map_tokens(corpus, _every_word(corpus), "skip"), [0])
-    return bow.select(F.col("doc_ord").alias("doc_id"), "id", "freq")
-
-
-@query
-def tfidf_whole(spark, sf_dir):
-    corpus = tokenized(spark, sf_dir)
-    bow = vocab.bag_of_words(vocab.map_tokens(corpus, _every_word(corpus), "skip"))
-    return vocab.tfidf(bow, corpus.count()).select(F.col("doc_ord").alias("doc_id"), "id", F.round("w", 6).alias("w"))
-
-
-@query
-def doc2bow_missing_whole(spark, sf_dir):
-    """What the whole vocabulary lacks of each document."""
-    corpus = tokenized(spark, sf_dir)
-    missing = vocab.doc2bow(corpus, _every_word(corpus))[1]
-    return missing.groupBy(F.col("doc_ord").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_types"), F.sum("freq").alias("n_tokens"))
-
-
 @query
 def frequent_tokens(spark, sf_dir):
     """The 100 most frequent words of the vocabulary."""
@@ -392,6 +335,11 @@ def shuffle_corpus(spark, sf_dir):
     return ops.group(mixed, 100, "shuffled").select("pos", "archive", "doc_name")
 
 
+@query
+def shuffle_linear(spark, sf_dir):
+    return ops.shuffle_linear(documents(spark, sf_dir), bin_size=50).select("pos", "archive", "doc_name")
+
+
 @query
 def resume_after(spark, sf_dir):
     """The documents that a run stopped after document 120 of archive src0 has left."""
@@ -441,8 +389,7 @@ def _embeddings(spark, sf_dir) -> DataFrame:
 @query
 def embeddings_l2(spark, sf_dir):
     rows = emb.l2_normalize(_embeddings(spark, sf_dir))
-    first = F.get(F.col("vector"), 0)
-    return rows.select(F.col("idx").alias("vec_id"), F.round(emb.norm(F.col("vector")), 6).alias("norm"), F.round(first, 6).alias("first"))
+    return rows.select(F.col("idx").alias("vec_id"), F.round(emb.norm(F.col("vector")), 6).alias("norm"), F.posexplode("vector").alias("place", "x")).select("vec_id", "norm", F.col("place").cast("long").alias("place"), F.round("x", 5).alias("x"))
 
 
 @query
@@ -467,12 +414,6 @@ def embeddings_metadata(spark, sf_dir):
 
 @query
 def embeddings_concat(spark, sf_dir):
-    e = _embeddings(spark, sf_dir).drop("label")
-    return emb.concat([e.where("idx < 100"), e.withColumn("word", F.concat(F.lit("second_"), F.col("word")))]).select("idx", "word", "count")
-
-
-@query
-def embeddings_concat_whole(spark, sf_dir):
     """The whole table and the whole table with other names."""
     e = _embeddings(spark, sf_dir).drop("label")
     return emb.concat([e, e.withColumn("word", F.concat(F.lit("second_"), F.col("word")))]).select("idx", "word", "count")
@@ -494,14 +435,6 @@ def doc_embeddings(spark, sf_dir):
 
 @query
 def cooccurrence(spark, sf_dir):
-    corpus = tokenized(spark, sf_dir)
-    known = vocab.map_tokens(corpus, vocab.build(corpus, threshold=3, limit=200).words, "skip")
-    pairs = features.cooccurrence(known.select(F.flatten("lists").alias("tokens")), 5)
-    return pairs.select("w1", "w2", F.round("weight", 5).alias("weight"))
-
-
-@query
-def cooccurrence_whole(spark, sf_dir):
     """All words of the vocabulary, in the default window."""
     corpus = tokenized(spark, sf_dir)
     known = vocab.map_tokens(corpus, vocab.build(corpus, threshold=3).words, "skip")
@@ -665,3 +598,130 @@ def ranked_features(spark, sf_dir):
     by_lang, by_source, every = Window.partitionBy("lang"), Window.partitionBy("source"), Window.partitionBy()
     p = n.withColumn("pt", F.col("n") / F.sum("n").over(by_lang)).withColumn("pw", F.sum("n").over(by_source) / F.sum("n").over(every))
     return p.select("lang", "source", F.round(text.relevance(F.col("pt"), F.col("pw")), 6).alias("relevance"))
+
+
+# --- sources and sinks: what is written is read back ---
+
+
+def _folder(spark: SparkSession, label: str) -> str:
+    """A fresh mounted path in the shared folder."""
+    path = scratch_path(spark, label)
+    if not path.startswith("file:") and "://" in path:
+        raise RuntimeError("files one by one need a shared folder that is mounted")
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
+def _numbers(c: str) -> Column:
+    """A vector's numbers in ten-thousandths."""
+    return F.array_join(F.transform(c, lambda x: F.round(x.cast("double") * 10000).cast("long").cast("string")), " ")
+
+
+def _read_embeddings(e: DataFrame) -> DataFrame:
+    return e.select(F.col("idx").cast("long").alias("idx"), "word", F.col("count").cast("long").alias("count"), _numbers("vector").alias("numbers"))
+
+
+@query
+def store_corpus(spark, sf_dir):
+    back = sinks.store(documents(spark, sf_dir), scratch_path(spark, "corpus"))
+    return back.select("archive", "doc_name", "text", F.col("error").isNull().alias("valid"))
+
+
+@query
+def store_appended(spark, sf_dir):
+    """The documents, and then the passages, in one stored corpus."""
+    path = scratch_path(spark, "corpus")
+    sinks.store(documents(spark, sf_dir), path)
+    return sinks.store(passages(spark, sf_dir), path, append=True).select("archive", "doc_name", "text")
+
+
+@query
+def text_files_written(spark, sf_dir):
+    path = _folder(spark, "files")
+    sinks.text_corpus(passages(spark, sf_dir), path, suffix=".txt")
+    return readers.text_files(spark, [path]).select("doc_ord", "doc_name", "text")
+
+
+@query
+def text_files_lines(spark, sf_dir):
+    """Lines 2 to 3 of each document's file."""
+    path = _folder(spark, "files")
+    sinks.text_corpus(documents(spark, sf_dir), path, archive_dirs=True)
+    return readers.text_files(spark, [f"{path}:2-3"]).select("doc_name", "text")
+
+
+@query
+def text_archives_written(spark, sf_dir):
+    path = _folder(spark, "tars")
+    sinks.text_corpus(documents(spark, sf_dir), path, tar=True)
+    return readers.text_archives(spark, [f"{path}/*.tar"]).select("doc_name", "text")
+
+
+@query
+def xml_files_written(spark, sf_dir):
+    """The paragraphs of each page's file as documents."""
+    path = _folder(spark, "pages")
+    pages = table(spark, sf_dir, "pages")
+    sinks.text_corpus(model.from_table(pages, order="page_id", payload={"text": "html"}), path)
+    return readers.xml_files(spark, [path], node="p").select("doc_name", "text")
+
+
+@query
+def vertical_text_written(spark, sf_dir):
+    """Documents in vertical form, a word and its first letter a line, read with their sentences."""
+    path = _folder(spark, "vertical")
+    words = text.simple_tokenize(F.regexp_replace("text", "[<>]", ""))
+    lines = F.transform(words, lambda s: F.concat(F.lit("<sentence>\n"), F.array_join(F.transform(s, lambda w: F.concat_ws("\t", w, F.substring(w, 1, 1))), "\n"), F.lit("\n</sentence>")))
+    body = F.concat(F.lit("<text>\n"), F.array_join(lines, "\n"), F.lit("\n</text>\n"))
+    sinks.text_corpus(passages(spark, sf_dir).withColumn("text", body), path)
+    back = readers.vertical_text(spark, [path], ["word", "letter"])
+    return back.select(F.regexp_replace("doc_name", "-0$", "").alias("doc_name"), text.join_sentences(F.transform("sentences", lambda s: F.transform(s, lambda w: F.concat_ws("/", w["word"], w["letter"])))).alias("words"))
+
+
+@query
+def word2vec_written(spark, sf_dir):
+    path = f"{_folder(spark, 'vectors')}/v.bin"
+    sinks.store_word2vec(_embeddings(spark, sf_dir).drop("label"), path)
+    return _read_embeddings(readers.word2vec(spark, path))
+
+
+@query
+def embeddings_tsv_written(spark, sf_dir):
+    """The vectors' file of the TSV sink, line by line."""
+    path = scratch_path(spark, "tsv")
+    sinks.store_tsv(_embeddings(spark, sf_dir).drop("label"), path)
+    return spark.read.text(f"{path}/embeddings.tsv").select(_numbers(F.transform(F.split("value", "\t"), lambda x: x.cast("float"))).alias("numbers"))
+
+
+def _text_vectors(spark, sf_dir) -> DataFrame:
+    return _embeddings(spark, sf_dir).orderBy("idx").select(F.concat_ws(" ", "word", F.array_join(F.transform("vector", lambda x: x.cast("string")), " ")).alias("value"))
+
+
+@query
+def glove_file_read(spark, sf_dir):
+    path = scratch_path(spark, "glove")
+    _text_vectors(spark, sf_dir).coalesce(1).write.text(path)
+    return _read_embeddings(readers.glove_text(spark, path))
+
+
+@query
+def fasttext_file_read(spark, sf_dir):
+    """The first 50 vectors (the reader's limit) of a file with a header."""
+    path = scratch_path(spark, "fasttext")
+    e = _embeddings(spark, sf_dir)
+    header = e.agg(F.concat_ws(" ", F.count(F.lit(1)).cast("string"), F.max(F.size("vector")).cast("string")).alias("value"))
+    both = header.withColumn("k", F.lit(-1).cast("long")).unionByName(_text_vectors(spark, sf_dir).withColumn("k", F.substring_index(F.col("value"), " ", 1).substr(F.lit(2), F.lit(20)).cast("long")))
+    both.orderBy("k").select("value").coalesce(1).write.text(path)
+    return _read_embeddings(readers.fasttext_vec(spark, path, limit=50))
+
+
+@query
+def table_columns(spark, sf_dir):
+    """Two aligned corpora of a table's columns."""
+    cols = readers.table_columns(table(spark, sf_dir, "conversations").withColumn("row", F.col("conv_id") * 1000 + F.col("turn")), ["role", "text"], order="row")
+    return ops.align([cols["role"], cols["text"]], ["role_", "text_"]).select("doc_name", "role_text", "text_text")
+
+
+@query
+def labelled_corpora(spark, sf_dir):
+    docs, labels = readers.labelled_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), on="doc_id", label="quality")
+    return ops.align([docs, labels], ["", "l_"]).select("doc_name", "text", F.col("l_label").alias("label"))

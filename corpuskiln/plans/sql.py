@@ -33,7 +33,7 @@ kept AS (SELECT * FROM words WHERE df >= {threshold} AND df <= floor((SELECT cou
 v AS (SELECT row_number() OVER (ORDER BY fd, fp) - 1 AS id, token, df FROM kept)"""
 
 
-_V = _vocab(3, 0.5, 500)
+_V = _vocab(3, 0.5)
 #: m: doc_id, sent, pos, token, id (null outside)
 _M = f"""{_V},
 sents AS (SELECT doc_id, generate_subscripts(s, 1) AS sent, unnest(s) AS x FROM n),
@@ -50,7 +50,7 @@ _PUNCT = r"[^\p{L}\p{N}]"
 ORACLE_SQL: dict[str, str] = {
     "simple_tokenize": f"WITH {_T} SELECT doc_id, {_joined('s')} AS tokenized FROM t",
     "char_tokenize": f"""WITH c AS (SELECT doc_id, list_transform({_LINES}, lambda l: list_filter(string_split(l, ''), lambda c: c <> '')) AS s FROM documents)
-SELECT doc_id, CAST(len(s) AS BIGINT) AS n_lines, CAST(coalesce(list_sum(list_transform(s, lambda x: len(x))), 0) AS BIGINT) AS n_chars, array_to_string(s[1], '|') AS first_line FROM c""",
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_lines, CAST(coalesce(list_sum(list_transform(s, lambda x: len(x))), 0) AS BIGINT) AS n_chars, coalesce(array_to_string(list_transform(s, lambda x: coalesce(array_to_string(x, ' '), '')), chr(10)), '') AS chars FROM c""",
     "text_normalize": f"""SELECT doc_id, coalesce(array_to_string(list_filter(list_transform({_LINES.replace("text", "lower(text)")}, lambda l: {_strip('l')}), lambda l: l <> ''), chr(10)), '') AS text FROM documents""",
     "token_normalize": f"""WITH {_T}, c AS (SELECT doc_id, list_filter(list_transform(s, lambda x: list_filter(list_transform(x, lambda w: regexp_replace(regexp_replace(lower(w), '{_PUNCT}', '', 'g'), '[0-9]', '', 'g')), lambda w: len(w) >= 3)), lambda x: len(x) > 0) AS s FROM t)
 SELECT doc_id, {_joined('s')} AS tokenized FROM c""",
@@ -67,10 +67,9 @@ SELECT page_id, t[1] AS title, CAST(len(p) AS BIGINT) AS n_nodes, coalesce(array
 SELECT doc_id, {_joined('s')} AS tokenized FROM c""",
     "first_words_filter": f"""WITH {_T}, c AS (SELECT doc_id, list_transform(s, lambda x: list_concat(x[1:1], list_filter(x[2:], lambda w: NOT regexp_matches(w, '^[A-Z]')))) AS s FROM t)
 SELECT doc_id, {_joined('s')} AS tokenized FROM c""",
-    "format_documents": f"WITH {_T}, c AS (SELECT doc_id, {_joined('s', '/')} AS x FROM t) SELECT doc_id, CASE WHEN length(x) > 200 THEN substr(x, 1, 197) || '...' ELSE x END AS shown FROM c",
+    "format_documents_truncated": f"WITH {_T}, c AS (SELECT doc_id, {_joined('s', '/')} AS x FROM t) SELECT doc_id, CASE WHEN length(x) > 200 THEN substr(x, 1, 197) || '...' ELSE x END AS shown FROM c",
     "strip_punctuation": rf"SELECT doc_id, {_strip(r'''regexp_replace(regexp_replace(text, '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+', ' ', 'g')''')} AS text FROM documents",
     "segmented_round_trip": f"""WITH {_T} SELECT doc_id, CAST(coalesce(list_sum(list_transform(s, lambda x: len(x))), 0) AS BIGINT) AS n_tokens, {_joined("list_transform(s, lambda x: list_transform(x, lambda w: replace(w, '/', '@slash@')))", '/')} AS raw FROM t""",
-    "name_filter": "SELECT source AS archive, CAST(doc_id AS VARCHAR) AS doc_name, CAST(length(text) AS BIGINT) AS n_chars FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 3 = 0",
     "map_function": r"SELECT doc_id, CASE WHEN contains(text, chr(10)) THEN CAST(len(regexp_extract_all(text, '[^\s]+')) AS BIGINT) END AS n, NOT contains(text, chr(10)) AS is_invalid FROM documents",
     "corpus_stats": f"""WITH {_W}, per AS (SELECT doc_id, len(s) AS sents, coalesce(list_sum(list_transform(s, lambda x: len(x))), 0) AS tokens FROM n),
 ss AS (SELECT len(x) AS ts, coalesce(list_sum(list_transform(x, lambda y: length(y))), 0) + len(x) - 1 AS cs FROM (SELECT unnest(s) AS x FROM n)),
@@ -130,19 +129,14 @@ b AS (SELECT label, sum(new) OVER (ORDER BY conv_id, turn ROWS UNBOUNDED PRECEDI
 SELECT CAST(slice AS BIGINT) AS slice, label, count(*) AS n FROM b GROUP BY slice, label""",
     "conversation_turns": "SELECT conv_id, count(*) AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS text FROM conversations GROUP BY conv_id",
     "embeddings_l2": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), f AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e)
-SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x: (x / norm) * (x / norm)))), 6) AS norm, round(v[1] / norm, 6) AS first FROM f""",
+SELECT vec_id, 1.0::DOUBLE * round(sqrt(list_sum(list_transform(v, lambda x: (x / norm) * (x / norm)))), 6) AS norm, CAST(generate_subscripts(v, 1) - 1 AS BIGINT) AS place, round(unnest(v) / norm, 5) AS x FROM f""",
     "embeddings_cosine_topk": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 p AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
 SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, neighbour) AS rank, neighbour, similarity FROM p QUALIFY rank <= 5""",
     "embeddings_plot": """WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings ORDER BY vec_id * 7 % 101 DESC, vec_id LIMIT 20 OFFSET 5)
 SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.v, b.v), 5) AS distance FROM s a, s b WHERE a.vec_id < b.vec_id""",
     "embeddings_metadata": "SELECT 'w' || vec_id || chr(9) || (vec_id * 7 % 101) AS line FROM embeddings",
-    "embeddings_concat": """SELECT vec_id AS idx, 'w' || vec_id AS word, vec_id * 7 % 101 AS count FROM embeddings WHERE vec_id < 100
-UNION ALL SELECT vec_id + (SELECT count(*) FROM embeddings WHERE vec_id < 100), 'second_w' || vec_id, vec_id * 7 % 101 FROM embeddings""",
     "doc_embeddings": f"WITH {_vocab(5)} SELECT doc_id, count(*) AS n_tokens, count(v.token) AS n_known, coalesce(sum(v.df), 0)::DOUBLE AS df_sum FROM w LEFT JOIN v USING (token) GROUP BY doc_id",
-    "cooccurrence": f"""WITH {_vocab(3, 1.0, 200)}, k AS (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM w JOIN v USING (token)),
-pairs AS (SELECT a.id AS x, b.id AS y, 1.0::DOUBLE / (b.p - a.p) AS weight FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.p > a.p AND b.p <= a.p + 5)
-SELECT w1, w2, round(sum(weight), 5) AS weight FROM (SELECT x AS w1, y AS w2, weight FROM pairs UNION ALL SELECT y, x, weight FROM pairs) GROUP BY w1, w2""",
     "term_feature_matrix": f"""WITH {_N}, x AS (SELECT unnest(s) AS s FROM n), y AS (SELECT s, unnest(generate_series(1, len(s) - 1)) AS i FROM x WHERE len(s) > 1)
 SELECT s[i] AS term, s[i + 1] AS feature, count(*) AS n FROM y GROUP BY term, feature""",
     "dual_vocab": f"""WITH {_N}, x AS (SELECT unnest(s) AS s FROM n), y AS (SELECT s, unnest(generate_series(1, len(s) - 1)) AS i FROM x WHERE len(s) > 1)
@@ -160,8 +154,6 @@ SELECT term, feature, count(*) AS n FROM f WHERE substr(term, 1, 1) IN ('t', 'a'
     "ranked_features": """WITH n AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source),
 p AS (SELECT lang, source, n / sum(n) OVER (PARTITION BY lang) AS pt, sum(n) OVER (PARTITION BY source) / sum(n) OVER () AS pw FROM n)
 SELECT lang, source, round(0.6 * ln(pt) + 0.4 * ln(pt / pw), 6) AS relevance FROM p""",
-    "lda_doc_topics": "SELECT doc_id, CAST(4 AS BIGINT) AS n FROM documents",
-    "embeddings_reduced": "SELECT vec_id AS idx, CAST(2 AS BIGINT) AS n FROM embeddings",
 }
 
 _EURO = rf"""WITH a AS (SELECT doc_id, list_filter({_LINES}, lambda l: NOT starts_with(l, '<')) AS s FROM documents),
@@ -186,10 +178,28 @@ ORACLE_SQL["coherence_uci"] = f"{_WINDOWS} SELECT topic, round(avg({_PMI}), 6) A
 ORACLE_SQL["coherence_npmi"] = f"{_WINDOWS} SELECT topic, round(avg({_PMI} / -ln(nij / total + 1e-12)), 6) AS coherence FROM pn, total GROUP BY topic"
 ORACLE_SQL["missing_topic_words"] = f"WITH {_TOPICS} SELECT topic, word FROM topics WHERE word NOT IN (SELECT token FROM words WHERE df >= 3 AND df <= floor((SELECT count(*) FROM documents) * 0.2::DOUBLE))"
 
-#: The same over the whole vocabulary.
-for _name in ("vocab_map", "vocab_map_skip", "vocab_unmap", "vocab_count", "doc_bow", "tfidf", "doc2bow_missing"):
-    ORACLE_SQL[f"{_name}_whole"] = ORACLE_SQL[_name].replace(_V, _vocab(3, 0.5))
-ORACLE_SQL["format_documents_whole"] = f"WITH {_T} SELECT doc_id, {_joined('s', '/')} AS shown FROM t"
-ORACLE_SQL["name_prefix_filter"] = "SELECT source AS archive, CAST(doc_id AS VARCHAR) AS doc_name, CAST(length(text) AS BIGINT) AS n_chars FROM documents WHERE source IN ('src1', 'src2') AND starts_with(CAST(doc_id AS VARCHAR), '1')"
-ORACLE_SQL["embeddings_concat_whole"] = """SELECT vec_id AS idx, 'w' || vec_id AS word, vec_id * 7 % 101 AS count FROM embeddings
+ORACLE_SQL["format_documents"] = f"WITH {_T} SELECT doc_id, {_joined('s', '/')} AS shown FROM t"
+ORACLE_SQL["name_filter"] = "SELECT source AS archive, CAST(doc_id AS VARCHAR) AS doc_name, CAST(length(text) AS BIGINT) AS n_chars FROM documents WHERE source IN ('src1', 'src2') AND starts_with(CAST(doc_id AS VARCHAR), '1')"
+ORACLE_SQL["embeddings_concat"] = """SELECT vec_id AS idx, 'w' || vec_id AS word, vec_id * 7 % 101 AS count FROM embeddings
 UNION ALL SELECT vec_id + (SELECT count(*) FROM embeddings), 'second_w' || vec_id, vec_id * 7 % 101 FROM embeddings"""
+_BINS = "ceil((SELECT count(*) FROM documents) / 50.0)"
+ORACLE_SQL["shuffle_linear"] = f"""SELECT row_number() OVER (ORDER BY {_hash("999:bin", "doc_id")} % CAST({_BINS} AS BIGINT), {_hash(999, "doc_id")}, doc_id) - 1 AS pos, source AS archive, CAST(doc_id AS VARCHAR) AS doc_name FROM documents"""
+
+# sources and sinks
+_NUMBERS = "array_to_string(list_transform(embedding, lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 10000) AS BIGINT) AS VARCHAR)), ' ')"
+ORACLE_SQL["store_corpus"] = "SELECT source AS archive, CAST(doc_id AS VARCHAR) AS doc_name, text, true AS valid FROM documents"
+ORACLE_SQL["store_appended"] = "SELECT source AS archive, CAST(doc_id AS VARCHAR) AS doc_name, text FROM documents UNION ALL SELECT 'bench', CAST(item_id AS VARCHAR), text FROM benchmark"
+ORACLE_SQL["text_files_written"] = "SELECT row_number() OVER (ORDER BY CAST(item_id AS VARCHAR) || '.txt') - 1 AS doc_ord, item_id || '.txt' AS doc_name, text FROM benchmark"
+ORACLE_SQL["text_files_lines"] = f"SELECT CAST(doc_id AS VARCHAR) AS doc_name, coalesce(array_to_string(list_slice({_LINES}, 2, 3), chr(10)), '') AS text FROM documents"
+ORACLE_SQL["text_archives_written"] = "SELECT CAST(doc_id AS VARCHAR) AS doc_name, text FROM documents"
+ORACLE_SQL["xml_files_written"] = r"""WITH x AS (SELECT page_id, regexp_extract_all(html, '(?is)<p(?:\s[^>]*)?>(.*?)</p\s*>', 1) AS p FROM pages), y AS (SELECT page_id, generate_subscripts(p, 1) AS k, unnest(p) AS t FROM x)
+SELECT page_id || CASE WHEN k > 1 THEN '-' || (k - 1) ELSE '' END AS doc_name,
+replace(replace(replace(replace(replace(regexp_replace(t, '(?s)<!--.*?-->|<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&') AS text FROM y"""
+ORACLE_SQL["vertical_text_written"] = f"""WITH d AS (SELECT item_id, regexp_replace(text, '[<>]', '', 'g') AS text FROM benchmark), s AS (SELECT item_id, list_filter({_SENTENCES}, lambda x: len(x) > 0) AS s FROM d)
+SELECT CAST(item_id AS VARCHAR) AS doc_name, array_to_string(list_transform(s, lambda x: array_to_string(list_transform(x, lambda w: w || '/' || substr(w, 1, 1)), ' ')), chr(10)) AS words FROM s"""
+ORACLE_SQL["word2vec_written"] = f"SELECT vec_id AS idx, 'w' || vec_id AS word, vec_id * 7 % 101 AS count, {_NUMBERS} AS numbers FROM embeddings"
+ORACLE_SQL["embeddings_tsv_written"] = f"SELECT {_NUMBERS} AS numbers FROM embeddings"
+ORACLE_SQL["glove_file_read"] = f"SELECT vec_id AS idx, 'w' || vec_id AS word, (SELECT count(*) FROM embeddings) - 1 - vec_id AS count, {_NUMBERS} AS numbers FROM embeddings"
+ORACLE_SQL["fasttext_file_read"] = f"SELECT vec_id AS idx, 'w' || vec_id AS word, 49 - vec_id AS count, {_NUMBERS} AS numbers FROM embeddings WHERE vec_id < 50"
+ORACLE_SQL["table_columns"] = "SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS doc_name, role AS role_text, text AS text_text FROM conversations"
+ORACLE_SQL["labelled_corpora"] = "SELECT CAST(doc_id AS VARCHAR) AS doc_name, text, CAST(quality AS VARCHAR) AS label FROM documents JOIN labels USING (doc_id)"
