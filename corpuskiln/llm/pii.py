@@ -45,10 +45,11 @@ CONTEXT = {
 }
 #: What stands between a key's name and a secret.
 KEY_GAP = r"""["']?\s{0,2}(?:[=:]|=>|is)?\s{0,2}["'`]?$"""
+DATE = r"^(?:[0-9]{4}([./-])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./ -])[0-9]{2}\2(?:[0-9]{2}|[0-9]{4}))$"
 #: Forms that keys of well-known services have: fixed prefixes.
 KEY_FORM = r"^(?:AKIA|ASIA|AIza|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk_test_|rk_live_|sk-|eyJ)"
 AGAINST = "order|invoice|version|isbn|serial|part|model|section|page|item|ticket|build|case|ref|number of|total|sku"
-FEATURES = ["generator", "digits", "length", "luhn", "marks", "letters", "in_range", "context", "against", "left_alnum", "right_alnum", "groups", "spaces", "cases", "keyed", "form", "quoted", "hex"]
+FEATURES = ["generator", "digits", "length", "luhn", "marks", "letters", "in_range", "context", "against", "left_alnum", "right_alnum", "groups", "spaces", "cases", "keyed", "form", "quoted", "hex", "dated", "zero"]
 THRESHOLD_PRECISION = 0.95
 
 
@@ -134,6 +135,7 @@ def feature_values(x: Column) -> dict[str, Column]:
         "groups": F.size(F.split(m, "[ .-]+")), "spaces": F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))),
         "cases": reduce(lambda a, b: a + b, [k.cast("int") for k in kinds]), "keyed": before.rlike(rf"\b(?:{CONTEXT['secret']}){KEY_GAP}"),
         "form": m.rlike(KEY_FORM), "quoted": before.rlike("""["'`]$"""), "hex": m.rlike("^[0-9a-f]+$") & kinds[0] & kinds[2],
+        "dated": m.rlike(DATE), "zero": m.rlike(r"^\(?0"),
     }
     return {k: values[k].cast("double") for k in FEATURES}
 
