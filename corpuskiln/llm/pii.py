@@ -261,10 +261,12 @@ def sample_texts(n: int = 5000, seed: int = 6) -> list[tuple[str, int, int]]:
             continue
         if kind in ("email", "account") and not true and r.random() < 0.7:
             body = r.choice([f"{name()} (at) {name()}.", f"AB{num(2)} {num(4)} {num(4)} {num(4)}", f"XX{num(2)}{num(12)}"])
+        local = kind == "phone" and body.startswith("0")  # these formats don't tell alone
         if kind == "phone" and not true and r.random() < 0.5:
+            local = True  # dates and other numbers are none, whatever stands before them
             body = r.choice([f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}.{num(2)}.{num(4)}", f"{num(2)} {num(2)} {num(2)}", f"{num(3)} {num(3)} {num(3)}", f"{r.randint(1, 9)}{num(2)}.{num(3)}.{num(3)}"])
-        cue = r.choice(lead[kind]) if true else r.choice([*bad, *words])
-        local = kind == "phone" and body.startswith("0")
+        dated = kind == "phone" and not true and body[:2].isdigit() and len(body) == 10 and len(body.replace("-", ".").split(".")) == 3
+        cue = r.choice(lead[kind]) if true or (dated and r.random() < 0.5) else r.choice([*bad, *words])
         if true and kind in ("email", "phone", "identity") and not local and r.random() < 0.3:
             cue = r.choice(words)  # its format alone tells
         if not true and kind in ("email", "phone", "identity") and not local and cue not in bad:
