@@ -140,7 +140,7 @@ def _merge_blocks(blocks: DataFrame, buckets: int, done, schema: str = _BLOCK) -
         if held:
             yield from done(last, _together(held))
 
-    return map_arrow(blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, schema)
+    return map_arrow(blocks.repartitionById(buckets, "bucket").sortWithinPartitions("bucket"), run, schema)
 
 
 def _together(held: dict[int, list[bytes]]) -> dict[int, tuple[list[np.ndarray], np.ndarray]]:
