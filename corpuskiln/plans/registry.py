@@ -389,7 +389,7 @@ def _embeddings(spark, sf_dir) -> DataFrame:
 @query
 def embeddings_l2(spark, sf_dir):
     rows = emb.l2_normalize(_embeddings(spark, sf_dir))
-    return rows.select(F.col("idx").alias("vec_id"), F.round(emb.norm(F.col("vector")), 6).alias("norm"), F.posexplode("vector").alias("place", "x")).select("vec_id", "norm", F.col("place").cast("long").alias("place"), F.round("x", 5).alias("x"))
+    return rows.select(F.col("idx").alias("vec_id"), F.round(emb.norm(F.col("vector")), 6).alias("norm"), F.posexplode("vector").alias("place", "x")).select("vec_id", "norm", F.col("place").cast("long").alias("place"), F.round(F.col("x") * 100000).cast("long").alias("x"))
 
 
 @query

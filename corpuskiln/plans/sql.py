@@ -129,7 +129,7 @@ b AS (SELECT label, sum(new) OVER (ORDER BY conv_id, turn ROWS UNBOUNDED PRECEDI
 SELECT CAST(slice AS BIGINT) AS slice, label, count(*) AS n FROM b GROUP BY slice, label""",
     "conversation_turns": "SELECT conv_id, count(*) AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS text FROM conversations GROUP BY conv_id",
     "embeddings_l2": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), f AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e)
-SELECT vec_id, 1.0::DOUBLE * round(sqrt(list_sum(list_transform(v, lambda x: (x / norm) * (x / norm)))), 6) AS norm, CAST(generate_subscripts(v, 1) - 1 AS BIGINT) AS place, round(unnest(v) / norm, 5) AS x FROM f""",
+SELECT vec_id, 1.0::DOUBLE * round(sqrt(list_sum(list_transform(v, lambda x: (x / norm) * (x / norm)))), 6) AS norm, CAST(generate_subscripts(v, 1) - 1 AS BIGINT) AS place, CAST(round(unnest(v) / norm * 100000) AS BIGINT) AS x FROM f""",
     "embeddings_cosine_topk": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 p AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
 SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, neighbour) AS rank, neighbour, similarity FROM p QUALIFY rank <= 5""",
