@@ -38,9 +38,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def write_table(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet into the shared folder and returns the written table."""
+    return store(df, label)[0]
+
+
+def store(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As write_table, with the path, for drop()."""
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table when all that was made of it is stored itself, so that no lost task needs it again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def binary_list(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:

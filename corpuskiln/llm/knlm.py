@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_list, commit_file, hash_words, map_arrow, map_batches, mix64, open_file, scratch_path, write_table
+from ._common import binary_list, commit_file, drop, hash_words, map_arrow, map_batches, mix64, open_file, scratch_path, store
 
 #: Hashes of the end token and of the padding before a text.
 END, BEGIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0676A9A99)
@@ -41,14 +41,11 @@ def gram_hash(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def bucket_of(columns: list[np.ndarray], frequent: np.ndarray, buckets: int) -> np.ndarray:
+def bucket_of(columns: list[np.ndarray], hot: np.ndarray | None, buckets: int) -> np.ndarray:
     """An n-gram's bucket is that of its context, so that a context meets in one place; a unigram, or an n-gram whose
-    context is made of frequent words only, is dealt by its own hash."""
+    context is made of frequent words only (hot), is dealt by its own hash."""
     own = gram_hash(columns)
     if len(columns) > 1:
-        hot = np.ones(len(own), bool)
-        for c in columns[:-1]:
-            hot &= _among(c, frequent)
         own = np.where(hot, own, gram_hash(columns[:-1]))
     return ((own >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
@@ -59,37 +56,111 @@ def _among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
 
 
-def merge(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct n-grams in order of their words' hashes, and their summed counts."""
-    if len(columns[0]) == 0:
-        return columns, counts
-    order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0])
-    columns = [c[order] for c in columns]
-    new = np.concatenate(([True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])))
-    first = np.flatnonzero(new)
-    return [c[first] for c in columns], np.add.reduceat(counts[order], first)
-
-
-def pack(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
-    small = counts.max(initial=0) < 256
-    raw = b"".join([np.array([len(counts), len(columns), small], "<i8").tobytes(), *[c.tobytes() for c in columns], counts.astype("<u1" if small else "<i8").tobytes()])
-    return zstandard.compress(raw, 1)
+def index(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each element among them."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.concatenate((np.ones(min(1, len(x)), bool), ordered[1:] != ordered[:-1]))
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ordered[new], at
 
 
-def unpack(block: bytes) -> tuple[list[np.ndarray], np.ndarray]:
-    raw = zstandard.decompress(block)
-    n, k, small = np.frombuffer(raw, "<i8", 3).tolist()
-    columns = [np.frombuffer(raw, "<u8", n, 24 + 8 * n * i) for i in range(k)]
-    return columns, np.frombuffer(raw, "<u1" if small else "<i8", n, 24 + 8 * n * k).astype(np.int64)
-
-
-def _blocks(columns: list[np.ndarray], counts: np.ndarray, frequent: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    at = bucket_of(columns, frequent, buckets)
+@dataclass
+class Grams:
+    """Distinct n-grams with counts, in order: the hashes of their words, sorted, and for each place of an n-gram the
+    indices into these."""
+
+    words: np.ndarray
+    ids: list[np.ndarray]
+    counts: np.ndarray
+
+    def columns(self) -> list[np.ndarray]:
+        return [self.words[i] for i in self.ids]
+
+    def where(self, rows: np.ndarray) -> Grams:
+        return Grams(self.words, [i[rows] for i in self.ids], self.counts[rows])
+
+    def hot(self, frequent: np.ndarray) -> np.ndarray | None:
+        """Whether the context is made of frequent words only."""
+        among = _among(self.words, frequent)
+        return np.logical_and.reduce([among[i] for i in self.ids[:-1]]) if len(self.ids) > 1 else None
+
+
+def merge(words: np.ndarray, ids: list[np.ndarray], counts: np.ndarray | None = None) -> Grams:
+    """Distinct n-grams and their summed counts (without counts, each row counts once)."""
+    bits = max(1, len(words).bit_length())
+    n = len(ids[0])
+    if n == 0:
+        return Grams(words, ids, np.zeros(0, np.int64))
+    if bits * len(ids) > 63:  # too many words for one number
+        order = np.lexsort(ids[::-1])
+        ids = [i[order] for i in ids]
+        new = np.concatenate(([True], np.logical_or.reduce([i[1:] != i[:-1] for i in ids])))
+        first = np.flatnonzero(new)
+        ids = [i[first] for i in ids]
+        counts = None if counts is None else counts[order]
+    else:
+        key = ids[0].astype(np.int64)
+        for i in ids[1:]:
+            key = key << bits | i
+        if counts is None:
+            key = np.sort(key)
+        else:
+            order = np.argsort(key)
+            key, counts = key[order], counts[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        key = key[first]
+        ids = [key >> bits * (len(ids) - 1 - j) & (1 << bits) - 1 for j in range(len(ids))]
+    return Grams(words, ids, np.diff(np.append(first, n)) if counts is None else np.add.reduceat(counts, first))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones: equal high bytes compress to little."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _numbers(raw: memoryview, n: int, width: int) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, n * width).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(n)
+
+
+def pack(g: Grams) -> bytes:
+    """A block: its own words and the first place as differences, the other places as indices, the counts; compressed."""
+    if sum(len(i) for i in g.ids) < len(g.words):
+        used, at = np.unique(np.concatenate(g.ids), return_inverse=True)
+        words, ids = g.words[used], np.split(at, len(g.ids))
+    else:
+        seen = np.zeros(len(g.words), bool)
+        for i in g.ids:
+            seen[i] = True
+        at = np.cumsum(seen) - 1
+        words, ids = g.words[seen], [at[i] for i in g.ids]
+    width = next(w for w in (1, 2, 4, 8) if len(words) <= 1 << 8 * w)
+    size = next(w for w in (1, 2, 4, 8) if int(g.counts.max(initial=0)) < 1 << 8 * w)
+    ids = [i.astype(f"<u{width}") for i in ids]
+    ids[0] = np.diff(ids[0], prepend=ids[0].dtype.type(0))
+    head = np.array([len(g.counts), len(ids), len(words), width, size], "<i8").tobytes()
+    return zstandard.compress(b"".join([head, _planes(np.diff(words, prepend=np.uint64(0))), *map(_planes, ids), _planes(g.counts.astype(f"<u{size}"))]), 3)
+
+
+def unpack(block: bytes) -> Grams:
+    raw = memoryview(zstandard.decompress(block))
+    n, k, v, width, size = np.frombuffer(raw, "<i8", 5).tolist()
+    raw = raw[40:]
+    words = np.cumsum(_numbers(raw, v, 8), dtype=np.uint64)
+    ids = [_numbers(raw[8 * v + width * n * i :], n, width) for i in range(k)]
+    ids[0] = np.cumsum(ids[0], dtype=ids[0].dtype)
+    return Grams(words, [i.astype(np.int64) for i in ids], _numbers(raw[8 * v + width * n * k :], n, size).astype(np.int64))
+
+
+def _blocks(g: Grams, frequent: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    at = bucket_of(g.columns(), g.hot(frequent), buckets)
     order = np.argsort(at, kind="stable")
-    columns, counts = [c[order] for c in columns], counts[order]
+    g = g.where(order)
     present, first = np.unique(at[order], return_index=True)
     for b, i, j in zip(present.tolist(), first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
-        yield b, pack([c[i:j] for c in columns], counts[i:j])
+        yield b, pack(g.where(slice(i, j)))
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -101,19 +172,20 @@ def _count(texts: DataFrame, order: int, frequent: np.ndarray, buckets: int) ->
     """Blocks of the order-grams of texts (one column), with padding before each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            columns = [np.concatenate([h[i] for h in held]) for i in range(order)]
-            columns, counts = merge(columns, np.ones(len(columns[0]), np.int64))
-            return _rows([(b, order, x) for b, x in _blocks(columns, counts, frequent, buckets)])
+            words, at = index(np.concatenate(held))
+            length = np.array([len(h) for h in held])
+            start = np.arange(len(at) - len(held) * (order - 1))
+            start += np.repeat(np.arange(len(held)) * (order - 1), length - order + 1)  # no n-gram crosses texts
+            return _rows([(b, order, x) for b, x in _blocks(merge(words, [at[start + i] for i in range(order)]), frequent, buckets)])
 
         for batch in batches:
             for text in binary_list(batch.column(0)):
                 t = tokens(text)
-                padded = np.concatenate((np.full(order - 1, BEGIN), t))
-                held.append([padded[i : i + len(t)] for i in range(order)])
+                held.append(np.concatenate((np.full(order - 1, BEGIN), t)))
                 size += len(t)
                 if size >= SORT_TOKENS:
                     yield flush()
@@ -125,7 +197,7 @@ def _count(texts: DataFrame, order: int, frequent: np.ndarray, buckets: int) ->
 
 
 def _merge_blocks(blocks: DataFrame, buckets: int, done, schema: str = _BLOCK) -> DataFrame:
-    """done(bucket, columns, counts, blocks by kind) for each bucket, with all its blocks."""
+    """done(bucket, n-grams by kind) for each bucket, from all its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -143,11 +215,14 @@ def _merge_blocks(blocks: DataFrame, buckets: int, done, schema: str = _BLOCK) -
     return map_arrow(blocks.repartitionById(buckets, "bucket").sortWithinPartitions("bucket"), run, schema)
 
 
-def _together(held: dict[int, list[bytes]]) -> dict[int, tuple[list[np.ndarray], np.ndarray]]:
+def _together(held: dict[int, list[bytes]]) -> dict[int, Grams]:
     out = {}
     for kind, blocks in held.items():
         parts = [unpack(b) for b in blocks]
-        out[kind] = merge([np.concatenate([p[0][i] for p in parts]) for i in range(len(parts[0][0]))], np.concatenate([p[1] for p in parts]))
+        words = np.unique(np.concatenate([p.words for p in parts]))
+        places = [np.searchsorted(words, p.words) for p in parts]
+        ids = [np.concatenate([at[p.ids[i]] for at, p in zip(places, parts, strict=True)]) for i in range(len(parts[0].ids))]
+        out[kind] = merge(words, ids, np.concatenate([p.counts for p in parts]))
     return out
 
 
@@ -155,25 +230,37 @@ def _together(held: dict[int, list[bytes]]) -> dict[int, tuple[list[np.ndarray],
 _SUMS, _CONTEXT, _RAW = -1, -2, -3
 
 
+#: Numbers are stored as one byte; from this one on the byte stands for a number in the file of large ones.
+_LARGE = 255
+
+
 def _write(uri: str, keys: np.ndarray, columns: list[tuple[str, np.ndarray]]) -> None:
+    """Sorted keys with a byte for each number; and, if there are any, large numbers by column and row."""
     order = np.argsort(keys)
-    batch = pa.RecordBatch.from_arrays([pa.array(keys[order]), *[pa.array(c[order]) for _, c in columns]], ["key", *[n for n, _ in columns]])
+    numbers = [c[order] for _, c in columns]
+    rows = [np.flatnonzero(c >= _LARGE) for c in numbers]
+    if any(len(r) for r in rows):
+        place = np.repeat(np.arange(len(rows), dtype=np.int8), [len(r) for r in rows])
+        _write_batch(f"{uri}-large", ["column", "row", "number"], [place, np.concatenate(rows), np.concatenate([c[r].astype(np.int64) for c, r in zip(numbers, rows, strict=True)])])
+    _write_batch(uri, ["key", *[n for n, _ in columns]], [keys[order], *[np.minimum(c, _LARGE).astype(np.uint8) for c in numbers]])
+
+
+def _write_batch(uri: str, names: list[str], columns: list[np.ndarray]) -> None:
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     def write(sink) -> None:
         with pa.ipc.new_file(sink, batch.schema) as out:
             out.write_batch(batch)
 
-    commit_file(uri, write)
+    commit_file(f"{uri}.arrow", write)
 
 
-def _context_sums(columns: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _context_sums(g: Grams) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each context; its total and its numbers of n-grams with count 1, 2 and more."""
-    context = gram_hash(columns[:-1])
-    order = np.argsort(context)
-    context, counts = context[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-    sums = [np.add.reduceat(x.astype(np.int64), first) for x in (counts, counts == 1, counts == 2, counts > 2)]
-    return context[first], np.stack(sums)
+    new = np.concatenate(([True], np.logical_or.reduce([i[1:] != i[:-1] for i in g.ids[:-1]])))
+    first = np.flatnonzero(new)
+    sums = [np.add.reduceat(x.astype(np.int64), first) for x in (g.counts, g.counts == 1, g.counts == 2, g.counts > 2)]
+    return gram_hash([g.words[i[first]] for i in g.ids[:-1]]), np.stack(sums)
 
 
 def _count_of_counts(counts: np.ndarray) -> bytes:
@@ -221,13 +308,13 @@ def train(docs: DataFrame, *, order: int = 3, text_col: str = "text") -> Model:
     none = np.zeros(0, np.uint64)
 
     # words: counts by bucket; the frequent ones go to the driver, fewer than 4 * buckets of them
-    raw = write_table(_count(texts, 1, none, buckets), "words")
+    raw, raw_path = store(_count(texts, 1, none, buckets), "words")
 
     def sum_words(bucket: int, found: dict) -> Iterator[pa.RecordBatch]:
-        columns, counts = found[1]
-        yield _rows([(bucket, _RAW, pack(columns, counts)), (bucket, _SUMS, _count_of_counts(counts))])
+        yield _rows([(bucket, _RAW, pack(found[1])), (bucket, _SUMS, _count_of_counts(found[1].counts))])
 
-    words = write_table(_merge_blocks(raw, buckets, sum_words), "word-counts")
+    words, words_path = store(_merge_blocks(raw, buckets, sum_words), "word-counts")
+    drop(spark, raw_path)
     sums = sum((np.frombuffer(bytes(r.block), "<i8") for r in words.where(F.col("kind") == _SUMS).select("block").toLocalIterator()), np.zeros(6, np.int64))
     n_tokens, types = int(sums[4]), int(sums[5])
     least = max(2, n_tokens // (4 * buckets))
@@ -235,63 +322,69 @@ def train(docs: DataFrame, *, order: int = 3, text_col: str = "text") -> Model:
     def find_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.column(0).to_pylist():
-                (keys,), counts = unpack(block)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[counts >= least].view(np.int64))], ["key"])
+                g = unpack(block)
+                yield pa.RecordBatch.from_arrays([pa.array(g.words[g.ids[0][g.counts >= least]].view(np.int64))], ["key"])
 
     keys = map_arrow(words.where(F.col("kind") == _RAW).select("block"), find_frequent, "key bigint").collect()
     frequent = np.sort(np.append(np.array([r.key for r in keys], np.int64).view(np.uint64), BEGIN))
 
-    discount, hot = {}, {}
+    discount, hot, path = {}, {}, None
     blocks = _count(texts, order, frequent, buckets)
     for k in range(order, 1, -1):
 
         def merge_grams(bucket: int, found: dict, k: int = k) -> Iterator[pa.RecordBatch]:
-            columns, counts = found[k]
-            _write(f"{folder}/grams-{k}-{bucket:06d}.arrow", gram_hash(columns), [("count", counts.astype(np.uint32) if counts.max() < 1 << 32 else counts)])
-            hot_rows = np.logical_and.reduce([_among(c, frequent) for c in columns[:-1]])
-            rows = [(bucket, _SUMS, _count_of_counts(counts))]
+            g = found[k]
+            _write(f"{folder}/grams-{k}-{bucket:06d}", gram_hash(g.columns()), [("count", g.counts)])
+            hot_rows = g.hot(frequent)
+            rows = [(bucket, _SUMS, _count_of_counts(g.counts))]
             if (~hot_rows).any():
-                keys, sums = _context_sums([c[~hot_rows] for c in columns], counts[~hot_rows])
-                _write(f"{folder}/contexts-{k}-{bucket:06d}.arrow", keys, [(n, s.astype(np.uint32) if s.max() < 1 << 32 else s) for n, s in zip(("total", "n1", "n2", "n3"), sums, strict=True)])
+                keys, sums = _context_sums(g.where(~hot_rows))
+                _write(f"{folder}/contexts-{k}-{bucket:06d}", keys, list(zip(("total", "n1", "n2", "n3"), sums, strict=True)))
             if hot_rows.any():
-                keys, sums = _context_sums([c[hot_rows] for c in columns], counts[hot_rows])
-                rows.append((bucket, _CONTEXT, pack([keys, *sums.view(np.uint64)], np.zeros(len(keys), np.int64))))
+                keys, sums = _context_sums(g.where(hot_rows))
+                rows.append((bucket, _CONTEXT, zstandard.compress(np.vstack([keys.view(np.int64), sums]).tobytes())))
             # a suffix continues as many different first words as there are n-grams; at a text's start its own count counts
-            once = np.where(columns[1] == BEGIN, counts, 1) if k > 2 else np.ones(len(counts), np.int64)
-            rows += [(b, k - 1, x) for b, x in _blocks(*merge(columns[1:], once), frequent, buckets)]
+            once = np.where(g.words[g.ids[1]] == BEGIN, g.counts, 1) if k > 2 else np.ones(len(g.counts), np.int64)
+            rows += [(b, k - 1, x) for b, x in _blocks(merge(g.words, g.ids[1:], once), frequent, buckets)]
             yield _rows(rows)
 
-        made = write_table(_merge_blocks(blocks, buckets, merge_grams), f"grams-{k}")
+        made, made_path = store(_merge_blocks(blocks, buckets, merge_grams), f"grams-{k}")
+        if path:
+            drop(spark, path)
+        path = made_path
         sums, contexts = np.zeros(6, np.int64), []
         for r in made.where(F.col("kind") < 0).select("kind", "block").toLocalIterator():
             if r.kind == _SUMS:
                 sums = sums + np.frombuffer(bytes(r.block), "<i8")
             else:
-                contexts.append(unpack(bytes(r.block))[0])
+                contexts.append(np.frombuffer(zstandard.decompress(bytes(r.block)), "<i8").reshape(5, -1))
         discount[k] = discounts(sums)
         hot[k] = _sum_contexts(contexts)
         blocks = made.where(F.col("kind") == k - 1)
 
     def merge_words(bucket: int, found: dict) -> Iterator[pa.RecordBatch]:
-        (keys,), counts = found[_RAW]
+        (keys,), n = found[_RAW].columns(), found[1].counts
         follow = np.zeros(len(keys), np.int64)
-        (some,), n = found[1]
-        follow[np.searchsorted(keys, some)] = n
-        _write(f"{folder}/words-{bucket:06d}.arrow", keys, [("count", counts), ("follow", follow)])
+        follow[np.searchsorted(keys, found[1].columns()[0])] = n
+        _write(f"{folder}/words-{bucket:06d}", keys, [("count", found[_RAW].counts), ("follow", follow)])
         yield _rows([(bucket, _SUMS, _count_of_counts(n) + np.array([(n > 2).sum()], "<i8").tobytes())])
 
     last = _merge_blocks(blocks.unionByName(words.where(F.col("kind") == _RAW)), buckets, merge_words)
     sums = sum((np.frombuffer(bytes(r.block), "<i8") for r in last.collect()), np.zeros(7, np.int64))  # one row a bucket
+    for x in (path, words_path):
+        drop(spark, x)
     discount[1] = discounts(sums)
     return Model(order, folder, buckets, frequent, n_tokens, types, discount, int(sums[4]), np.array([sums[0], sums[1], sums[6]]), hot)
 
 
-def _sum_contexts(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _sum_contexts(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not parts:
         return np.zeros(0, np.uint64), np.zeros((4, 0), np.int64)
-    keys = np.concatenate([p[0] for p in parts])
-    unique, at = np.unique(keys, return_inverse=True)
-    sums = np.stack([np.bincount(at, weights=np.concatenate([p[i] for p in parts]).view(np.int64), minlength=len(unique)).astype(np.int64) for i in range(1, 5)])
+    together = np.concatenate(parts, axis=1)
+    unique, at = index(together[0].view(np.uint64))
+    sums = np.zeros((4, len(unique)), np.int64)
+    for i in range(4):
+        np.add.at(sums[i], at, together[i + 1])
     return unique, sums
 
 
@@ -301,11 +394,11 @@ class Reader:
     def __init__(self, model: Model):
         self.model, self.files = model, {}
 
-    def _open(self, name: str) -> tuple[np.ndarray, list[np.ndarray]] | None:
+    def _open(self, name: str) -> list[np.ndarray] | None:
         if name not in self.files:
             try:
                 batch = pa.ipc.open_file(open_file(f"{self.model.folder}/{name}.arrow")).get_batch(0)
-                self.files[name] = (batch.column(0).to_numpy(), [batch.column(i).to_numpy() for i in range(1, batch.num_columns)])
+                self.files[name] = [c.to_numpy() for c in batch.columns]
             except FileNotFoundError:
                 self.files[name] = None
         return self.files[name]
@@ -313,47 +406,68 @@ class Reader:
     def find(self, kind: str, keys: np.ndarray, bucket: np.ndarray, width: int) -> np.ndarray:
         """width numbers for each key; 0 where the array lacks it. Keys are looked up bucket by bucket, in order."""
         out = np.zeros((width, len(keys)), np.int64)
-        order = np.lexsort((keys, bucket))
+        order = np.argsort(bucket.astype(np.uint16) if self.model.buckets <= 1 << 16 else bucket, kind="stable")
         present, first = np.unique(bucket[order], return_index=True)
         for b, part in zip(present.tolist(), np.split(order, first[1:]), strict=True):
-            if (held := self._open(f"{kind}-{b:06d}")) is None or not len(held[0]):
+            name = f"{kind}-{b:06d}"
+            if (held := self._open(name)) is None or not len(held[0]):
                 continue
+            part = part[np.argsort(keys[part])]
             want = keys[part]
             at = np.minimum(np.searchsorted(held[0], want), len(held[0]) - 1)
             ok = held[0][at] == want
-            for i, column in enumerate(held[1][:width]):
-                out[i, part[ok]] = column[at[ok]]
+            part, at = part[ok], at[ok]
+            for i, column in enumerate(held[1 : width + 1]):
+                found = column[at].astype(np.int64)
+                large = np.flatnonzero(found == _LARGE)
+                if len(large):
+                    columns, rows, numbers = self._open(f"{name}-large")
+                    low, high = np.searchsorted(columns, [i, i + 1])
+                    found[large] = numbers[low:high][np.searchsorted(rows[low:high], at[large])]
+                out[i, part] = found
         return out
 
-    def words(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count and P(word) of the lowest order, for each token."""
+    def words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count and P(word) of the lowest order, for each word."""
         m = self.model
-        count, follow = self.find("words", t, bucket_of([t], m.frequent, m.buckets), 2)
+        count, follow = self.find("words", words, bucket_of([words], None, m.buckets), 2)
         uniform = 1.0 / (m.types + 1)
         if not m.continuations:
-            return count, np.full(len(t), uniform)
+            return count, np.full(len(words), uniform)
         d = m.discounts[1]
         left = float(d @ m.unigram_kinds) / m.continuations
         return count, np.maximum(follow - _discount(d, follow), 0) / m.continuations + left * uniform
 
-    def probabilities(self, columns: list[np.ndarray], lowest: np.ndarray) -> np.ndarray:
-        """P(last column | the columns before it), from the lowest order's P up."""
-        m, p = self.model, lowest
+    def probabilities(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The count of each token, and P(token | the order - 1 tokens before it) of all but the first order - 1 tokens.
+        Each distinct n-gram and context is looked up once."""
+        m = self.model
+        words, word_at = index(tokens)
+        count, p = (x[word_at] for x in self.words(words))
+        at, ids = word_at, [np.arange(len(words))]  # the n-gram that ends at each token; the words of each n-gram
+        frequent = _among(words, m.frequent)
+        hot = frequent  # whether the n-gram is made of frequent words only
         for k in range(2, m.order + 1):
-            gram, context = columns[m.order - k :], columns[m.order - k : -1]
-            key, ckey = gram_hash(gram), gram_hash(context)
-            at = bucket_of(gram, m.frequent, m.buckets)
-            (count,) = self.find(f"grams-{k}", key, at, 1)
-            sums = self.find(f"contexts-{k}", ckey, at, 4)
+            # what was an n-gram is the context now
+            key = gram_hash([words[i] for i in ids])
+            sums = self.find(f"contexts-{k}", key, ((key >> np.uint64(32)) % np.uint64(m.buckets)).astype(np.int64), 4)
             hot_keys, hot_sums = m.hot[k]
             if len(hot_keys):
-                i = np.minimum(np.searchsorted(hot_keys, ckey), len(hot_keys) - 1)
-                ok = hot_keys[i] == ckey
+                i = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
+                ok = hot_keys[i] == key
                 sums[:, ok] = hot_sums[:, i[ok]]
             d, total = m.discounts[k], np.maximum(sums[0], 1)
             left = (d[0] * sums[1] + d[1] * sums[2] + d[2] * sums[3]) / total
-            p = np.where(sums[0] > 0, np.maximum(count - _discount(d, count), 0) / total + left * p, p)
-        return p
+            context_at = at[:-1]
+            pairs, at = index(context_at << 32 | word_at[k - 1 :])
+            context, last = pairs >> 32, pairs & 0xFFFFFFFF
+            ids = [*[i[context] for i in ids], last]
+            gram = [words[i] for i in ids]
+            (n,) = self.find(f"grams-{k}", gram_hash(gram), bucket_of(gram, hot[context], m.buckets), 1)
+            hot = hot[context] & frequent[last]
+            own = np.maximum(n - _discount(d, n), 0) / total[context]
+            p = np.where(sums[0][context_at] > 0, own[at] + left[context_at] * p[1:], p[1:])
+        return count, p
 
 
 def _discount(d: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -377,9 +491,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             pad = m.order - 1
             padded = np.concatenate([np.concatenate((np.full(pad, BEGIN), p)) for p in parts])
             at = np.arange(size.sum()) + np.repeat(np.arange(len(parts)) + 1, size) * pad
-            columns = [padded[at - pad + i] for i in range(m.order)]
-            count, lowest = reader.words(columns[-1])
-            logs = np.log10(reader.probabilities(columns, lowest))
+            count, p = reader.probabilities(padded)
+            count, logs = count[at], np.log10(p[at - pad])
             base = np.log10((count + 0.5) / (m.train_tokens + 0.5 * (m.types + 1)))
             first = np.cumsum(size) - size
             return [size, np.add.reduceat((count > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(logs, first)]
