@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 
 from ._common import binary_list, commit_file, drop, hash_words, map_arrow, map_batches, mix64, open_file, scratch_path, store
 
-#: Hashes of the end token and of the padding before a text.
-END, BEGIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0676A9A99)
+#: Hash of the end token.
+END = np.uint64(0x2545F4914F6CDD1D)
+#: Ids of the padding before a text and of words that training has not seen. Known words have ids between, by bucket
+#: and rank within it, so that frequent words have small ids and blocks of ids compress well.
+BEGIN, UNKNOWN = np.uint64(0), np.uint64(2**64 - 1)
 #: n-gram tokens that are sorted at once.
 SORT_TOKENS = 1_500_000
 _BLOCK = "bucket int, kind int, block binary"
@@ -68,8 +71,8 @@ def index(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Grams:
-    """Distinct n-grams with counts, in order: the hashes of their words, sorted, and for each place of an n-gram the
-    indices into these."""
+    """Distinct n-grams with counts, in order: the ids of their words, sorted (of single words at first: hashes), and
+    for each place of an n-gram the indices into these."""
 
     words: np.ndarray
     ids: list[np.ndarray]
@@ -125,6 +128,17 @@ def _numbers(raw: memoryview, n: int, width: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(n)
 
 
+def word_ids(counts: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """Ids of a bucket's words: 1, 2, ... in turn over the buckets, the most frequent word of each first."""
+    ids = np.empty(len(counts), np.uint64)
+    ids[np.argsort(-counts, kind="stable")] = np.arange(len(counts), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket + 1)
+    return ids
+
+
+def _bucket_of_id(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return ((ids - np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+
+
 def pack(g: Grams) -> bytes:
     """A block: its own words and the first place as differences, the other places as indices, the counts; compressed."""
     if sum(len(i) for i in g.ids) < len(g.words):
@@ -154,8 +168,8 @@ def unpack(block: bytes) -> Grams:
     return Grams(words, [i.astype(np.int64) for i in ids], _numbers(raw[8 * v + width * n * k :], n, size).astype(np.int64))
 
 
-def _blocks(g: Grams, frequent: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    at = bucket_of(g.columns(), g.hot(frequent), buckets)
+def _blocks(g: Grams, at: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """A block for each bucket; at has the n-grams' buckets."""
     order = np.argsort(at, kind="stable")
     g = g.where(order)
     present, first = np.unique(at[order], return_index=True)
@@ -168,25 +182,34 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(x, pa.binary())], _NAMES)
 
 
-def _count(texts: DataFrame, order: int, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """Blocks of the order-grams of texts (one column), with padding before each text."""
+def _count(texts: DataFrame, order: int, frequent: np.ndarray, buckets: int, folder: str) -> DataFrame:
+    """Blocks of the order-grams of texts (one column), with padding before each text; of single words by hash, of
+    longer n-grams by the ids that folder has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size = 0
+        size, files = 0, Files(folder, buckets)
 
         def flush() -> pa.RecordBatch:
             words, at = index(np.concatenate(held))
-            length = np.array([len(h) for h in held])
-            start = np.arange(len(at) - len(held) * (order - 1))
-            start += np.repeat(np.arange(len(held)) * (order - 1), length - order + 1)  # no n-gram crosses texts
-            return _rows([(b, order, x) for b, x in _blocks(merge(words, [at[start + i] for i in range(order)]), frequent, buckets)])
+            if order == 1:
+                g = merge(words, [at])
+                return _rows([(b, 1, x) for b, x in _blocks(g, bucket_of(g.columns(), None, buckets))])
+            ids = np.append(files.ids(words), BEGIN)
+            by_id = np.argsort(ids)
+            place = np.empty(len(ids), np.int64)
+            place[by_id] = np.arange(len(ids))
+            length = np.array([len(h) for h in held]) + order - 1
+            start = np.arange(len(at)) + np.repeat(np.arange(len(held)) * (order - 1), length - order + 1)  # no n-gram crosses texts
+            padded = np.full(length.sum(), place[-1])
+            padded[start + order - 1] = place[at]
+            g = merge(ids[by_id], [padded[start + i] for i in range(order)])
+            return _rows([(b, order, x) for b, x in _blocks(g, bucket_of(g.columns(), g.hot(frequent), buckets))])
 
         for batch in batches:
             for text in binary_list(batch.column(0)):
-                t = tokens(text)
-                held.append(np.concatenate((np.full(order - 1, BEGIN), t)))
-                size += len(t)
+                held.append(tokens(text))
+                size += len(held[-1])
                 if size >= SORT_TOKENS:
                     yield flush()
                     held, size = [], 0
@@ -308,10 +331,14 @@ def train(docs: DataFrame, *, order: int = 3, text_col: str = "text") -> Model:
     none = np.zeros(0, np.uint64)
 
     # words: counts by bucket; the frequent ones go to the driver, fewer than 4 * buckets of them
-    raw, raw_path = store(_count(texts, 1, none, buckets), "words")
+    raw, raw_path = store(_count(texts, 1, none, buckets, folder), "words")
 
     def sum_words(bucket: int, found: dict) -> Iterator[pa.RecordBatch]:
-        yield _rows([(bucket, _RAW, pack(found[1])), (bucket, _SUMS, _count_of_counts(found[1].counts))])
+        keys, counts = found[1].columns()[0], found[1].counts
+        ids = word_ids(counts, bucket, buckets)
+        _write_batch(f"{folder}/ids-{bucket:06d}", ["key", "id"], [keys, ids.astype(np.uint32) if ids.max() < 1 << 32 else ids])
+        by_id = np.argsort(ids)
+        yield _rows([(bucket, _RAW, pack(Grams(ids[by_id], [np.arange(len(ids))], counts[by_id]))), (bucket, _SUMS, _count_of_counts(counts))])
 
     words, words_path = store(_merge_blocks(raw, buckets, sum_words), "word-counts")
     drop(spark, raw_path)
@@ -329,7 +356,7 @@ def train(docs: DataFrame, *, order: int = 3, text_col: str = "text") -> Model:
     frequent = np.sort(np.append(np.array([r.key for r in keys], np.int64).view(np.uint64), BEGIN))
 
     discount, hot, path = {}, {}, None
-    blocks = _count(texts, order, frequent, buckets)
+    blocks = _count(texts, order, frequent, buckets, folder)
     for k in range(order, 1, -1):
 
         def merge_grams(bucket: int, found: dict, k: int = k) -> Iterator[pa.RecordBatch]:
@@ -345,7 +372,9 @@ def train(docs: DataFrame, *, order: int = 3, text_col: str = "text") -> Model:
                 rows.append((bucket, _CONTEXT, zstandard.compress(np.vstack([keys.view(np.int64), sums]).tobytes())))
             # a suffix continues as many different first words as there are n-grams; at a text's start its own count counts
             once = np.where(g.words[g.ids[1]] == BEGIN, g.counts, 1) if k > 2 else np.ones(len(g.counts), np.int64)
-            rows += [(b, k - 1, x) for b, x in _blocks(merge(g.words, g.ids[1:], once), frequent, buckets)]
+            g = merge(g.words, g.ids[1:], once)
+            at = bucket_of(g.columns(), g.hot(frequent), buckets) if k > 2 else _bucket_of_id(g.columns()[0], buckets)
+            rows += [(b, k - 1, x) for b, x in _blocks(g, at)]
             yield _rows(rows)
 
         made, made_path = store(_merge_blocks(blocks, buckets, merge_grams), f"grams-{k}")
@@ -363,10 +392,10 @@ def train(docs: DataFrame, *, order: int = 3, text_col: str = "text") -> Model:
         blocks = made.where(F.col("kind") == k - 1)
 
     def merge_words(bucket: int, found: dict) -> Iterator[pa.RecordBatch]:
-        (keys,), n = found[_RAW].columns(), found[1].counts
-        follow = np.zeros(len(keys), np.int64)
-        follow[np.searchsorted(keys, found[1].columns()[0])] = n
-        _write(f"{folder}/words-{bucket:06d}", keys, [("count", found[_RAW].counts), ("follow", follow)])
+        (ids,), n = found[_RAW].columns(), found[1].counts
+        follow = np.zeros(len(ids), np.int64)
+        follow[np.searchsorted(ids, found[1].columns()[0])] = n
+        _write_batch(f"{folder}/words-{bucket:06d}", ["count", "follow"], [found[_RAW].counts, follow])
         yield _rows([(bucket, _SUMS, _count_of_counts(n) + np.array([(n > 2).sum()], "<i8").tobytes())])
 
     last = _merge_blocks(blocks.unionByName(words.where(F.col("kind") == _RAW)), buckets, merge_words)
@@ -388,16 +417,16 @@ def _sum_contexts(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return unique, sums
 
 
-class Reader:
-    """Looks hashes up in the mapped arrays of a model."""
+class Files:
+    """Looks up the mapped arrays of a model, which may still be in the making."""
 
-    def __init__(self, model: Model):
-        self.model, self.files = model, {}
+    def __init__(self, folder: str, buckets: int):
+        self.folder, self.buckets, self.files = folder, buckets, {}
 
     def _open(self, name: str) -> list[np.ndarray] | None:
         if name not in self.files:
             try:
-                batch = pa.ipc.open_file(open_file(f"{self.model.folder}/{name}.arrow")).get_batch(0)
+                batch = pa.ipc.open_file(open_file(f"{self.folder}/{name}.arrow")).get_batch(0)
                 self.files[name] = [c.to_numpy() for c in batch.columns]
             except FileNotFoundError:
                 self.files[name] = None
@@ -406,9 +435,7 @@ class Reader:
     def find(self, kind: str, keys: np.ndarray, bucket: np.ndarray, width: int) -> np.ndarray:
         """width numbers for each key; 0 where the array lacks it. Keys are looked up bucket by bucket, in order."""
         out = np.zeros((width, len(keys)), np.int64)
-        order = np.argsort(bucket.astype(np.uint16) if self.model.buckets <= 1 << 16 else bucket, kind="stable")
-        present, first = np.unique(bucket[order], return_index=True)
-        for b, part in zip(present.tolist(), np.split(order, first[1:]), strict=True):
+        for b, part in self._by_bucket(bucket):
             name = f"{kind}-{b:06d}"
             if (held := self._open(name)) is None or not len(held[0]):
                 continue
@@ -427,22 +454,49 @@ class Reader:
                 out[i, part] = found
         return out
 
-    def words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count and P(word) of the lowest order, for each word."""
+    def _by_bucket(self, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(bucket.astype(np.uint16) if self.buckets <= 1 << 16 else bucket, kind="stable")
+        present, first = np.unique(bucket[order], return_index=True)
+        return zip(present.tolist(), np.split(order, first[1:]), strict=False)
+
+    def ids(self, words: np.ndarray) -> np.ndarray:
+        """Ids of hashes in order; UNKNOWN for unseen ones."""
+        out = np.full(len(words), UNKNOWN)
+        for b, part in self._by_bucket(bucket_of([words], None, self.buckets)):
+            if (held := self._open(f"ids-{b:06d}")) is not None:
+                at = np.minimum(np.searchsorted(held[0], words[part]), len(held[0]) - 1)
+                ok = held[0][at] == words[part]
+                out[part[ok]] = held[1][at[ok]]
+        return out
+
+
+class Reader(Files):
+    """Probabilities by a finished model."""
+
+    def __init__(self, model: Model):
+        super().__init__(model.folder, model.buckets)
+        self.model = model
+
+    def words(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count and P(word) of the lowest order, for each word; rows of a bucket's array are in order of ids."""
         m = self.model
-        count, follow = self.find("words", words, bucket_of([words], None, m.buckets), 2)
+        count, follow = np.zeros((2, len(ids)), np.int64)
+        known = np.flatnonzero((ids != BEGIN) & (ids != UNKNOWN))
+        for b, part in self._by_bucket(_bucket_of_id(ids[known], m.buckets)):
+            part, held = known[part], self._open(f"words-{b:06d}")
+            row = (ids[part] - np.uint64(1)) // np.uint64(m.buckets)
+            count[part], follow[part] = held[0][row], held[1][row]
         uniform = 1.0 / (m.types + 1)
         if not m.continuations:
-            return count, np.full(len(words), uniform)
+            return count, np.full(len(ids), uniform)
         d = m.discounts[1]
         left = float(d @ m.unigram_kinds) / m.continuations
         return count, np.maximum(follow - _discount(d, follow), 0) / m.continuations + left * uniform
 
-    def probabilities(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The count of each token, and P(token | the order - 1 tokens before it) of all but the first order - 1 tokens.
-        Each distinct n-gram and context is looked up once."""
+    def probabilities(self, words: np.ndarray, word_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """words: ids; word_at: the place of each token among them. The count of each token, and P(token | the order - 1
+        tokens before it) of all but the first order - 1 tokens. Each distinct n-gram and context is looked up once."""
         m = self.model
-        words, word_at = index(tokens)
         count, p = (x[word_at] for x in self.words(words))
         at, ids = word_at, [np.arange(len(words))]  # the n-gram that ends at each token; the words of each n-gram
         frequent = _among(words, m.frequent)
@@ -489,9 +543,11 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             parts = [tokens(t) for t in texts]
             size = np.array([len(p) for p in parts], np.int64)
             pad = m.order - 1
-            padded = np.concatenate([np.concatenate((np.full(pad, BEGIN), p)) for p in parts])
+            words, word_at = index(np.concatenate(parts))
             at = np.arange(size.sum()) + np.repeat(np.arange(len(parts)) + 1, size) * pad
-            count, p = reader.probabilities(padded)
+            padded = np.full(len(at) + len(parts) * pad, len(words))
+            padded[at] = word_at
+            count, p = reader.probabilities(np.append(reader.ids(words), BEGIN), padded)
             count, logs = count[at], np.log10(p[at - pad])
             base = np.log10((count + 0.5) / (m.train_tokens + 0.5 * (m.types + 1)))
             first = np.cumsum(size) - size
