@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark, stored as sorted hash arrays that workers map.
 
-Counting packs many n-grams into a row: each batch of documents gives, for each bucket of contexts, the distinct
-n-grams with their counts as one compressed block. A bucket's task merges its blocks and writes two files into the
+Words are counted by hash and get ids. Counting packs many n-grams into a row: each batch of documents gives, for each
+bucket of contexts, the distinct n-grams with their counts as one compressed block. A bucket's task merges its blocks and writes two files into the
 shared folder: the n-grams' hashes with counts, and the contexts' hashes with the sums that discounting needs, both
 sorted. It also passes the suffixes on, as continuation counts of the next lower order. Scoring maps the files and
 finds hashes by binary search; the files are never loaded as a whole, and nothing of the corpus goes to the driver
