@@ -10,6 +10,8 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from test_overlap import alike, brute_set
+from test_pairs import brute_components
 
 from corpuskiln.llm import htmltree, knlm, mixing, ordinal, pii, queries, tokenstore
 
@@ -149,6 +151,32 @@ def test_language_model_equals_brute_force(spark, order):
         assert sum(p(order, context, w) for w in [*vocab, "unknown"]) == pytest.approx(1)
 
 
+def test_language_model_blocks():
+    r = np.random.default_rng(5)
+    for size, n, k in ((1, 5, 3), (200, 3000, 3), (70_000, 9000, 2), (300, 1, 1)):
+        words = np.sort(r.choice(1 << 62, size, replace=False)).astype(np.uint64)
+        ids = [r.integers(0, size, n) for _ in range(k)]
+        want = collections.Counter(zip(*(words[i].tolist() for i in ids), strict=True))
+        for extra in (None, r.integers(1, 1000, n)):
+            g = knlm.merge(words, ids, extra)
+            wide = knlm.merge(np.concatenate((words, np.arange(1 << 22, dtype=np.uint64) + words[-1])), ids, extra) if k == 3 else g
+            if extra is not None:
+                want = collections.Counter()
+                for row, c in zip(zip(*(words[i].tolist() for i in ids), strict=True), extra.tolist(), strict=True):
+                    want[row] += c
+            for x in (g, wide, knlm.unpack(knlm.pack(g)), knlm.unpack(knlm.pack(wide))):
+                rows = list(zip(*(c.tolist() for c in x.columns()), strict=True))
+                assert rows == sorted(want) and x.counts.tolist() == [want[i] for i in rows]
+
+
+def test_language_model_large_numbers(tmp_path):
+    keys = np.array([9, 3, 7, 1], np.uint64)
+    knlm._write(f"{tmp_path}/grams-2-000000", keys, [("a", np.array([254, 255, 256, 1 << 40])), ("b", np.array([0, 300, 1, 255]))])
+    files = knlm.Files(str(tmp_path), 1)
+    found = files.find("grams-2", np.array([1, 2, 3, 7, 9, 3], np.uint64), np.zeros(6, np.int64), 2)
+    assert found.tolist() == [[1 << 40, 0, 255, 256, 254, 255], [255, 0, 300, 1, 0, 300]]
+
+
 def test_language_model_edges(spark, odd, none):
     model = knlm.train(none)
     assert {r.score for r in knlm.score(odd, model).collect()} == {0.0}
@@ -392,7 +420,7 @@ def test_token_files_round_trip(spark, odd, none, tmp_path, tokenizer, seq_len):
 
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
-    from corpuskiln.llm import decontam, simhash
+    from corpuskiln.llm import decontam
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     good = corpus_pipeline.quality(spark, docs, sf).cache()
@@ -400,7 +428,8 @@ def test_pipeline_stages(spark, sf):
     assert good.columns == docs.columns and 0 < good.count() < docs.count()
     assert good.join(toxic, "doc_id", "left_semi").count() < toxic.count() / 3
     single = corpus_pipeline.near_duplicates(spark, good, sf).cache()
-    assert simhash.near_duplicates(good).select("component_id").distinct().count() == single.count()
+    sets = {r.doc_id: brute_set(r.text) for r in good.collect()}
+    assert sorted(r.doc_id for r in single.collect()) == sorted(set(brute_components(sorted(sets), lambda a, b: alike(sets[a], sets[b])).values()))
     clean = corpus_pipeline.decontaminated(spark, single, sf).cache()
     found = decontam.contamination(single, spark.read.parquet(f"{sf}/benchmark.parquet"))
     assert clean.count() == found.where(~decontam.is_contaminated(F.col("n_hit"), F.col("n_words"))).count()
