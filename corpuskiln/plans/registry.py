@@ -208,7 +208,7 @@ def vocab_stopwords(spark, sf_dir):
 
 @query
 def vocab_oov_df(spark, sf_dir):
-    v = vocab.build(tokenized(spark, sf_dir), threshold=3, max_prop=0.5, limit=500, oov="OOV")
+    v = vocab.build(tokenized(spark, sf_dir), threshold=3, max_prop=0.5, oov="OOV")
     return v.words.where(F.col("token") == "OOV").select(F.col("id").cast("long").alias("id"), F.col("df").alias("oov_df"))
 
 
