@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import re
 import struct
 import tarfile
 
@@ -241,6 +242,8 @@ def test_registry(spark, sf):
         got = registry.QUERIES[name](spark, sf).toPandas()
         want = con.sql(registry.ORACLE_SQL[name]).df()
         columns = sorted(got.columns)
+        whole = [c for c in columns if c in want and str(want[c].dtype) == "Int64"]  # whole numbers with nulls; toPandas makes them floats
+        got = got.astype(dict.fromkeys(whole, "Int64"))
         as_rows = lambda df: sorted(map(str, df[columns].itertuples(index=False, name=None)))  # noqa: B023, E731
         assert columns == sorted(want.columns) and as_rows(got) == as_rows(want), name
 
@@ -312,7 +315,7 @@ def test_plans_push_down(spark, sf):
     from corpuskiln.plans import registry
 
     plan = registry.QUERIES["name_filter"](spark, sf)._jdf.queryExecution().toString()
-    assert "PushedFilters: [In(source, [src1,src2])" in plan.replace("IsNotNull(source), ", "")
+    assert "PushedFilters: [In(source, [src1,src2])" in re.sub(r"IsNotNull\(\w+\), ", "", plan)
     kept = subset(registry.documents(spark, sf), 5).select("doc_name")._jdf.queryExecution().executedPlan().toString()
     assert "lang" not in kept
 
