@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, htmltree, knlm, mixing, ordinal, pii, simhash, substrings, tokenstore
-from ._common import scratch_path
+from . import decontam, fingerprints, htmltree, knlm, mixing, ordinal, periodic, pii, simhash, substrings, tokenstore, urls
+from ._common import WORD_PATTERN, scratch_path
 from .sql import ORACLE_SQL  # noqa: F401
 
 
@@ -82,4 +82,36 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_tokens(spark, folder, [(r.shard, r.tokens) for r in shards.collect()])
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_html, op4_substrings, op5_lm, op6_pii, op7_mix, op8_fingerprint, op9_quality, op10_tokens)}
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of each tenth document by the hash of its id, the words from one place on are replaced by
+    repetitions of the words that stand there, as op13's contract says. A null id leaves its text as it is."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD_PATTERN), F.lit(0))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    rows = rows.withColumn("n", F.size("w").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    left = (F.col("n") - F.col("a")).cast("int")
+    period = F.slice("w", F.col("a") + 1, F.col("p"))
+    again = F.slice(F.flatten(F.array_repeat(period, F.ceil(left / F.col("p")).cast("int"))), F.lit(1), left)
+    changed = F.array_join(F.concat(F.slice(F.col("w"), F.lit(1), F.col("a")), again), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(planted_runs(_read(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    best = found.withColumn("best", periodic.longest())
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
+_ALL = (
+    op1_decontaminate, op2_simhash, op3_html, op4_substrings, op5_lm, op6_pii, op7_mix, op8_fingerprint, op9_quality, op10_tokens, op12_urls, op13_runs,
+)
+QUERIES = {f.__name__: f for f in _ALL}
