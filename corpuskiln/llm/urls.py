@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Lengths of the character n-grams.
 GRAMS = (3, 4, 5)
-#: n-grams are hashed into 2 ** 14 buckets, so the weights are 128 KB whatever is scored.
-BUCKET_BITS = 14
+#: n-grams are hashed into 2 ** 16 buckets, so the weights are 512 KB whatever is scored.
+BUCKET_BITS = 16
 #: Most labelled rows that a model is fitted to. They are the "small labelled table", so more is an error, not a sample.
 MAX_LABELLED = 100_000
 
@@ -105,7 +105,7 @@ class Model:
         return 1.0 / (1.0 + F.exp(-(F.lit(float(self.bias)) + total / F.sqrt(F.greatest(F.size(found), F.lit(1))))))
 
 
-def fit(rows: list[list[int]], labels: list[int], *, l2: float = 0.5, steps: int = 300, rate: float = 2.0) -> Model:
+def fit(rows: list[list[int]], labels: list[int], *, l2: float = 0.1, steps: int = 500, rate: float = 8.0) -> Model:
     """Logistic regression by full gradient steps with Nesterov's momentum; classes weigh the same. Deterministic."""
     size = np.array([len(r) for r in rows], np.int64)
     at = np.concatenate([np.asarray(r, np.int64) - 1 for r in rows]) if rows else np.zeros(0, np.int64)
@@ -154,14 +154,16 @@ _GOOD = (
 _WEAK = {"cheap", "free", "win", "farm", "prize", "click", "track"}
 
 
-def labelled_urls(n: int = 3000, seed: int = 12) -> list[tuple[str, int]]:
+def labelled_urls(n: int = 12_000, seed: int = 12) -> list[tuple[str, int]]:
     """A small labelled table, made by rule: hosts of bad words, of good words and of arbitrary syllables."""
     import random
 
     r = random.Random(seed)
     strong = [w for w in _BAD if w not in _WEAK]
-    syllable = lambda: "".join(r.choice("bcdfghklmnprstvw") + r.choice("aeiou") + r.choice(["", "n", "r", "s", "t", "th"]) for _ in range(1))
-    invented = lambda: "".join(syllable() for _ in range(r.randint(2, 4)))
+    onset = [*"bcdfghjklmnpqrstvwyz", "ch", "sh", "th", "wh", "st", "tr", "br", "pl", "sc", "gr", "thr", ""]
+    close = ["", "", "", *"ndrstlmky", "th", "ng", "nd", "nt", "st", "rs", "ble", "ck", "sh"]
+    syllable = lambda: r.choice(onset) + r.choice(["a", "e", "i", "o", "u", "ou", "ea", "io", "ie", ""]) + r.choice(close)
+    invented = lambda: "".join(syllable() for _ in range(r.randint(2, 5)))[:24] or "x"
     end = lambda: r.choice(["example.com", "example.org", "example.net", "com", "org", "net", "info", "co.uk", "de", "fr"])
     lead = lambda: r.choice(["", "", "www.", "m.", "blog.", "shop.", "en."])
     word = lambda: r.choice([*_GOOD, invented(), invented(), invented()])
@@ -172,7 +174,7 @@ def labelled_urls(n: int = 3000, seed: int = 12) -> list[tuple[str, int]]:
 
     out = []
     for i in range(n):
-        bad = i % 2
+        bad = int(i % 3 == 0)
         if bad:
             names = [r.choice(strong), r.choice([*_BAD, invented(), "x", "24", "best", "online"])]
             r.shuffle(names)
@@ -194,7 +196,7 @@ def labelled_urls(n: int = 3000, seed: int = 12) -> list[tuple[str, int]]:
 _fitted: dict[int, Model] = {}
 
 
-def fitted(spark: SparkSession, rows: int = 3000) -> Model:
+def fitted(spark: SparkSession, rows: int = 12_000) -> Model:
     """The model of labelled_urls(rows), fitted once a process."""
     if rows not in _fitted:
         _fitted[rows] = train(spark.createDataFrame(labelled_urls(rows), "url string, blocked int"))
