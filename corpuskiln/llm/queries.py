@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, htmltree, knlm, mixing, ordinal, periodic, pii, simhash, substrings, tokenstore, urls
+from . import decontam, fingerprints, htmltree, knlm, lexical, mixing, ordinal, periodic, pii, simhash, substrings, tokenstore, urls
 from ._common import WORD_PATTERN, scratch_path
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -82,6 +82,10 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_tokens(spark, folder, [(r.shard, r.tokens) for r in shards.collect()])
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -112,6 +116,6 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_decontaminate, op2_simhash, op3_html, op4_substrings, op5_lm, op6_pii, op7_mix, op8_fingerprint, op9_quality, op10_tokens, op12_urls, op13_runs,
+    op1_decontaminate, op2_simhash, op3_html, op4_substrings, op5_lm, op6_pii, op7_mix, op8_fingerprint, op9_quality, op10_tokens, op11_search, op12_urls, op13_runs,
 )
 QUERIES = {f.__name__: f for f in _ALL}
