@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import number_rows
+from ..scratch import commit_file, open_file, scratch_path, write_table
 from ..workers import map_arrow
 
 #: Vocabularies up to this many entries go to the workers as one table that is looked up in place; larger ones are
@@ -227,12 +228,41 @@ def unmap_ids(corpus: DataFrame, words: DataFrame, oov: str | None = None, *, co
     return _lookup(corpus, table, "id", "token", column, "sentences", None if oov == "skip" else oov, oov == "skip", None)
 
 
+def bags(corpus: DataFrame, column: str = "lists") -> DataFrame:
+    """doc_ord, items, counts: the different elements of each valid document's nested arrays, and how often each stands
+    there. A document is a row, so it is counted within its row; nulls are left out."""
+    kind = corpus.schema[column].dataType.elementType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.column(1)
+            sentences = docs.flatten()
+            outer = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(docs), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+            inner = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(sentences), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+            coded = sentences.flatten().dictionary_encode()
+            there = np.flatnonzero(coded.indices.is_valid().to_numpy(zero_copy_only=False))
+            item = coded.indices.fill_null(0).to_numpy()[there].astype(np.int64)
+            doc = np.searchsorted(inner[outer], there, "right") - 1
+            cells, counts = np.unique(doc * max(len(coded.dictionary), 1) + item, return_counts=True)
+            doc, item = np.divmod(cells, max(len(coded.dictionary), 1))
+            offsets = pa.array(np.searchsorted(doc, np.arange(len(batch) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(item))), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64)))],
+                ["doc_ord", "items", "counts"],
+            )
+
+    rows = corpus.where("error is null").select(F.col("doc_ord").cast("bigint").alias("doc_ord"), F.col(column).alias("s"))
+    return map_arrow(rows, run, f"doc_ord bigint, items array<{kind}>, counts array<bigint>")
+
+
+def _bag_rows(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select("doc_ord", F.explode(F.arrays_zip("items", "counts")).alias("x")).select("doc_ord", F.col("x.items").alias(name), F.col("x.counts").alias("freq"))
+
+
 def bag_of_words(ids: DataFrame, ignore_ids: list[int] | None = None, *, column: str = "lists") -> DataFrame:
-    """doc_ord, id, freq of each id in each valid document."""
-    rows = ids.where("error is null").select("doc_ord", F.explode(F.flatten(F.col(column))).alias("id"))
-    if ignore_ids:
-        rows = rows.where(~F.col("id").isin(ignore_ids))
-    return rows.groupBy("doc_ord", "id").agg(F.count(F.lit(1)).alias("freq"))
+    """doc_ord, id, freq of each id in each valid document. Nothing is shuffled."""
+    rows = _bag_rows(bags(ids, column), "id")
+    return rows.where(~F.col("id").isin(ignore_ids)) if ignore_ids else rows
 
 
 def tfidf(bow: DataFrame, n_docs: int, key: str = "id") -> DataFrame:
@@ -243,8 +273,59 @@ def tfidf(bow: DataFrame, n_docs: int, key: str = "id") -> DataFrame:
     return raw.select("doc_ord", key, F.when(norm > 0, F.col("_w") / norm).otherwise(F.lit(0.0)).alias("w"))
 
 
+def tfidf_bags(ids: DataFrame, ignore_ids: list[int] | None = None, *, column: str = "lists") -> DataFrame:
+    """doc_ord, items, weights: as tfidf, for ids of a vocabulary, each document staying one row.
+
+    Documents are counted for each id first; the logarithms then lie in one file of 8 bytes an id in the shared folder,
+    which tasks map, so that no word of a document is ever moved.
+    """
+    spark = ids.sparkSession
+    rows = bags(ids, column)
+    if ignore_ids:
+        keep = lambda x: ~x["items"].isin(ignore_ids)
+        kept = F.filter(F.arrays_zip("items", "counts"), keep)
+        rows = rows.select("doc_ord", F.transform(kept, lambda x: x["items"]).alias("items"), F.transform(kept, lambda x: x["counts"]).alias("counts"))
+    rows = write_table(rows, "bags")
+    df = write_table(rows.select(F.explode("items").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("df")), "document-frequencies")
+    n_docs, size = rows.count(), (df.agg(F.max("id")).first()[0] or 0) + 1
+    uri = scratch_path(spark, "idf")
+    parts = max(1, -(-size // TABLE_LIMIT))
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, values = -1, None
+        for batch in batches:
+            part = batch.column(0)[0].as_py()
+            values = np.zeros(-(-size // parts)) if values is None else values
+            values[batch.column(1).to_numpy() // parts] = np.log2(n_docs / batch.column(2).to_numpy())
+        if values is not None:
+            commit_file(f"{uri}/{part}", lambda f: f.write(values.tobytes()))
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32())})
+
+    map_arrow(df.select((F.col("id") % parts).cast("int").alias("part"), "id", "df").repartitionById(parts, "part"), save, "part int").collect()  # one row a part
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files: dict[int, np.ndarray] = {}
+        for batch in batches:
+            items, counts = batch.column(1), batch.column(2)
+            ids_, n = items.flatten().to_numpy(), counts.flatten().to_numpy()
+            idf = np.zeros(len(ids_))
+            for part in np.unique(ids_ % parts).tolist():
+                if part not in files:
+                    files[part] = np.frombuffer(open_file(f"{uri}/{part}").read_buffer(), np.float64)
+                mine = ids_ % parts == part
+                idf[mine] = files[part][ids_[mine] // parts]
+            w = n * idf
+            doc = np.repeat(np.arange(len(batch)), np.diff(items.offsets.to_numpy()))
+            norm = np.sqrt(np.bincount(doc, w * w, len(batch)))[doc]
+            w = np.divide(w, norm, out=np.zeros(len(w)), where=norm > 0)
+            offsets = pa.array(items.offsets.to_numpy() - items.offsets[0].as_py(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids_)), pa.ListArray.from_arrays(offsets, pa.array(w))], ["doc_ord", "items", "weights"])
+
+    return map_arrow(rows, weigh, "doc_ord bigint, items array<bigint>, weights array<double>")
+
+
 def doc2bow(corpus: DataFrame, words: DataFrame, column: str = "sentences") -> tuple[DataFrame, DataFrame]:
     """Bags of a tokenised corpus: (doc_ord, id, freq) of known words and (doc_ord, token, freq) of the others."""
-    counts = token_rows(corpus, column).groupBy("doc_ord", "token").agg(F.count(F.lit(1)).alias("freq"))
+    counts = _bag_rows(bags(corpus, column), "token")
     both = counts.join(words.select("token", F.col("id").cast("bigint").alias("id")), "token", "left")
     return both.where("id is not null").select("doc_ord", "id", "freq"), both.where("id is null").select("doc_ord", "token", "freq")

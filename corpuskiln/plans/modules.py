@@ -13,7 +13,7 @@ from .. import model
 from ..functions import text
 from ..operators import corpus as ops
 from ..operators import embeddings as emb
-from ..operators import features, models, stats, vocab
+from ..operators import dynamic_topics, features, models, stats, vocab
 from ..sources import readers, sinks
 
 
@@ -199,6 +199,36 @@ def _lda(spark, inputs, o):
 
 
 _add("gensim.lda", _lda, outputs=("top_words", "doc_topics"), options={"num_topics": to_int, "iterations": to_int, "num_words": to_int}, needs={"corpus": "sentences"})
+
+
+def _ids_of(words: DataFrame, terms: list[str]) -> list[int]:
+    """Ids of terms that the vocabulary must have."""
+    found = {r.token: r.id for r in words.where(F.col("token").isin(terms)).collect()} if terms else {}  # one row a term
+    if missing := [t for t in terms if t not in found]:
+        raise ValueError(f"not in the vocabulary: {', '.join(missing)}")
+    return list(found.values())
+
+
+_DTM = {"alphas": float, "num_topics": to_int, "chain_variance": float, "passes": to_int, "lda_inference_max_iter": to_int, "em_min_iter": to_int, "em_max_iter": to_int, "tfidf": to_bool}
+
+
+def _ldaseq(spark, inputs, o):
+    words = inputs["vocab"][0]
+    given = {k: v for k, v in o.items() if k in _DTM}
+    found = dynamic_topics.train(inputs["corpus"][0], inputs["labels"][0], words.count(), ignore_ids=_ids_of(words, o.get("ignore_terms", [])), **given)
+    return {"model": dynamic_topics.to_table(spark, found), "top_words": dynamic_topics.top_words(spark, found, words, o.get("num_words", 15))}
+
+
+def _ldaseq_doc_topics(spark, inputs, o):
+    c = inputs["corpus"][0]
+    found = dynamic_topics.doc_topics(c, inputs["labels"][0], dynamic_topics.from_table(inputs["model"][0]))
+    known = c.join(found.select("doc_ord", F.col("topics").alias("vector")), "doc_ord", "left")
+    lost = F.when(F.col("error").isNull() & F.col("vector").isNull(), model.error("ldaseq_doc_topics", "no time slice of the model")).otherwise(F.col("error"))
+    return {"vectors": known.select(*model.KEYS, "vector", lost.alias("error"))}
+
+
+_add("gensim.ldaseq", _ldaseq, inputs=("corpus", "labels", "vocab"), outputs=("model", "top_words"), options=_DTM | {"ignore_terms": to_list, "num_words": to_int}, needs={"corpus": "lists", "labels": "label"})
+_add("gensim.ldaseq_doc_topics", _ldaseq_doc_topics, inputs=("corpus", "labels", "model"), outputs=("vectors",), needs={"corpus": "lists", "labels": "label"})
 _add("gensim.coherence", lambda s, i, o: {"coherence": features.coherence(i["corpus"][0], i["topics"][0], o.get("coherence", "u_mass"), window=o.get("window_size"))}, inputs=("corpus", "topics"), outputs=("coherence",), options={"coherence": choice("u_mass", "c_v", "c_uci", "c_npmi"), "window_size": to_int}, needs={"corpus": "sentences"})
 _add("regex.annotated_text", lambda s, i, o: {"matches": features.match_annotations(i["documents"][0], o["expr"])}, inputs=("documents",), outputs=("matches",), options={"expr": str}, required=("expr",), needs={"documents": "sentences"})
 _add("visualization.bar_chart", lambda s, i, o: {"data": sinks.chart_data([(r["label"], r["value"]) for x in i["values"] for r in x.select("label", "value").collect()], s)}, inputs=("values*",), outputs=("data",), options={"labels": to_list, "colors": to_list})

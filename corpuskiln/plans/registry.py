@@ -11,8 +11,8 @@ from .. import model
 from ..functions import codecs, strings, text
 from ..operators import corpus as ops
 from ..operators import embeddings as emb
-from ..operators import features, mapping, models, stats, vocab
-from ..scratch import scratch_path
+from ..operators import dynamic_topics, features, mapping, models, stats, vocab
+from ..scratch import scratch_path, write_table
 from ..sources import readers, sinks
 from . import sql
 
@@ -261,8 +261,8 @@ def doc_bow(spark, sf_dir):
 @query
 def tfidf(spark, sf_dir):
     corpus = tokenized(spark, sf_dir)
-    bow = vocab.bag_of_words(vocab.map_tokens(corpus, _words(corpus), "skip"))
-    return vocab.tfidf(bow, corpus.count()).select(F.col("doc_ord").alias("doc_id"), "id", F.round("w", 6).alias("w"))
+    found = vocab.tfidf_bags(vocab.map_tokens(corpus, _words(corpus), "skip"))
+    return found.select(F.col("doc_ord").alias("doc_id"), F.explode(F.arrays_zip("items", "weights")).alias("x")).select("doc_id", F.col("x.items").alias("id"), F.round("x.weights", 6).alias("w"))
 
 
 @query
@@ -544,6 +544,36 @@ def lda_doc_topics(spark, sf_dir):
     return models.lda_doc_topics(corpus, words, lda).select(F.col("doc_ord").alias("doc_id"), F.size("topics").cast("long").alias("n"))
 
 
+def _dated(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents as ids, a vocabulary, and labels: four time slices in the order of the ids."""
+    corpus = tokenized(spark, sf_dir)
+    words = write_table(vocab.build(corpus, threshold=3).words, "words")
+    first, last = table(spark, sf_dir, "documents").agg(F.min("doc_id"), F.max("doc_id")).first()
+    label = F.concat(F.lit("slice-"), F.least(F.floor(4 * (F.col("doc_ord") - F.lit(first)) / F.lit(last - first + 1)), F.lit(3)).cast("string"))
+    return vocab.map_tokens(corpus, words, "skip"), words, corpus.select("doc_ord", label.alias("label"))
+
+
+def _dynamic(spark, sf_dir):
+    ids, words, labels = _dated(spark, sf_dir)
+    found = dynamic_topics.train(ids, labels, words.count(), num_topics=5, passes=3, em_min_iter=2, em_max_iter=3, lda_inference_max_iter=10)
+    return ids, words, labels, found
+
+
+@query
+def dynamic_topics_words(spark, sf_dir):
+    """The words of each topic in each time slice."""
+    _, words, _, found = _dynamic(spark, sf_dir)
+    return dynamic_topics.top_words(spark, found, words, 15).withColumn("weight", F.round("weight", 6))
+
+
+@query
+def dynamic_doc_topics(spark, sf_dir):
+    """Each document's topics in its time slice."""
+    ids, _, labels, found = _dynamic(spark, sf_dir)
+    got = dynamic_topics.doc_topics(ids, labels, found, most=100)
+    return got.select(F.col("doc_ord").alias("doc_id"), F.transform("topics", lambda x: F.round(x, 6)).alias("topics"), F.round("bound", 4).alias("bound"))
+
+
 @query
 def word2vec(spark, sf_dir):
     return models.train_word2vec(tokenized(spark, sf_dir), size=8, min_count=10, iterations=1).select("idx", "word", "count")

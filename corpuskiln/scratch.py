@@ -1,12 +1,15 @@
-"""Intermediate tables in the folder that the driver and all executors share."""
+"""Intermediate tables and files in the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback_dir: str | None = None
@@ -43,3 +46,42 @@ def clean(spark: SparkSession) -> None:
     """Deletes all that this application has written into the shared folder. Results that still read it are lost."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_root(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def local_path(uri: str) -> str | None:
+    """The path of a file: URI or plain path; None for other stores."""
+    if uri.startswith("file:"):
+        return "/" + uri.removeprefix("file:").lstrip("/")
+    return uri if "://" not in uri else None
+
+
+def commit_file(uri: str, write: Callable[[object], None]) -> None:
+    """Writes a file under a temporary name and renames it, so that lost or repeated tasks leave whole files only."""
+    path, mark = local_path(uri), f".{uuid.uuid4().hex}.part"
+    if path is None:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(uri)
+        with store.open_output_stream(path + mark) as sink:
+            write(sink)
+        store.move(path + mark, path)
+        return
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    try:
+        with pa.OSFile(path + mark, "wb") as sink:
+            write(sink)
+        os.replace(path + mark, path)
+    finally:
+        if os.path.exists(path + mark):
+            os.unlink(path + mark)
+
+
+def open_file(uri: str):
+    """A file for random access: memory-mapped if it has a path here, else read through its store."""
+    path = local_path(uri)
+    if path is not None:
+        return pa.memory_map(path)
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(path)
