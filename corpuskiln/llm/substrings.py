@@ -13,7 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import binary_list, hash_words, map_batches, mix64, words_of, write_table
@@ -67,21 +67,27 @@ def _stretches(words: list[bytes], window: int, run: int) -> tuple[np.ndarray, n
     return low[first], roll.between(first, first + n + window - 1), first, n
 
 
+def text_key(text: Column) -> Column:
+    """Tells the texts of one id apart: 64 bits of hash; null has a key, too."""
+    return F.xxhash64(text, F.octet_length(text))
+
+
 def repeated_spans(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, spans: the word intervals [s, e) of each document (only those with any) that windows cover which also
-    start in a document with a smaller id. Sorted, maximal and disjoint.
+    """doc_id, key, spans: the word intervals [s, e) of each document (only those with any) that windows cover which
+    also start in a document with a smaller id. Sorted, maximal and disjoint.
 
-    Windows inside one id are not compared, so rows that repeat an id are one document: they must repeat its text.
-    Rows with null ids and texts of fewer than window words give none.
+    key is text_key() of the text: rows that share an id but not a text have spans of their own, equal rows have the
+    same. Rows of one id aren't compared with one another. Rows with null ids and texts of fewer than window words give
+    none.
     """
     run = min(RUN, window)
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("doc_id is not null")
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_key(F.col(f"`{text_col}`")).alias("key"), F.col(f"`{text_col}`").alias("text")).where("doc_id is not null")
 
     def make_stretches():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             got, at = [], []
-            for i, text in enumerate(binary_list(batch.column(1))):
+            for i, text in enumerate(binary_list(batch.column(2))):
                 words = words_of(text)
                 if len(words) >= window:
                     got.append(_stretches(words, window, run))
@@ -89,40 +95,43 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_
             if not got:
                 return None
             low, all_, first, n = (np.concatenate(x) for x in zip(*got, strict=True))
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at))), pa.array(low.view(np.int64)), pa.array(all_.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "low", "hash", "first", "n"])
+            rows = pa.array(np.concatenate(at))
+            parts = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(low.view(np.int64)), pa.array(all_.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))]
+            return pa.RecordBatch.from_arrays(parts, ["doc_id", "key", "low", "hash", "first", "n"])
 
         return one
 
-    found = write_table(map_batches(texts, make_stretches, f"doc_id {kind}, low bigint, hash bigint, first int, n int"), "repeat-stretches")
+    found = write_table(map_batches(texts, make_stretches, f"doc_id {kind}, key bigint, low bigint, hash bigint, first int, n int"), "repeat-stretches")
     owners = write_table(found.groupBy("low", "hash").agg(F.min("doc_id").alias("owner")), "repeat-owners")
     mixed = owners.groupBy("low").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("low", F.lit(True).alias("mixed"))
     owners = write_table(owners.join(mixed, "low", "left"), "repeat-mixed")
     judged = found.join(owners, ["low", "hash"])
-    whole = judged.where("doc_id > owner").select("doc_id", F.struct(F.col("first").alias("s"), (F.col("first") + F.col("n") + (window - 1)).alias("e")).alias("x"))
+    whole = judged.where("doc_id > owner").select("doc_id", "key", F.struct(F.col("first").alias("s"), (F.col("first") + F.col("n") + (window - 1)).alias("e")).alias("x"))
 
     # one by one: windows of the first copy of each stretch that shares its minimizer with another stretch
-    open_ = judged.where("doc_id = owner and mixed").groupBy("doc_id").agg(F.collect_set(F.struct("first", "n")).alias("x"))
-    open_ = open_.select(F.col("doc_id").alias("_id"), F.col("x.first").alias("first"), F.col("x.n").alias("n"))
+    open_ = judged.where("doc_id = owner and mixed").groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n")).alias("x"))
+    open_ = open_.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("x.first").alias("first"), F.col("x.n").alias("n"))
 
     def make_windows():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             parts = []
-            for i, (text, first, n) in enumerate(zip(binary_list(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            for i, (text, first, n) in enumerate(zip(binary_list(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 roll = Rolling(words_of(text))
                 win, low = roll.runs(window), _sliding_min(roll.runs(run), window - run + 1)
                 at = np.concatenate([np.arange(a, a + k) for a, k in zip(first, n, strict=True)])
                 parts.append((np.full(len(at), i), low[at], win[at], at))
             row, low, win, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(low.view(np.int64)), pa.array(win.view(np.int64)), pa.array(at.astype(np.int32))], ["doc_id", "low", "hash", "at"])
+            parts = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(low.view(np.int64)), pa.array(win.view(np.int64)), pa.array(at.astype(np.int32))]
+            return pa.RecordBatch.from_arrays(parts, ["doc_id", "key", "low", "hash", "at"])
 
         return one
 
-    joined = texts.join(open_, texts["doc_id"] == open_["_id"]).select("doc_id", "text", "first", "n")
-    single = write_table(map_batches(joined, make_windows, f"doc_id {kind}, low bigint, hash bigint, at int"), "repeat-windows")
+    joined = texts.join(open_, (texts["doc_id"] == open_["_id"]) & (texts["key"] == open_["_key"])).select("doc_id", "key", "text", "first", "n")
+    single = write_table(map_batches(joined, make_windows, f"doc_id {kind}, key bigint, low bigint, hash bigint, at int"), "repeat-windows")
     firsts = single.groupBy("low", "hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("_last")).where("owner < _last").drop("_last")
     firsts = write_table(firsts, "repeat-firsts")
-    part = single.join(firsts, ["low", "hash"]).where("doc_id > owner").select("doc_id", F.struct(F.col("at").alias("s"), (F.col("at") + window).alias("e")).alias("x"))
-    return whole.unionByName(part).groupBy("doc_id").agg(merged(F.array_sort(F.collect_set("x"))).alias("spans"))
+    part = single.join(firsts, ["low", "hash"]).where("doc_id > owner").select("doc_id", "key", F.struct(F.col("at").alias("s"), (F.col("at") + window).alias("e")).alias("x"))
+    return whole.unionByName(part).groupBy("doc_id", "key").agg(merged(F.array_sort(F.collect_set("x"))).alias("spans"))
 
 
 def merged(spans):
@@ -148,11 +157,12 @@ def _cut(words: list[bytes], spans: list[dict] | None) -> list[bytes]:
 def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined by one space) of every row.
 
-    Null and empty texts have no words and keep an empty text; rows with null ids keep all their words. Other columns
+    Null and empty texts have no words and keep an empty text; rows with null ids keep all their words. Rows that repeat
+    an id stand for themselves, each losing what a smaller id also has, never what only their own id has. Other columns
     are ignored.
     """
-    spans = repeated_spans(docs, window=window, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_id"), "spans")
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    spans = repeated_spans(docs, window=window, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "spans")
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), text_key(F.col(f"`{text_col}`")).alias("key"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
@@ -169,5 +179,5 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, id_col: str = "do
 
         return one
 
-    joined = texts.join(spans, texts["doc_id"] == spans["_id"], "left").select("doc_id", "text", "spans")
+    joined = texts.join(spans, (texts["doc_id"] == spans["_id"]) & (texts["key"] == spans["_key"]), "left").select("doc_id", "text", "spans")
     return map_batches(joined, make, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept string")

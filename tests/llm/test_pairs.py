@@ -296,6 +296,15 @@ def test_substrings_edges(odd, unique, none):
     assert substrings.dedup_substrings(odd).count() == odd.count() and substrings.dedup_substrings(none).count() == 0
 
 
+def test_substrings_texts_under_one_id(spark):
+    """Rows that share an id lose only what a smaller id has as well."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 80), ("b", 61), ("c", 70)))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, a), (3, c + " " + b), (4, c), (None, a), (None, c)]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept) for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect())
+    want = [(1, 80, 0, a), (2, 80, 80, ""), (2, 61, 0, b), (2, 61, 0, b), (3, 80, 80, ""), (3, 131, 61, c), (4, 70, 70, ""), (0, 80, 0, a), (0, 70, 0, c)]
+    assert got == sorted(want)
+
+
 def form(t):
     return " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold()).split())
 
