@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ._common import binary_list, map_arrow, map_batches, write_table
 
-#: Stands for a null id in the order of ids.
+#: Where null ids stand among the others; a flag tells them from this id itself.
 _NULL_ID = -(1 << 63)
 
 
@@ -106,15 +106,21 @@ def edit_report(docs: DataFrame, *, bits: int = 128) -> DataFrame:
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by as many first ones (or all)
     of the next document's text, in ascending order of doc_id (bigint; null ids first; after the last the first; rows
-    with one id in the order of their texts). Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+    with one id in the order of their texts, null as empty). Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next: 1.0 if the canonical forms are equal, else 0.0. Null texts are empty.
 
     Documents are cut into ranges of ids; the first row of each range also goes to the range before it, so texts
-    are moved once, compressed. An edited text's fingerprint is its plain digest.
+    are moved once, compressed; only those of repeated ids go with their plain text, to be put in order. An edited
+    text's fingerprint is its plain digest. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.coalesce(F.col("doc_id"), F.lit(_NULL_ID)).cast("long").alias("doc_id"), "text")
+    given = docs.select(F.coalesce(F.col("doc_id"), F.lit(_NULL_ID)).cast("long").alias("doc_id"), F.col("doc_id").isNotNull().cast("int").alias("has"), "text")
+    again = write_table(given.groupBy("doc_id", "has").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "has", F.lit(True).alias("_again")), "repeated-ids")
+    if again.isEmpty():
+        texts = given.select("doc_id", "text", "has", F.lit(None).cast("string").alias("tie"))
+    else:
+        texts = given.join(again, ["doc_id", "has"], "left").select("doc_id", "text", "has", F.when(F.col("_again"), F.coalesce("text", F.lit(""))).alias("tie"))
     ids = texts.select("doc_id")
     cuts = np.unique(np.array(ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n), np.float64).astype(np.int64))
 
@@ -127,8 +133,8 @@ def edit_report(docs: DataFrame, *, bits: int = 128) -> DataFrame:
     ranged = map_batches(ids, make_range, "part bigint, doc_id bigint")
     firsts = sorted((r.part, r.id) for r in ranged.groupBy("part").agg(F.min("doc_id").alias("id")).collect())  # one row a range
     before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    out = "part bigint, doc_id bigint, kind int, body binary"
-    names = ["part", "doc_id", "kind", "body"]
+    out = "part bigint, doc_id bigint, kind int, body binary, has int, tie string"
+    names = ["part", "doc_id", "kind", "body", "has", "tie"]
 
     def make_rows():
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -139,7 +145,9 @@ def edit_report(docs: DataFrame, *, bits: int = 128) -> DataFrame:
             part = np.searchsorted(cuts, doc, "right")
             tail = [i for i, d in enumerate(doc.tolist()) if d in before]
             kind = np.concatenate((np.full(len(doc), 1), np.full(len(tail), 2))).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate((part, [before[int(doc[i])] for i in tail])).astype(np.int64)), pa.array(np.concatenate((doc, doc[tail]))), pa.array(kind), pa.array(body + [body[i] for i in tail], pa.binary())], names)
+            rows = pa.array(np.concatenate((np.arange(len(doc)), tail)).astype(np.int64))
+            parts = [pa.array(np.concatenate((part, [before[int(doc[i])] for i in tail])).astype(np.int64)), batch.column(0).take(rows), pa.array(kind), pa.array(body + [body[i] for i in tail], pa.binary())]
+            return pa.RecordBatch.from_arrays([*parts, batch.column(2).take(rows), batch.column(3).take(rows)], names)
 
         return one
 
@@ -147,13 +155,14 @@ def edit_report(docs: DataFrame, *, bits: int = 128) -> DataFrame:
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             doc = batch.column(0).to_numpy()
             k = len(doc)
-            return pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, doc, "right")), batch.column(0), pa.array(np.zeros(k, np.int32)), pa.nulls(k, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, doc, "right")), batch.column(0), pa.array(np.zeros(k, np.int32)), pa.nulls(k, pa.binary()), pa.array(np.zeros(k, np.int32)), pa.nulls(k, pa.string())], names)
 
         return one
 
     rows = map_batches(texts, make_rows, out).unionByName(map_batches(_shared_ids(texts, bits), make_flags, out))
-    # in a range: flags of shared digests before their documents, the next range's first row last
-    order = rows.repartition(n, "part").sortWithinPartitions("part", F.col("kind") == 2, "doc_id", "kind", "body")
+    # in a range: flags of shared digests before their documents (null ids before the least one), the next range's first
+    # row last
+    order = rows.withColumn("part", F.col("part").cast("int")).repartitionById(n, "part").sortWithinPartitions("part", F.col("kind") == 2, "doc_id", F.when(F.col("kind") > 0, F.col("has")), "tie", "kind")
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, digest binary, edited_digest binary, near_edited double, near_next double, form binary"
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -161,7 +170,7 @@ def edit_report(docs: DataFrame, *, bits: int = 128) -> DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
         held, flagged, last = None, set(), None
         for batch in batches:
-            for part, doc, kind, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for part, doc, kind, body, has in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if part != last:
                     held, flagged, last = None, set(), part
                 if kind == 0:
@@ -171,7 +180,7 @@ def edit_report(docs: DataFrame, *, bits: int = 128) -> DataFrame:
                 form = canonical(text)
                 if held:
                     yield *held, text, form
-                held = (doc, text, form, doc in flagged) if kind == 1 else None
+                held = (doc if has else None, text, form, doc in flagged) if kind == 1 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -180,7 +189,7 @@ def edit_report(docs: DataFrame, *, bits: int = 128) -> DataFrame:
             half = len(text) // 2
             edited = text[: len(text) - half] + nxt[:half]
             e_form = canonical(edited)
-            got.append((None if doc == _NULL_ID else doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), digest(form, bits), digest(e_form, bits), float(e_form == form), float(nxt_form == form), pack(form) if shared else None))
+            got.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), digest(form, bits), digest(e_form, bits), float(e_form == form), float(nxt_form == form), pack(form) if shared else None))
             if len(got) >= 1000:
                 yield _batch(got)
                 got = []

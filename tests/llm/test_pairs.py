@@ -343,6 +343,20 @@ def test_edit_report(unique, odd, none, bits):
     assert fingerprints.edit_report(odd).count() == odd.count() and fingerprints.edit_report(none).count() == 0
 
 
+def test_edit_report_least_and_repeated_ids(spark):
+    """Null and the least id are different; rows of one id stand in the order of their texts."""
+    least = -(1 << 63)
+    rows = [(7, "b" * 300), (7, "b" * 20), (7, "a" * 5), (7, None), (least, "least one"), (None, "no id"), (None, "a null"), (9, "nine nine"), (9, "nine nine")]
+    got = fingerprints.edit_report(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    want = []
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        t, nxt = t or "", nxt or ""
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), float(form(t) == form(nxt))))
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.near_next) for r in got), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("name", ["op1_decontaminate", "op7_mix"])
 def test_queries_equal_sql(spark, sf, name):
     import duckdb
