@@ -13,6 +13,7 @@ import html
 import random
 import re
 import zlib
+from collections.abc import Collection
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -127,6 +128,7 @@ class Scanner:
 def parse(page: str) -> Tree:
     """The tree of a page, however malformed: unknown end tags are ignored, lost ones implied."""
     tree, stack, names = Tree(), [0], ["#root"]
+    open_at: dict[str, list[int]] = {}  # where elements of a name stand on the stack, so that none is searched for
     buffer: list[str] = []
     links = at = anchor = 0
 
@@ -148,8 +150,13 @@ def parse(page: str) -> Tree:
 
     def close(count: int) -> None:
         flush()
+        for x in names[-count:]:
+            open_at[x].pop()
         del stack[-count:], names[-count:]
 
+    def last_open(some: Collection[str]) -> int:
+        return max((open_at[x][-1] for x in some if open_at.get(x)), default=0)
+
     position = 0
     scanner = Scanner(page)
     while (m := _OPEN.search(page, position)) is not None:
@@ -182,8 +189,8 @@ def parse(page: str) -> Tree:
             elif not (name == "svg" and page[end - 2] == "/"):
                 at = position = max(position, scanner.inside_end(name, m.end()))
         elif ending:
-            if name in names:
-                close(len(names) - max(i for i, x in enumerate(names) if x == name))
+            if open_at.get(name):
+                close(len(names) - open_at[name][-1])
             else:
                 flush()
             anchor = 0
@@ -191,16 +198,14 @@ def parse(page: str) -> Tree:
             flush()
             anchor = 0
             ends = CLOSES.get(name, {"p"} if name in SCOPES or re.fullmatch("h[1-6]|pre|hr|dl", name) else ())
-            for i in range(len(names) - 1, 0, -1):
-                if names[i] in ends:
-                    close(len(names) - i)
-                    if name not in ("tr", "td", "th"):
-                        break
-                elif names[i] in SCOPES:
+            while (i := last_open(ends)) and i > last_open([x for x in SCOPES if x not in ends]):
+                close(len(names) - i)
+                if name not in ("tr", "td", "th"):
                     break
             if name not in VOID:
                 marks = " ".join(x for t in _MARK.findall(page, m.end(), end - 1) for x in t)
                 stack.append(tree.add(stack[-1], element_features(name, marks), None))
+                open_at.setdefault(name, []).append(len(names))
                 names.append(name)
     put(page[at:])
     flush()
@@ -397,9 +402,13 @@ def fitted(n: int = 240) -> Potentials:
 def extract(pages: DataFrame, *, potentials: Potentials | None = None, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """page id, the columns in keep, text (empty if there is none), n_chars (code points) of each row.
 
-    Null and empty pages give an empty text; null and repeated ids are fine. The potentials (of fixed size) are
-    broadcast; pages stay where they are.
+    Null and empty pages give an empty text. Rows stand for themselves: null and repeated ids and equal pages are fine,
+    an empty table gives no rows. Columns that aren't asked for are ignored, whatever their names; a column in keep that
+    is called like a result, or twice, is refused. The potentials (of fixed size) are broadcast; pages stay where they
+    are.
     """
+    if len({*keep, id_col, "text", "n_chars"}) < len(keep) + 3:
+        raise ValueError(f"columns to keep must differ from one another and from {id_col}, text and n_chars")
     shared = pages.sparkSession.sparkContext.broadcast(potentials or fitted())
     rows = pages.select(*[F.col(f"`{c}`") for c in (id_col, *keep)], F.col(f"`{html_col}`").alias("_html"))
 
