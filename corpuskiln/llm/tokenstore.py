@@ -6,6 +6,7 @@ row for each document (doc_id, start, n_tokens) that points into the shard's str
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -25,15 +26,34 @@ BATCH_ROWS = 128
 CACHE_WORDS = 800_000
 #: Punctuation that is a piece of its own after letters.
 TAIL = b",.;:!?%$#*&|()"
+#: The split of the vocabularies whose texts may be encoded word by word.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def works_by_words(spec: dict) -> bool:
+    """Whether a vocabulary's file says that the ids of a text are those of its lower-cased words in turn: it folds white
+    space and case, splits by WORD_SPLIT, marks the ends of pieces, and has no added token but those of the form <|...|>."""
+    folds = (spec.get("normalizer") or {}).get("normalizers") or []
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    return (
+        [x.get("type") for x in folds] == ["NFC", "Replace", "Lowercase"]
+        and (folds[1].get("pattern"), folds[1].get("content")) == ({"Regex": r"\s+"}, " ")
+        and [x.get("type") for x in splits] == ["Split", "ByteLevel"]
+        and (splits[0].get("pattern"), splits[0].get("behavior"), splits[0].get("invert")) == ({"Regex": WORD_SPLIT}, "Removed", True)
+        and not splits[1].get("add_prefix_space")
+        and not splits[1].get("use_regex")
+        and (spec.get("model") or {}).get("end_of_word_suffix") == "</w>"
+        and all(x["content"].startswith("<|") and x["content"].endswith("|>") for x in spec.get("added_tokens") or [])
+    )
 
 
 class WordTokenizer:
-    """A tokenizer that never joins pieces across white space, with a memory of words.
+    """A tokenizer with a memory of words, where its vocabulary allows one.
 
-    The vocabulary's normaliser and pre-tokenizer work word by word, so the ids of a text are those of its words in
-    turn. A new word of letters, with or without punctuation after it, is two pieces at most; new letter parts are
-    encoded many at a time, as one text, and told apart by the tokens that end a piece. All other new words are
-    encoded one by one.
+    Where works_by_words() holds, the ids of a text are those of its words in turn; other vocabularies encode whole texts
+    by the library. A new word of letters, with or without punctuation after it, is two pieces at most; new letter
+    parts are encoded many at a time, as one text, and told apart by the tokens that end a piece. All other new words
+    are encoded one by one.
     """
 
     _made: dict[str, WordTokenizer] = {}
@@ -42,6 +62,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf8") as f:
+            self.by_words = works_by_words(json.load(f))
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
@@ -87,6 +109,8 @@ class WordTokenizer:
         """The ids of a text, packed. Null has none."""
         if not text:
             return b""
+        if not self.by_words:
+            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
         words = (text if b"<|" in text else text.lower()).split()
         got = list(map(self.known.get, words))
         if None in got:

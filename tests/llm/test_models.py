@@ -74,6 +74,30 @@ def test_messages_are_exact():
     assert np.allclose(own, marginal / total) and np.allclose(both[1:], joint[1:] / total)
 
 
+def test_html_nested_elements():
+    """Twice as many nested elements take about twice the time, however they are closed."""
+    import time
+
+    def seconds(n):
+        best = 9.0
+        for page in ("<i2>" * n + "x" + "</i2>" * n, "<u9><p>" * n + "x", "<div>" * n + "<p>x" + "</div>" * n):
+            began = time.perf_counter()
+            assert [t for t in htmltree.parse(page).text if t] == ["x"]
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    seconds(500)
+    assert seconds(16_000) < 2.5 * max(seconds(8_000), 0.02)
+
+
+def test_html_columns(spark):
+    df = spark.createDataFrame([(1, "<p>a</p>", "mine"), (1, "<p>a</p>", "mine"), (None, None, None), (2, "", "x")], "page_id bigint, html string, text string")
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in htmltree.extract(df).collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1), (2, "", 0)]
+    for keep in (("text",), ("page_id",), ("n_chars",), ("html", "html")):
+        with pytest.raises(ValueError, match="differ"):
+            htmltree.extract(df.withColumn("n_chars", F.lit(1)), keep=keep)
+
+
 def test_html_held_out_accuracy():
     hit = false = missed = 0
     pages = htmltree.labelled_pages(120, seed=77)
@@ -395,6 +419,16 @@ def test_word_cache_equals_library(tokenizer, monkeypatch):
     assert coder.encode(None) == b""
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_other_vocabularies(name):
+    """Vocabularies that join pieces across white space, or keep case, are encoded as whole texts."""
+    public = pytest.importorskip("public_tokenizers")
+    coder = tokenstore.WordTokenizer(public.path(name))
+    assert coder.by_words == name.startswith("word")
+    for s in ("Two  words\nand   More", " lead", "É é 🙂 x<|endoftext|>y", "it's I'LL 12 345", "\u00a0a\u2003b"):
+        assert np.frombuffer(coder.encode(s.encode()), coder.dtype).tolist() == coder.tokenizer.encode(s, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seq_len", [8, 2048])
 def test_token_files_round_trip(spark, odd, none, tmp_path, tokenizer, seq_len):
     from tokenizers import Tokenizer
