@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,33 +10,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import commit_file, local_path, open_file, scratch_path, write_table  # noqa: F401
 from ..workers import map_arrow
 
 #: White space that separates words, as the contracts fix it: space and \t \n \v \f \r.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_fallback_dir: str | None = None
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that all executors share (spark.checkpoint.dir).
-
-    Only a local master may go without that setting; it then gets a temporary folder of its own.
-    """
-    global _fallback_dir
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        _fallback_dir = _fallback_dir or tempfile.mkdtemp(prefix="corpuskiln-")
-        base = f"file://{_fallback_dir}"
-    return f"{base.rstrip('/')}/corpuskiln/{label}-{uuid.uuid4().hex}"
-
-
-def write_table(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet into the shared folder and returns the written table."""
-    return store(df, label)[0]
-
 
 def store(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """As write_table, with the path, for drop()."""
@@ -98,42 +74,3 @@ def word_count(text: Column) -> Column:
 def pinned(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that a caller's other columns can't clash with ours."""
     return df.select(*[F.col(f"`{n}`") for n in names])
-
-
-def local_path(uri: str) -> str | None:
-    """The path of a file: URI or plain path; None for other stores."""
-    if uri.startswith("file:"):
-        return "/" + uri.removeprefix("file:").lstrip("/")
-    return uri if "://" not in uri else None
-
-
-def commit_file(uri: str, write: Callable[[object], None]) -> None:
-    """Writes a file under a temporary name and renames it, so that lost or repeated tasks leave whole files only."""
-    path, mark = local_path(uri), f".{uuid.uuid4().hex}.part"
-    if path is None:
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(uri)
-        with store.open_output_stream(path + mark) as sink:
-            write(sink)
-        store.move(path + mark, path)
-        return
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    try:
-        with pa.OSFile(path + mark, "wb") as sink:
-            write(sink)
-        os.replace(path + mark, path)
-    finally:
-        if os.path.exists(path + mark):
-            os.unlink(path + mark)
-
-
-def open_file(uri: str):
-    """A file for random access: memory-mapped if it has a path here, else read through its store."""
-    path = local_path(uri)
-    if path is not None:
-        return pa.memory_map(path)
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    return store.open_input_file(path)
