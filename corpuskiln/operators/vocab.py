@@ -110,6 +110,18 @@ def build(
     return Vocab(out.select(F.col("id").cast("int").alias("id"), "token", "df"), stop, stats)
 
 
+def word_counts(corpus: DataFrame, column: str = "sentences") -> DataFrame:
+    """token, n: how often each token stands in the valid documents."""
+    return _counted(corpus, column).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def number_words(counts: DataFrame, limit: int | None = None) -> DataFrame:
+    """id, token, n: words by falling count (ties: by token), of these the limit first."""
+    if limit is not None:
+        counts = counts.orderBy(F.desc("n"), "token").limit(limit)
+    return write_table(number_rows(counts, -F.col("n"), "token", name="id").select("id", "token", "n"), "words")
+
+
 def oov_entry(corpus: DataFrame, words: DataFrame, oov: str, column: str = "sentences") -> DataFrame:
     """The row of the out-of-vocabulary term: next id; df: documents with a token outside words."""
     outside = token_rows(corpus, column).select("doc_ord", "token").join(words.select("token"), "token", "left_anti")

@@ -13,7 +13,7 @@ from .. import model
 from ..functions import text
 from ..operators import corpus as ops
 from ..operators import embeddings as emb
-from ..operators import dynamic_topics, features, models, stats, vocab
+from ..operators import dynamic_topics, features, glove, models, stats, vocab
 from ..sources import readers, sinks
 
 
@@ -181,15 +181,23 @@ _add("embeddings.store_word2vec", _sink(lambda e, o: sinks.store_word2vec(e, o["
 _add("embeddings.store_embeddings", lambda s, i, o: {"embeddings": i["embeddings"][0]}, inputs=("embeddings",), outputs=("embeddings",))
 _add("embeddings.normalize", lambda s, i, o: {"embeddings": emb.l2_normalize(i["embeddings"][0]) if o.get("l2_norm", True) else i["embeddings"][0]}, inputs=("embeddings",), outputs=("embeddings",), options={"l2_norm": to_bool})
 _add("embeddings.word2vec", lambda s, i, o: {"model": models.train_word2vec(i["text"][0], size=o.get("size", 200), min_count=o.get("min_count", 5), iterations=o.get("iters", 5))}, inputs=("text",), outputs=("model",), options={"size": to_int, "min_count": to_int, "iters": to_int, "negative_samples": to_int}, needs={"text": "sentences"})
+
+
 def _glove(spark, inputs, o):
-    words = vocab.build(inputs["text"][0], threshold=o.get("min_count", 0), limit=o.get("max_vocab") or None).words
-    known = vocab.map_tokens(inputs["text"][0], words, "skip").select(F.flatten("lists").alias("tokens"))
+    corpus = inputs["text"][0]
+    counts = vocab.word_counts(corpus).where(F.col("n") >= o.get("min_count", 0))
+    words = vocab.number_words(counts, o.get("max_vocab") or None)
+    known = vocab.map_tokens(corpus, words.select("id", "token"), "skip").select(F.flatten("lists").alias("tokens"))
     pairs = features.cooccurrence(known, o.get("window_size", 15), symmetric=o.get("symmetric", True), distance_weighting=o.get("distance_weighting", True))
-    found = models.train_glove(pairs, size=o.get("vector_size", 50), iterations=o.get("iter", 25), seed=o.get("seed", 1))
-    return {"glove": found.join(words, found["idx"] == words["id"]).select("idx", F.col("token").alias("word"), F.col("df").alias("count"), "vector")}
+    given = {"size": o.get("vector_size", 50), "iterations": o.get("iter", 25)} | {k: o[k] for k in ("eta", "alpha", "x_max", "grad_clip", "seed") if k in o}
+    found, _ = glove.train(pairs, words.count(), **given)
+    rows = found.join(words, found["idx"] == words["id"])
+    both = rows.select("idx", F.col("token").alias("word"), F.col("n").alias("count"), F.zip_with("vector", "context", lambda x, y: x + y).alias("vector"))
+    return {"embeddings": both, "glove_output": rows.select("idx", F.col("token").alias("word"), "vector", "context")}
 
 
-_add("embeddings.glove", _glove, inputs=("text",), outputs=("glove",), options={"max_vocab": to_int, "min_count": to_int, "symmetric": to_bool, "window_size": to_int, "distance_weighting": to_bool, "vector_size": to_int, "iter": to_int, "seed": to_int}, needs={"text": "sentences"})
+_GLOVE = {"max_vocab": to_int, "min_count": to_int, "symmetric": to_bool, "window_size": to_int, "distance_weighting": to_bool, "vector_size": to_int, "iter": to_int, "seed": to_int, "eta": float, "alpha": float, "x_max": float, "grad_clip": float}
+_add("embeddings.glove", _glove, inputs=("text",), outputs=("embeddings", "glove_output"), options=_GLOVE, needs={"text": "sentences"})
 _add("embeddings.mapper", lambda s, i, o: {"vectors": emb.doc_vectors(i["corpus"][0], i["embeddings"][0])}, inputs=("corpus", "embeddings"), outputs=("vectors",), needs={"corpus": "sentences"})
 
 

@@ -11,7 +11,7 @@ from .. import model
 from ..functions import codecs, strings, text
 from ..operators import corpus as ops
 from ..operators import embeddings as emb
-from ..operators import dynamic_topics, features, mapping, models, stats, vocab
+from ..operators import dynamic_topics, features, glove, mapping, models, stats, vocab
 from ..scratch import scratch_path, write_table
 from ..sources import readers, sinks
 from . import sql
@@ -581,10 +581,13 @@ def word2vec(spark, sf_dir):
 
 @query
 def glove_vectors(spark, sf_dir):
+    """Word and context vectors of all words of a vocabulary."""
     corpus = tokenized(spark, sf_dir)
-    words = vocab.build(corpus, threshold=10).words
+    words = write_table(vocab.build(corpus, threshold=10).words, "words")
     known = vocab.map_tokens(corpus, words, "skip").select(F.flatten("lists").alias("tokens"))
-    return models.train_glove(features.cooccurrence(known), size=8, iterations=3).select("idx", F.size("vector").alias("n"))
+    found, _ = glove.train(features.cooccurrence(known), words.count(), size=8, iterations=3)
+    short = lambda c: F.transform(c, lambda x: F.round(x, 4))
+    return found.join(words, found["idx"] == words["id"]).select("idx", F.col("token").alias("word"), short("vector").alias("vector"), short("context").alias("context"))
 
 
 @query

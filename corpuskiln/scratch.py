@@ -48,6 +48,12 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a stored path when all that was made of it is stored itself, so that no lost task needs it again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def local_path(uri: str) -> str | None:
     """The path of a file: URI or plain path; None for other stores."""
     if uri.startswith("file:"):
