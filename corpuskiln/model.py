@@ -134,13 +134,16 @@ def number_rows(df: DataFrame, key: Column, *ties: str, name: str = "pos", uniqu
     Rows are dealt to ranges of (key, ties), as many as there are shuffle partitions; each range is numbered by itself
     and moved by the sizes of those before it, so no task sees more than a range. The numbers are written before they
     are used, so that recomputed tasks number alike. Of rows that unique columns identify only these, key and ties are
-    put in order, and the numbers are joined back; null values of these columns must not occur.
+    put in order, and the numbers are joined back; null values of these columns must not occur, and two rows that share
+    their values are an error (ValueError), as they would be joined with each other's numbers.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.select(*dict.fromkeys([*unique, *ties]), key.alias("_key")) if unique else df.withColumn("_key", key)
     order = [F.col("_key").asc_nulls_first(), *ties]
     dealt = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     placed = write_table(dealt.select(*unique, "_id") if unique else dealt.drop("_key"), "numbers")
+    if unique and not placed.groupBy(*unique).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise ValueError(f"rows repeat their {', '.join(unique)}")
     placed = placed.withColumn("_range", F.shiftright("_id", 33)).withColumn("_within", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range

@@ -7,10 +7,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workers import map_arrow
+from . import lookup
+
+#: Tokens whose vectors are put together at a time.
+TOKENS_AT_ONCE = 1 << 14
 
 
 def norm(vector: Column) -> Column:
@@ -33,16 +38,32 @@ def concat(parts: list[DataFrame]) -> DataFrame:
     return both.join(F.broadcast(shift), "_src").withColumn("idx", F.col("idx") + F.col("_shift")).drop("_src", "_shift")  # one row a set
 
 
-def lookup(tokens: DataFrame, embeddings: DataFrame, *, token: str = "token") -> DataFrame:
-    """tokens with their vector; null for words without one."""
-    return tokens.join(embeddings.select(F.col("word").alias(token), "vector"), token, "left")
-
-
 def doc_vectors(corpus: DataFrame, embeddings: DataFrame, column: str = "sentences") -> DataFrame:
-    """doc_ord, vectors: an array with the vector (or null) of each token of each valid document, in order."""
-    rows = corpus.where("error is null").select("doc_ord", F.posexplode(F.flatten(F.col(column))).alias("pos", "token"))
-    found = lookup(rows, embeddings).groupBy("doc_ord").agg(F.array_sort(F.collect_list(F.struct("pos", "vector"))).alias("x"))
-    return found.select("doc_ord", F.transform("x", lambda c: c["vector"]).alias("vectors"))
+    """doc_ord, vectors: an array with the vector (or null) of each token of each valid document, in order.
+
+    Vectors are looked up in mapped files, so neither tokens nor vectors are shuffled. A null or empty payload has no
+    vectors; words must differ.
+    """
+    table = lookup.write(embeddings.select("word", "vector"), "word", "vector")
+    kind = embeddings.schema["vector"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.column(1)
+            sentences = docs.flatten()
+            outer = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(docs), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+            inner = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(sentences), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+            words, ends = sentences.flatten(), inner[outer]
+            first = 0
+            while first < len(batch):  # a document at least, and some thousand tokens, at a time
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + TOKENS_AT_ONCE, "right")) - 1)
+                vectors = table.find(words.slice(ends[first], ends[last] - ends[first]))
+                lists = pa.ListArray.from_arrays(pa.array(ends[first : last + 1] - ends[first], pa.int32()), vectors)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], ["doc_ord", "vectors"])
+                first = last
+
+    rows = corpus.where("error is null").select("doc_ord", F.col(column))
+    return map_arrow(rows, run, f"doc_ord {corpus.schema['doc_ord'].dataType.simpleString()}, vectors array<{kind}>")
 
 
 def distance(a: Column, b: Column, metric: str = "cosine") -> Column:

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from ..model import number_rows
 from ..scratch import commit_file, open_file, scratch_path, write_table
 from ..workers import map_arrow
+from . import lookup
 
-#: Vocabularies up to this many entries go to the workers as one table that is looked up in place; larger ones are
-#: joined.
-TABLE_LIMIT = 1_000_000
+#: Ids of a file of inverse document frequencies.
+IDF_ROWS = 1_000_000
 #: Up to this many rows may be put in order by one task.
 ONE_TASK = 1_000_000
 
@@ -148,71 +148,46 @@ def count(ids: DataFrame, words: DataFrame, *, oov_excluded: bool = False, colum
 
 def _lookup(corpus: DataFrame, table: DataFrame, key: str, value: str, column: str, out: str, missing: object, drop_empty: bool, fail: str | None) -> DataFrame:
     """Replaces each element of nested arrays by table's value for it. missing None drops the elements without one;
-    fail makes documents with such an element invalid."""
-    kind = table.schema[value].dataType.simpleString()
-    small = table.select(key, value).limit(TABLE_LIMIT + 1).toArrow()
-    if small.num_rows <= TABLE_LIMIT:
-        rows = _lookup_in_place(corpus, small, column, kind, missing if fail is None else None, fail is None and missing is None, drop_empty)
-    else:
-        rows = _lookup_by_join(corpus, table, key, value, column, kind)
-        if fail is None and missing is None:
-            rows = rows.withColumn("_got", F.transform("_got", lambda s: F.filter(s, lambda w: w.isNotNull())))
-        elif fail is None:
-            rows = rows.withColumn("_got", F.transform("_got", lambda s: F.transform(s, lambda w: F.coalesce(w, F.lit(missing).cast(kind)))))
-        if drop_empty:
-            rows = rows.withColumn("_got", F.filter("_got", lambda s: F.size(s) > 0))
-    rows = rows.withColumn("_got", F.when(F.col("error").isNull(), F.col("_got")))  # invalid documents have no payload
-    if fail is not None:
-        lost = F.exists("_got", lambda s: F.exists(s, lambda w: w.isNull()))
-        bad = F.struct(F.lit(fail).alias("module_name"), F.lit("id outside the vocabulary").alias("error_info"))
-        rows = rows.withColumn("error", F.when(F.col("error").isNull() & lost, bad).otherwise(F.col("error"))).withColumn("_got", F.when(F.col("error").isNull(), F.col("_got")))
-    others = [c for c in corpus.columns if c != column]
-    return rows.select(*[c for c in others if c != "error"], F.col("_got").alias(out), "error")
+    fail makes documents with such an element invalid. A null payload stays null, a null array in it too (unless empty
+    ones are dropped); a null element has no value.
 
-
-def _lookup_in_place(corpus: DataFrame, pairs: pa.Table, column: str, kind: str, missing: object, drop: bool, drop_empty: bool) -> DataFrame:
-    """The corpus with _got: each batch's flat values are looked up at once in a hashed table, and nested again."""
-    keys, values = (pairs.column(i).combine_chunks() for i in (0, 1))
-    shared = corpus.sparkSession.sparkContext.broadcast((keys, values))
+    The table lies in sorted files that tasks map, whatever its size; each batch's different elements are looked up.
+    """
+    found = lookup.write(table, key, value)
+    drop = fail is None and missing is None
+    fill = missing if fail is None else None
+    kind = table.schema[value].dataType.simpleString()
     at = corpus.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = shared.value
         for batch in batches:
             docs = batch.column(at)
             sentences = docs.values
-            got = values.take(pc.index_in(sentences.values.cast(keys.type), value_set=keys))
+            got = found.find(sentences.values)
             outer = docs.offsets.to_numpy()
             inner = sentences.offsets.to_numpy() if len(sentences) else np.zeros(1, np.int32)  # no offsets may be written for none
+            lost = sentences.is_null().to_numpy(zero_copy_only=False)
             if drop:
                 keep = got.is_valid().to_numpy(zero_copy_only=False)
                 got, inner = got.filter(pa.array(keep)), np.concatenate(([0], np.cumsum(keep)))[inner]
-            elif missing is not None:
-                got = got.fill_null(pa.scalar(missing, values.type))
+            elif fill is not None:
+                got = got.fill_null(pa.scalar(fill, got.type))
             if drop_empty:
                 full = np.diff(inner) > 0
-                outer, inner = np.concatenate(([0], np.cumsum(full)))[outer], np.concatenate((inner[:1], inner[1:][full]))
-            nested = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), got)
+                outer, inner, lost = np.concatenate(([0], np.cumsum(full)))[outer], np.concatenate((inner[:1], inner[1:][full])), lost[full]
+            nested = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), got, mask=pa.array(lost) if lost.any() else None)
             whole = pa.ListArray.from_arrays(pa.array(outer, pa.int32()), nested, mask=docs.is_null())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != at), whole], [*(c for i, c in enumerate(batch.schema.names) if i != at), "_got"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in corpus.schema if f.name != column]
-    return map_arrow(corpus, run, ", ".join([*fields, f"_got array<array<{kind}>>"]))
-
-
-def _lookup_by_join(corpus: DataFrame, table: DataFrame, key: str, value: str, column: str, kind: str) -> DataFrame:
-    """The corpus with _got, for vocabularies too large to send around: elements are joined and nested again."""
-    flat = corpus.where("error is null").select("archive", "doc_name", "doc_ord", F.posexplode(column).alias("_s", "_x"))
-    empty = flat.where(F.size("_x") == 0).select("archive", "doc_name", "doc_ord", "_s", F.lit(None).cast("int").alias("_w"), F.lit(None).cast(kind).alias("_v"))
-    flat = flat.select("archive", "doc_name", "doc_ord", "_s", F.posexplode("_x").alias("_w", "_k"))
-    found = flat.join(table.select(F.col(key).alias("_k"), F.col(value).alias("_v")), "_k", "left").select("archive", "doc_name", "doc_ord", "_s", "_w", "_v").unionByName(empty)
-    keys = ["archive", "doc_name", "doc_ord"]
-    by_sentence = found.groupBy(*keys, "_s").agg(F.array_sort(F.collect_list(F.when(F.col("_w").isNotNull(), F.struct("_w", "_v")))).alias("_cells"))
-    by_doc = by_sentence.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_s", F.transform("_cells", lambda c: c["_v"]).alias("x")))).alias("_got"))
-    by_doc = by_doc.select(*keys, F.transform("_got", lambda s: s["x"]).alias("_got"))
-    rows = corpus.join(by_doc, ["archive", "doc_name", "doc_ord"], "left")
-    rows = rows.withColumn("_got", F.coalesce("_got", F.when(F.col("error").isNull(), F.array().cast(f"array<array<{kind}>>"))))
-    return rows
+    rows = map_arrow(corpus, run, ", ".join([*fields, f"_got array<array<{kind}>>"]))
+    rows = rows.withColumn("_got", F.when(F.col("error").isNull(), F.col("_got")))  # invalid documents have no payload
+    if fail is not None:
+        lost = F.exists("_got", lambda s: F.exists(s, lambda w: w.isNull()))
+        bad = F.struct(F.lit(fail).alias("module_name"), F.lit("id outside the vocabulary").alias("error_info"))
+        rows = rows.withColumn("error", F.when(F.col("error").isNull() & lost, bad).otherwise(F.col("error"))).withColumn("_got", F.when(F.col("error").isNull(), F.col("_got")))
+    others = [c for c in corpus.columns if c != column]
+    return rows.select(*[c for c in others if c != "error"], F.col("_got").alias(out), "error")
 
 
 def map_tokens(corpus: DataFrame, words: DataFrame, oov: str | None = None, *, column: str = "sentences") -> DataFrame:
@@ -301,7 +276,7 @@ def tfidf_bags(ids: DataFrame, ignore_ids: list[int] | None = None, *, column: s
     df = write_table(rows.select(F.explode("items").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("df")), "document-frequencies")
     n_docs, size = rows.count(), (df.agg(F.max("id")).first()[0] or 0) + 1
     uri = scratch_path(spark, "idf")
-    parts = max(1, -(-size // TABLE_LIMIT))
+    parts = max(1, -(-size // IDF_ROWS))
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, values = -1, None

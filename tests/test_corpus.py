@@ -2,13 +2,15 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpuskiln import model
 from corpuskiln.operators import corpus as ops
 from corpuskiln.operators import embeddings as emb
-from corpuskiln.operators import features, mapping, stats, vocab
+from corpuskiln.operators import features, lookup, mapping, stats, vocab
 from corpuskiln.sources import sinks
 
 
@@ -137,9 +139,9 @@ def test_vocabulary_rules(spark):
     assert words(vocab.build(tokens(spark, []))) == []
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
+@pytest.mark.parametrize("limit", [1_000_000, 1])
 def test_vocabulary_mapping(spark, monkeypatch, limit):
-    monkeypatch.setattr(vocab, "TABLE_LIMIT", limit)
+    monkeypatch.setattr(lookup, "FILE_ROWS", limit)
     c = tokens(spark, [[["b", "x", "a"], [], ["x"]], None, [], [[]]])
     words = spark.createDataFrame([(0, "b", 1), (1, "a", 1)], "id int, token string, df bigint")
     ids = lambda df: [r.lists for r in df.orderBy("doc_ord").collect()]
@@ -245,19 +247,48 @@ def test_shuffle_linear(spark):
 
 
 def test_lookup_branches_agree(spark, monkeypatch):
-    """A vocabulary sent to the workers and one joined give the same rows, invalid documents and empty sentences too."""
+    """A vocabulary in one file and one in a file for each word give the same rows, invalid documents, empty sentences and
+    nulls too."""
     bad = ("m", "info")
-    rows = [("a", "1", 1, [["x", "y"], [], ["q"]], None), ("a", "2", 2, [["x"]], bad), ("a", "3", 3, [], None), ("a", "4", 4, None, bad)]
+    rows = [("a", "1", 1, [["x", "y"], [], ["q"]], None), ("a", "2", 2, [["x"]], bad), ("a", "3", 3, [], None), ("a", "4", 4, None, bad), ("a", "5", 5, None, None), ("a", "6", 6, [None, ["x", None, "q"]], None)]
     c = spark.createDataFrame(rows, "archive string, doc_name string, doc_ord bigint, sentences array<array<string>>, error struct<module_name:string,error_info:string>")
     words = spark.createDataFrame([(0, "x", 1), (1, "y", 1)], "id int, token string, df bigint")
     for oov in (None, "skip", "y"):
         found = []
-        for limit in (1_000_000, 0):
-            monkeypatch.setattr(vocab, "TABLE_LIMIT", limit)
+        for limit in (1_000_000, 1):
+            monkeypatch.setattr(lookup, "FILE_ROWS", limit)
             ids = vocab.map_tokens(c, words, oov)
             found.append((sorted(map(str, ids.select("doc_name", "lists", "error").collect())), sorted(map(str, vocab.unmap_ids(ids, words).select("doc_name", "sentences", "error.module_name").collect()))))
         assert found[0] == found[1]
         assert "Row(doc_name='2', lists=None" in found[0][0][1]
+        assert "Row(doc_name='5', lists=None" in found[0][0][4]
+        assert {"skip": "lists=[[0]]", "y": "lists=[None, [0, 1, 1]]", None: "lists=[None, [0, 2, 2]]"}[oov] in found[0][0][5]
+
+
+def test_repeated_order_is_an_error(spark):
+    """Rows of one doc_ord would be joined with each other's numbers."""
+    twice = corpus(spark, ["x", "y", "z"]).withColumn("doc_ord", F.when(F.col("doc_ord") == 2, 1).otherwise(F.col("doc_ord")).cast("bigint"))
+    for make in (lambda: ops.split(twice, 0.5)[0], lambda: ops.shuffle(twice)):
+        with pytest.raises(ValueError, match="repeat"):
+            make().collect()
+
+
+def test_sorted_table(spark, monkeypatch):
+    """Keys of one hash are told apart; files without keys, repeated, null and unknown keys."""
+    monkeypatch.setattr(lookup, "FILE_ROWS", 3)
+    table = spark.createDataFrame([(f"k{i}", [float(i)]) for i in range(20)] + [(None, [9.0]), ("", [-1.0]), ("é", None)], "key string, value array<double>")
+    found = lookup.write(table, "key", "value")
+    assert (found.rows, found.files) == (22, 8)
+    keys = pa.array(["k3", None, "zz", "", "k3", "é", "k19"])
+    assert found.find(keys).to_pylist() == [[3.0], None, None, [-1.0], [3.0], None, [19.0]]
+    assert found.find(pa.array([], pa.string())).to_pylist() == []
+    same = lookup.SortedTable("", 1, 3, pa.string(), pa.int64())
+    same._open[0] = (np.array([lookup.xxhash.xxh64_intdigest(b"b", 42)] * 3, np.uint64).view(np.int64), pa.array(["a", "b", "c"]), pa.array([1, 2, 3]))
+    assert same.find(pa.array(["b", "a"])).to_pylist() == [2, None]
+    numbers = lookup.write(spark.range(5).select("id", (F.col("id") * 2).alias("v")), "id", "v")
+    assert numbers.find(pa.array([4, 7, 0])).to_pylist() == [8, None, 0]
+    nothing = lookup.write(table.limit(0), "key", "value")
+    assert nothing.find(keys).null_count == len(keys)
 
 
 def test_map_keeps_integers(spark):
