@@ -13,8 +13,8 @@ from .. import model
 from ..functions import text
 from ..operators import corpus as ops
 from ..operators import embeddings as emb
-from ..operators import dynamic_topics, features, glove, models, stats, vocab
-from ..sources import readers, sinks
+from ..operators import dynamic_topics, fasttext, features, glove, models, stats, vocab
+from ..sources import fasttext_bin, readers, sinks
 
 
 def to_bool(x: str) -> bool:
@@ -201,6 +201,22 @@ _add("embeddings.glove", _glove, inputs=("text",), outputs=("embeddings", "glove
 _add("embeddings.mapper", lambda s, i, o: {"vectors": emb.doc_vectors(i["corpus"][0], i["embeddings"][0])}, inputs=("corpus", "embeddings"), outputs=("vectors",), needs={"corpus": "sentences"})
 
 
+_FASTTEXT = {"model": choice("skipgram", "cbow"), "dim": to_int, "lr": float, "ws": to_int, "epoch": to_int, "min_count": to_int, "minn": to_int, "maxn": to_int, "neg": to_int, "bucket": to_int, "t": float, "loss": choice("ns"), "word_ngrams": to_int}
+
+
+def _fasttext(spark, inputs, o):
+    """Vectors of the vocabulary; the whole model goes to the file that path names."""
+    found, _ = fasttext.train(inputs["text"][0], **{k: v for k, v in o.items() if k in _FASTTEXT})
+    if "path" in o:
+        fasttext_bin.write(found, o["path"])
+    return {"embeddings": fasttext.word_vectors(found)}
+
+
+_add("embeddings.fasttext", _fasttext, inputs=("text",), outputs=("embeddings",), options=_FASTTEXT | {"path": str}, needs={"text": "sentences"})
+_add("embeddings.mappers.fasttext", lambda s, i, o: {"vectors": fasttext.doc_vectors(i["corpus"][0], fasttext_bin.load(s, o["path"]))}, outputs=("vectors",), options={"path": str}, required=("path",), needs={"corpus": "sentences"})
+_add("input.embeddings.fasttext", lambda s, i, o: {"embeddings": fasttext_bin.read_vectors(s, o["path"], o.get("limit"))}, inputs=(), outputs=("embeddings",), options={"path": str, "limit": to_int}, required=("path",))
+
+
 def _lda(spark, inputs, o):
     words, lda = models.train_lda(inputs["corpus"][0], num_topics=o.get("num_topics", 100), iterations=o.get("iterations", 50))
     return {"top_words": models.lda_top_words(words, lda, o.get("num_words", 15)), "doc_topics": models.lda_doc_topics(inputs["corpus"][0], words, lda)}
