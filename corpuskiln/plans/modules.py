@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from .. import model
 from ..functions import text
 from ..operators import corpus as ops
 from ..operators import embeddings as emb
-from ..operators import dynamic_topics, fasttext, features, glove, models, stats, vocab
+from ..operators import dynamic_topics, fasttext, features, glove, models, scaling, stats, vocab
 from ..sources import fasttext_bin, readers, sinks
 
 
@@ -256,7 +257,28 @@ _add("gensim.ldaseq_doc_topics", _ldaseq_doc_topics, inputs=("corpus", "labels",
 _add("gensim.coherence", lambda s, i, o: {"coherence": features.coherence(i["corpus"][0], i["topics"][0], o.get("coherence", "u_mass"), window=o.get("window_size"))}, inputs=("corpus", "topics"), outputs=("coherence",), options={"coherence": choice("u_mass", "c_v", "c_uci", "c_npmi"), "window_size": to_int}, needs={"corpus": "sentences"})
 _add("regex.annotated_text", lambda s, i, o: {"matches": features.match_annotations(i["documents"][0], o["expr"])}, inputs=("documents",), outputs=("matches",), options={"expr": str}, required=("expr",), needs={"documents": "sentences"})
 _add("visualization.bar_chart", lambda s, i, o: {"data": sinks.chart_data([(r["label"], r["value"]) for x in i["values"] for r in x.select("label", "value").collect()], s)}, inputs=("values*",), outputs=("data",), options={"labels": to_list, "colors": to_list})
-_add("visualization.embeddings_plot", lambda s, i, o: {"data": models.reduce_dimensions(emb.most_frequent(i["vectors"][0].withColumn("source", F.lit("vectors")), o.get("words", 50), o.get("skip", 0)))}, inputs=("vectors",), outputs=("data",), options={"words": to_int, "skip": to_int, "metric": choice("cosine", "euclidean", "manhattan"), "reduction": str, "cmap": json.loads, "colors": to_list})
+
+
+def _embeddings_plot(spark, inputs, o):
+    """label, x, y, colour of each set's most frequent words, all sets in one plane."""
+    if "colors" in o and len(o["colors"]) < len(inputs["vectors"]):
+        raise ValueError("a colour for each set is needed")
+    sets = [e.select(F.lit(i).alias("source"), "idx", "word", "count", F.col("vector").cast("array<double>").alias("vector")) for i, e in enumerate(inputs["vectors"])]
+    rows = emb.most_frequent(reduce(DataFrame.unionByName, sets), o.get("words", 50), o.get("skip", 0))
+    rows = rows.withColumn("id", F.col("source").cast("long") * F.lit(1 << 40) + F.col("rank"))
+    place = scaling.tsne if o.get("reduction", "mds") == "tsne" else scaling.mds
+    found = rows.join(place(rows, metric=o.get("metric", "cosine"), id_col="id"), "id")
+    label, colour = F.col("word"), F.lit("b")
+    if "cmap" in o:
+        for prefix, name in reversed(o["cmap"].items()):
+            mine = F.startswith(F.col("word"), F.lit(prefix))
+            label, colour = F.when(mine, F.substr("word", F.lit(len(prefix) + 1))).otherwise(label), F.when(mine, F.lit(name)).otherwise(colour)
+    elif "colors" in o:
+        colour = F.element_at(F.array(*[F.lit(c) for c in o["colors"]]), F.col("source") + 1)
+    return {"data": found.select(label.alias("label"), F.get("point", 0).alias("x"), F.get("point", 1).alias("y"), colour.alias("colour"))}
+
+
+_add("visualization.embeddings_plot", _embeddings_plot, inputs=("vectors*",), outputs=("data",), options={"words": to_int, "skip": to_int, "metric": choice("cosine", "euclidean", "manhattan"), "reduction": choice("mds", "tsne"), "cmap": json.loads, "colors": to_list})
 
 
 def multistage(name: str, stages: list[tuple[str, str, dict[str, str]]]) -> None:

@@ -11,9 +11,9 @@ from .. import model
 from ..functions import codecs, strings, text
 from ..operators import corpus as ops
 from ..operators import embeddings as emb
-from ..operators import dynamic_topics, features, glove, mapping, models, stats, vocab
+from ..operators import dynamic_topics, fasttext, features, glove, mapping, models, scaling, stats, vocab
 from ..scratch import scratch_path, write_table
-from ..sources import readers, sinks
+from ..sources import fasttext_bin, readers, sinks
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -533,15 +533,15 @@ def dependency_features(spark, sf_dir):
 
 @query
 def lda_topics(spark, sf_dir):
-    words, lda = models.train_lda(tokenized(spark, sf_dir), num_topics=5, iterations=3, vocab_size=500, min_df=3)
+    words, lda = models.train_lda(tokenized(spark, sf_dir), num_topics=5, iterations=3, min_df=3)
     return models.lda_top_words(words, lda, 10)
 
 
 @query
 def lda_doc_topics(spark, sf_dir):
     corpus = tokenized(spark, sf_dir)
-    words, lda = models.train_lda(corpus, num_topics=4, iterations=2, vocab_size=300, min_df=3)
-    return models.lda_doc_topics(corpus, words, lda).select(F.col("doc_ord").alias("doc_id"), F.size("topics").cast("long").alias("n"))
+    words, lda = models.train_lda(corpus, num_topics=4, iterations=2, min_df=3)
+    return models.lda_doc_topics(corpus, words, lda).select(F.col("doc_ord").alias("doc_id"), F.transform("topics", lambda x: F.round(x, 4)).alias("topics"))
 
 
 def _dated(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -590,6 +590,37 @@ def glove_vectors(spark, sf_dir):
     return found.join(words, found["idx"] == words["id"]).select("idx", F.col("token").alias("word"), short("vector").alias("vector"), short("context").alias("context"))
 
 
+@query
+def fasttext_vectors(spark, sf_dir):
+    """Vectors of a trained model, written as a binary file and read back by ranges."""
+    found, _ = fasttext.train(tokenized(spark, sf_dir), dim=8, ws=2, epoch=1, neg=3, bucket=20_000)
+    path = scratch_path(spark, "model.bin")
+    fasttext_bin.write(found, path)
+    return fasttext_bin.read_vectors(spark, path).select("idx", "word", "count", F.transform("vector", lambda x: F.round(x.cast("double"), 4)).alias("vector"))
+
+
+@query
+def fasttext_doc_vectors(spark, sf_dir):
+    """The mean of the vectors of each document's tokens, of words outside the vocabulary, too."""
+    corpus = tokenized(spark, sf_dir)
+    found, _ = fasttext.train(corpus, dim=8, ws=2, epoch=1, neg=3, bucket=20_000, min_count=20)
+    rows = fasttext.doc_vectors(corpus, found)
+    mean = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.round(F.aggregate("vectors", F.lit(0.0), lambda a, v: a + F.get(v, k)) / F.size("vectors"), 4))
+    return rows.select(F.col("doc_ord").alias("doc_id"), F.size("vectors").cast("long").alias("n_tokens"), mean.alias("vector"))
+
+
+@query
+def embeddings_mds(spark, sf_dir):
+    """All vectors in the plane, manhattan distances."""
+    return scaling.mds(_embeddings(spark, sf_dir), metric="manhattan").select("idx", F.transform("point", lambda x: F.round(x, 5)).alias("point"))
+
+
+@query
+def embeddings_tsne(spark, sf_dir):
+    """All vectors in the plane, near ones together."""
+    return scaling.tsne(_embeddings(spark, sf_dir), perplexity=10, iterations=40).select("idx", F.transform("point", lambda x: F.round(x, 3)).alias("point"))
+
+
 @query
 def log_reg(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
@@ -602,7 +633,7 @@ def log_reg(spark, sf_dir):
 
 @query
 def embeddings_reduced(spark, sf_dir):
-    return emb_points(spark, sf_dir).select("idx", F.size("point").cast("long").alias("n"))
+    return emb_points(spark, sf_dir).select("idx", F.transform("point", lambda x: F.round(F.abs(x), 4)).alias("point"))
 
 
 def emb_points(spark, sf_dir) -> DataFrame:
