@@ -6,7 +6,9 @@ valid document, else struct(module_name, error_info). Every "first" or "next" is
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,6 +70,40 @@ DOC_TYPES = {
 }
 
 
+_CODECS: dict[str, tuple[Callable[[Column], dict[str, Column]], Callable[[dict[str, Column]], Column]]] = {}
+
+
+def register_type(name: str, fields: dict[str, str], *, decode: Callable[[Column], dict[str, Column]], encode: Callable[[dict[str, Column]], Column], parent: str = "raw") -> DocType:
+    """A document type of one's own: its payload columns with their Spark types (VARIANT for JSON of any shape), and how
+    they come from the stored text and go back to it, as expressions. Names are taken once."""
+    if name in DOC_TYPES:
+        raise ValueError(f"the type {name} is registered already")
+    if parent not in DOC_TYPES:
+        raise ValueError(f"no parent type {parent}")
+    if not fields or {*fields} & {*KEYS, "error"}:
+        raise ValueError("a payload column is needed, and none may be called like a corpus's own columns")
+    DOC_TYPES[name] = DocType(name, tuple(fields.items()), parent)
+    _CODECS[name] = decode, encode
+    return DOC_TYPES[name]
+
+
+def decode_documents(corpus: DataFrame, name: str, column: str = "raw") -> DataFrame:
+    """The corpus with the payload of a registered type in place of its stored text; what gives no payload at all (all of
+    its columns null) is invalid."""
+    kind, made = DOC_TYPES[name], _CODECS[name][0](F.col(column))
+    payload = {c: F.when(F.col("error").isNull(), made[c].cast(t) if t != "variant" else made[c]) for c, t in kind.fields}
+    rows = corpus.select(*KEYS, *[x.alias(c) for c, x in payload.items()], "error")
+    there = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in payload])
+    lost = F.when(F.col("error").isNull() & ~there, error(name, "not of this type")).otherwise(F.col("error"))
+    return rows.select(*KEYS, *payload, lost.alias("error"))
+
+
+def encode_documents(corpus: DataFrame, name: str) -> DataFrame:
+    """The corpus with the stored text (raw) of a registered type; null for invalid documents."""
+    raw = _CODECS[name][1]({c: F.col(c) for c in DOC_TYPES[name].columns})
+    return corpus.select(*KEYS, F.when(F.col("error").isNull(), raw).alias("raw"), "error")
+
+
 def is_subtype(given: DocType, wanted: DocType) -> bool:
     """Whether given documents may stand where wanted ones are asked for. Word annotations need at least the wanted
     fields."""
