@@ -14,7 +14,8 @@ from .. import model
 from ..functions import text
 from ..operators import corpus as ops
 from ..operators import embeddings as emb
-from ..operators import dynamic_topics, fasttext, features, glove, models, scaling, stats, vocab
+from ..operators import decompose, dynamic_topics, fasttext, features, glove, models, scaling, stats, vocab
+from ..scratch import write_table
 from ..sources import fasttext_bin, readers, sinks
 
 
@@ -281,6 +282,46 @@ def _embeddings_plot(spark, inputs, o):
 _add("visualization.embeddings_plot", _embeddings_plot, inputs=("vectors*",), outputs=("data",), options={"words": to_int, "skip": to_int, "metric": choice("cosine", "euclidean", "manhattan"), "reduction": choice("mds", "tsne"), "cmap": json.loads, "colors": to_list})
 
 
+def _settings(x: str) -> dict:
+    """name=value pairs, or a JSON dictionary with or without its braces."""
+    x = x.strip()
+    if "=" in x and ":" not in x:
+        return {k.strip(): json.loads(v) for k, v in (y.split("=", 1) for y in to_list(x))}
+    return json.loads(x if x.startswith("{") else f"{{{x}}}")
+
+
+def _factorise(spark, inputs, o):
+    """w: id, features of the rows; h: id, features of the columns."""
+    settings = dict(o.get("options", {}))
+    k, kind, cells = settings.pop("n_components", 50), o["class"], inputs["matrix"][0]
+    renamed = {"max_iter": "max_iter", "tol": "tol", "random_state": "seed"}
+    known = {"TruncatedSVD": {"random_state"}, "FastICA": set(renamed), "FactorAnalysis": {"max_iter", "tol"}, "PCA": set(), "NMF": {"max_iter", "random_state"}}[kind]
+    if unknown := set(settings) - known:
+        raise ValueError(f"{kind} has no options {', '.join(sorted(unknown))}")
+    given = {renamed[k]: v for k, v in settings.items()}
+    if kind == "TruncatedSVD":
+        found = decompose.svd(cells, k, **given)
+        scaled = F.zip_with("features", F.array(*[F.lit(float(v)) for v in found.values]), lambda a, b: a * b)
+        return {"w": found.left.select("id", scaled.alias("features")), "h": found.right}
+    if kind == "NMF":
+        w, h = models.factorise(cells, size=k, iterations=given.get("max_iter", 10), seed=given.get("seed", 1), nonnegative=True)
+        return {"w": w, "h": h}
+    # the others need rows in full, so the columns are bounded
+    width = (cells.agg(F.max("feature_id")).first()[0] or 0) + 1
+    if width > decompose.MOST_COLUMNS:
+        raise ValueError(f"{kind} takes {decompose.MOST_COLUMNS} columns at most")
+    as_map = cells.dropna().groupBy("term_id", "feature_id").agg(F.sum("n").alias("n")).groupBy("term_id").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "n"))).alias("m"))
+    rows = write_table(as_map.select(F.col("term_id").alias("idx"), F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)).cast("double")).alias("vector")), "factor-rows")
+    if kind == "PCA":
+        found = decompose.principal(rows, k)
+    else:
+        found = (decompose.fast_ica if kind == "FastICA" else decompose.factor_analysis)(rows, k, **given)
+    return {"w": found.sources, "h": spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(found.mixing)], "id bigint, features array<double>")}
+
+
+_add("sklearn.matrix_factorization", _factorise, inputs=("matrix",), outputs=("w", "h"), options={"class": choice("TruncatedSVD", "FastICA", "FactorAnalysis", "PCA", "NMF"), "options": _settings}, required=("class",))
+
+
 def multistage(name: str, stages: list[tuple[str, str, dict[str, str]]]) -> None:
     """Registers a type that runs stages (stage name, type, options) one after the other on its first input; further
     options are stage_option."""

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import model
-from ..functions import codecs, strings, text
+from ..functions import codecs, strings, structures, text
 from ..operators import corpus as ops
 from ..operators import embeddings as emb
-from ..operators import dynamic_topics, fasttext, features, glove, mapping, models, scaling, stats, vocab
+from ..operators import decompose, dynamic_topics, fasttext, features, glove, mapping, models, scaling, stats, vocab
 from ..scratch import scratch_path, write_table
 from ..sources import fasttext_bin, readers, sinks
 from . import sql
@@ -621,6 +621,39 @@ def embeddings_tsne(spark, sf_dir):
     return scaling.tsne(_embeddings(spark, sf_dir), perplexity=10, iterations=40).select("idx", F.transform("point", lambda x: F.round(x, 3)).alias("point"))
 
 
+@query
+def term_feature_svd(spark, sf_dir):
+    """The eight greatest singular values of the terms' next-token counts, and the terms' vectors."""
+    corpus = tokenized(spark, sf_dir)
+    words = write_table(vocab.build(corpus, threshold=3).words, "words")
+    found = decompose.svd(features.map_features(_next_token_points(corpus), words, words), 8, rounds=3)
+    values = F.array(*[F.lit(round(float(v), 4)) for v in found.values])
+    return found.left.select("id", F.transform("features", lambda x: F.round(F.abs(x), 4)).alias("features"), values.alias("singular_values"))
+
+
+@query
+def embeddings_independent(spark, sf_dir):
+    """Four independent components of all vectors."""
+    return decompose.fast_ica(_embeddings(spark, sf_dir), 4, max_iter=30).sources.select(F.col("id").alias("idx"), F.transform("features", lambda x: F.round(F.abs(x), 2)).alias("features"))
+
+
+@query
+def embeddings_factors(spark, sf_dir):
+    """Four factors of all vectors."""
+    return decompose.factor_analysis(_embeddings(spark, sf_dir), 4, max_iter=100).sources.select(F.col("id").alias("idx"), F.transform("features", lambda x: F.round(F.abs(x), 3)).alias("features"))
+
+
+@query
+def trees_parsed(spark, sf_dir):
+    """Each document as a flat tree of its words, read from brackets: words, nodes of names, and the last word."""
+    node = lambda w: F.concat(F.lit("("), F.when(w.rlike("^[A-Z]"), "NP").otherwise("X"), F.lit(" "), w, F.lit(")"))
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    tree = F.when(F.size(words) > 0, F.array(F.concat(F.lit("(S "), F.array_join(F.transform(words, node), " "), F.lit(")")))).otherwise(F.array().cast("array<string>"))
+    parsed = structures.parse_trees(documents(spark, sf_dir).withColumn("trees", tree).drop("text"))
+    t = F.get("trees", 0)
+    return _doc_id(parsed, n_words=F.coalesce(F.size(structures.leaves(t)).cast("long"), F.lit(0)), n_names=F.coalesce(F.size(F.filter(t["labels"], lambda x: x == "NP")).cast("long"), F.lit(0)), last=F.element_at(t["words"], -1))
+
+
 @query
 def log_reg(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")

@@ -107,6 +107,8 @@ SELECT doc_id, id, round(CASE WHEN norm > 0 THEN x / norm ELSE 0 END, 6) AS w FR
 d AS (SELECT unnest(generate_series(1, 15)) AS d), h AS (SELECT a.id AS x, b.id AS y, d, count(*) AS n FROM k a, d, k b WHERE b.doc_id = a.doc_id AND b.p = a.p + d GROUP BY ALL),
 u AS (SELECT x AS w1, y AS w2, n / d::DOUBLE AS w FROM h UNION ALL SELECT y, x, n / d::DOUBLE FROM h)
 SELECT CAST(w1 AS BIGINT) AS w1, CAST(w2 AS BIGINT) AS w2, round(sum(w), 5) AS weight FROM u GROUP BY w1, w2""",
+    "trees_parsed": """WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM documents)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]'))) AS BIGINT) AS n_names, w[-1] AS last FROM w""",
     "frequent_tokens": f"WITH {_vocab()} SELECT token, df FROM v ORDER BY df DESC, id LIMIT 100",
     "group_archives": "SELECT 'archive-' || lpad(CAST((row_number() OVER (ORDER BY doc_id) - 1) // 300 AS VARCHAR), CAST(length(CAST(((SELECT count(*) FROM documents) - 1) // 300 AS VARCHAR)) AS INTEGER), '0') AS archive, CAST(doc_id AS VARCHAR) AS doc_name FROM documents",
     "concat_corpora": """SELECT row_number() OVER (ORDER BY src, o) - 1 AS pos, archive, doc_name, text FROM (
