@@ -156,10 +156,10 @@ def _reader(name: str, function, **options) -> None:
     _add(name, function, inputs=(), options=options, required=("files",))
 
 
-_reader("input.text.raw_text_files", lambda s, i, o: {"corpus": readers.text_files(s, o["files"], exclude=o.get("exclude"), encoding=o.get("encoding", "utf8"))}, files=to_list, exclude=to_list, encoding=str, encoding_errors=str)
+_reader("input.text.raw_text_files", lambda s, i, o: {"corpus": readers.text_files(s, o["files"], exclude=o.get("exclude"), encoding=o.get("encoding", "utf8"), encoding_errors=o.get("encoding_errors", "strict"))}, files=to_list, exclude=to_list, encoding=str, encoding_errors=str)
 _reader("input.text.raw_text_archives", lambda s, i, o: {"corpus": readers.text_archives(s, o["files"], encoding=o.get("encoding", "utf8"), encoding_errors=o.get("encoding_errors", "strict"))}, files=to_list, encoding=str, encoding_errors=str)
-_reader("input.text.europarl", lambda s, i, o: {"corpus": readers.europarl(readers.text_files(s, o["files"], exclude=o.get("exclude"), encoding=o.get("encoding", "utf8")))}, files=to_list, exclude=to_list, encoding=str, encoding_errors=str)
-_reader("input.xml", lambda s, i, o: {"corpus": readers.xml_files(s, o["files"], exclude=o.get("exclude"), node=o.get("document_node_type", "doc"), name_attr=o.get("document_name_attr", "filename"), attrs=dict(x.split("=", 1) for x in o.get("filter_on_doc_attr", [])))}, files=to_list, exclude=to_list, encoding=str, document_node_type=str, document_name_attr=str, filter_on_doc_attr=to_list)
+_reader("input.text.europarl", lambda s, i, o: {"corpus": readers.europarl(readers.text_files(s, o["files"], exclude=o.get("exclude"), encoding=o.get("encoding", "utf8"), encoding_errors=o.get("encoding_errors", "strict")))}, files=to_list, exclude=to_list, encoding=str, encoding_errors=str)
+_reader("input.xml", lambda s, i, o: {"corpus": readers.xml_files(s, o["files"], exclude=o.get("exclude"), encoding=o.get("encoding", "utf8"), encoding_errors=o.get("encoding_errors", "strict"), node=o.get("document_node_type", "doc"), name_attr=o.get("document_name_attr", "filename"), attrs=dict(x.split("=", 1) for x in o.get("filter_on_doc_attr", [])))}, files=to_list, exclude=to_list, encoding=str, encoding_errors=str, document_node_type=str, document_name_attr=str, filter_on_doc_attr=to_list)
 _reader("input.document_archives", lambda s, i, o: {"corpus": readers.document_archives(s, o["files"], o.get("payload", "text"))}, files=to_list, payload=str)
 _add("input.table", lambda s, i, o: {"corpus": model.from_table(s.read.parquet(o["path"]), order=o["order"], payload={"text": F.col(o.get("text", "text"))}, archive=o.get("archive"), name=o.get("name"))}, inputs=(), options={"path": str, "order": str, "text": str, "archive": str, "name": str}, required=("path", "order"))
 _add("input.stored", lambda s, i, o: {"corpus": readers.load(s, o["dir"])}, inputs=(), options={"dir": str}, required=("dir",))

@@ -762,6 +762,18 @@ def xml_files_written(spark, sf_dir):
     return readers.xml_files(spark, [path], node="p").select("doc_name", "text")
 
 
+@query
+def xml_nested_files(spark, sf_dir):
+    """A file for each passage, with references by name and number, and an element inside the element."""
+    path = _folder(spark, "xml")
+    body = F.col("text")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("e", "&#101;")):
+        body = F.replace(body, F.lit(a), F.lit(b))
+    marked = F.concat(F.lit('<?xml version="1.0"?><r><doc filename="'), F.col("item_id").cast("string"), F.lit('"><!-- <doc> -->'), body, F.lit("<doc><![CDATA[x < ]]>y</doc></doc></r>"))
+    sinks.text_corpus(model.from_table(table(spark, sf_dir, "benchmark"), order="item_id", payload={"text": marked}), path)
+    return readers.xml_files(spark, [path]).select("doc_name", "text")
+
+
 @query
 def vertical_text_written(spark, sf_dir):
     """Documents in vertical form, a word and its first letter a line, read with their sentences."""

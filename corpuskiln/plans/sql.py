@@ -198,9 +198,7 @@ ORACLE_SQL["store_appended"] = "SELECT source AS archive, CAST(doc_id AS VARCHAR
 ORACLE_SQL["text_files_written"] = "SELECT row_number() OVER (ORDER BY CAST(item_id AS VARCHAR) || '.txt') - 1 AS doc_ord, item_id || '.txt' AS doc_name, text FROM benchmark"
 ORACLE_SQL["text_files_lines"] = f"SELECT CAST(doc_id AS VARCHAR) AS doc_name, coalesce(array_to_string(list_slice({_LINES}, 2, 3), chr(10)), '') AS text FROM documents"
 ORACLE_SQL["text_archives_written"] = "SELECT CAST(doc_id AS VARCHAR) AS doc_name, text FROM documents"
-ORACLE_SQL["xml_files_written"] = r"""WITH x AS (SELECT page_id, regexp_extract_all(html, '(?is)<p(?:\s[^>]*)?>(.*?)</p\s*>', 1) AS p FROM pages), y AS (SELECT page_id, generate_subscripts(p, 1) AS k, unnest(p) AS t FROM x)
-SELECT page_id || CASE WHEN k > 1 THEN '-' || (k - 1) ELSE '' END AS doc_name,
-replace(replace(replace(replace(replace(regexp_replace(t, '(?s)<!--.*?-->|<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&') AS text FROM y"""
+ORACLE_SQL["xml_nested_files"] = "SELECT CAST(item_id AS VARCHAR) AS doc_name, text || 'x < y' AS text FROM benchmark UNION ALL SELECT item_id || '-1', 'x < y' FROM benchmark"
 ORACLE_SQL["vertical_text_written"] = f"""WITH d AS (SELECT item_id, regexp_replace(text, '[<>]', '', 'g') AS text FROM benchmark), s AS (SELECT item_id, list_filter({_SENTENCES}, lambda x: len(x) > 0) AS s FROM d)
 SELECT CAST(item_id AS VARCHAR) AS doc_name, array_to_string(list_transform(s, lambda x: array_to_string(list_transform(x, lambda w: w || '/' || substr(w, 1, 1)), ' ')), chr(10)) AS words FROM s"""
 ORACLE_SQL["word2vec_written"] = f"SELECT vec_id AS idx, 'w' || vec_id AS word, vec_id * 7 % 101 AS count, {_NUMBERS} AS numbers FROM embeddings"

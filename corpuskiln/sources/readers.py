@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import io
 import json
 import re
@@ -11,12 +12,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import europarl_lines, split_lines
 from ..model import ERROR_TYPE, error, from_table, no_error, number_in_files
-from ..workers import ship
+from ..scratch import write_table
+from ..workers import map_arrow, ship
 
 _RANGE = re.compile(r"^(?P<path>.+?)(?::(?P<a>\d+)-(?P<b>\d+)|:(?P<c>\d+)-|:-(?P<d>\d+))?$")
 
@@ -51,7 +54,17 @@ def _unique_names(df: DataFrame) -> DataFrame:
     return df.withColumn("_n", F.count(F.lit(1)).over(same)).withColumn("_at", at).withColumn("doc_name", F.when(F.col("_n") > 1, F.concat_ws("-", "doc_name", "_at")).otherwise(F.col("doc_name"))).drop("_n", "_at")
 
 
-def _decoded(content: Column, encoding: str) -> Column:
+def _decoded(content: Column, encoding: str, errors: str = "strict") -> Column:
+    """Bytes as text. errors is what to do with bytes that are none: strict (fail), ignore, replace."""
+    if errors not in ("strict", "ignore", "replace"):
+        raise ValueError(f"encoding_errors can't be {errors}")
+    if errors != "strict":
+
+        @F.pandas_udf("string")
+        def decode(x: pd.Series) -> pd.Series:
+            return x.map(lambda b: None if b is None else bytes(b).decode(encoding, errors))
+
+        return decode(content)
     return F.decode(content, {"utf8": "UTF-8", "utf-8": "UTF-8", "latin1": "ISO-8859-1", "latin-1": "ISO-8859-1", "ascii": "US-ASCII"}.get(encoding.lower(), encoding))
 
 
@@ -61,10 +74,10 @@ def _as_corpus(df: DataFrame, payload: dict[str, Column]) -> DataFrame:
     return ordered.select(F.lit("corpus").alias("archive"), "doc_name", "doc_ord", *[c.alias(n) for n, c in payload.items()], no_error().alias("error"))
 
 
-def text_files(spark: SparkSession, files: list[str], *, exclude: list[str] | None = None, encoding: str = "utf8") -> DataFrame:
+def text_files(spark: SparkSession, files: list[str], *, exclude: list[str] | None = None, encoding: str = "utf8", encoding_errors: str = "strict") -> DataFrame:
     """One document a file, by sorted path: globs and folders; path:X-Y takes lines X to Y (from 1)."""
     raw = _file_table(spark, files, exclude)
-    text = _decoded(F.col("content"), encoding)
+    text = _decoded(F.col("content"), encoding, encoding_errors)
     lines = F.slice(split_lines(text), F.greatest(F.col("first"), F.lit(1)), F.when(F.col("last") > 0, F.col("last") - F.greatest(F.col("first"), F.lit(1)) + 1).otherwise(F.lit(2**31 - 1)))
     ranged = F.when((F.col("first") > 0) | (F.col("last") > 0), F.array_join(lines, "\n")).otherwise(text)
     named = _unique_names(raw.withColumn("doc_name", F.element_at(F.split("path", "/"), -1)))
@@ -106,30 +119,71 @@ def _bare(x: Column) -> Column:
     return out
 
 
-def xml_files(spark: SparkSession, files: list[str], *, exclude: list[str] | None = None, encoding: str = "utf8", node: str = "doc", name_attr: str = "filename", attrs: dict[str, str] | None = None) -> DataFrame:
+_XML_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z_][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+
+
+def xml_elements(markup: str, node: str) -> list[tuple[str, str]]:
+    """(attributes, text) of every element named node (in any case), nested ones too, in the order of their start tags.
+
+    Text is that of all that the element holds, with named and numeric references decoded and CDATA taken as it is; comments
+    and tags go. An element that isn't closed ends with the markup, an end tag that closes nothing is ignored.
+    """
+    wanted, pieces = node.lower(), []
+    out: list[list] = []  # attributes, first piece, end
+    open_: list[int] = []
+    at = 0
+    for m in _XML_PIECE.finditer(markup):
+        pieces.append(html.unescape(markup[at : m.start()]))
+        at = m.end()
+        if m[1] is not None:
+            pieces.append(m[1])
+        if (m[3] or "").lower() != wanted:
+            continue
+        if m[2]:
+            if open_:
+                out[open_.pop()][2] = len(pieces)
+        else:
+            out.append([m[4], len(pieces), len(pieces) if m[4].endswith("/") else None])
+            if out[-1][2] is None:
+                open_.append(len(out) - 1)
+    pieces.append(html.unescape(markup[at:]))
+    return [(head, "".join(pieces[first:end])) for head, first, end in out]
+
+
+def xml_files(
+    spark: SparkSession, files: list[str], *, exclude: list[str] | None = None, encoding: str = "utf8", encoding_errors: str = "strict", node: str = "doc", name_attr: str = "filename", attrs: dict[str, str] | None = None
+) -> DataFrame:
     """One document an element named node, by file and place: named by name_attr, or by the file (with -1, -2, ...
-    for further ones); attrs keeps elements with these attribute values. Files ending in .gz are unpacked."""
-    raw = _file_table(spark, files, exclude)
+    for further ones); attrs keeps elements with these attribute values. Files ending in .gz are unpacked. Nested elements
+    are documents of their own beside the one around them."""
+    raw = _file_table(spark, files, exclude).select("path", "content")
+    wanted = dict(attrs or {})
 
-    @F.pandas_udf("binary")
-    def plain(content: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip
 
-        return content.map(lambda c: gzip.decompress(c) if c[:2] == b"\x1f\x8b" else c)
-
-    text = _decoded(plain(F.col("content")), encoding)
-    heads = F.regexp_extract_all(text, F.lit(f"(?is)<{node}((?:\\s[^>]*)?)>.*?</{node}\\s*>"), F.lit(1))
-    rows = raw.select("path", F.posexplode(F.arrays_zip(heads.alias("head"), xml_text(text, node).alias("text"))).alias("at", "x")).select("path", "at", "x.*")
-    for k, v in (attrs or {}).items():
-        rows = rows.where(F.regexp_extract("head", f"""{k}\\s*=\\s*["']([^"']*)""", 1) == v)
-    given = F.regexp_extract("head", f"""{name_attr}\\s*=\\s*["']([^"']*)""", 1)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                body = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+                rows = []
+                for head, text in xml_elements(body.decode(encoding, encoding_errors), node):
+                    given = {k: html.unescape(x or y) for k, x, y in _XML_ATTRIBUTE.findall(head)}
+                    if all(given.get(k) == v for k, v in wanted.items()):
+                        rows.append((given.get(name_attr, ""), text))
+                for first in range(0, len(rows), 1000):
+                    part = rows[first : first + 1000]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(range(first, first + len(part)), pa.int64()), pa.array([x for x, _ in part], pa.string()), pa.array([x for _, x in part], pa.string())], ["path", "at", "given", "text"])
+
+    rows = map_arrow(raw, run, "path string, at bigint, given string, text string")
     base = F.element_at(F.split("path", "/"), -1)
-    nth = F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1
-    rows = rows.withColumn("_nth", nth).withColumn("doc_name", F.when(given != "", given).otherwise(F.when(F.col("_nth") > 0, F.concat_ws("-", base, "_nth")).otherwise(base)))
-    ordered = number_in_files(rows, "_nth")
+    rows = rows.withColumn("doc_name", F.when(F.col("given") != "", F.col("given")).otherwise(F.when(F.col("at") > 0, F.concat_ws("-", base, "at")).otherwise(base)))
+    ordered = number_in_files(write_table(rows, "xml"))
     return ordered.select(F.lit("corpus").alias("archive"), "doc_name", "doc_ord", "text", no_error().alias("error"))
 
 
+_XML_ATTRIBUTE = re.compile(r"""([^\s=/]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+
+
 def europarl(corpus: DataFrame) -> DataFrame:
     """A text corpus of proceedings, cleaned (see europarl_lines); with fewer than 4 lines left it is invalid."""
     lines = europarl_lines(F.col("text"))
@@ -174,9 +228,14 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """at (from 0, in file order), value. Embedding files are vocabularies: one window numbers their lines."""
+    """at (from 0, in file order), value. Spark splits a file in order; the splits' numbers of lines are added up, and
+    lines stay in the tasks that read them."""
     lines = spark.read.text(path).withColumn("_m", F.monotonically_increasing_id())
-    return lines.select((F.row_number().over(Window.orderBy("_m")) - 1).alias("at"), "value")
+    sizes = lines.groupBy(F.shiftright("_m", 33).alias("_split")).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    offsets = sizes.select("_split", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    placed = lines.withColumn("_split", F.shiftright("_m", 33)).join(F.broadcast(offsets), "_split")
+    return placed.select((F.col("_offset") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).alias("at"), "value")
 
 
 def _vector_rows(lines: DataFrame, limit: int | None, skip: int) -> DataFrame:

@@ -33,6 +33,63 @@ def test_text_files(spark, tmp_path):
         readers.text_files(spark, [f"?{tmp_path}/none"])
 
 
+def test_xml_elements(spark, tmp_path):
+    """Nested elements, references, CDATA, comments, lost and stray end tags, by hand."""
+    read = readers.xml_elements
+    assert read("<a><doc n='1'>x<doc>y &#233;&#x1F642;</doc>z</doc></a>", "doc") == [(" n='1'", "xy é🙂z"), ("", "y é🙂")]
+    assert read("<DOC>a<![CDATA[<b>&amp;]]><!-- <doc>no</doc> --></DOC></doc>", "doc") == [("", "a<b>&amp;")]
+    assert read("<doc>a<doc>b", "doc") == [("", "ab"), ("", "b")] and read("<doc/>x<docs>y</docs>", "doc") == [("/", "")]
+    assert read("<?xml version='1.0'?><doc t=\"a>b\">x</doc>", "doc") == [(' t="a>b"', "x")] and read("", "doc") == []
+    (tmp_path / "n.xml").write_text('<r><doc filename="o&amp;p" lang="en">1<doc>2</doc></doc><doc filename="q" lang="de">3</doc></r>')
+    got = readers.xml_files(spark, [f"{tmp_path}/n.xml"]).orderBy("doc_ord").select("doc_name", "text").collect()
+    assert [tuple(r) for r in got] == [("o&p", "12"), ("n.xml-1", "2"), ("q", "3")]
+    assert [r.text for r in readers.xml_files(spark, [f"{tmp_path}/n.xml"], attrs={"lang": "de"}).collect()] == ["3"]
+
+
+def test_xml_query_against_loops(spark, sf):
+    """Every paragraph of every page, by walking over the page's tags one by one."""
+    from corpuskiln.plans import registry
+
+    import html
+    import re
+
+    want = []
+    for page in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        open_, found = [], []
+        for part in re.split(r"(<!--.*?-->|<[^>]*>)", page.html, flags=re.S):
+            if not part.startswith("<"):
+                for k in open_:
+                    found[k].append(html.unescape(part))
+            elif re.match(r"<p[\s>]", part, re.I):
+                open_.append(len(found))
+                found.append([])
+            elif re.match(r"</p[\s>]", part, re.I) and open_:
+                open_.pop()
+        want += [(f"{page.page_id}-{i}" if i else str(page.page_id), "".join(x)) for i, x in enumerate(found)]
+    assert sorted(map(tuple, registry.QUERIES["xml_files_written"](spark, sf).collect())) == sorted(want)
+
+
+def test_encoding_errors(spark, tmp_path):
+    (tmp_path / "t.txt").write_bytes(b"a\xffb")
+    read = lambda e: readers.text_files(spark, [f"{tmp_path}/t.txt"], encoding_errors=e).first().text
+    assert (read("ignore"), read("replace")) == ("ab", "a\ufffdb")
+    with pytest.raises(ValueError):
+        read("other")
+
+
+def test_numbered_lines(spark, tmp_path):
+    """Lines of a file that is read in many splits, without a window over them."""
+    (tmp_path / "v.txt").write_text("".join(f"w{i} {i}.5 1\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        lines = readers._numbered_lines(spark, f"{tmp_path}/v.txt")
+        got = lines.collect()
+        assert lines.rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["at"]: r.value.split()[0] for r in got} == {i: f"w{i}" for i in range(5000)}
+
+
 def test_archives_xml_vertical(spark, tmp_path):
     for n in ("p", "q"):
         with tarfile.open(tmp_path / f"{n}.tar.gz", "w:gz") as t:
