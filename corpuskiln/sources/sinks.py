@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import io
 import re
-import struct
 import tarfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import check_unique
+from ..scratch import commit_file, drop, open_file, scratch_path
+from ..workers import map_arrow
 
 
 def store(corpus: DataFrame, path: str, *, append: bool = False, checked: bool = True) -> DataFrame:
@@ -71,22 +75,61 @@ def embedding_lines(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("idx", F.array_join(F.transform("vector", lambda x: x.cast("string")), "\t").alias("line"))
 
 
+def _in_pieces(rows: DataFrame, outputs: dict[str, Callable[[pa.RecordBatch], bytes]], heads: dict[str, bytes]) -> None:
+    """Writes files (path -> bytes of a batch) of rows in the order of idx: ranges of idx become pieces, written side by
+    side, which are then strung together byte by byte behind heads."""
+    spark, names = rows.sparkSession, list(outputs)
+    folder, n = scratch_path(spark, "pieces"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId()
+
+        def write(left: list[str], sinks: list) -> None:
+            if left:
+                commit_file(f"{folder}/{len(sinks)}-{number}", lambda f: write(left[1:], [*sinks, f]))
+                return
+            for batch in batches:
+                for name, sink in zip(names, sinks, strict=True):
+                    sink.write(outputs[name](batch))
+
+        write(names, [])
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32())], ["piece"])
+
+    made = sorted(r.piece for r in map_arrow(rows.repartitionByRange(n, "idx").sortWithinPartitions("idx"), run, "piece int").collect())  # one row a piece
+    for i, name in enumerate(names):
+
+        def join(f, i: int = i, name: str = name) -> None:
+            f.write(heads.get(name, b""))
+            for piece in made:
+                with open_file(f"{folder}/{i}-{piece}") as part:
+                    while data := part.read(1 << 20):
+                        f.write(data)
+
+        commit_file(name, join)
+    drop(spark, folder)
+
+
 def store_tsv(embeddings: DataFrame, path: str) -> None:
-    """embeddings.tsv (vectors) and metadata.tsv (Word, Count with a header), both in the order of idx, as folders."""
-    embedding_lines(embeddings).orderBy("idx").select("line").coalesce(1).write.mode("overwrite").text(f"{path}/embeddings.tsv")
+    """embeddings.tsv (vectors) and metadata.tsv (Word, Count with a header), both in the order of idx."""
+    lines = embedding_lines(embeddings)
+    _in_pieces(lines, {f"{path}/embeddings.tsv": lambda b: b"".join(x + b"\n" for x in b.column(1).cast(pa.binary()).to_pylist())}, {})
     embeddings.orderBy("idx").select(F.col("word").alias("Word"), F.col("count").alias("Count")).coalesce(1).write.mode("overwrite").csv(f"{path}/metadata.tsv", sep="\t", header=True)
 
 
 def store_word2vec(embeddings: DataFrame, path: str) -> None:
-    """A binary word2vec file and path.vocab, written row by row by the driver; spaces in words are marked."""
+    """A binary word2vec file and path.vocab, in the order of idx; spaces in words are marked. Vectors of different lengths
+    are an error."""
     n, dim = embeddings.count(), len((embeddings.select("vector").first() or [[]])[0])
-    mark = lambda w: w.replace(" ", "<space>").replace(" ", "<nbspace>")
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "wb") as out, open(f"{path}.vocab", "w", encoding="utf8") as vocab:
-        out.write(f"{n} {dim}\n".encode())
-        for r in embeddings.orderBy("idx").select("word", "count", "vector").toLocalIterator():
-            out.write(mark(r.word).encode() + b" " + struct.pack(f"<{dim}f", *r.vector) + b"\n")
-            vocab.write(f"{mark(r.word)} {r['count']}\n")
+    mark = lambda w: w.replace(" ", "<space>").replace("\u00a0", "<nbspace>").encode()
+
+    def vectors(batch: pa.RecordBatch) -> bytes:
+        values = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(len(batch), dim)
+        return b"".join(mark(w) + b" " + v.tobytes() + b"\n" for w, v in zip(batch.column(1).to_pylist(), values, strict=True))
+
+    def counts(batch: pa.RecordBatch) -> bytes:
+        return b"".join(b"%s %d\n" % (mark(w), c) for w, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+
+    _in_pieces(embeddings.select("idx", "word", "count", "vector"), {path: vectors, f"{path}.vocab": counts}, {path: f"{n} {dim}\n".encode()})
 
 
 def collect_files(spark: SparkSession, collections: list[list[str]], path: str, *, names: list[str] | None = None, subdirs: bool = False) -> list[str]:
