@@ -273,6 +273,23 @@ def test_repeated_order_is_an_error(spark):
             make().collect()
 
 
+@pytest.mark.parametrize("at_once", [3, 4096])
+def test_window_counts(monkeypatch, at_once):
+    """Windows with each pair of words, by looking at every window."""
+    monkeypatch.setattr(features, "WINDOWS_AT_ONCE", at_once)
+    r = random.Random(at_once)
+    for _ in range(60):
+        code = [r.choice([-1, -1, 0, 1, 2, 4]) for _ in range(r.randint(1, 30))]
+        window = r.randint(1, 12)
+        sets = [{w for w in code[i : i + window] if w >= 0} for i in range(max(len(code) - window + 1, 1))]
+        want = {(a, b): n for a in range(5) for b in range(a, 5) if (n := sum(a in s and b in s for s in sets))}
+        key, n = features._windows_with(np.array(code), 5, window)
+        got: dict = {}
+        for k, x in zip(key.tolist(), n.tolist(), strict=True):
+            got[divmod(k, 5)] = got.get(divmod(k, 5), 0) + x
+        assert got == want
+
+
 def test_sorted_table(spark, monkeypatch):
     """Keys of one hash are told apart; files without keys, repeated, null and unknown keys."""
     monkeypatch.setattr(lookup, "FILE_ROWS", 3)
