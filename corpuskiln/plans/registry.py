@@ -54,6 +54,11 @@ def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.withColumn("sentences", text.token_normalize(text.simple_tokenize(F.col("text")), case="lower")).drop("text")
 
 
+def stored_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As tokenized(), written once, for queries that go over the tokens several times."""
+    return write_table(tokenized(spark, sf_dir), "tokens")
+
+
 def _doc_id(corpus: DataFrame, **columns: Column) -> DataFrame:
     return corpus.select(F.col("doc_ord").alias("doc_id"), *[c.alias(n) for n, c in columns.items()])
 
@@ -227,40 +232,40 @@ def _ids_text(c: str) -> Column:
 
 @query
 def vocab_map(spark, sf_dir):
-    corpus = tokenized(spark, sf_dir)
+    corpus = stored_tokens(spark, sf_dir)
     return _doc_id(vocab.map_tokens(corpus, _words(corpus)), ids=_ids_text("lists"))
 
 
 @query
 def vocab_map_skip(spark, sf_dir):
-    corpus = tokenized(spark, sf_dir)
+    corpus = stored_tokens(spark, sf_dir)
     return _doc_id(vocab.map_tokens(corpus, _words(corpus), "skip"), ids=_ids_text("lists"))
 
 
 @query
 def vocab_unmap(spark, sf_dir):
-    corpus = tokenized(spark, sf_dir)
+    corpus = stored_tokens(spark, sf_dir)
     words = _words(corpus)
     return _doc_id(vocab.unmap_ids(vocab.map_tokens(corpus, words), words, "OOV"), text=text.join_sentences(F.col("sentences")))
 
 
 @query
 def vocab_count(spark, sf_dir):
-    corpus = tokenized(spark, sf_dir)
+    corpus = stored_tokens(spark, sf_dir)
     words = _words(corpus)
     return vocab.count(vocab.map_tokens(corpus, words), words, oov_excluded=True)
 
 
 @query
 def doc_bow(spark, sf_dir):
-    corpus = tokenized(spark, sf_dir)
+    corpus = stored_tokens(spark, sf_dir)
     bow = vocab.bag_of_words(vocab.map_tokens(corpus, _words(corpus), "skip"), [0])
     return bow.select(F.col("doc_ord").alias("doc_id"), "id", "freq")
 
 
 @query
 def tfidf(spark, sf_dir):
-    corpus = tokenized(spark, sf_dir)
+    corpus = stored_tokens(spark, sf_dir)
     found = vocab.tfidf_bags(vocab.map_tokens(corpus, _words(corpus), "skip"))
     return found.select(F.col("doc_ord").alias("doc_id"), F.explode(F.arrays_zip("items", "weights")).alias("x")).select("doc_id", F.col("x.items").alias("id"), F.round("x.weights", 6).alias("w"))
 
@@ -268,7 +273,7 @@ def tfidf(spark, sf_dir):
 @query
 def doc2bow_missing(spark, sf_dir):
     """What a vocabulary lacks of each document."""
-    corpus = tokenized(spark, sf_dir)
+    corpus = stored_tokens(spark, sf_dir)
     missing = vocab.doc2bow(corpus, _words(corpus))[1]
     return missing.groupBy(F.col("doc_ord").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_types"), F.sum("freq").alias("n_tokens"))
 
@@ -422,7 +427,7 @@ def embeddings_concat(spark, sf_dir):
 @query
 def doc_embeddings(spark, sf_dir):
     """Vectors of each document's tokens; words without one give null."""
-    corpus = tokenized(spark, sf_dir)
+    corpus = stored_tokens(spark, sf_dir)
     words = vocab.build(corpus, threshold=5).words
     e = words.select(F.col("token").alias("word"), F.array(F.col("id").cast("double"), F.col("df").cast("double")).alias("vector"))
     v = F.col("vectors")
@@ -436,7 +441,7 @@ def doc_embeddings(spark, sf_dir):
 @query
 def cooccurrence(spark, sf_dir):
     """All words of the vocabulary, in the default window."""
-    corpus = tokenized(spark, sf_dir)
+    corpus = stored_tokens(spark, sf_dir)
     known = vocab.map_tokens(corpus, vocab.build(corpus, threshold=3).words, "skip")
     pairs = features.cooccurrence(known.select(F.flatten("lists").alias("tokens")))
     return pairs.select("w1", "w2", F.round("weight", 5).alias("weight"))
@@ -449,7 +454,7 @@ def _topics(corpus: DataFrame) -> DataFrame:
 
 
 def _coherence(spark, sf_dir, measure: str) -> DataFrame:
-    corpus = tokenized(spark, sf_dir)
+    corpus = stored_tokens(spark, sf_dir)
     return features.coherence(corpus, _topics(corpus), measure).select(F.col("topic").cast("long").alias("topic"), F.round("coherence", 6).alias("coherence"))
 
 
@@ -475,7 +480,7 @@ def coherence_cv(spark, sf_dir):
 
 @query
 def missing_topic_words(spark, sf_dir):
-    corpus = tokenized(spark, sf_dir)
+    corpus = stored_tokens(spark, sf_dir)
     return features.missing_topic_words(_topics(corpus), vocab.build(corpus, threshold=3, max_prop=0.2).words).select(F.col("topic").cast("long").alias("topic"), "word")
 
 
@@ -539,14 +544,14 @@ def lda_topics(spark, sf_dir):
 
 @query
 def lda_doc_topics(spark, sf_dir):
-    corpus = tokenized(spark, sf_dir)
+    corpus = stored_tokens(spark, sf_dir)
     words, lda = models.train_lda(corpus, num_topics=4, iterations=2, min_df=3)
     return models.lda_doc_topics(corpus, words, lda).select(F.col("doc_ord").alias("doc_id"), F.transform("topics", lambda x: F.round(x, 4)).alias("topics"))
 
 
 def _dated(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents as ids, a vocabulary, and labels: four time slices in the order of the ids."""
-    corpus = tokenized(spark, sf_dir)
+    corpus = stored_tokens(spark, sf_dir)
     words = write_table(vocab.build(corpus, threshold=3).words, "words")
     first, last = table(spark, sf_dir, "documents").agg(F.min("doc_id"), F.max("doc_id")).first()
     label = F.concat(F.lit("slice-"), F.least(F.floor(4 * (F.col("doc_ord") - F.lit(first)) / F.lit(last - first + 1)), F.lit(3)).cast("string"))
@@ -582,7 +587,7 @@ def word2vec(spark, sf_dir):
 @query
 def glove_vectors(spark, sf_dir):
     """Word and context vectors of all words of a vocabulary."""
-    corpus = tokenized(spark, sf_dir)
+    corpus = stored_tokens(spark, sf_dir)
     words = write_table(vocab.build(corpus, threshold=10).words, "words")
     known = vocab.map_tokens(corpus, words, "skip").select(F.flatten("lists").alias("tokens"))
     found, _ = glove.train(features.cooccurrence(known), words.count(), size=8, iterations=3)
@@ -602,7 +607,7 @@ def fasttext_vectors(spark, sf_dir):
 @query
 def fasttext_doc_vectors(spark, sf_dir):
     """The mean of the vectors of each document's tokens, of words outside the vocabulary, too."""
-    corpus = tokenized(spark, sf_dir)
+    corpus = stored_tokens(spark, sf_dir)
     found, _ = fasttext.train(corpus, dim=8, ws=2, epoch=1, neg=3, bucket=20_000, min_count=20)
     rows = fasttext.doc_vectors(corpus, found)
     mean = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.round(F.aggregate("vectors", F.lit(0.0), lambda a, v: a + F.get(v, k)) / F.size("vectors"), 4))
@@ -624,7 +629,7 @@ def embeddings_tsne(spark, sf_dir):
 @query
 def term_feature_svd(spark, sf_dir):
     """The eight greatest singular values of the terms' next-token counts, and the terms' vectors."""
-    corpus = tokenized(spark, sf_dir)
+    corpus = stored_tokens(spark, sf_dir)
     words = write_table(vocab.build(corpus, threshold=3).words, "words")
     found = decompose.svd(features.map_features(_next_token_points(corpus), words, words), 8, rounds=3)
     values = F.array(*[F.lit(round(float(v), 4)) for v in found.values])
