@@ -1,8 +1,8 @@
 """Personal data: generators propose spans, boosted trees choose among them. DataFrame functions only.
 
 Spans of the four base kinds are fixed by pattern and check, and always stay. Wider generators propose more:
-obfuscated addresses, national phone numbers, numbered identities, bank accounts, secrets (long tokens behind a key,
-known forms of keys, key blocks), and base matches that failed their check. Each candidate gets features of its format
+obfuscated addresses, national phone numbers, numbered identities, bank accounts, secrets (tokens of 16 characters or more behind a key,
+known forms of keys), and base matches that failed their check. Each candidate gets features of its format
 and context, all computed by Spark; boosted trees, fitted on the driver to a generated sample of fixed size, become
 one expression. A candidate is redacted if its calibrated probability reaches its kind's threshold, it overlaps no
 base span, and no candidate of a higher probability that is redacted overlaps it.
