@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskiln.llm import decontam, mixing, ordinal, overlap, queries, tokenstore
+from corpuskiln.llm import decontam, mixing, ordinal, queries, simhash, tokenstore
 from corpuskiln.llm._common import scratch_path, write_table
 
 
@@ -19,9 +19,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates (0.8 of their shingles of five words shared): that with the
-    smallest id."""
-    return overlap.keep_one(docs, shingle=5, similarity=0.8)
+    """Keeps one document of each group of near-duplicates: that with the smallest id. Linked are SimHash fingerprints of
+    five-word shingles that the index on byte positions finds near enough, and what shares 0.8 of its shingles."""
+    return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import overlap
 from ._common import binary_list, map_arrow, map_batches, words_of, write_table
 from .components import connected_components
 
@@ -263,8 +264,20 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id"
     return prints.join(named, prints["fp"] == named["_fp"], "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs with the row of the smallest id of each group of near-duplicates. Rows of one id stay or go together; rows
-    with null ids stay. All columns are kept."""
-    found = near_duplicates(docs, id_col=id_col, **options).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+def near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id of each row with an id: components over the links of fingerprints and, as 3 bits leave many
+    near copies apart, over those of an exact search for sets of shingles of the similarity or more. Ids are bigint."""
+    near = near_duplicates(docs, shingle=shingle, id_col=id_col, text_col=text_col).where("doc_id is not null").select("doc_id", F.col("component_id").alias("a")).distinct()
+    alike = overlap.near_copies(docs, shingle=shingle, similarity=similarity, id_col=id_col, text_col=text_col).select("doc_id", F.col("component_id").alias("b")).distinct()
+    both = write_table(near.join(alike, "doc_id"), "simhash-both")
+    parts = connected_components(both.select("a", "b"))  # a group's smallest id is its component
+    named = both.join(parts, both["a"] == parts["node"], "left")
+    return named.select("doc_id", F.coalesce("component", "a").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", similarity: float | None = None, **options) -> DataFrame:
+    """docs with the row of the smallest id of each group of near-duplicates, by fingerprints (with a similarity: by
+    near_copies). Rows of one id stay or go together; rows with null ids stay. All columns are kept."""
+    groups = near_duplicates(docs, id_col=id_col, **options) if similarity is None else near_copies(docs, id_col=id_col, similarity=similarity, **options)
+    found = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(found, docs[id_col] == found["_gone"], "left_anti")

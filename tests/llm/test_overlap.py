@@ -91,3 +91,19 @@ def test_pipeline_drops_edited_copies(spark, sf):
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:30], "changed", *w[31:]]))]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == list(range(0, 80, 2))
+
+
+def test_pipeline_links_by_fingerprint_too(spark, sf):
+    """Fingerprints count repeats, sets don't: 1 and 2 are linked by the former only, 2 and 3 by the latter only."""
+    import corpus_pipeline
+    from corpuskiln.llm import simhash
+
+    base = "one two three four five six seven "
+    tails = [" ".join(f"{x}{i}" for i in range(200)) for x in "abc"]
+    texts = [base * 100 + tails[0], base * 100 + tails[1], base + tails[1], tails[2], None]
+    docs = spark.createDataFrame([(i + 1, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    found = lambda df: {r.doc_id: r.component_id for r in df.collect()}
+    assert found(simhash.near_duplicates(docs, shingle=5)) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert found(overlap.near_copies(docs)) == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5}
+    assert found(simhash.near_copies(docs, similarity=0.8)) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == [1, 4, 5]
