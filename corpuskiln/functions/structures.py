@@ -100,7 +100,7 @@ def parse_trees(corpus: DataFrame, column: str = "trees") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(_ARROW_TREE)), pa.array(bad, pa.string())], [*rest, "_got", "_bad"])
 
     kinds = ", ".join(f"`{c}` {corpus.schema[c].dataType.simpleString()}" for c in rest)
-    rows = map_arrow(corpus.select(*rest, column), run, f"{kinds}, _got array<{TREE_TYPE}>, _bad string")
+    rows = map_arrow(corpus.select(*rest, column), run, f"{kinds}, _got array<{TREE_TYPE}>, _bad string", 1 << 20)
     lost = F.when(F.col("error").isNull() & F.col("_bad").isNotNull(), error("parse_trees", F.col("_bad"))).otherwise(F.col("error"))
     return rows.select(*[c for c in rest if c != "error"], F.col("_got").alias(column), lost.alias("error"))
 
@@ -115,7 +115,7 @@ def format_trees(corpus: DataFrame, column: str = "trees") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.string()))], [*rest, column])
 
     kinds = ", ".join(f"`{c}` {corpus.schema[c].dataType.simpleString()}" for c in rest)
-    return map_arrow(corpus.select(*rest, column), run, f"{kinds}, `{column}` array<string>").select(*corpus.columns)
+    return map_arrow(corpus.select(*rest, column), run, f"{kinds}, `{column}` array<string>", 1 << 20).select(*corpus.columns)
 
 
 def leaves(tree: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +11,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import workers
 from ..scratch import commit_file, local_path, open_file, scratch_path, write_table  # noqa: F401
-from ..workers import map_arrow
+
+#: Batches stay whole: they are shards, and their size was measured.
+map_arrow = partial(workers.map_arrow, piece_bytes=None)
 
 #: White space that separates words, as the contracts fix it: space and \t \n \v \f \r.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"

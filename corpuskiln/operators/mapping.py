@@ -95,7 +95,7 @@ def map_documents(corpus: DataFrame, plan: MapPlan) -> DataFrame:
             plan.tear_down(state)
 
     arrow = to_arrow_schema(corpus.sparkSession.createDataFrame([], schema).schema)
-    return map_arrow(corpus, run, schema)
+    return map_arrow(corpus, run, schema, 1 << 20)
 
 
 def count_by_status(corpus: DataFrame) -> DataFrame:
