@@ -26,8 +26,12 @@ from ..workers import map_arrow
 
 #: Landmarks at most: their distances are a matrix on the driver.
 LANDMARKS = 500
-#: Rows of a block of vectors, or of t-SNE's state.
+#: Rows of a block of vectors.
 BLOCK_ROWS = 4096
+#: Rows whose neighbours one task finds, and those it compares with a block at a time.
+TASK_ROWS, ROWS_AT_ONCE = 1024, 512
+#: Rows of a block of t-SNE's state, unless there are more cores than such blocks: each task of a round reads all blocks.
+STATE_ROWS = 1 << 16
 #: Cells of the grid along each side.
 GRID = 64
 
@@ -136,16 +140,37 @@ def _vectors(folder: str, block: int) -> np.ndarray:
     return np.frombuffer(data, np.float64, offset=8).reshape(-1, int(np.frombuffer(data, np.int64, 1)[0]))
 
 
+def nearer(near: np.ndarray, ids: np.ndarray, d: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of those so far (near, ids: in order, k a row, inf: none) and of a further block (squared distances d to
+    the rows place, all with greater numbers); ties: smaller number first. Only what may be among them is put in order."""
+    n, k = near.shape
+    worst = near[:, -1].copy()
+    open_ = np.flatnonzero(np.isinf(worst))
+    if len(open_) and d.shape[1] > k:
+        worst[open_] = np.nextafter(np.partition(d[open_], k - 1, axis=1)[:, k - 1], np.inf)  # ties with the last are in
+    row, col = np.nonzero(d < worst[:, None])
+    changed = np.unique(row)
+    if not len(row):
+        return near, ids
+    rows = np.concatenate((np.repeat(changed, k), row))
+    values, names = np.concatenate((near[changed].reshape(-1), d[row, col])), np.concatenate((ids[changed].reshape(-1), place[col]))
+    order = np.lexsort((names, values, rows))
+    begins = np.searchsorted(rows[order], changed)
+    best = order[begins[:, None] + np.arange(k)]
+    near[changed], ids[changed] = values[best], names[best]
+    return near, ids
+
+
 def neighbour_probabilities(rows: DataFrame, n: int, *, perplexity: float, metric: str, folder: str) -> DataFrame:
     """a, b, p over rows (at, vector) numbered from 0: conditional probability of neighbour b given a, over the 3 *
-    perplexity nearest (ties: smaller number first). Blocks of vectors are compared with one another in tasks."""
+    perplexity nearest (ties: smaller number first). A task compares TASK_ROWS rows with all blocks of vectors."""
     k = int(min(3 * perplexity, max(n - 1, 1)))
     blocks = max(1, -(-n // BLOCK_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                some = batch.slice(first, 512)
+            for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+                some = batch.slice(first, ROWS_AT_ONCE)
                 at, own = some.column(0).to_numpy(), _matrix(some.column(1))
                 near, ids = np.full((len(at), k), np.inf), np.full((len(at), k), -1)
                 for b in range(blocks):
@@ -153,14 +178,13 @@ def neighbour_probabilities(rows: DataFrame, n: int, *, perplexity: float, metri
                     d = distances(own, other, metric) ** 2
                     place = b * BLOCK_ROWS + np.arange(len(other))
                     d[at[:, None] == place[None, :]] = np.inf
-                    both, names = np.concatenate((near, d), 1), np.concatenate((ids, np.broadcast_to(place, d.shape)), 1)
-                    order = np.lexsort((names, both), axis=1)[:, :k]
-                    near, ids = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+                    near, ids = nearer(near, ids, d, place)
                 p = conditional(near, perplexity)
                 keep = np.isfinite(near)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(at, k)[keep.reshape(-1)]), pa.array(ids[keep]), pa.array(p[keep])], ["a", "b", "p"])
 
-    return map_arrow(rows.select("at", "vector"), run, "a bigint, b bigint, p double")
+    dealt = rows.select("at", "vector").repartitionById(max(1, -(-n // TASK_ROWS)), F.expr(f"at div {TASK_ROWS}").cast("int"))
+    return map_arrow(dealt, run, "a bigint, b bigint, p double")
 
 
 def repulsion(points: np.ndarray, own: slice) -> tuple[np.ndarray, float]:
@@ -213,7 +237,7 @@ def tsne(rows: DataFrame, *, metric: str = "cosine", perplexity: float = 30.0, i
     _blocks(numbered, folder)
     one_way = write_table(neighbour_probabilities(numbered, n, perplexity=perplexity, metric=metric, folder=folder), "tsne-neighbours")
     both = one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"), "p")).groupBy("a", "b").agg((F.sum("p") / (2 * n)).alias("p"))
-    blocks = max(1, min(-(-n // 256), max(spark.sparkContext.defaultParallelism, -(-n // BLOCK_ROWS))))
+    blocks = max(1, min(-(-n // 256), max(spark.sparkContext.defaultParallelism, -(-n // STATE_ROWS))))
     size = -(-n // blocks)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

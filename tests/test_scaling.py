@@ -90,6 +90,26 @@ def test_neighbours(spark, monkeypatch, tmp_path):
         assert np.allclose([mine[j] for j in near], scaling.conditional(d[i][None, near], 4.0)[0], atol=1e-5)
 
 
+@pytest.mark.parametrize("k", [1, 5, 12, 30])
+def test_nearer_with_ties(k):
+    """Against sorting all: equal distances, rows with fewer than k others, blocks of several sizes."""
+    d = np.random.default_rng(k).integers(0, 6, (20, 25)).astype(np.float64)
+    d[3], d[4, :24] = np.inf, np.inf
+    near, ids = np.full((20, k), np.inf), np.full((20, k), -1)
+    for first, last in ((0, 4), (4, 15), (15, 25)):
+        near, ids = scaling.nearer(near, ids, d[:, first:last].copy(), np.arange(first, last))
+    for i in range(20):
+        want = [j for j in np.lexsort((np.arange(25), d[i])) if np.isfinite(d[i, j])][:k]
+        assert ids[i][np.isfinite(near[i])].tolist() == want and near[i][np.isfinite(near[i])].tolist() == d[i, want].tolist()
+
+
+def test_neighbours_in_many_tasks(spark, monkeypatch, tmp_path):
+    """However few files the rows lie in, a task finds the neighbours of TASK_ROWS rows."""
+    monkeypatch.setattr(scaling, "TASK_ROWS", 10)
+    rows = frame(spark, np.random.default_rng(8).normal(size=(50, 3))).withColumnRenamed("idx", "at").coalesce(1)
+    assert scaling.neighbour_probabilities(rows, 50, perplexity=4.0, metric="euclidean", folder=str(tmp_path)).rdd.getNumPartitions() == 5
+
+
 def test_repulsion_is_exact_for_single_cells():
     r = np.random.default_rng(5)
     y = r.uniform(-1, 1, (40, 2)) * 30
