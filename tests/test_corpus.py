@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpuskiln import model
 from corpuskiln.operators import corpus as ops
 from corpuskiln.operators import embeddings as emb
-from corpuskiln.operators import features, lookup, mapping, stats, vocab
+from corpuskiln.operators import features, lookup, mapping, pairs, stats, vocab
 from corpuskiln.sources import sinks
 
 
@@ -322,3 +322,31 @@ def test_append_is_checked(spark, tmp_path):
     with pytest.raises(Exception, match="repeated document"):
         sinks.store(c, path, append=True)
     assert sinks.store(c.withColumn("doc_name", F.concat(F.lit("n"), "doc_name")), path, append=True).count() == 4
+
+
+@pytest.mark.parametrize("symmetric,weighting,once", [(True, True, False), (True, False, True), (False, True, False), (True, True, True)])
+def test_cooccurrence_of_numbers(spark, symmetric, weighting, once):
+    """Pairs in packed blocks: as pairs of rows."""
+    r = np.random.default_rng(2)
+    docs = [([int(x) for x in r.zipf(1.3, n) % 20_000],) for n in (0, 1, 2, 40, 900)] + [(None,), ([5, None, 5, 19_999, 0, 20_000],)]
+    df = spark.createDataFrame(docs, "tokens array<bigint>").repartition(3)
+    rows = df.withColumn("tokens", F.transform("tokens", lambda x: F.when(x < 20_000, x)))
+    read = lambda x: {(p.w1, p.w2): p.weight for p in x.collect()}
+    options = {"symmetric": symmetric, "distance_weighting": weighting, "once": once}
+    packed = features.cooccurrence(df, 6, n_words=20_000, **options)
+    want, got = read(features.cooccurrence(rows, 6, **options)), read(packed)
+    assert got == pytest.approx(want, rel=1e-12) and "HashAggregate" not in packed._jdf.queryExecution().toString()
+
+
+def test_packed_pairs():
+    r = np.random.default_rng(1)
+    for n, most in ((1, 2), (300, 40), (3000, 10**12)):
+        keys, values = np.unique(r.integers(0, 10**15, n)), r.integers(1, most, n)
+        values = values[: len(keys)]
+        block = pairs.pack(keys, values)
+        assert all((a == b).all() for a, b in zip(pairs.unpack(*block), (keys, values), strict=True))
+        assert (pairs.unpack(*pairs.pack(keys, values / 7), np.float64)[1] == values / 7).all()
+    dense = np.arange(0, 400_000, 4) + r.integers(0, 4, 100_000)
+    assert sum(map(len, pairs.pack(dense, r.integers(1, 16, 100_000))[2:])) < 200_000  # bytes
+    keys, totals = pairs.merged([(np.array([1, 5]), np.array([2, 3])), (np.array([0, 5]), np.array([7, 1]))])
+    assert keys.tolist() == [0, 1, 5] and totals.tolist() == [7, 2, 4]
