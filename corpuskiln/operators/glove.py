@@ -3,7 +3,7 @@
 The loss of a count x between a word and a context is f(x) * (word . context + both biases - log x)^2 / 2, where f(x) is
 (x / x_max)^alpha and 1 at most; AdaGrad minimises it.
 
-Words and contexts are dealt into as many blocks; the counts then lie in a grid of cells (word block, context block). A
+Words and contexts are dealt into as many blocks; the counts then lie, packed, in a grid of cells (word block, context block). A
 round is a job of one task for each word block, and in round r of an epoch the task of word block i works on the cell
 with context block i + r. So no two tasks of a round share a parameter, every count is seen once an epoch, and the
 result doesn't depend on which executor does what. A task reads its two blocks of parameters from the shared folder and
@@ -22,11 +22,14 @@ from pyspark.sql import functions as F
 
 from ..scratch import commit_file, drop, open_file, scratch_path
 from ..workers import map_arrow
+from . import pairs as packed
 
 #: Words of a block: with vectors of 300 numbers and their AdaGrad sums, about 160 MB for the two blocks of a cell.
 BLOCK_WORDS = 16_384
 #: Counts that are fitted at a time; each word's gradients in them are added up.
 BATCH = 1024
+#: Counts that a task deals to cells at a time.
+HELD_COUNTS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -91,14 +94,14 @@ def fit_cell(word: Block, context: Block, w: np.ndarray, c: np.ndarray, x: np.nd
 
 
 def train(
-    pairs: DataFrame, n_words: int, *, size: int = 50, iterations: int = 25, x_max: float = 100.0, alpha: float = 0.75, eta: float = 0.05, grad_clip: float = 100.0, seed: int = 1, blocks: int | None = None
+    pairs: DataFrame, n_words: int, *, size: int = 50, iterations: int = 25, x_max: float = 100.0, alpha: float = 0.75, eta: float = 0.05, grad_clip: float = 100.0, seed: int = 1, blocks: int | None = None, mirrored: bool = False
 ) -> tuple[DataFrame, list[float]]:
     """(idx, vector, context) of the words 0 .. n_words - 1, and the loss of each iteration.
 
     pairs (w1, w2, weight) are co-occurrences of a word with a context, as features.cooccurrence() gives them; weights of
     0 or less, null words and words outside are left out. vector and context hold size numbers each; biases aren't
-    returned. Counts of a cell are fitted in an order by a seeded hash. The result is the same for the same seed and number
-    of blocks.
+    returned. Counts of a cell are fitted in a seeded random order. The result is the same for the same seed and number
+    of blocks. mirrored: each pair stands once, w1 <= w2, and is fitted in both directions.
     """
     spark, o = pairs.sparkSession, Options(size, x_max, alpha, eta, grad_clip)
     if n_words < 1 or size < 1:
@@ -108,29 +111,68 @@ def train(
     folder = scratch_path(spark, "glove")
     rows = lambda number: len(range(number, n_words, n))
 
-    # each cell is a file of (word, context, weight), sorted by a hash
+    # each cell is a file of packed (word, context, weight); mirrored, that of the smaller block serves both of them
     inside = pairs.where((F.col("weight") > 0) & F.col("w1").between(0, n_words - 1) & F.col("w2").between(0, n_words - 1))
-    cells = inside.select((F.col("w1") % n * n + F.col("w2") % n).cast("int").alias("cell"), F.expr(f"w1 div {n}").alias("w"), F.expr(f"w2 div {n}").alias("c"), F.col("weight").cast("double").alias("x"))
-    cells = cells.repartitionById(n * n, "cell").sortWithinPartitions("cell", F.xxhash64(F.lit(seed), "w", "c"), "w", "c")
+    width = -(-n_words // n)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            count += len(batch)
+            if count > HELD_COUNTS:
+                yield from packs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, count = [], 0
+        if count:
+            yield from packs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def packs(w: np.ndarray, c: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if mirrored:
+            turn = w % n > c % n
+            w, c = np.where(turn, c, w), np.where(turn, w, c)
+        cell, key = w % n * n + c % n, w // n * width + c // n
+        order = np.lexsort((key, cell))
+        cell, key, x = cell[order].astype(np.int32), key[order], x[order]
+        cuts = np.append(np.flatnonzero(np.diff(cell, prepend=-1)), len(cell)).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(cell[a : a + 1]), *(pa.array([v], t) for v, t in zip(packed.pack(key[a:b], x[a:b]), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True))], ["cell", *packed.NAMES])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held, number = [], -1
         for b in batches:
-            if b.num_rows:
-                held.append(b)
+            for number, *block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append(packed.unpack(*block, np.float64))
         if held:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            number = whole.column(0)[0].as_py()
+            keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((values, keys))
+            whole = pa.table({k: [v] for k, v in zip(packed.NAMES, packed.pack(keys[order], values[order]), strict=True)})
 
             def put(f) -> None:
                 with pa.ipc.new_file(f, whole.schema) as out:
                     out.write_table(whole)
 
             commit_file(f"{folder}/cell-{number}", put)
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([whole.num_rows])], ["cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([len(keys)])], ["cell", "n"])
 
+    cells = map_arrow(inside.select(F.col("w1").cast("bigint"), F.col("w2").cast("bigint"), F.col("weight").cast("double")), deal, f"cell int, {packed.BLOCK}").repartitionById(n * n, "cell")
     known = {r.cell for r in map_arrow(cells, write, "cell int, n bigint").collect()}  # one row a cell
 
+    def counts(i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Rows of word and context block and weights of a cell, in the order in which they are fitted."""
+        turn = mirrored and i > j
+        cell = j * n + i if turn else i * n + j
+        if cell not in known:
+            return None
+        with open_file(f"{folder}/cell-{cell}") as f:
+            block = pa.ipc.open_file(f).read_all().to_pylist()[0]
+        keys, x = packed.unpack(*(block[k] for k in packed.NAMES), np.float64)
+        w, c = np.divmod(keys, width)
+        if mirrored and i == j:
+            other = w != c
+            w, c, x = np.concatenate((w, c[other])), np.concatenate((c, w[other])), np.concatenate((x, x[other]))
+        order = np.random.default_rng([seed, i, j]).permutation(len(x))
+        return (c[order], w[order], x[order]) if turn else (w[order], c[order], x[order])
+
     def round_(number: int) -> DataFrame:
         shift = number % n
 
@@ -141,10 +183,8 @@ def train(
                     word = Block.load(f"{folder}/round-{number - 1}/word-{i}", size) if number else Block.new(0, i, rows(i), size, seed)
                     context = Block.load(f"{folder}/round-{number - 1}/context-{j}", size) if number else Block.new(1, j, rows(j), size, seed)
                     loss = 0.0
-                    if i * n + j in known:
-                        with open_file(f"{folder}/cell-{i * n + j}") as f:
-                            t = pa.ipc.open_file(f).read_all()
-                            loss = fit_cell(word, context, *(t.column(k).to_numpy() for k in (1, 2, 3)), o)
+                    if (got := counts(i, j)) is not None:
+                        loss = fit_cell(word, context, *got, o)
                     word.save(f"{folder}/round-{number}/word-{i}")
                     context.save(f"{folder}/round-{number}/context-{j}")
                     yield pa.RecordBatch.from_arrays([pa.array([loss])], ["loss"])

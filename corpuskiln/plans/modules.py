@@ -190,9 +190,10 @@ def _glove(spark, inputs, o):
     counts = vocab.word_counts(corpus).where(F.col("n") >= o.get("min_count", 0))
     words = vocab.number_words(counts, o.get("max_vocab") or None)
     known = vocab.map_tokens(corpus, words.select("id", "token"), "skip").select(F.flatten("lists").alias("tokens"))
-    pairs = features.cooccurrence(known, o.get("window_size", 15), symmetric=o.get("symmetric", True), distance_weighting=o.get("distance_weighting", True))
+    n, once = words.count(), o.get("symmetric", True)
+    pairs = features.cooccurrence(known, o.get("window_size", 15), symmetric=once, distance_weighting=o.get("distance_weighting", True), n_words=n, once=once)
     given = {"size": o.get("vector_size", 50), "iterations": o.get("iter", 25)} | {k: o[k] for k in ("eta", "alpha", "x_max", "grad_clip", "seed") if k in o}
-    found, _ = glove.train(pairs, words.count(), **given)
+    found, _ = glove.train(pairs, n, mirrored=once, **given)
     rows = found.join(words, found["idx"] == words["id"])
     both = rows.select("idx", F.col("token").alias("word"), F.col("n").alias("count"), F.zip_with("vector", "context", lambda x, y: x + y).alias("vector"))
     return {"embeddings": both, "glove_output": rows.select("idx", F.col("token").alias("word"), "vector", "context")}

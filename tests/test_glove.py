@@ -116,3 +116,17 @@ def test_module(spark):
     options = {k: t.options[k](v) for k, v in {"vector_size": "4", "iter": "2", "eta": "0.1", "alpha": "0.5", "x_max": "10", "grad_clip": "1", "window_size": "2", "min_count": "2"}.items()}
     rows = t.run(spark, {"text": [corpus]}, options)["embeddings"].collect()
     assert sorted((x.word, x["count"]) for x in rows) == [("x", 3), ("y", 2)] and all(len(x.vector) == 4 for x in rows)
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_mirrored_pairs(spark, n):
+    """Pairs that stand once are fitted as both directions are (in a cell of one batch the order adds up alike)."""
+    r = np.random.default_rng(n)
+    half = {(min(a, b), max(a, b)): float(x) for a, b, x in zip(r.integers(0, 20, 90).tolist(), r.integers(0, 20, 90).tolist(), r.uniform(0.2, 60, 90), strict=True)}
+    whole = half | {(b, a): x for (a, b), x in half.items()}
+    frame = lambda pairs: spark.createDataFrame([(a, b, x) for (a, b), x in pairs.items()], "w1 bigint, w2 bigint, weight double").repartition(3)
+    (one, first), (two, second) = glove.train(frame(half), 20, size=5, iterations=2, blocks=n, mirrored=True), glove.train(frame(whole), 20, size=5, iterations=2, blocks=n)
+    assert first == pytest.approx(second)
+    want = {x.idx: x for x in two.collect()}
+    for x in one.collect():
+        assert np.allclose(x.vector, want[x.idx].vector) and np.allclose(x.context, want[x.idx].context)
