@@ -43,14 +43,37 @@ def concat(corpora: list[DataFrame]) -> DataFrame:
     return moved.select(*corpora[0].columns)
 
 
-def interleave(corpora: list[DataFrame], *, scaled: bool = False) -> DataFrame:
+def _added(values: Column) -> Column:
+    """The sum of a list of doubles, added from left to right."""
+    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+
+
+def _blocks(step: Column, n: Column) -> Column:
+    """Blocks of 16^k steps, largest first, as many sizes as n has hexadecimal digits: their length and their sum,
+    which is that of 16 of the next smaller blocks."""
+    block = lambda length, total: F.struct(length.cast("bigint").alias("length"), total.cast("double").alias("total"))
+    first = F.array(block(F.lit(1), step))
+    more = F.array_repeat(F.lit(0), F.length(F.hex(n)) - 1)
+    return F.aggregate(more, first, lambda a, _: F.concat(F.array(block(a[0]["length"] * 16, _added(F.array_repeat(a[0]["total"], 16)))), a))
+
+
+def _sum_of_blocks(blocks: Column, n: Column) -> Column:
+    """The sum of n steps: as many blocks of each size as n's hexadecimal digit says, added from the largest."""
+    return _added(F.flatten(F.transform(blocks, lambda b: F.array_repeat(b["total"], (F.floor(n / b["length"]) % 16).cast("int")))))
+
+
+def interleave(corpora: list[DataFrame], *, scaled: bool = False, in_blocks: bool = False) -> DataFrame:
     """Documents of all corpora spread evenly: always one of the corpus whose progress is least (ties: the first).
 
     A document moves its corpus on by longest / own length. Progress is the running sum of these steps, as adding
-    them up one by one gives it, which keeps a corpus's numbering in one task; scaled=True takes position / length
-    instead, which numbers slices side by side and orders alike but for rounding of ties. The formula never depends on
-    the size. Archives become corp{i}_{archive}; adds pos from 0, which becomes doc_ord.
+    them up one by one gives it, which keeps a corpus's numbering in one task. Two other forms number slices side by
+    side and order alike but for rounding of ties: scaled=True takes position / length instead; in_blocks=True adds up
+    blocks of 16 steps, blocks of 16 such blocks and so on, the largest first, which is how DuckDB's sum over rows up
+    to the one before rounds. The formula never depends on the size. Archives become corp{i}_{archive}; adds pos from
+    0, which becomes doc_ord.
     """
+    if scaled and in_blocks:
+        raise ValueError("scaled and in_blocks exclude each other")
     parts = []
     for i, c in enumerate(corpora):
         name = F.concat(F.lit(f"corp{i}_"), F.col("archive"))
@@ -59,9 +82,11 @@ def interleave(corpora: list[DataFrame], *, scaled: bool = False) -> DataFrame:
     keys = both.select("_src", "doc_ord")  # documents themselves are moved once, in the last join
     sizes = keys.groupBy("_src").agg(F.count(F.lit(1)).alias("_len"))
     sizes = sizes.withColumn("_step", F.max("_len").over(Window.partitionBy()).cast("double") / F.col("_len"))  # one row a corpus
-    if scaled:
+    if scaled or in_blocks:
+        sizes = sizes.withColumn("_blocks", _blocks(F.col("_step"), F.col("_len"))) if in_blocks else sizes
         ranked = reduce(DataFrame.unionByName, [number_rows(keys.where(F.col("_src") == i), F.col("doc_ord"), name="_at") for i in range(len(corpora))])
-        ranked = ranked.join(F.broadcast(sizes), "_src").withColumn("_progress", F.col("_at") / F.col("_len"))
+        ranked = ranked.join(F.broadcast(sizes), "_src")  # one row a corpus
+        ranked = ranked.withColumn("_progress", _sum_of_blocks(F.col("_blocks"), F.col("_at")) if in_blocks else F.col("_at") / F.col("_len"))
     else:
         before = Window.partitionBy("_src").orderBy("doc_ord").rowsBetween(Window.unboundedPreceding, -1)
         ranked = keys.join(F.broadcast(sizes), "_src").withColumn("_progress", F.coalesce(F.sum("_step").over(before), F.lit(0.0)))

@@ -9,7 +9,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
-from corpuskiln.operators.corpus import subset
+from corpuskiln.operators.corpus import interleave, subset
 from corpuskiln.plans import config, modules
 from corpuskiln.plans.pipeline import Pipeline, main
 from corpuskiln.sources import readers, sinks
@@ -320,6 +320,25 @@ def equal_sql(spark, sf, *names):
         assert columns == sorted(want.columns) and as_rows(got) == as_rows(want), name
 
 
+@pytest.mark.parametrize("sizes", [(52, 39), (39, 52), (300, 275), (0, 3), (5, 0), (1, 17)])
+def test_interleave_rounds_as_its_sql(spark, tmp_path, sizes):
+    """For the first three sizes sums of steps added one by one order ties otherwise than the SQL."""
+    import duckdb
+
+    from corpuskiln.plans import registry
+
+    con = duckdb.connect()
+    for table, key, n in zip(("documents", "benchmark"), ("doc_id", "item_id"), sizes, strict=True):
+        at = f"{tmp_path}/{table}.parquet"
+        con.sql(f"copy (select i * 3 as {key}, 's' || i % 2 as source, 't' as text from range({n}) t(i) order by hash(i)) to '{at}'")
+        con.sql(f"create view {table} as select * from '{at}'")
+    frame = registry.QUERIES["interleave_corpora"](spark, str(tmp_path))
+    got = sorted((r.pos, r.archive, r.doc_name) for r in frame.collect())
+    assert got == sorted(con.execute(registry.ORACLE_SQL["interleave_corpora"]).fetchall()) and len(got) == sum(sizes)
+    with pytest.raises(ValueError, match="exclude"):
+        interleave([registry.documents(spark, str(tmp_path))], scaled=True, in_blocks=True)
+
+
 def test_whole_vocabulary(spark, sf, tmp_path):
     from collections import Counter
 
