@@ -33,6 +33,23 @@ def test_text_files(spark, tmp_path):
         readers.text_files(spark, [f"?{tmp_path}/none"])
 
 
+@pytest.mark.parametrize("name", ["doc_embeddings"])
+def test_empty_texts_as_in_sql(spark, sf, tmp_path, name):
+    """Documents without a text, an empty one, and texts of white space only."""
+    import duckdb
+
+    from corpuskiln.plans import registry
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")
+    odd = [(-1 - i, "src0", x) for i, x in enumerate([None, "", " ", "\n", "a\r\nb\r\nc\r\n", " \n\t\n"])]
+    docs.unionByName(spark.createDataFrame(odd, "doc_id bigint, source string, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(registry.ORACLE_SQL[name]).fetchall()
+    assert sorted(got) == sorted(want)
+
+
 def test_xml_elements(spark, tmp_path):
     """Nested elements, references, CDATA, comments, lost and stray end tags, by hand."""
     read = readers.xml_elements
