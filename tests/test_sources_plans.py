@@ -33,7 +33,17 @@ def test_text_files(spark, tmp_path):
         readers.text_files(spark, [f"?{tmp_path}/none"])
 
 
-@pytest.mark.parametrize("name", ["doc_embeddings"])
+def test_empty_files_are_documents(spark, tmp_path):
+    """In a path with spaces, signs and a letter beyond ASCII, too."""
+    d = tmp_path / "a+b %20 é"
+    d.mkdir()
+    for name, text in (("a", ""), ("b 1", "x\ny"), ("c%2B", ""), ("d+e", "")):
+        (d / name).write_text(text)
+    assert texts(readers.text_files(spark, [str(tmp_path)])) == [("a", ""), ("b 1", "x\ny"), ("c%2B", ""), ("d+e", "")]
+    assert texts(readers.text_files(spark, [f"{tmp_path}/*:2-3"], exclude=[f"{tmp_path}/a+b %20 é/a"])) == [("b 1", "y"), ("c%2B", ""), ("d+e", "")]
+
+
+@pytest.mark.parametrize("name", ["text_files_lines", "doc_embeddings"])
 def test_empty_texts_as_in_sql(spark, sf, tmp_path, name):
     """Documents without a text, an empty one, and texts of white space only."""
     import duckdb
