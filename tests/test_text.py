@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpuskiln.functions import codecs, text
+from corpuskiln.functions import codecs, strings, text
 
 EDGE = ["", "\n", "a", "a\n", "a\r\nb\r\n", "\n\na", " a  b ", " a ", "x\x85y z", "\U0001f600 é", "... !", "12 3", "a\x1cb\x1dc", "\r\n\n", "a\tb"]
 
@@ -99,3 +99,22 @@ def test_binary_codecs_round_trip(spark):
     encode, decode = codecs.int_lists_codec()
     df = spark.createDataFrame([([[1, 2], []],), (None,)], "x array<array<bigint>>")
     assert [r.y for r in df.select(decode(encode("x")).alias("y")).collect()] == [[[1, 2], []], None]
+
+
+def test_matching_blocks_equal_difflib(monkeypatch):
+    """Both branches, short strings and those of which difflib leaves out frequent characters; ties, repeats, astral ones."""
+    import difflib
+    import random
+
+    r = random.Random(5)
+    make = lambda letters: "".join(r.choice(letters) for _ in range(r.choice([0, 1, 7, 60, 199, 200, 350])))
+    pairs = [(make(x), make(x)) for x in ["ab", "abc d", "abcdefghij " * 3 + "XYZ", "\U0001d518é語abcdefghijklmnopqrstuvwxyz 0123456789"] for _ in range(60)]
+    pairs += [(a, b[:20] + a[5:60] + b[20:]) for a, b in pairs] + [(a, a) for a, _ in pairs[:20]] + [("x" * 300, "x" * 299), ("", "")]
+    want = [difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    held = [strings.matching(a, b) for a, b in pairs]
+    assert sum(n is not None for n in held) > 0.9 * len(pairs)
+    assert [strings.ratio(a, b) for a, b in pairs] == want
+    monkeypatch.setattr(strings, "MOST_LENGTH", 2)
+    assert [strings.ratio(a, b) for a, b in pairs] == want
+    monkeypatch.setattr(strings, "MOST_CELLS", 0)
+    assert [strings.ratio(a, b) for a, b in pairs] == want
