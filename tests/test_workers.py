@@ -37,6 +37,20 @@ def test_word2vec_learns_in_parts(spark, monkeypatch):
     assert given["numPartitions"] == spark.sparkContext.defaultParallelism > 1
 
 
+def test_word2vec_gives_what_it_learned(spark, tmp_path, monkeypatch):
+    """The query's vectors are those of the model, so another model gives other rows."""
+    from corpuskiln.plans import registry
+
+    text = "\n".join(["a b c d"] * 30)
+    spark.createDataFrame([(i, "s", text) for i in range(4)], "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.word: r.vector for r in registry.QUERIES["word2vec"](spark, str(tmp_path)).collect()}
+    assert set(got) == set("abcd") and all(len(v) == 8 and any(v) for v in got.values())
+    own = models.train_word2vec
+    monkeypatch.setattr(models, "train_word2vec", lambda *a, **o: own(*a, **o | {"seed": 2}))
+    other = {r.word: r.vector for r in registry.QUERIES["word2vec"](spark, str(tmp_path)).collect()}
+    assert set(other) == set(got) and all(other[w] != got[w] for w in got)
+
+
 def test_archives_are_read_member_by_member(spark, tmp_path):
     import tarfile
 
