@@ -62,34 +62,40 @@ class Block:
         commit_file(uri, lambda f: (f.write(self.values.tobytes()), f.write(self.sums.tobytes())))
 
 
-def _sum_rows(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different indices and the sums of their rows."""
+def _groups(index: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different indices, below rows, the places of all in their order, and where each begins among these."""
+    index = index.astype(np.uint16) if rows <= 1 << 16 else index  # sorted by their digits then
     order = np.argsort(index, kind="stable")
-    some, first = np.unique(index[order], return_index=True)
-    return some, np.add.reduceat(rows[order], first, axis=0)
+    index = index[order]
+    first = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
+    return index[first], order, first
 
 
 def fit_cell(word: Block, context: Block, w: np.ndarray, c: np.ndarray, x: np.ndarray, o: Options, batch: int = BATCH) -> float:
     """Fits a cell's counts (rows w and c of the blocks) in their order; returns the loss met on the way."""
     logs, weights = np.log(x), np.minimum((x / o.x_max) ** o.alpha, 1.0)
     loss = 0.0
+    size = word.values.shape[1] - 1
     for at in range(0, len(x), batch):
         part = slice(at, at + batch)
         i, j = w[part], c[part]
-        a, b = word.values[i], context.values[j]
+        a, b = word.values.take(i, 0), context.values.take(j, 0)
         error = (a[:, :-1] * b[:, :-1]).sum(1) + a[:, -1] + b[:, -1] - logs[part]
         pull = weights[part] * error
         loss += float(0.5 * pull @ error)
         pull = o.eta * pull[:, None]
         for block, index, other in ((word, i, b), (context, j, a)):
-            step = np.concatenate((np.clip(pull * other[:, :-1], -o.grad_clip, o.grad_clip), pull), 1)
-            if batch == 1:
-                some, total, square = index, step, step * step
-            else:
-                some, total = _sum_rows(index, step)
-                square = _sum_rows(index, step * step)[1]
-            block.values[some] -= total / np.sqrt(block.sums[some])
-            block.sums[some] += square
+            some, order, first = _groups(index, len(block.values))
+            both = np.empty((len(index), 2, size + 1))  # steps and their squares, summed together
+            step = both[:, 0]
+            np.multiply(pull, other, out=step)
+            np.clip(step[:, :-1], -o.grad_clip, o.grad_clip, out=step[:, :-1])
+            step[:, -1:] = pull
+            np.multiply(step, step, out=both[:, 1])
+            both = np.add.reduceat(both.reshape(len(index), -1).take(order, 0), first, axis=0)
+            sums = block.sums.take(some, 0)
+            block.values[some] = block.values.take(some, 0) - both[:, : size + 1] / np.sqrt(sums)
+            block.sums[some] = sums + both[:, size + 1 :]
     return loss
 
 

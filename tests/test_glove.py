@@ -54,6 +54,16 @@ def test_batches_add_gradients_up():
     assert np.allclose(a.values, v - step) and np.allclose(a.sums, 1 + square)
 
 
+@pytest.mark.parametrize("rows", [7, 1 << 16, 1 << 17])
+def test_groups(rows):
+    """A batch's counts are put in order once for each side, whatever the width of the index."""
+    index = np.append(np.random.default_rng(2).integers(0, rows, 500) // 3, [rows - 1, 0, rows - 1])
+    some, order, first = glove._groups(index, rows)
+    assert some.tolist() == sorted(set(index.tolist()))
+    ends = np.append(first, len(index)).tolist()
+    assert [order[x:y].tolist() for x, y in zip(ends[:-1], ends[1:], strict=True)] == [np.flatnonzero(index == v).tolist() for v in some]
+
+
 def grid(rows, n_words, n, size, epochs, seed):
     """The rounds of the grid in one process."""
     o = glove.Options(size)
